@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import edit_counts, exact_dedup, lm_score, ngram_join, packing, quality, toxicity, warc
+from . import edit_counts, exact_dedup, lm_score, ngram_join, packing, pii, quality, toxicity, warc
 from ._common import crc_mod, table
 
 
@@ -21,6 +21,10 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(table(spark, sf_dir, "documents"))
+
+
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"))
 
@@ -50,6 +54,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_warc": op3_warc,
+    "op4_pii": op4_pii,
     "op5_ngram_join": op5_ngram_join,
     "op6_lm_score": op6_lm_score,
     "op7_quality": op7_quality,
