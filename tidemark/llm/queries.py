@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import edit_counts, exact_dedup, lm_score, ngram_join, packing, pii, quality, toxicity, warc
+from . import decontaminate, edit_counts, exact_dedup, lm_score, ngram_join, packing, pii, quality, toxicity, warc
 from ._common import crc_mod, table
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
@@ -52,6 +56,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontaminate": op1_decontaminate,
     "op2_toxicity": op2_toxicity,
     "op3_warc": op3_warc,
     "op4_pii": op4_pii,
