@@ -40,7 +40,7 @@ def render_page(page: dict) -> str:
 
 def read_pages(spark: SparkSession, root: str) -> DataFrame:
     """Pages of the *.md files in root whose names are slugs."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.md").text(root).select(F.regexp_extract("_metadata.file_name", r"^([a-z0-9-]{1,64})\.md$", 1).alias("slug"), "value").where("slug <> ''")
+    files = spark.read.text(root, wholetext=True, pathGlobFilter="*.md").select(F.regexp_extract("_metadata.file_name", r"^([a-z0-9-]{1,64})\.md$", 1).alias("slug"), "value").where("slug <> ''")
 
     def parse(batches):
         for rows in batches:
