@@ -46,11 +46,11 @@ def quoted(name: str) -> Column:
 
 
 def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate; for file scans the size of the files."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # noqa: BLE001  statistics are a sizing hint only
-        return 1 << 30
+    """Catalyst's size estimate; for file scans the size of the files. Where it knows none (rows from the driver's
+    memory have a size of exabytes) a task's worth for each shuffle partition."""
+    unknown = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) * (16 << 20)
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 58 else unknown
 
 
 def tasks_for(df: DataFrame, task_bytes: int = 16 << 20, least: int = 12, most: int = 1 << 17) -> int:
