@@ -100,14 +100,14 @@ def _luhn(m: Column) -> Column:
     d = _digits(m)
 
     def add(acc: Column, i: Column) -> Column:
-        x = F.substring(d, -i, F.lit(1)).cast("int") * F.when(i % 2 == 0, 2).otherwise(1)
+        x = F.coalesce(F.substring(d, -i, F.lit(1)).try_cast("int"), F.lit(0)) * F.when(i % 2 == 0, 2).otherwise(1)
         return acc + F.when(x > 9, x - 9).otherwise(x)
 
     return (F.length(d) > 0) & (F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(d), F.lit(1))), F.lit(0), add) % 10 == 0)
 
 
 def _small_parts(m: Column) -> Column:
-    return F.forall(F.split(m, r"\."), lambda p: (F.length(F.ltrim(p, F.lit("0"))) <= 3) & (F.coalesce(F.substring(F.ltrim(p, F.lit("0")), 1, 3).cast("int"), F.lit(0)) <= 255))
+    return F.forall(F.split(m, r"\."), lambda p: (F.length(F.ltrim(p, F.lit("0"))) <= 3) & (F.coalesce(F.substring(F.ltrim(p, F.lit("0")), 1, 3).try_cast("int"), F.lit(0)) <= 255))
 
 
 VALID = {
