@@ -73,7 +73,8 @@ class Index:
     def __init__(self, items: list[tuple[int | None, np.ndarray]], seed: int) -> None:
         self.items = items
         shortest = min(len(w) for _, w in items)
-        self.walk = min(64, 2 * shortest)
+        # Half the steps move on, so few cursors pass the end of even the shortest item; of short items none does.
+        self.walk = shortest if shortest < LEAST_WORDS else min(64, 3 * shortest // 2)
         edits = max(int(EDIT_RATE * len(w)) for _, w in items)
         total = repetitions(edits, self.walk)
         rng = np.random.default_rng(seed)
@@ -95,7 +96,7 @@ class Index:
     def _sampled(self, rng: np.random.Generator) -> np.ndarray:
         """Sorted steps, one from each stratum of the walk. The first strata are narrow, so most starts leave early."""
         edges = [0, max(1, self.walk // 8), max(2, self.walk // 4), max(3, self.walk // 2), self.walk]
-        return np.unique([rng.integers(a, max(a + 1, b)) for a, b in zip(edges[:-1], edges[1:])]).astype(int)
+        return np.unique(np.minimum([rng.integers(a, max(a + 1, b)) for a, b in zip(edges[:-1], edges[1:])], self.walk - 1)).astype(int)
 
     @staticmethod
     def mix(signature: np.ndarray, word: np.ndarray) -> np.ndarray:
