@@ -36,7 +36,8 @@ from .components import components
 WORDS, PERCENT = 5, 75
 CACHE_WORDS = 400_000
 SAMPLE_ROWS, FREQUENT = 2_000, 0.005
-FLUSH, FLUSH_DOCS = 2_000_000, 60_000
+FLUSH, FLUSH_DOCS = 1_000_000, 60_000
+BUCKET_BYTES = 12 << 20  # of text, for a bucket of shingles
 BLOCK, SPLIT = 64, 512
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
@@ -280,7 +281,7 @@ def _remaining(lists: DataFrame, found: DataFrame, percent: int, tasks: int) ->
 def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """id, n_shingles, component_id of every row."""
     rows = df.select(quoted(id_col).cast("long").alias("i"), quoted(text_col).cast("string").alias("text"))
-    buckets = max(24, -(-2 * plan_bytes(df) // (40 << 20)))
+    buckets = max(24, -(-2 * plan_bytes(df) // BUCKET_BYTES))
     all_rows = materialise(_classes(rows, buckets, words, percent), "shingle-classes")
     docs, sets = all_rows.where("own IS NULL").select("i", "n", "fp"), all_rows.where("own IS NOT NULL").select("n", "fp", "own", "shared")
     prefix = F.col("n") - F.ceil(F.col("n") * F.lit(percent) / 100).cast("long") + 1 - F.col("own")
