@@ -550,3 +550,9 @@ def test_pipeline_against_brute_force(spark, sf):
     for name, stage in pipeline.STAGES[:-1]:
         assert stage(spark, frame_, sf).columns == frame_.columns, name
         assert stage(spark, frame_.limit(0), sf).count() == 0, name
+
+
+def test_short_items_match_word_for_word():
+    scan = decontaminate._scanner([(1, b"one"), (2, b"two words"), (3, b"a b c d e f g"), (4, b"")])
+    got = {(d, i) for d, i, *_ in scan([b"x ONE y", b"two words", b"a b c d e f g", b"", b"two\twords one", b"two other words"])}
+    assert got == {(0, 1), (1, 2), (2, 3), (4, 1), (4, 2)}
