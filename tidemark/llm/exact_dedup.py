@@ -111,7 +111,7 @@ def _trie(rows: DataFrame, buckets: int) -> Trie:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([x[:PREFIX_BYTES].lower() for x in raw_texts(batch.column(0))], pa.binary())], ["head"])
 
-    few = rows.select("t").sample(fraction=min(1.0, SAMPLE_ROWS / total), seed=7).limit(2 * SAMPLE_ROWS)
+    few = rows.select("t").sample(fraction=min(1.0, SAMPLE_ROWS / total), seed=7)  # about SAMPLE_ROWS; each task sends prefixes only
     return Trie([bytes(r[0]) for r in few.mapInArrow(heads, "head binary").collect()], buckets)
 
 
