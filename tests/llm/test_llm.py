@@ -504,6 +504,35 @@ def test_decontamination_recall(spark):
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == set(range(len(docs))) - {d for d, _ in found}
 
 
+def planted(rng, lengths, edit):
+    """Items of distinct words, and documents that hold an edited one each."""
+    word = lambda: f"w{rng.randrange(10**9)}"
+    items = [[word() for _ in range(n)] for n in lengths]
+    docs = [" ".join([word() for _ in range(20)] + edit(list(w), decontaminate.allowed(len(w)), word) + [word() for _ in range(20)]) for w in items]
+    return [(i, " ".join(w).encode()) for i, w in enumerate(items)], [d.encode() for d in docs]
+
+
+def clustered(w, e, word):
+    a = len(w) // 2
+    return w[:a] + [word() for _ in range(e)] + w[a + e :]
+
+
+EDITS = {
+    "leading": lambda w, e, word: [word() for _ in range(e)] + w[e:],
+    "missing": lambda w, e, word: w[e:],
+    "trailing": lambda w, e, word: w[: len(w) - e] + [word() for _ in range(e)],
+    "clustered": clustered,
+    "added": lambda w, e, word: w[: len(w) // 2] + [word() for _ in range(e)] + w[len(w) // 2 :],
+}
+
+
+@pytest.mark.parametrize("kind", sorted(EDITS))
+def test_decontamination_finds_edits_wherever_they_are(kind):
+    items, docs = planted(random.Random(4), [15, 20, 25, 31, 32, 40, 59] * 8, EDITS[kind])
+    got = {(d, i): e for d, i, _, _, e in decontaminate._scanner(items)(docs)}
+    assert got == {(k, k): decontaminate.allowed(len(t.split())) for k, (_, t) in enumerate(items)}
+
+
 def test_best_window_matches_brute_force():
     rng = random.Random(8)
     for _ in range(40):

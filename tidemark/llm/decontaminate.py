@@ -1,15 +1,16 @@
 """Benchmark decontamination: CGK embeddings, bit sampling over item-sized windows, edit verification (operator 1).
 
 Texts are sequences of lower-cased words. The CGK random walk copies the word under its cursor at every step and
-moves on by one or stays, as a random function of step and word says; two sequences at small edit distance then
-agree in most steps, so their Hamming distance is small. A repetition samples a few steps of the walk; windows and
-items that agree in all of them are candidates. Every word of a document starts windows: the walks of all starts
-advance together in numpy, and a start leaves a repetition at the first sampled step at which no item agrees. The
-repetitions follow from the target recall at the allowed edit rate. Each candidate is verified exactly: the
+moves on by one or stays, as a random function of step and word says. An item that may differ in e words is cut into
+e + 1 anchors, each embedded by a walk from its own first word: edits wherever they are leave one anchor as it is, and
+its walk, which never leaves it, agrees in every step. A few steps of the walk are sampled; places and anchors that
+agree in all of them, and then in the anchor's words, are candidates, so none within the edit rate is missed. Every
+word of a document starts a walk: those of all starts advance together in numpy, and a start is left at the first
+sampled step at which no anchor agrees. A candidate is mapped back by its anchor's offset and verified exactly: the
 smallest edit distance between the item and any window around the start, in words.
 
-Items are grouped by length, so a window is as long as its item. The items are broadcast; their total size is
-checked against ITEM_BYTES, and beyond it they are taken in blocks of that size, each in a pass of its own.
+The items are broadcast; their total size is checked against ITEM_BYTES, and beyond it they are taken in blocks of
+that size, each in a pass of its own.
 
 Defined cases: null texts and items count as empty; an item without words matches nothing; items of fewer than
 LEAST_WORDS words must match word for word; ties between windows go to the first; repeated rows each give their
@@ -31,9 +32,8 @@ from pyspark.sql import types as T
 from ._common import quoted, raw_texts, steps
 
 EDIT_RATE = 0.1  # words that may differ, of an item's words
-RECALL = 0.95
-BITS = 4  # sampled steps of a repetition, one from each stratum
-WALKS = 4
+BITS = 4  # sampled steps of a walk, one from each stratum
+WALK_SEED = 17
 LEAST_WORDS = 8
 ITEM_BYTES = 16 << 20
 CACHE_WORDS = 400_000
@@ -61,42 +61,26 @@ def _moves(words: np.ndarray, seed: int) -> np.ndarray:
         return x ^ (x >> np.uint64(29))
 
 
-def repetitions(edits: int, walk: int, bits: int = BITS, recall: float = RECALL) -> int:
-    """Repetitions for the target recall: each edit disturbs about three steps of a walk until the cursors meet again."""
-    agree = max(0.05, (1 - min(0.95, 3.0 * edits / max(1, walk))) ** bits)
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - min(0.999, agree))))
-
-
 class Index:
-    """The items of one length group, by the words that repetitions sample."""
-
-    def __init__(self, items: list[tuple[int | None, np.ndarray]], seed: int) -> None:
-        self.items = items
-        shortest = min(len(w) for _, w in items)
-        # Half the steps move on, so few cursors pass the end of even the shortest item; of short items none does.
-        self.walk = shortest if shortest < LEAST_WORDS else min(64, 3 * shortest // 2)
-        edits = max(int(EDIT_RATE * len(w)) for _, w in items)
-        total = repetitions(edits, self.walk)
-        rng = np.random.default_rng(seed)
-        self.plans = []  # a walk's seed and its samplings: sorted steps and, by depth, the signatures that items have
-        for w in range(min(WALKS, total)):
-            walk_seed = int(rng.integers(1, 1 << 62))
-            paths = [self._path(words, walk_seed) for _, words in items]
-            samplings = []
-            for _ in range(-(-total // WALKS)):
-                at = self._sampled(rng)
-                signature, levels = np.zeros(len(items), np.uint64), []
-                for s in at:
-                    signature = self.mix(signature, np.array([p[s] for p in paths], np.uint64))
-                    levels.append(self._filter(signature))
-                order = np.argsort(signature, kind="stable")
-                samplings.append((at.tolist(), levels, signature[order], order))
-            self.plans.append((walk_seed, samplings))
-
-    def _sampled(self, rng: np.random.Generator) -> np.ndarray:
-        """Sorted steps, one from each stratum of the walk. The first strata are narrow, so most starts leave early."""
-        edges = [0, max(1, self.walk // 8), max(2, self.walk // 4), max(3, self.walk // 2), self.walk]
-        return np.unique(np.minimum([rng.integers(a, max(a + 1, b)) for a, b in zip(edges[:-1], edges[1:])], self.walk - 1)).astype(int)
+    """Anchors of items, all cut to the words of the shortest, by the words that the sampled steps of their walks copy."""
+
+    def __init__(self, anchors: list[tuple[int, int, np.ndarray]], seed: int) -> None:
+        self.walk = min(len(w) for _, _, w in anchors)  # a cursor moves on by one at most, so none leaves its anchor
+        self.owner = np.array([(item, offset) for item, offset, _ in anchors], np.int64)
+        self.words = np.array([w[: self.walk] for _, _, w in anchors], np.uint64)
+        self.at = self._sampled(np.random.default_rng(seed))
+        paths = np.array([self._path(w) for w in self.words])
+        signature, self.levels = np.zeros(len(anchors), np.uint64), []  # by depth, the signatures that anchors have
+        for s in self.at:
+            signature = self.mix(signature, paths[:, s])
+            self.levels.append(self._filter(signature))
+        self.order = np.argsort(signature, kind="stable")
+        self.signatures = signature[self.order]
+
+    def _sampled(self, rng: np.random.Generator) -> list[int]:
+        """Sorted steps, one from each stratum of the walk."""
+        edges = np.linspace(0, self.walk, BITS + 1).round().astype(int).tolist()
+        return sorted({min(int(rng.integers(a, max(a + 1, b))), self.walk - 1) for a, b in zip(edges[:-1], edges[1:])})
 
     @staticmethod
     def mix(signature: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -115,62 +99,37 @@ class Index:
     def _passes(signature: np.ndarray, table: np.ndarray) -> np.ndarray:
         return table[(signature >> np.uint64(64 - int(math.log2(len(table))))).astype(np.int64)]
 
-    def _path(self, words: np.ndarray, seed: int) -> np.ndarray:
-        move, at, out = _moves(words, seed), 0, np.zeros(self.walk, np.uint64)
+    def _path(self, words: np.ndarray) -> np.ndarray:
+        move, at, out = _moves(words, WALK_SEED), 0, np.zeros(self.walk, np.uint64)
         for s in range(self.walk):
-            at = min(at, len(words) - 1)
             out[s] = words[at]
             at += int(move[at] >> np.uint64(s) & np.uint64(1))
         return out
 
-    def candidates(self, words: np.ndarray) -> set[tuple[int, int]]:
-        """(start, item) pairs that agree in all sampled steps of a repetition; words may hold many texts with gaps."""
-        out: set[tuple[int, int]] = set()
-        n = len(words)
-        words = np.concatenate([words, np.zeros(self.walk, np.uint64)])  # cursors may run past the end
-        for seed, samplings in self.plans:
-            move = _moves(words, seed)
-            live: list = [None] * len(samplings)  # starts (places in `start`) and their signatures
-            start = np.arange(n, dtype=np.int32)
-            cursor = start.copy()
-            for s in range(max(int(at[-1]) for at, *_ in samplings) + 1):
-                for k, (at, levels, signatures, order) in enumerate(samplings):
-                    if s not in at:
-                        continue
-                    depth = at.index(s)
-                    if depth == 0:  # the word alone decides
-                        where = np.nonzero(self._passes(self.mix(np.zeros(1, np.uint64), words), levels[0])[cursor])[0].astype(np.int32)
-                        signature = self.mix(np.zeros(1, np.uint64), words[cursor[where]])
-                    else:
-                        where, signature = live[k]
-                        signature = self.mix(signature, words[cursor[where]])
-                        good = np.nonzero(self._passes(signature, levels[depth]))[0]
-                        where, signature = where[good], signature[good]
-                    if depth == len(at) - 1:
-                        low, high = np.searchsorted(signatures, signature, "left"), np.searchsorted(signatures, signature, "right")
-                        for p in np.nonzero(high > low)[0]:
-                            out.update((int(start[where[p]]), int(i)) for i in order[low[p] : high[p]])
-                        where, signature = where[:0], signature[:0]
-                    live[k] = (where, signature)
-                if all(x is not None for x in live):  # starts that all repetitions have left go no further
-                    stay = np.zeros(len(start), bool)
-                    for w, _ in live:
-                        stay[w] = True
-                    kept = int(stay.sum())
-                    if not kept:
-                        break
-                    if 2 * kept < len(start):
-                        place = np.cumsum(stay, dtype=np.int32) - 1
-                        live = [(place[w], g) for w, g in live]
-                        start, cursor = start[stay], cursor[stay]
-                step = (move >> np.uint64(s) & np.uint64(1)).astype(np.int8) if 4 * len(cursor) > n else None
-                cursor = cursor + (step[cursor] if step is not None else (move[cursor] >> np.uint64(s) & np.uint64(1)).astype(np.int8))
-        return out
+    def candidates(self, words: np.ndarray, move: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places among the first n and anchors that agree; words may hold many texts and end with a walk of padding."""
+        start = np.arange(n, dtype=np.int32)
+        cursor, signature = start, np.zeros(n, np.uint64)
+        for s in range(self.at[-1] + 1):
+            if s in self.at:
+                signature = self.mix(signature, words[cursor])
+                good = np.nonzero(self._passes(signature, self.levels[self.at.index(s)]))[0]
+                start, cursor, signature = start[good], cursor[good], signature[good]
+            cursor = cursor + (move[cursor] >> np.uint64(s) & np.uint64(1)).astype(np.int32)
+        low, high = np.searchsorted(self.signatures, signature, "left"), np.searchsorted(self.signatures, signature, "right")
+        many = high - low
+        within = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        place, anchor = np.repeat(start, many).astype(np.int64), self.order[np.repeat(low, many) + within]
+        same = np.ones(len(place), bool)
+        for k in range(self.walk):
+            same[same] = words[place[same] + k] == self.words[anchor[same], k]
+        return place[same], anchor[same]
 
 
 def best_window(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     """Least edit distance in words of the item to any stretch of text, and that stretch (first, end)."""
-    row, origin = np.zeros(len(text) + 1, np.int64), np.arange(len(text) + 1)
+    place = np.arange(len(text) + 1)
+    row, origin = np.zeros(len(text) + 1, np.int64), place
     for i, w in enumerate(item.tolist(), 1):
         new, back = np.empty_like(row), np.empty_like(origin)
         new[0], back[0] = i, 0
@@ -178,12 +137,10 @@ def best_window(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
         drop = row[1:] + 1
         take = swap <= drop
         step, from_ = np.where(take, swap, drop), np.where(take, origin[:-1], origin[1:])
-        for j in range(len(text)):
-            if new[j] + 1 < step[j]:
-                new[j + 1], back[j + 1] = new[j] + 1, back[j]
-            else:
-                new[j + 1], back[j + 1] = step[j], from_[j]
-        row, origin = new, back
+        new[1:], back[1:] = step, from_
+        level = new - place  # an insertion costs one a place, so the least level so far is what each place is reached from
+        least = np.minimum.accumulate(level)
+        row, origin = least + place, back[np.maximum.accumulate(np.where(level == least, place, 0))]
     end = int(np.argmin(row))
     return int(row[end]), int(origin[end]), end
 
@@ -192,42 +149,59 @@ def allowed(words: int) -> int:
     return int(EDIT_RATE * words) if words >= LEAST_WORDS else 0
 
 
+def _anchors(words: int) -> list[tuple[int, int]]:
+    """(first, end) of an item's anchors: one more than the edits allowed, so one of them holds no edit."""
+    n = allowed(words) + 1
+    return [(k * words // n, (k + 1) * words // n) for k in range(n)]
+
+
 def _indexes(items: list[tuple[int | None, np.ndarray]]) -> list[Index]:
     groups: dict[int, list] = {}
-    for item in items:
-        if len(item[1]):
-            groups.setdefault(0 if len(item[1]) < LEAST_WORDS else 1 if len(item[1]) < 32 else 2, []).append(item)
+    for k, (_, words) in enumerate(items):
+        for first, end in _anchors(len(words)) if len(words) else []:
+            groups.setdefault(0 if len(words) < LEAST_WORDS else 1 if len(words) < 32 else 2, []).append((k, first, words[first:end]))
     return [Index(group, 17 + k) for k, group in sorted(groups.items())]
 
 
-def _matches(codes: np.ndarray, owner_end: np.ndarray, indexes: list[Index]):
+def _matches(codes: np.ndarray, owner_end: np.ndarray, items: list[tuple[int | None, np.ndarray]], indexes: list[Index]):
     """(document, item, first, end, distance): the best window per document and item. Places count over all documents."""
     begin = np.concatenate([[0], owner_end[:-1]])
-    best: dict = {}
-    tried: dict = {}
+    padded = np.concatenate([codes, np.zeros(max(x.walk for x in indexes), np.uint64)])
+    move = _moves(padded, WALK_SEED)
+    found = []  # document, item, where the item would start (before the document where its first words are missing)
     for index in indexes:
-        for start, k in sorted(index.candidates(codes)):
-            doc = int(np.searchsorted(owner_end, start, side="right"))
-            item, words = index.items[k]
-            slack = allowed(len(words))
-            key = (doc, id(words))
-            if start < tried.get(key, -1):  # lies in a stretch that was searched
-                continue
-            a, b = max(int(begin[doc]), start - slack), min(int(owner_end[doc]), start + len(words) + slack)
+        place, anchor = index.candidates(padded, move, len(codes))
+        item, offset = index.owner[anchor].T
+        found.append(np.stack([np.searchsorted(owner_end, place, side="right"), item, place - offset]))
+    rows = np.unique(np.concatenate(found, axis=1), axis=1)
+    cuts = np.nonzero(np.any(np.diff(rows[:2]), axis=0))[0] + 1
+    for group in np.split(rows, cuts, axis=1) if rows.shape[1] else []:
+        doc, k = group[:2, 0].tolist()
+        item, words = items[k]
+        slack = allowed(len(words))
+        best = None
+        for a, b in _stretches(group[2], len(words), slack, int(begin[doc]), int(owner_end[doc])):
             window = codes[a:b]
             if slack == 0:
-                found = (0, 0, len(words)) if len(window) >= len(words) and np.array_equal(window[: len(words)], words) else (1, 0, 0)
+                hit = (0, a, b) if np.array_equal(window, words) else None
             elif len(window) + slack < len(words) or len(words) - np.isin(words, window).sum() > slack:  # words that occur nowhere near need an edit each
                 continue
             else:
-                found = best_window(words, window)
-            if found[0] <= slack:
-                tried[key] = a + found[2]
-                hit = (found[0], a + found[1], a + found[2])
-                if key not in best or hit < best[key][0]:
-                    best[key] = (hit, item)
-    for (doc, _), ((distance, first, end), item) in best.items():
-        yield doc, item, first - int(begin[doc]), end - int(begin[doc]), distance
+                distance, first, end = best_window(words, window)
+                hit = (distance, a + first, a + end) if distance <= slack else None
+            if hit and (best is None or hit < best):
+                best = hit
+            if best and best[0] == 0:
+                break
+        if best:
+            yield doc, item, best[1] - int(begin[doc]), best[2] - int(begin[doc]), best[0]
+
+
+def _stretches(starts: np.ndarray, words: int, slack: int, low: int, high: int):
+    """(first, end) of the windows around sorted starts, within [low, high); with slack, windows that overlap are one."""
+    first, end = np.maximum(starts - slack, low), np.minimum(starts + words + slack, high)
+    cuts = np.nonzero(first[1:] >= end[:-1])[0] + 1 if slack else np.arange(1, len(starts))
+    return zip(first[np.concatenate([[0], cuts])].tolist(), end[np.concatenate([cuts - 1, [len(starts) - 1]])].tolist())
 
 
 def _blocks(items: DataFrame, id_col: str, text_col: str) -> list[list[tuple[int | None, bytes]]]:
@@ -251,12 +225,13 @@ def _scanner(block: list[tuple[int | None, bytes]]):
     def scan(texts: list[bytes]):
         if not state:
             hashes = _WordHash()
-            state.extend([hashes, _indexes([(i, word_hashes(t, hashes)) for i, t in block])])
-        hashes, indexes = state
+            coded = [(i, word_hashes(t, hashes)) for i, t in block]
+            state.extend([hashes, coded, _indexes(coded)])
+        hashes, coded, indexes = state
         parts = [word_hashes(t, hashes) for t in texts]
         ends = np.cumsum([len(p) for p in parts])
         if indexes and len(ends) and ends[-1]:
-            yield from _matches(np.concatenate(parts), ends, indexes)
+            yield from _matches(np.concatenate(parts), ends, coded, indexes)
 
     return scan
 
