@@ -533,6 +533,36 @@ def test_decontamination_finds_edits_wherever_they_are(kind):
     assert got == {(k, k): decontaminate.allowed(len(t.split())) for k, (_, t) in enumerate(items)}
 
 
+@pytest.mark.parametrize("kind", sorted(EDITS))
+def test_decontamination_of_short_items(kind):
+    items, docs = planted(random.Random(5), [8, 9, *range(10, 32)] * 3 + [1, 3, 7], EDITS[kind])
+    got = {(d, i): e for d, i, _, _, e in decontaminate._scanner(items)(docs)}
+    assert got == {(k, k): decontaminate.allowed(len(t.split())) for k, (_, t) in enumerate(items)}
+
+
+def test_decontamination_misses_nothing_within_the_edit_rate():
+    rng = random.Random(7)
+    text = lambda n: [rng.choice("abcdef") for _ in range(n)]
+    items = [text(n) for n in [2, 8, 10, 12, 15, 20, 23, 31]]
+    docs = [text(rng.randint(0, 20)) for _ in range(60)]
+    for k, w in enumerate(items * 12):
+        w = list(w)
+        for _ in range(rng.randint(0, 3)):
+            a = rng.randrange(len(w) + 1)
+            w[a : a + rng.randint(0, 1)] = text(rng.randint(0, 1))
+        docs.append(text(rng.randint(0, 9)) + w + text(rng.randint(0, 9)))
+    hashes = decontaminate._WordHash()
+    code = lambda w: decontaminate.word_hashes(" ".join(w).encode(), hashes)
+    want = {}
+    for d, doc in enumerate(docs):
+        for i, w in enumerate(items):
+            distance = decontaminate.best_window(code(w), code(doc))[0]
+            if distance <= decontaminate.allowed(len(w)):
+                want[d, i] = distance
+    scan = decontaminate._scanner([(i, " ".join(w).encode()) for i, w in enumerate(items)])
+    assert {(d, i): e for d, i, _, _, e in scan([" ".join(doc).encode() for doc in docs])} == want
+
+
 def test_best_window_matches_brute_force():
     rng = random.Random(8)
     for _ in range(40):

@@ -3,7 +3,7 @@
 Texts are sequences of lower-cased words. The CGK random walk copies the word under its cursor at every step and
 moves on by one or stays, as a random function of step and word says. An item that may differ in e words is cut into
 e + 1 anchors, each embedded by a walk from its own first word: edits wherever they are leave one anchor as it is, and
-its walk, which never leaves it, agrees in every step. A few steps of the walk are sampled; places and anchors that
+its walk, as long as the anchor, never leaves it and agrees in every step; one repetition is enough. A few steps of the walk are sampled; places and anchors that
 agree in all of them, and then in the anchor's words, are candidates, so none within the edit rate is missed. Every
 word of a document starts a walk: those of all starts advance together in numpy, and a start is left at the first
 sampled step at which no anchor agrees. A candidate is mapped back by its anchor's offset and verified exactly: the
@@ -62,12 +62,12 @@ def _moves(words: np.ndarray, seed: int) -> np.ndarray:
 
 
 class Index:
-    """Anchors of items, all cut to the words of the shortest, by the words that the sampled steps of their walks copy."""
+    """Anchors of one length, by the words that the sampled steps of their walks copy."""
 
     def __init__(self, anchors: list[tuple[int, int, np.ndarray]], seed: int) -> None:
-        self.walk = min(len(w) for _, _, w in anchors)  # a cursor moves on by one at most, so none leaves its anchor
+        self.walk = len(anchors[0][2])  # a cursor moves on by one at most, so none leaves its anchor
         self.owner = np.array([(item, offset) for item, offset, _ in anchors], np.int64)
-        self.words = np.array([w[: self.walk] for _, _, w in anchors], np.uint64)
+        self.words = np.array([w for _, _, w in anchors], np.uint64)
         self.at = self._sampled(np.random.default_rng(seed))
         paths = np.array([self._path(w) for w in self.words])
         signature, self.levels = np.zeros(len(anchors), np.uint64), []  # by depth, the signatures that anchors have
@@ -156,11 +156,12 @@ def _anchors(words: int) -> list[tuple[int, int]]:
 
 
 def _indexes(items: list[tuple[int | None, np.ndarray]]) -> list[Index]:
+    """An index for each length of anchors: those of items with edits have 5 to 10 words, so short items cost others nothing."""
     groups: dict[int, list] = {}
     for k, (_, words) in enumerate(items):
         for first, end in _anchors(len(words)) if len(words) else []:
-            groups.setdefault(0 if len(words) < LEAST_WORDS else 1 if len(words) < 32 else 2, []).append((k, first, words[first:end]))
-    return [Index(group, 17 + k) for k, group in sorted(groups.items())]
+            groups.setdefault(end - first, []).append((k, first, words[first:end]))
+    return [Index(group, 17 + length) for length, group in sorted(groups.items())]
 
 
 def _matches(codes: np.ndarray, owner_end: np.ndarray, items: list[tuple[int | None, np.ndarray]], indexes: list[Index]):
