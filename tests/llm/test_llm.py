@@ -379,6 +379,20 @@ def test_log_bilinear_is_normalised_and_learns():
     assert np.mean([table[a * (c + 1) + b, (b + 1) % 20] for a in range(20) for b in range(20)]) > math.log10(0.2)
 
 
+def test_lm_learns_from_all_training_texts(spark):
+    texts = [f"common w{k % 40}." + (" rare" * 3 if k > 7_980 else "") for k in range(8_000)]
+    rows = frame(spark, texts).select("text").withColumn("held", F.lit(False))
+    words, tokens = lm_score._vocabulary(rows)
+    counts = Counter(w for t in texts for w in t.encode().split())
+    assert tokens == sum(counts.values()) + len(texts)
+    assert list(words.heavy) == sorted(counts, key=lambda w: (-counts[w], w))
+    by_class, heavy, grams = lm_score._statistics(rows, words, tokens)
+    assert by_class.sum() == grams.shape[1] == tokens and heavy[: len(counts)].tolist() == [counts[w] for w in words.heavy]
+    model = lm_score.LogBilinear.start(by_class, grams, updates=5)
+    assert lm_score._passed(rows, words, model) == tokens
+    assert [lm_score.classes_for(n) for n in (0, 10**6, 10**9)] == [128, 128, 1000]
+
+
 # ---------------------------------------------------------------- tokens, packing, edits
 
 

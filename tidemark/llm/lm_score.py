@@ -2,9 +2,11 @@
 
 Words belong to classes: the end of a text, each of the most frequent words, and one class for each frequent word
 ending. P(word | two classes before) = P(class | two classes before) * P(word | class). The first factor is a
-log-bilinear model, trained in numpy by noise-contrastive estimation on the class trigrams of all training texts
-and normalised exactly by batched matrix products over all contexts; the second comes from the counts of all
-training texts. Only the lists of words and endings that name classes come from a bounded sample.
+log-bilinear model, trained by noise-contrastive estimation on every class trigram of all training texts: a start
+from a sample of them, then one update of a copy in each task for each batch of its trigrams, and the mean of the
+copies by their trigrams. It is normalised exactly by one matrix product over all contexts. The second factor comes
+from the counts of all training texts. Words and endings that name classes are the most frequent of all training
+texts, by heavy hitters of each task; the number of classes is the cube root of the training tokens, CLASSES at least.
 
 Counts of words: those on a bounded list of frequent words are summed in each task before they meet, all other
 words meet by hash in buckets, whose number grows with the input; a bucket returns sums by document.
@@ -16,39 +18,54 @@ an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import ctypes
 import math
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import crc_mod, materialise, plan_bytes, quoted, raw_texts, steps
 from .blobs import pack, slices, unpack
 
-CLASSES, ENDINGS = 128, 32  # class 0 is the end; the last ENDINGS are endings
-WORDS = CLASSES - ENDINGS - 1
-BOS = CLASSES
-SAMPLE_ROWS, HEAVY = 3_000, 20_000
-WIDTH, NOISE, BATCH, STEPS = 24, 10, 2048, 400
+CLASSES = 128  # at least; class 0 is the end, the last quarter are endings, the one after all is the begin of a text
+HEAVY, COUNTED = 20_000, 600_000  # frequent words; words that a task counts at a time
+WIDTH, NOISE, BATCH, STEPS = 24, 128, 2048, 400
+RATE, PASS_RATE = 0.15, 0.05
 CACHE_WORDS = 400_000
 SMOOTH = 0.1
 FLUSH = 1_500_000
 _HEAVY_BIT = 1 << 63
 
 
+def classes_for(tokens: int) -> int:
+    """Classes whose trigrams are as many as the training tokens."""
+    return max(CLASSES, round(tokens ** (1 / 3)))
+
+
 class Vocabulary(dict):
-    """Code of a word: class in the low 7 bits; above them the place among the heavy words, marked by the top bit,
+    """Code of a word: class in the low bits; above them the place among the heavy words, marked by the top bit,
     or a hash of the word."""
 
-    def __init__(self, words: list[str], endings: list[bytes]) -> None:
+    def __init__(self, words: list[str], endings: list[bytes], classes: int = CLASSES) -> None:
         self.heavy = {w: i for i, w in enumerate(words)}
         self.endings = {e: i for i, e in enumerate(endings)}
+        self.classes, self.n_endings = classes, classes // 4
+        self.n_words = self.named(classes)
+        self.bits = (classes - 1).bit_length()
+        self.mask = (1 << self.bits) - 1
 
     def __reduce__(self):
-        return Vocabulary, (list(self.heavy), list(self.endings))
+        return Vocabulary, (list(self.heavy), list(self.endings), self.classes)
+
+    @staticmethod
+    def named(classes: int) -> int:
+        """Words with a class of their own."""
+        return classes - classes // 4 - 1
 
     @staticmethod
     def ending(word: bytes) -> bytes:
@@ -58,151 +75,268 @@ class Vocabulary(dict):
         if len(self) >= CACHE_WORDS:
             self.clear()
         place = self.heavy.get(word)
-        if place is not None and place < WORDS:
+        if place is not None and place < self.n_words:
             kind = 1 + place
         else:
-            kind = CLASSES - ENDINGS + self.endings.get(self.ending(word), ENDINGS - 1)
-        self[word] = code = (_HEAVY_BIT | place << 7 | kind) if place is not None else (xxhash.xxh64_intdigest(word) & (_HEAVY_BIT - 1) & ~127) | kind
+            kind = self.classes - self.n_endings + self.endings.get(self.ending(word), self.n_endings - 1)
+        self[word] = code = (_HEAVY_BIT | place << self.bits | kind) if place is not None else (xxhash.xxh64_intdigest(word) & (_HEAVY_BIT - 1) & ~self.mask) | kind
         return code
 
     def codes(self, text: bytes) -> np.ndarray:
         words = text.lower().split()
         return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
 
+    def kinds(self, codes: np.ndarray) -> np.ndarray:
+        """Classes of a text and of its end."""
+        return np.append((codes & np.uint64(self.mask)).astype(np.int64), 0)
 
-def _vocabulary(rows: DataFrame) -> Vocabulary:
-    """Frequent words and endings of a bounded sample of training texts; they name classes, they count nothing."""
-    total = rows.count()
+    def places(self, codes: np.ndarray) -> np.ndarray:
+        """Of codes of heavy words, their places."""
+        return ((codes & np.uint64(_HEAVY_BIT - 1)) >> np.uint64(self.bits)).astype(np.int64)
+
+
+def _vocabulary(rows: DataFrame) -> tuple[Vocabulary, int]:
+    """The most frequent words and endings of all training texts, and the number of tokens; they name classes."""
 
     def counted(batches):
         seen: Counter = Counter()
+        endings: Counter = Counter()
+        tokens = 0
+
+        def drop(words):
+            for w, n in words:
+                endings[Vocabulary.ending(w)] += n
+
         for batch in batches:
-            for text in raw_texts(batch.column("text")):
-                seen.update(text.lower().split())
+            for step in steps([batch], "text"):
+                for text in raw_texts(step.column("text")):
+                    words = text.lower().split()
+                    tokens += len(words) + 1
+                    seen.update(words)
+                    if len(seen) > COUNTED:
+                        top = seen.most_common()
+                        drop(top[COUNTED // 2 :])
+                        seen = Counter(dict(top[: COUNTED // 2]))
+        drop(seen.items())
         top = seen.most_common(4 * HEAVY)
-        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.binary()), pa.array([n for _, n in top], pa.int64())], ["w", "n"])
+        out = [(0, w, n) for w, n in top] + [(1, e, n) for e, n in endings.items()] + [(2, b"", tokens)]
+        kind, name, n = zip(*out)
+        yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(name, pa.binary()), pa.array(n, pa.int64())], ["k", "w", "n"])
 
-    few = rows.where("NOT held").select("text").sample(fraction=min(1.0, SAMPLE_ROWS / max(1, total)), seed=11)
-    top = few.mapInArrow(counted, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "w").limit(HEAVY).collect()
-    endings: Counter = Counter()
-    for w, n in top[WORDS:]:
-        endings[Vocabulary.ending(bytes(w))] += n
-    return Vocabulary([bytes(w) for w, _ in top], [e for e, _ in sorted(endings.items(), key=lambda x: (-x[1], x[0]))[: ENDINGS - 1]])
+    counts = materialise(rows.where("NOT held").select("text").mapInArrow(counted, "k int, w binary, n long").groupBy("k", "w").agg(F.sum("n").alias("n")), "lm-words")
+    found = counts.where("k > 0").collect()  # endings have two bytes at most
+    top = [(bytes(r.w), r.n) for r in counts.where("k = 0").orderBy(F.desc("n"), "w").limit(HEAVY).collect()]
+    tokens = sum(r.n for r in found if r.k == 2)
+    classes = classes_for(tokens)
+    endings = Counter({bytes(r.w): r.n for r in found if r.k == 1})
+    for w, n in top[: Vocabulary.named(classes)]:
+        endings[Vocabulary.ending(w)] -= n
+    names = [e for e, n in sorted(endings.items(), key=lambda x: (-x[1], x[0])) if n > 0]
+    return Vocabulary([w for w, _ in top], names[: classes // 4 - 1], classes), tokens
 
 
-def _contexts(kinds: np.ndarray) -> np.ndarray:
-    """Index of each (two classes before, class) of one text, whose classes end with 0."""
-    a = np.concatenate([[BOS, BOS], kinds[:-1]]).astype(np.int64)
-    return (a[:-1] * (CLASSES + 1) + a[1:]) * CLASSES + kinds
+def _trigrams(kinds: np.ndarray, classes: int) -> np.ndarray:
+    """(two classes before, class) of one text, whose classes end with 0; before a text is the class after all."""
+    before = np.concatenate([[classes, classes], kinds[:-1]])
+    return np.stack([before[:-1], before[1:], kinds])
 
 
-def _statistics(rows: DataFrame, words: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """Class trigrams and heavy words of all training texts, counted in each task and then summed by range."""
-    cells = (CLASSES + 1) ** 2 * CLASSES
-    part = 1 << 16
+def _statistics(rows: DataFrame, words: Vocabulary, tokens: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Classes and heavy words of all training texts, counted in each task and then summed; and a sample of trigrams."""
+    share = min(1.0, STEPS * BATCH / max(1, tokens))
 
     def counted(batches):
-        grams, heavy = np.zeros(cells, np.int64), np.zeros(HEAVY, np.int64)
+        counts, sample = np.zeros(words.classes + HEAVY, np.int64), []
+        place = TaskContext.get().partitionId()
+        rng = np.random.default_rng(place)
         for batch in batches:
             for step in steps([batch], "text"):
                 for text in raw_texts(step.column("text")):
                     codes = words.codes(text)
-                    kinds = np.append((codes & 127).astype(np.int64), 0)
-                    np.add.at(grams, _contexts(kinds), 1)
-                    places = codes[codes >= _HEAVY_BIT]
-                    np.add.at(heavy, ((places & np.uint64(_HEAVY_BIT - 1)) >> np.uint64(7)).astype(np.int64), 1)
-        both = np.concatenate([grams, heavy])
-        at = np.nonzero(both)[0]
-        for key, own in slices(at // part):
-            yield pa.RecordBatch.from_arrays([pa.array([key], pa.int32()), pa.array([pack(at[own], both[at[own]])], pa.binary())], ["k", "b"])
+                    kinds = words.kinds(codes)
+                    counts[: words.classes] += np.bincount(kinds, minlength=words.classes)
+                    counts[words.classes :] += np.bincount(words.places(codes[codes >= _HEAVY_BIT]), minlength=HEAVY)
+                    own = np.nonzero(rng.random(len(kinds)) < share)[0]
+                    sample.append(_trigrams(kinds, words.classes)[:, own])
+        grams = np.concatenate([np.zeros((3, 0), np.int64), *sample], axis=1).astype("<i4")
+        parts = [(k, pack(counts[own])) for k, own in slices(np.arange(len(counts)) >> 12)] + [(-1 - place, pack(*grams))]
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int32()), pa.array([b for _, b in parts], pa.binary())], ["k", "b"])
 
     def summed(table: pa.Table) -> pa.Table:
-        key = table.column("k")[0].as_py()
-        out = np.zeros(part, np.int64)
-        for blob in table.column("b").to_pylist():
-            at, n = unpack(blob, "<i8", "<i8")
-            out[at - key * part] += n
-        at = np.nonzero(out)[0]
-        return pa.table({"b": pa.array([pack(at + key * part, out[at])], pa.binary())})
-
-    both = np.zeros(cells + HEAVY, np.int64)
-    for (blob,) in rows.where("NOT held").select("text").mapInArrow(counted, "k int, b binary").groupBy("k").applyInArrow(summed, "b binary").collect():
-        at, n = unpack(bytes(blob), "<i8", "<i8")  # as many entries as cells at most
-        both[at] = n
-    return both[:cells], both[cells:]
+        if table.column("k")[0].as_py() < 0:
+            return table
+        total = sum(unpack(blob, "<i8")[0] for blob in table.column("b").to_pylist())
+        return pa.table({"k": table.column("k")[:1], "b": pa.array([pack(total)], pa.binary())})
+
+    counts, sample = np.zeros(words.classes + HEAVY, np.int64), []
+    found = rows.where("NOT held").select("text").mapInArrow(counted, "k int, b binary").groupBy("k").applyInArrow(summed, "k int, b binary").collect()
+    for k, blob in sorted((r.k, bytes(r.b)) for r in found):
+        if k < 0:
+            sample.append(np.stack(unpack(blob, "<i4", "<i4", "<i4")))
+        else:
+            counts[k << 12 : k + 1 << 12] = unpack(blob, "<i8")[0]
+    return counts[: words.classes], counts[words.classes :], np.concatenate([np.zeros((3, 0), np.int32), *sample], axis=1).astype(np.int64)
 
 
 class LogBilinear:
     """Score of class c after classes a, b: q_c . (A r_a + B r_b) + bias_c."""
 
-    def __init__(self, rng: np.random.Generator) -> None:
+    NAMES = ("r", "q", "a", "b", "bias")
+
+    def __init__(self, rng: np.random.Generator, by_class: np.ndarray) -> None:
+        classes = len(by_class)
         small = lambda *shape: rng.normal(0, 0.1, shape)
-        self.r, self.q = small(CLASSES + 1, WIDTH), small(CLASSES, WIDTH)
-        self.a, self.b, self.bias = np.eye(WIDTH) * 0.5, np.eye(WIDTH) * 0.8, np.zeros(CLASSES)
+        self.r, self.q = small(classes + 1, WIDTH), small(classes, WIDTH)
+        self.a, self.b = np.eye(WIDTH) * 0.5, np.eye(WIDTH) * 0.8
+        self.noise = (by_class + 0.5) / (by_class + 0.5).sum()
+        self.bias = np.log(self.noise)
+        self.square = {n: np.full_like(getattr(self, n), 1e-2) for n in self.NAMES}
 
     @classmethod
     def train(cls, grams: np.ndarray, updates: int = STEPS, seed: int = 5) -> LogBilinear:
-        """Noise-contrastive estimation with Adagrad; examples are drawn by the trigram counts, noise by the class counts."""
-        rng = np.random.default_rng(seed)
-        model = cls(rng)
+        """From counts of all trigrams of CLASSES classes, flat."""
         seen = np.nonzero(grams)[0]
-        unigram = grams.reshape(-1, CLASSES).sum(0) + 0.5
-        noise = unigram / unigram.sum()
-        model.bias = np.log(noise)
-        if not len(seen):
-            return model
-        cumulative = np.cumsum(grams[seen].astype(float))
-        noise_sum, log_kq = np.cumsum(noise), np.log(NOISE * noise)
-        names = ("r", "q", "a", "b", "bias")
-        square = {n: np.full_like(getattr(model, n), 1e-2) for n in names}
-        for step in range(updates):
-            cells = seen[np.minimum(np.searchsorted(cumulative, rng.random(BATCH) * cumulative[-1], side="right"), len(seen) - 1)]
-            context, target = np.divmod(cells, CLASSES)
-            one, two = np.divmod(context, CLASSES + 1)
-            picks = np.concatenate([target[:, None], np.minimum(np.searchsorted(noise_sum, rng.random((BATCH, NOISE))), CLASSES - 1)], axis=1)
-            ra, rb = model.r[one], model.r[two]
-            hidden = ra @ model.a.T + rb @ model.b.T
-            value = np.take_along_axis(hidden @ model.q.T + model.bias, picks, axis=1) - log_kq[picks]
-            error = -1 / (1 + np.exp(-np.clip(value, -30, 30)))
-            error[:, 0] += 1
-            cell = (np.arange(BATCH)[:, None] * CLASSES + picks).ravel()
-            spread = np.bincount(cell, error.ravel() / BATCH, BATCH * CLASSES).reshape(BATCH, CLASSES)  # by example and class
-            grad_hidden = spread @ model.q
-            first, second = np.eye(CLASSES + 1)[one], np.eye(CLASSES + 1)[two]
-            grad = {"q": spread.T @ hidden, "bias": spread.sum(0), "a": grad_hidden.T @ ra, "b": grad_hidden.T @ rb, "r": first.T @ (grad_hidden @ model.a) + second.T @ (grad_hidden @ model.b)}
-            rate = 0.15 * (1 - 0.9 * step / updates)
-            for n in names:
-                square[n] += grad[n] ** 2 * BATCH
-                getattr(model, n)[...] += rate * grad[n] * math.sqrt(BATCH) / np.sqrt(square[n])
+        context, target = np.divmod(seen, CLASSES)
+        return cls.start(grams.reshape(-1, CLASSES).sum(0), np.stack([*np.divmod(context, CLASSES + 1), target]), grams[seen], updates, seed)
+
+    @classmethod
+    def start(cls, by_class: np.ndarray, grams: np.ndarray, weights: np.ndarray | None = None, updates: int = STEPS, seed: int = 5) -> LogBilinear:
+        """A model from trigrams, drawn by their weights."""
+        rng = np.random.default_rng(seed)
+        model = cls(rng, by_class)
+        n = grams.shape[1]
+        if n:
+            cumulative = np.cumsum(np.ones(n) if weights is None else weights.astype(float))
+            for step in range(updates):
+                at = np.minimum(np.searchsorted(cumulative, rng.random(BATCH) * cumulative[-1], side="right"), n - 1)
+                model.update(grams[:, at], rng, RATE * (1 - 0.9 * step / updates))
         return model
 
+    def update(self, grams: np.ndarray, rng: np.random.Generator, rate: float) -> None:
+        """A step of noise-contrastive estimation with Adagrad; the batch shares NOISE classes drawn by the class counts."""
+        one, two, target = grams
+        n = len(target)
+        picks = np.minimum(np.searchsorted(np.cumsum(self.noise), rng.random(NOISE)), len(self.noise) - 1)
+        ra, rb, qt, qn = self.r[one], self.r[two], self.q[target], self.q[picks]
+        hidden = ra @ self.a.T + rb @ self.b.T
+        log_kq = np.log(NOISE * self.noise)
+        true = np.einsum("ij,ij->i", hidden, qt) + (self.bias - log_kq)[target]
+        false = hidden.astype(np.float32) @ qn.T.astype(np.float32) + (self.bias - log_kq)[picks].astype(np.float32)
+        up = (1 / (1 + np.exp(np.clip(true, -30, 30)))) / n
+        down = np.float32(-1 / n) / (1 + np.exp(-np.clip(false, -30, 30)))
+        grad_hidden = up[:, None] * qt + down @ qn.astype(np.float32)
+        grad_q, grad_bias = _summed(target, up[:, None] * hidden, len(self.q)), np.bincount(target, up, len(self.q))
+        np.add.at(grad_q, picks, down.T @ hidden.astype(np.float32))
+        np.add.at(grad_bias, picks, down.sum(0))
+        grad_r = _summed(one, grad_hidden @ self.a, len(self.r)) + _summed(two, grad_hidden @ self.b, len(self.r))
+        for name, grad in zip(self.NAMES, (grad_r, grad_q, grad_hidden.T @ ra, grad_hidden.T @ rb, grad_bias)):
+            self.square[name] += grad**2 * n
+            getattr(self, name)[...] += rate * grad * math.sqrt(n) / np.sqrt(self.square[name])
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([getattr(self, n).ravel() for n in self.NAMES])
+
+    def take(self, flat: np.ndarray) -> None:
+        at = 0
+        for n in self.NAMES:
+            own = getattr(self, n)
+            own[...] = flat[at : at + own.size].reshape(own.shape)
+            at += own.size
+
+    def parts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Natural log of P(c | a, b) is left[a, c] + right[b, c] - total[a, b], normalised over all classes."""
+        left, right = self.r @ self.a.T @ self.q.T, self.r @ self.b.T @ self.q.T + self.bias
+        high_left, high_right = left.max(1, keepdims=True), right.max(1, keepdims=True)
+        left, right = left - high_left, right - high_right
+        return left, right, np.log(np.maximum(np.exp(left) @ np.exp(right).T, 1e-300))
+
     def log10_table(self) -> np.ndarray:
-        """Normalised log10 probabilities of every class in every context, flat, by batched matrix products."""
-        left, right = self.r @ self.a.T, self.r @ self.b.T
-        out = np.empty(((CLASSES + 1), (CLASSES + 1), CLASSES))
-        for k in range(CLASSES + 1):
-            score = (left[k] + right) @ self.q.T + self.bias
-            score -= score.max(1, keepdims=True)
-            out[k] = (score - np.log(np.exp(score).sum(1, keepdims=True))) / math.log(10)
-        return out.ravel()
+        """Normalised log10 probabilities of every class in every context, flat."""
+        left, right, total = self.parts()
+        return ((left[:, None] + right[None] - total[:, :, None]) / math.log(10)).ravel()
+
+
+def _summed(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """Sums of rows by their place."""
+    order = np.argsort(at, kind="stable")
+    places = at[order]
+    first = np.concatenate([[0], np.nonzero(np.diff(places))[0] + 1])
+    out = np.zeros((n, rows.shape[1]))
+    out[places[first]] = np.add.reduceat(rows[order], first, axis=0)
+    return out
+
+
+def _one_thread() -> None:
+    """Lets this process multiply in one thread: for small products more threads only spin while they wait."""
+    with open("/proc/self/maps") as maps:
+        paths = {line.split()[-1] for line in maps if "openblas" in line}
+    for path in paths:
+        for name in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            limit = getattr(ctypes.CDLL(path), name, None)
+            if limit:
+                limit(1)
+
+
+def _passed(rows: DataFrame, words: Vocabulary, model: LogBilinear) -> int:
+    """Trains the model on every trigram of all training texts: a copy in each task, then their mean. Returns the trigrams."""
+
+    def trained(batches):
+        rng = np.random.default_rng(TaskContext.get().partitionId())
+        held: list = []
+        size = n = 0
+        _one_thread()
+
+        def learn():
+            grams = np.concatenate(held, axis=1)[:, rng.permutation(size)]
+            for at in range(0, size, BATCH):
+                model.update(grams[:, at : at + BATCH], rng, PASS_RATE)
+            held.clear()
+
+        for batch in batches:
+            for step in steps([batch], "text"):
+                for text in raw_texts(step.column("text")):
+                    held.append(_trigrams(words.kinds(words.codes(text)), words.classes))
+                    size += held[-1].shape[1]
+                    if size >= 64 * BATCH:
+                        learn()
+                        n, size = n + size, 0
+        if size:
+            learn()
+            n += size
+        if n:
+            flat = np.append(model.flat() * n, n)
+            for key, own in slices(np.arange(len(flat)) >> 12):
+                yield pa.RecordBatch.from_arrays([pa.array([key], pa.int32()), pa.array([pack(flat[own])], pa.binary())], ["k", "b"])
+
+    def summed(table: pa.Table) -> pa.Table:
+        total = sum(unpack(blob, "<f8")[0] for blob in table.column("b").to_pylist())
+        return pa.table({"k": table.column("k")[:1], "b": pa.array([pack(total)], pa.binary())})
+
+    found = rows.where("NOT held").select("text").mapInArrow(trained, "k int, b binary").groupBy("k").applyInArrow(summed, "k int, b binary").collect()
+    if not found:
+        return 0
+    flat = np.concatenate([unpack(bytes(r.b), "<f8")[0] for r in sorted(found, key=lambda r: r.k)])
+    model.take(flat[:-1] / flat[-1])
+    return int(flat[-1])
 
 
 def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     rows = df.select(quoted(id_col).cast("long").alias("i"), quoted(text_col).cast("string").alias("text"))
     rows = rows.withColumn("held", crc_mod(F.col("i"), 10) == 0)
-    words = _vocabulary(rows)
-    grams, heavy = _statistics(rows, words)
-    model = LogBilinear.train(grams)
-    by_class = grams.reshape(-1, CLASSES).sum(0)  # training tokens by class
+    words, tokens = _vocabulary(rows)
+    by_class, heavy, grams = _statistics(rows, words, tokens)  # training tokens by class
+    model = LogBilinear.start(by_class, grams)
+    _passed(rows, words, model)
     n_train, n_texts = int(by_class.sum()), int(by_class[0])
     heavy_log, heavy_known = np.log10(heavy + SMOOTH), heavy > 0
     end_log = math.log10(n_texts + SMOOTH)
     buckets = max(24, -(-2 * plan_bytes(df) // (32 << 20)))
-    rare_from = CLASSES - ENDINGS
+    n_words, n_endings = words.n_words, words.n_endings
+    rare_from = words.classes - n_endings
 
     def scanned(batches):
-        table = model.log10_table()
+        left, right, total = (x.astype(np.float32) for x in model.parts())
         held: list = []  # codes, document, of the words that meet by hash
         prints: list[int] = []
         trains: list[bool] = []
@@ -230,15 +364,17 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
                 docs, keys = [], []
                 for i, out, text in zip(step.column("i").to_pylist(), step.column("held").to_pylist(), raw_texts(step.column("text"))):
                     codes = words.codes(text)
-                    kinds = np.append((codes & np.uint64(127)).astype(np.int64), 0)
+                    kinds = words.kinds(codes)
                     own = codes >= _HEAVY_BIT
-                    place = ((codes[own] & np.uint64(_HEAVY_BIT - 1)) >> np.uint64(7)).astype(np.int64)
+                    place = words.places(codes[own])
+                    one, two, target = _trigrams(kinds, words.classes)
+                    lm = float((left[one, target] + right[two, target] - total[one, two]).sum(dtype=float)) / math.log(10)
                     fp = xxhash.xxh64_intdigest(b"%s\n" % str(i).encode() + text)
-                    endings = np.bincount(kinds[kinds >= rare_from] - rare_from, minlength=ENDINGS).astype("<u4")
+                    endings = np.bincount(kinds[kinds >= rare_from] - rare_from, minlength=n_endings).astype("<u4")
                     # Words with a class of their own have probability 1 in it; words of endings are weighted by their counts.
-                    inner = float(heavy_log[place[place >= WORDS]].sum())
+                    inner = float(heavy_log[place[place >= n_words]].sum())
                     known = int(heavy_known[place].sum()) + (n_texts > 0)
-                    docs.append((i, out, fp, len(kinds), known, float(heavy_log[place].sum()) + end_log, float(table[_contexts(kinds)].sum()) + inner, endings.tobytes(), 0))
+                    docs.append((i, out, fp, len(kinds), known, float(heavy_log[place].sum()) + end_log, lm + inner, endings.tobytes(), 0))
                     keys.append(fp % buckets)
                     if not own.all():
                         held.append((codes[~own], len(prints)))
@@ -268,7 +404,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
             train = np.concatenate([b[1][b[3]] for b in blobs])
             word, at = np.unique(codes, return_inverse=True)
             count = np.bincount(at, train, len(word))
-            distinct = np.bincount(((word & np.uint64(127)).astype(np.int64) - rare_from)[count > 0], minlength=ENDINGS).astype("<i8")
+            distinct = np.bincount(((word & np.uint64(words.mask)).astype(np.int64) - rare_from)[count > 0], minlength=n_endings).astype("<i8")
             name, doc = np.unique(print_of, return_inverse=True)
             total, known = np.bincount(doc, np.log10(count + SMOOTH)[at], len(name)), np.bincount(doc, (count > 0)[at], len(name))
             out = [(key, pack(name[own], total[own], known[own]), None) for key, own in slices((name % np.uint64(buckets)).astype(np.int64))] + [(-1, None, distinct.tobytes())]
@@ -280,20 +416,20 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     kept = materialise(first, "lm-sums")
 
     def added(batches):
-        total = np.zeros(ENDINGS, np.int64)
+        total = np.zeros(n_endings, np.int64)
         for batch in batches:
             for v in batch.column("v").to_pylist():
                 total += np.frombuffer(v, "<i8")
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(ENDINGS)), pa.array(total)], ["c", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n_endings)), pa.array(total)], ["c", "n"])
 
-    distinct = np.zeros(ENDINGS, np.int64)
+    distinct = np.zeros(n_endings, np.int64)
     for c, n in kept.where("k = -1").select("v").mapInArrow(added, "c long, n long").groupBy("c").agg(F.sum("n")).collect():
         distinct[c] = n
     n_types = int(distinct.sum() + heavy_known.sum() + (n_texts > 0))
     order = list(words.heavy)
     for place, word in enumerate(order):
-        if place >= WORDS and heavy_known[place]:
-            distinct[words.endings.get(Vocabulary.ending(word), ENDINGS - 1)] += 1
+        if place >= n_words and heavy_known[place]:
+            distinct[words.endings.get(Vocabulary.ending(word), n_endings - 1)] += 1
     base_scale = math.log10(n_train + SMOOTH * (n_types + 1))
     class_scale = np.log10(by_class[rare_from:] + SMOOTH * (distinct + 1))
 
