@@ -41,3 +41,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     nodes = pairs.groupBy("a").agg(F.min("b").alias("b"))
     roots = pairs.select(F.col("b").alias("a")).distinct().join(nodes.select("a"), "a", "left_anti").withColumn("b", F.col("a"))
     return nodes.union(roots).select(F.col("a").alias("node"), F.col("b").alias("component"))
+
+
+def joined(found: DataFrame, links: DataFrame) -> DataFrame:
+    """found (node, component) with further links (a, b) between its nodes or others; only the graph of components is searched."""
+    if links.isEmpty():
+        return found
+    of = lambda x: found.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
+    ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
+    above = components(ends).select(F.col("node").alias("component"), F.col("component").alias("above"))
+    moved = found.join(above, "component", "left").select("node", F.coalesce("above", "component").alias("component"))
+    new = above.join(found.select(F.col("component")).distinct(), "component", "left_anti").select(F.col("component").alias("node"), F.col("above").alias("component"))
+    return moved.union(new)
