@@ -3,17 +3,19 @@
 Texts are equal when their bytes are equal after lower-casing A-Z. Documents are split by successive bytes
 until a group is a single document or its texts have ended; no digest decides equality.
 
-1. Map side: the documents of each Arrow step are split by the radix recursion; every local group keeps one
-   text and the ids of its members, so a text that fills a third of the table is shuffled once per step.
-2. Placement: a byte trie, cut by the same recursion over a bounded sample of prefixes, deals the remaining
-   texts to partitions of like size. The sample moves rows only, it never decides equality. Where a leaf is
-   still heavy at the depth limit (near copies with long common prefixes), whole texts are dealt by a checksum.
-3. Reduce side: the recursion ends in each partition. The list of each local group's members is dealt out
-   anew before it is exploded, so that no task writes the whole of a hot group.
-
-Defined cases: null text counts as empty; empty texts equal each other; a null id is smaller than any id;
-of repeated rows with the group's largest id exactly one stays; an empty table gives an empty result; extra
-columns are ignored by ``groups`` and carried through unchanged by ``survivors``.
+1. Map side: the documents of each Arrow step are split by the radix recursion; every local group is one row with
+   its text, so a text that fills a third of the table is shuffled once per step. The ids of a group's members are a
+   row of their own.
+2. Placement: a byte trie, cut by the same recursion over a bounded sample of prefixes, deals the texts to partitions
+   of like size. The sample moves rows only, it never decides equality. Where a leaf is still heavy at the depth limit
+   (near copies with long common prefixes), whole texts are dealt by a checksum.
+3. Reduce side: the recursion ends in each partition, on one text for each local group. What it finds meets the
+   group's ids by the number of the local group, so no task ever sees all ids of a hot text.
+
+Defined cases: null text counts as empty; empty texts equal each other; very long texts are read by successive bytes
+like others, wider digits after each that is shared; a null id is smaller than any id; of repeated rows with the
+group's largest id exactly one stays; an empty table gives an empty result; extra columns are ignored by ``groups``
+and carried through unchanged by ``survivors``.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -115,61 +118,90 @@ def _trie(rows: DataFrame, buckets: int) -> Trie:
     return Trie([bytes(r[0]) for r in few.mapInArrow(heads, "head binary").collect()], buckets)
 
 
-def _local(rows: DataFrame, trie: Trie) -> DataFrame:
-    """A row for each local group: bucket, t, ids of its members, row of the one with the largest id."""
+def _dealt(df: DataFrame, id_col: str, text_col: str, fields: list, collapse) -> tuple[DataFrame, int]:
+    """The rows (bucket b first) that `collapse` makes of each Arrow step and the trie, dealt by b."""
+    parts = tasks_for(df)
+    named = {f.name: f for f in df.schema.fields}
+    columns = [quoted(id_col).cast("long").alias("i"), quoted(text_col).cast("string").alias("t")]
+    if fields:  # the other columns, under names of their own; the text travels once where it is a string already
+        columns.append(F.struct(*[quoted(c).alias(f"c{k}") for k, c in enumerate(df.columns) if c != text_col or named[c].dataType != T.StringType()] or [F.lit(0).alias("none")]).alias("row"))
+    rows = df.select(*columns)
+    trie = _trie(rows, max(256, 4 * parts))
 
-    def collapse(batches):
+    def local(batches):
+        place, made = TaskContext.get().partitionId(), 0
         for batch in batches:
             for step in steps([batch], "t"):
                 texts = [x.lower() for x in raw_texts(step.column("t"))]
                 ids = step.column("i").to_pylist()
-                buckets, members, keep = [], [], []
-                for group in radix_groups(texts):
+                found = list(radix_groups(texts))
+                for group in found:
                     group.sort(key=lambda i: (ids[i] is None, -(ids[i] or 0)))
-                    buckets.append(trie.bucket(texts[group[0]]))
-                    members.append([ids[i] for i in group])
-                    keep.append(group[0])
-                kept = step.take(pa.array(keep, pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(members, pa.list_(pa.int64())), *kept.columns], ["b", "ids", *kept.schema.names])
+                yield from collapse(step, texts, ids, found, trie, (place << 33) + made)
+                made += len(found)
 
-    kinds = T.StructType([T.StructField("b", T.IntegerType()), T.StructField("ids", T.ArrayType(T.LongType())), *rows.schema.fields])
-    return rows.mapInArrow(collapse, kinds)
+    kinds = T.StructType([T.StructField("b", T.IntegerType()), *(fields or _GROUPS)] + ([rows.schema["row"]] if fields else []))
+    return rows.mapInArrow(local, kinds).repartition(parts, "b"), parts
 
 
-def _dealt(df: DataFrame, id_col: str, text_col: str, whole: bool) -> tuple[DataFrame, int]:
-    parts = tasks_for(df)
-    columns = [quoted(id_col).cast("long").alias("i"), quoted(text_col).cast("string").alias("t")]
-    if whole:
-        columns.append(F.struct(*[quoted(c) for c in df.columns]).alias("row"))
-    rows = df.select(*columns)
-    trie = _trie(rows, max(256, 4 * parts))
-    return _local(rows, trie).repartition(parts, "b"), parts
+_GROUPS = [T.StructField("g", T.LongType()), T.StructField("t", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("ids", T.ArrayType(T.LongType()))]
 
 
 def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of df: id, keep_id, group_size, kept, text_sha256 (of the lower-cased text)."""
-    dealt, parts = _dealt(df, id_col, text_col, whole=False)
+    names = ["b", "g", "t", "n", "ids"]
+
+    def collapse(step, texts, ids, found, trie, number):
+        """A row for each local group with its text, size and largest id. The ids of a group of several are a row of
+        their own, dealt by the group's number: however hot a text is, its ids never meet in one task."""
+        rows = []
+        for k, group in enumerate(found):
+            rows.append((trie.bucket(texts[group[0]]), number + k, texts[group[0]], len(group), [ids[group[0]]]))
+            if len(group) > 1:
+                rows.append(((number + k) * 0x9E3779B1 & 0x7FFFFFFF, number + k, None, 0, [ids[i] for i in group]))
+        kinds = (pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows), kinds)], names)
+
+    dealt, parts = _dealt(df, id_col, text_col, [], collapse)
 
     def finish(batches):
-        texts, ids = [], []
+        numbers, texts, sizes, largest = [], [], [], []
+        kinds = (pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.bool_(), pa.string())
+        row = lambda out: pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out) if out else [[]] * 6, kinds)], ["g", "ids", "keep_id", "group_size", "first", "text_sha256"])
         for batch in batches:
-            texts += [x.lower() for x in raw_texts(batch.column("t"))]
-            ids += batch.column("ids").to_pylist()
+            lists = []
+            for g, t, n, ids in zip(*(batch.column(c).to_pylist() for c in ("g", "t", "n", "ids"))):
+                if t is None:
+                    lists.append((g, ids, None, None, None, None))
+                else:
+                    numbers.append(g)
+                    texts.append(t)
+                    sizes.append(n)
+                    largest.append(ids[0])
+            yield row(lists)
         out: list[tuple] = []
         for group in radix_groups(texts):
-            best = min(group, key=lambda i: (ids[i][0] is None, -(ids[i][0] or 0)))  # each list has its largest id first
-            size, sha = sum(len(ids[i]) for i in group), hashlib.sha256(texts[group[0]]).hexdigest()
-            out += [(ids[i], ids[best][0], size, i == best, sha) for i in group]
-        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out) if out else [[]] * 5, (pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.bool_(), pa.string()))], ["ids", "keep_id", "group_size", "first", "text_sha256"])
-
-    found = dealt.select("t", "ids").mapInArrow(finish, "ids array<long>, keep_id long, group_size long, first boolean, text_sha256 string")
-    one = found.repartition(parts).select(F.posexplode("ids").alias("at", "id"), "keep_id", "group_size", "first", "text_sha256")
+            best = min(group, key=lambda i: (largest[i] is None, -(largest[i] or 0)))
+            size, sha = sum(sizes[i] for i in group), hashlib.sha256(texts[group[0]]).hexdigest()
+            out += [(numbers[i], [largest[i]] if sizes[i] == 1 else None, largest[best], size, i == best, sha) for i in group]
+        for at in range(0, len(out), 10_000):
+            yield row(out[at : at + 10_000])
+
+    found = dealt.select("g", "t", "n", "ids").mapInArrow(finish, "g long, ids array<long>, keep_id long, group_size long, first boolean, text_sha256 string")
+    # Two rows at most meet for each local group: its ids and what its text has found.
+    whole = found.repartition(parts, "g").groupBy("g").agg(*[F.max(c).alias(c) for c in ("ids", "keep_id", "group_size", "first", "text_sha256")])
+    one = whole.select(F.posexplode("ids").alias("at", "id"), "keep_id", "group_size", "first", "text_sha256")
     return one.select(F.col("id").alias(id_col), "keep_id", "group_size", (F.col("first") & (F.col("at") == 0)).alias("kept"), "text_sha256")
 
 
 def survivors(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of df that stay, with all their columns; the text is shuffled once and joined with nothing."""
-    dealt, _ = _dealt(df, id_col, text_col, whole=True)
+
+    def collapse(step, texts, ids, found, trie, number):
+        kept = step.take(pa.array([group[0] for group in found], pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array([trie.bucket(texts[group[0]]) for group in found], pa.int32()), *(kept.column(c) for c in ("t", "i", "row"))], ["b", "t", "i", "row"])
+
+    dealt, _ = _dealt(df, id_col, text_col, [T.StructField("t", T.StringType()), T.StructField("i", T.LongType())], collapse)
 
     def finish(batches):
         held = [b for b in batches if b.num_rows]
@@ -179,10 +211,12 @@ def survivors(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         texts = [x.lower() for x in raw_texts(rows.column("t"))]
         ids = rows.column("i").to_pylist()
         keep = [min(g, key=lambda i: (ids[i] is None, -(ids[i] or 0))) for g in radix_groups(texts)]
-        yield from rows.select(["row"]).take(pa.array(keep, pa.int64())).to_batches(max_chunksize=1000)
+        yield from rows.select(["t", "row"]).take(pa.array(keep, pa.int64())).to_batches(max_chunksize=1000)
 
-    kind = T.StructType([f for f in dealt.schema.fields if f.name == "row"])
-    return dealt.select("t", "i", "row").mapInArrow(finish, kind).select("row.*")
+    kind = T.StructType([f for f in dealt.schema.fields if f.name in ("t", "row")])
+    left = dealt.select("t", "i", "row").mapInArrow(finish, T.StructType([kind["t"], kind["row"]]))
+    own = set(kind["row"].dataType.names)
+    return left.select(*[(F.col("row")[f"c{k}"] if f"c{k}" in own else F.col("t")).alias(c) for k, c in enumerate(df.columns)])
 
 
 ORACLE_SQL = """
