@@ -396,14 +396,39 @@ def test_lm_learns_from_all_training_texts(spark):
 # ---------------------------------------------------------------- tokens, packing, edits
 
 
-def test_encoder_gives_the_tokenizers_ids():
+class Whole:
+    """The tokenizer's own ids of a whole text."""
+
+    def __init__(self):
+        from tokenizers import Tokenizer
+
+        self.exact = Tokenizer.from_file(default_path())
+
+    def __call__(self, text):
+        return np.array(self.exact.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+@pytest.fixture(scope="module")
+def whole():
+    return Whole()
+
+
+# Each kind of white space, characters that only look like it, and marks and special tokens in long runs.
+SPACES = ["\t", "\r", "\x0b", "\x0c", "\x85", "\xa0", "\u1680", "\u2003", "\u2028", "\u202f", "\u3000", "\x1c", "\x1f", "\u180e", "\u200b", "\ufeff"]
+RUNS = ["a" * 70 + "'s-" + "b1_" * 40, "東京、大阪。" * 30, "x=1;y=2;" * 20 + "<|endoftext|>" + "z+" * 50, "  <|endoftext|>  b", "<|endoftext", "|>" * 40, "e\u0301" * 50]
+
+
+def test_encoder_gives_the_tokenizers_ids(whole):
     enc = encoder(default_path())
     texts = [r[0] for r in duckdb.sql("SELECT text FROM '/root/testdata/sf0.01/documents.parquet' LIMIT 400").fetchall()]
     texts += [t or "" for t in ODD] + ["a\n \nb", " lead", "trail ", "two  spaces", "\n\n", "tab\there", "nb\xa0sp", "it's we'll", "a \n b", "\x1c x"]
     rng = random.Random(3)
     texts += ["".join(rng.choice("ab \n'sé1. <|") for _ in range(30)) for _ in range(400)]
+    texts += [x for c in SPACES for x in (c, f"a{c}b", f"a {c}b", f"a{c} b", f"a{c}{c}b{c}")] + RUNS
+    texts += ["".join(rng.choice(["a", "b1", " ", "\n", "'s", "-", "<|endoftext|>", "<|", "|>", "endoftext", *SPACES]) for _ in range(rng.choice([8, 90]))) for _ in range(600)]
     for t in texts:
-        assert enc.encode(t) == np.array(enc.whole(t), dtype="S").tobytes() or enc.encode(t) == enc.whole(t), t
+        assert enc.encode(t) == whole(t), t
+        assert "".join(enc.chunks(t)) == t and b"".join(map(enc.chunk, enc.chunks(t))) == whole(t), t
 
 
 def check_packing(rows, capacity):
@@ -419,14 +444,13 @@ def check_packing(rows, capacity):
     return len(fill)
 
 
-def test_packing(spark):
+def test_packing(spark, whole):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     both = docs.union(frame(spark, ODD, [None] * len(ODD)).select("doc_id", "text"))
     rows = packing.pack(both).collect()
-    enc = encoder(default_path())
     total = 0
     for i, t in ((r.doc_id, r.text) for r in docs.limit(200).collect()):
-        ids = enc.whole(t) + b"\0\0\0\0"
+        ids = whole(t) + b"\0\0\0\0"
         own = sorted((r for r in rows if r.doc_id == i), key=lambda r: r.piece)
         assert [r.piece for r in own] == list(range(len(own))) and sum(r.length for r in own) == len(ids) // 4
         assert all(r.length == 2048 for r in own[1:]) and own[0].start == 0
@@ -465,29 +489,39 @@ def test_bin_completion_is_sound_and_near_best(histogram):
         assert sum(t for _, t in plan) == best[0]
 
 
-def test_edits_update_counts(spark):
+def test_edits_update_counts(spark, whole):
     enc = encoder(default_path())
     rng = random.Random(9)
-    texts = [r[0] for r in duckdb.sql("SELECT text FROM '/root/testdata/sf0.01/documents.parquet' LIMIT 60").fetchall()] + [t or "" for t in ODD]
+    texts = [r[0] for r in duckdb.sql("SELECT text FROM '/root/testdata/sf0.01/documents.parquet' LIMIT 60").fetchall()] + [t or "" for t in ODD] + RUNS
+    texts += ["".join(rng.choice(["ab", "c1", " ", "\n", "'s", "-", "<|endoftext|>", *SPACES]) for _ in range(200)) for _ in range(40)]
     for t in texts:
         tree, now = edit_counts.TokenTree(t, enc), t
         for _ in range(10):
             a = rng.randint(0, len(now))
             b = min(len(now), a + rng.randint(0, 12))
-            new = rng.choice(["", " ", "x", " yy", "\n", "zz ", "  ", "a\n \nb", "'s", "\t"])
+            new = rng.choice(["", " ", "x", " yy", "\n", "zz ", "  ", "a\n \nb", "'s", "\t", "\xa0", "<|endoftext|>", "<|", "|>", "w " * 300])
             tree.apply(a, b, new)
             now = now[:a] + new + now[b:]
-            assert tree.text() == now and tree.total == len(enc.whole(now)) // 4
+            assert tree.text() == now and tree.total == len(whole(now)) // 4
     long = edit_counts.TokenTree("word " * 5000, enc)
     built = long.encoded
     long.apply(12_000, 12_003, "new")
     assert long.encoded - built < 8
+    # Edits cost the same whatever the white space, in a text of some MB too; a leaf that is filled is split.
+    for space in (" ", "\t", "\xa0", ","):
+        tree = edit_counts.TokenTree(("word" + space) * 400_000, enc)
+        built = tree.encoded
+        for k in range(500):
+            tree.apply(3000 * k, 3000 * k + 2, "new" + space)
+        assert tree.encoded - built < 500 * 8
+        tree.apply(5, 5, "more words " * 5000)
+        assert max(map(len, tree.leaves)) <= 4 * edit_counts.LEAF_CHUNKS
     for r in edit_counts.edit_aware_counts(frame(spark, ODD)).collect():
         t = ODD[r.doc_id] or ""
         masked = t
         for a, b, new in sorted(edit_counts.masking_edits(t), reverse=True):
             masked = masked[:a] + new + masked[b:]
-        assert (r.n_tokens, r.n_tokens_edited) == (len(enc.whole(t)) // 4, len(enc.whole(masked)) // 4)
+        assert (r.n_tokens, r.n_tokens_edited) == (len(whole(t)) // 4, len(whole(masked)) // 4)
 
 
 # ---------------------------------------------------------------- decontamination

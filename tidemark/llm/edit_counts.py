@@ -1,11 +1,14 @@
 """Token counts under edits (operator 9).
 
-A document's chunks (see ``tokens``) lie in the leaves of a segment tree that sums characters and tokens. An edit
-finds the chunks it touches by descending on characters, re-encodes those and one more on either side (the
-boundary context), and updates the sums on the paths above; all other chunks keep their counts.
-
-Defined cases: null text counts as empty (0 tokens); texts that cannot be cut into chunks are one chunk and are
-encoded whole on each edit; repeated rows and null ids are counted each for itself; an empty table gives an empty
+A document's chunks (see ``tokens``: they end at borders of the tokenizer's pre-tokens) lie in the leaves of a segment
+tree that sums characters and tokens. An edit finds the chunks it touches by descending on characters, re-encodes
+those and one more on either side (the boundary context), and updates the sums on the paths above; all other chunks
+keep their counts. A leaf that an insertion has filled is split, and the sums above the leaves are built anew.
+
+Defined cases: null text counts as empty (0 tokens); texts with any white space, marks or special tokens are edited
+piece by piece; a run of letters without a border is one chunk however long, since its merges depend on all of it;
+very long texts are one tree, held in the task that reads them; of edits that start at the same place the one that
+ends later is applied first; repeated rows and null ids are counted each for itself; an empty table gives an empty
 result; extra columns are ignored.
 """
 
@@ -18,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ._common import quoted, steps
-from .tokens import CHUNK, Encoder, default_path, encoder
+from .tokens import Encoder, encoder
 
 LEAF_CHUNKS = 32
 
@@ -37,21 +40,34 @@ class TokenTree:
 
     def __init__(self, text: str, enc: Encoder) -> None:
         self.enc, self.encoded = enc, 0
-        self.parts = enc.splits(text)
-        chunks = CHUNK.findall(text) if self.parts else [text] if text else []
-        self.leaves = [chunks[i : i + LEAF_CHUNKS] for i in range(0, len(chunks), LEAF_CHUNKS)] or [[]]
+        chunks = list(enc.chunks(text))
+        counts = [self._count(c) for c in chunks]
+        self._plant([chunks[i : i + LEAF_CHUNKS] for i in range(0, len(chunks), LEAF_CHUNKS)], [counts[i : i + LEAF_CHUNKS] for i in range(0, len(chunks), LEAF_CHUNKS)])
+
+    def _plant(self, leaves: list[list[str]], counts: list[list[int]]) -> None:
+        """The tree above these leaves."""
+        self.leaves, self.counts = leaves or [[]], counts or [[]]
         self.width = 1 << (len(self.leaves) - 1).bit_length()
         self.leaves += [[] for _ in range(self.width - len(self.leaves))]
-        self.counts = [[self._count(c) for c in leaf] for leaf in self.leaves]
+        self.counts += [[] for _ in range(self.width - len(self.counts))]
         self.chars, self.tokens = [0] * (2 * self.width), [0] * (2 * self.width)
         for k, leaf in enumerate(self.leaves):
             self.chars[self.width + k], self.tokens[self.width + k] = sum(map(len, leaf)), sum(self.counts[k])
         for k in range(self.width - 1, 0, -1):
             self._sum(k)
 
+    def _split(self) -> None:
+        """Cuts leaves that hold too many chunks; empty ones go."""
+        leaves, counts = [], []
+        for leaf, count in zip(self.leaves, self.counts):
+            for i in range(0, len(leaf), LEAF_CHUNKS):
+                leaves.append(leaf[i : i + LEAF_CHUNKS])
+                counts.append(count[i : i + LEAF_CHUNKS])
+        self._plant(leaves, counts)
+
     def _count(self, chunk: str) -> int:
         self.encoded += 1
-        return len(self.enc.chunk(chunk) if self.parts else self.enc.whole(chunk)) // 4
+        return len(self.enc.chunk(chunk)) // 4
 
     def _sum(self, k: int) -> None:
         self.chars[k], self.tokens[k] = self.chars[2 * k] + self.chars[2 * k + 1], self.tokens[2 * k] + self.tokens[2 * k + 1]
@@ -90,17 +106,6 @@ class TokenTree:
         """Characters [start, end) become new; sums are updated above the leaves that changed."""
         if not 0 <= start <= end <= self.chars[1]:
             raise ValueError("edit outside the text")
-        if not self.parts or not self.enc.splits(new):
-            rebuilt = self.text()
-            spent = self.encoded
-            self.__init__(rebuilt[:start] + new + rebuilt[end:], self.enc)
-            self.encoded += spent
-            return
-        if not self.chars[1]:
-            spent = self.encoded
-            self.__init__(new, self.enc)
-            self.encoded += spent
-            return
         la, ia, first = self._find(start)
         lb, ib, _ = self._find(max(start, end - 1))
         if (before := self._beside(la, ia, -1)) is not None:
@@ -108,11 +113,13 @@ class TokenTree:
             first -= len(self.leaves[la][ia])
         if (after := self._beside(lb, ib, 1)) is not None:
             lb, ib = after
-        if la == lb:
+        if not self.chars[1]:
+            old = ""
+        elif la == lb:
             old = "".join(self.leaves[la][ia : ib + 1])
         else:
             old = "".join(self.leaves[la][ia:]) + "".join(c for k in range(la + 1, lb) for c in self.leaves[k]) + "".join(self.leaves[lb][: ib + 1])
-        chunks = CHUNK.findall(old[: start - first] + new + old[end - first :])
+        chunks = list(self.enc.chunks(old[: start - first] + new + old[end - first :]))
         counts = [self._count(c) for c in chunks]
         if la == lb:
             self.leaves[la][ia : ib + 1], self.counts[la][ia : ib + 1] = chunks, counts
@@ -121,6 +128,9 @@ class TokenTree:
             for k in range(la + 1, lb):
                 self.leaves[k], self.counts[k] = [], []
             del self.leaves[lb][: ib + 1], self.counts[lb][: ib + 1]
+        if max(len(self.leaves[la]), len(self.leaves[lb])) > 4 * LEAF_CHUNKS:
+            self._split()
+            return
         touched = set()
         for k in range(la, lb + 1):
             node = self.width + k
@@ -135,7 +145,6 @@ class TokenTree:
 def edit_aware_counts(df: DataFrame, edits: Callable[[str], list[Edit]] = masking_edits, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """id, n_tokens, n_edits, n_tokens_edited, n_chunks, n_reencoded of every row. Edits are applied from the last
     to the first, each to the text that the ones before it left."""
-    path = path or default_path()
 
     def counted(batches):
         enc = encoder(path)
