@@ -1,14 +1,16 @@
 """Packing of documents into sequences by bin completion (operator 8).
 
 Texts are encoded once into pieces. What is packed is the histogram of piece lengths, which has one entry per
-length whatever the input's size: bins are completed around the largest length left, with undominated fillings,
-by a branch-and-bound search whose incumbent starts as the best-fit solution and whose branches are pruned by the
-waste that an improvement could still afford. A pattern found once is used as often as the histogram allows.
-Pieces then take the places of their length by rank; ranks come from counts by (length, salt), so that a length
-which a third of all pieces share is dealt over many tasks.
-
-Defined cases: null text counts as empty, whose ids are the end id alone; repeated rows are packed each for
-itself; null ids are kept; an empty table gives an empty result; extra columns are ignored.
+length whatever the input's size: bins are completed around the largest length left, with undominated fillings that
+are enumerated one at a time, by a branch-and-bound search whose incumbent starts as the best-fit solution and whose
+branches are pruned by the waste that an improvement could still afford. A pattern found once is used as often as the
+histogram allows. Pieces then take the places of their length by rank; ranks come from counts by (length, salt), so
+that a length which a third of all pieces share is dealt over many tasks.
+
+Defined cases: null text counts as empty, whose ids are the end id alone; very long texts are cut into pieces, all of
+which are packed; pieces of one length take their places in the order of salt, id, piece, start and checksum, and of
+rows that are equal in all of these either may come first; repeated rows are packed each for itself; null ids are
+kept; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,13 +26,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import materialise, quoted, raw_texts, steps
-from .tokens import default_path, encoder
+from .tokens import encoder
 
 CAPACITY = 2048
 END_ID = 0
-OPTIONS = 4
-NODES = 12_000  # of the search
-SALTS = 256
+STEPS = 400_000  # of the enumeration, over the whole search
+SALTS, SALT_ROWS = 256, 1 << 17
 
 Plan = list[tuple[tuple[int, ...], int]]
 
@@ -89,87 +91,142 @@ def lower_bound(counts: np.ndarray, capacity: int) -> int:
     return best
 
 
-def fillings(counts: np.ndarray, room: int, options: int) -> list[tuple[int, ...]]:
-    """Undominated fillings of `room` with at most four pieces, least waste first. A filling is dominated by a
-    single piece that is at least as large as its sum, and by one with a larger last piece."""
-    if room <= 0:
-        return [()]
-    if counts[room]:
-        return [(room,)]  # one piece that fills the room dominates every filling
-    have = np.nonzero(counts[: room + 1])[0]
-    have = have[have > 0]
-    if not len(have):
-        return [()]
-    floor = np.zeros(room + 1, dtype=np.int64)
-    floor[have] = have
-    floor = np.maximum.accumulate(floor)
-    single = int(have[-1])
-    found: dict[tuple[int, ...], int] = {(single,): room - single}
-
-    def pairs(head: tuple[int, ...], most: int, left: int) -> None:
-        first = have[have <= min(most, left)][::-1]
-        second = floor[np.minimum(first, left - first)]
-        for k in np.argsort(left - first - second, kind="stable")[:options]:
-            a, b = int(first[k]), int(second[k])
-            filling = head + ((a, b) if b else (a,))
-            if sum(filling) <= single and filling != (single,):
+class Sums:
+    """Which sums the sizes at hand can make, however often each is taken: a quick test that prunes the enumeration."""
+
+    def __init__(self, sizes: list[int], room: int) -> None:
+        self.sizes, mask = sizes, (1 << room + 1) - 1
+        self.up_to: dict[int, int] = {}  # sums of sizes up to each size, as bits
+        bits = 1
+        for s in reversed(sizes):
+            step = s
+            while step <= room:
+                bits |= bits << step & mask
+                step *= 2
+            self.up_to[s] = bits
+
+
+def fillings(counts: np.ndarray, room: int, waste: int, steps_left: list[int]) -> Iterator[tuple[int, ...]]:
+    """Every undominated filling of `room` that wastes no more than `waste`, least waste first, made one at a time. A
+    filling is dominated if a larger piece at hand could take the place of some of its pieces. Ends early, with nothing
+    left in steps_left, when the search has spent its steps."""
+    have = [int(s) for s in np.nonzero(counts[: room + 1])[0][::-1] if s]
+    if not have:
+        if waste >= room:
+            yield ()
+        return
+    sums = Sums(have, room)
+    at_hand = counts > 0
+
+    def exact(total: int, first: int, taken: tuple[int, ...]) -> Iterator[tuple[int, ...]]:
+        """Multisets of sizes from have[first:] with this sum, in descending order. Iterative: a filling can be long."""
+        stack = [(total, first, taken)]
+        while stack and steps_left[0] > 0:
+            steps_left[0] -= 1
+            left, k, own = stack.pop()
+            if not left:
+                yield own
                 continue
-            if all(counts[s] >= n for s, n in Counter(filling).items()):
-                found[filling] = room - sum(filling)
-
-    pairs((), room, room)
-    if min(found.values()):
-        for a in have[::-1][:: max(1, len(have) // 24)][:24]:
-            pairs((int(a),), int(a), room - int(a))
-            if not min(found.values()):
-                break
-    if min(found.values()):
-        for a in have[::-1][:8]:
-            for b in have[have <= min(int(a), room - int(a))][::-1][:6]:
-                pairs((int(a), int(b)), int(b), room - int(a) - int(b))
-    return [f for f, _ in sorted(found.items(), key=lambda x: (x[1], [-s for s in x[0]]))[:options]]
-
-
-def bin_completion(histogram: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> Plan:
-    """The best plan found within the node budget; optimal when its bins equal the lower bound."""
+            while k < len(have) and have[k] > left:
+                k += 1
+            if k == len(have) or not sums.up_to[have[k]] >> left & 1:
+                continue
+            s = have[k]
+            stack.append((left, k + 1, own))
+            if own.count(s) < counts[s]:
+                stack.append((left - s, k, (*own, s)))
+
+    for slack in range(min(waste, room) + 1):
+        if room - slack == 0:
+            yield ()  # nothing fits, or all is wasted
+            return
+        if sums.up_to[have[0]] >> (room - slack) & 1:
+            for own in exact(room - slack, 0, ()):
+                if not _dominated(own, slack, at_hand):
+                    yield own
+
+
+def _dominated(own: tuple[int, ...], slack: int, at_hand: np.ndarray) -> bool:
+    """Whether a piece at hand that is larger than the sum of some of these pieces (up to three of them), by no more
+    than what is wasted, could take their place."""
+    if not slack:
+        return len(own) > 1 and bool(at_hand[sum(own)]) if len(own) <= 3 else False
+    distinct = sorted(set(own))
+    sums = {*distinct}
+    n = Counter(own)
+    if len(distinct) <= 40:
+        sums |= {a + b for a in distinct for b in distinct if a != b or n[a] > 1}
+    top = len(at_hand) - 1
+    for x in sums:
+        end = min(top, x + slack)
+        if at_hand[x + 1 : end + 1].any() or (x not in n and x <= top and at_hand[x]):
+            return True
+    return False
+
+
+class Packing(list):
+    """(pattern, how often) of a plan, with its bins, the lower bound, and whether it is proven that none has fewer."""
+
+    def __init__(self, plan: Plan, bound: int, proven: bool) -> None:
+        super().__init__(plan)
+        self.bins, self.bound, self.proven = sum(n for _, n in plan), bound, proven
+
+
+def bin_completion(histogram: dict[int, int], capacity: int = CAPACITY, most_steps: int = STEPS) -> Packing:
+    """The best plan that branch-and-bound finds: bins are completed around the largest piece left, with one
+    undominated filling after the other, each as often as the histogram allows and then less often; branches whose
+    waste no improvement could afford are pruned. Packing is NP-hard: after `most_steps` steps of the enumeration the
+    search stops and says that its plan is not proven."""
     start = np.zeros(capacity + 1, dtype=np.int64)
     for size, n in histogram.items():
         start[size] = n
     bound = lower_bound(start, capacity)
     best = best_fit(histogram, capacity)
     best_bins = sum(n for _, n in best)
+    steps_left = [most_steps]
+
+    def branches(counts: np.ndarray, left: int, bins: int) -> Iterator[tuple[tuple[int, ...], int]]:
+        """Patterns around the largest piece and how often each is used, lazily: what can be wasted shrinks with the incumbent."""
+        largest = int(np.nonzero(counts)[0][-1])
+        rest = counts.copy()
+        rest[largest] -= 1
+        afford = (best_bins - 1 - bins) * capacity - left
+        for filling in fillings(rest, capacity - largest, min(afford, capacity - largest), steps_left):
+            need = Counter((largest, *filling))
+            for times in range(min(int(counts[s]) // n for s, n in need.items()), 0, -1):
+                yield (largest, *filling), times
+
     volume = int((start * np.arange(capacity + 1)).sum())
-    # Depth first; each entry: counts left, volume left, bins so far, the branch (parent, pattern, multiplicity).
-    stack: list = [(start, volume, 0, None)]
-    while stack and best_bins > bound and nodes:
-        counts, left, bins, branch = stack.pop()
-        nodes -= 1
-        if bins + math.ceil(left / capacity) >= best_bins:  # more waste than an improvement can afford
+    stack = [(start, volume, 0, branches(start, volume, 0))] if volume and best_bins > bound else []
+    path: list = []
+    while stack and best_bins > bound and steps_left[0] > 0:
+        counts, left, bins, some = stack[-1]
+        made = next(some, None)
+        if made is None:
+            stack.pop()
+            if path:
+                path.pop()
             continue
-        if not left:
-            best, best_bins, at = [], bins, branch
-            while at:
-                best.append((at[1], at[2]))
-                at = at[0]
+        steps_left[0] -= 20  # a node costs as much as so many steps
+        pattern, times = made
+        after_left, after_bins = left - sum(pattern) * times, bins + times
+        if after_bins + math.ceil(after_left / capacity) >= best_bins:  # more waste than an improvement can afford
             continue
-        largest = int(np.nonzero(counts)[0][-1])
-        counts = counts.copy()
-        counts[largest] -= 1
-        for filling in reversed(fillings(counts, capacity - largest, OPTIONS)):
-            pattern = (largest, *filling)
-            need = Counter(pattern)
-            times = int(min((counts[s] + (s == largest)) // n for s, n in need.items()))
-            after = counts.copy()
-            after[largest] += 1
-            for s, n in need.items():
-                after[s] -= n * times
-            stack.append((after, left - sum(pattern) * times, bins + times, (branch, pattern, times)))
-    return best
+        if not after_left:
+            best, best_bins = [*path, made], after_bins
+            continue
+        after = counts.copy()
+        for s, n in Counter(pattern).items():
+            after[s] -= n * times
+        if after_bins + lower_bound(after, capacity) >= best_bins:
+            continue
+        path.append(made)
+        stack.append((after, after_left, after_bins, branches(after, after_left, after_bins)))
+    return Packing(best, bound, best_bins == bound or not stack)
 
 
 def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """A row per piece: i, piece, start, length, ids_crc32."""
-    path = path or default_path()
 
     def encoded(batches):
         enc = encoder(path)
@@ -219,12 +276,15 @@ class Places:
 
 
 def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """A row per piece: id, piece, start, length, ids_crc32, sequence_id, offset."""
-    salt = F.pmod(F.xxhash64("i", "piece", "ids_crc32"), F.lit(SALTS)).cast("int")
-    cut = materialise(pieces(df, id_col, text_col, path, capacity).withColumn("salt", salt), "pieces")
+    """A row per piece: id, piece, start, length, ids_crc32, sequence_id, offset, and, the same in each row, whether
+    the number of sequences is proven to be the least."""
+    cut = materialise(pieces(df, id_col, text_col, path, capacity), "pieces")
+    salts = max(SALTS, -(-cut.count() // SALT_ROWS))  # grow with the pieces, of which one length may have a third
+    cut = cut.withColumn("salt", F.pmod(F.xxhash64("i", "piece", "start", "ids_crc32"), F.lit(salts)).cast("int"))
     counts = cut.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
     histogram = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("n")).collect()}  # one row per length at most
-    places = Places(bin_completion(histogram, capacity))
+    plan = bin_completion(histogram, capacity)
+    places = Places(plan)
     before = counts.select("length", "salt", (F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).alias("before"))
     local = F.row_number().over(Window.partitionBy("length", "salt").orderBy("i", "piece", "start", "ids_crc32")) - 1
     ranked = cut.withColumn("local", local).join(before, ["length", "salt"]).withColumn("rank", F.col("before") + F.col("local"))
@@ -236,4 +296,4 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: st
                 yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("i", "piece", "start", "length", "ids_crc32")] + [pa.array(sequence), pa.array(offset)], ["i", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
     got = ranked.select("i", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(placed, "i long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
-    return got.withColumnRenamed("i", id_col)
+    return got.withColumnRenamed("i", id_col).withColumn("proven_least", F.lit(plan.proven))
