@@ -14,7 +14,7 @@ import duckdb
 import numpy as np
 import pytest
 from conftest import canonical
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tidemark.llm import components, decontaminate, edit_counts, exact_dedup, lm_score, ngram_join, packing, pii, quality, toxicity, warc
@@ -136,9 +136,11 @@ def test_additive_model_learns_an_interaction():
 
 
 @given(st.lists(st.integers(-5, 5), max_size=40))
+@example([1, -1, 2])
 @settings(max_examples=200, deadline=None)
 def test_max_segments_match_recursion(values):
-    """Ruzzo and Tompa: the best segment first, then the same to its left and right."""
+    """Ruzzo and Tompa: the best segment first (of equal sums the shortest, then the leftmost: every proper stretch of
+    a maximal segment sums to less), then the same to its left and right."""
 
     def recursive(lo, hi):
         best = None
@@ -146,14 +148,14 @@ def test_max_segments_match_recursion(values):
             total = 0
             for b in range(a, hi):
                 total += values[b]
-                if total > 0 and (best is None or total > best[2]):
+                if total > 0 and (best is None or total > best[2] or (total == best[2] and b + 1 - a < best[1] - best[0])):
                     best = (a, b + 1, total)
         if best is None:
             return []
         return recursive(lo, best[0]) + [best] + recursive(best[1], hi)
 
     got = toxicity.max_segments([float(v) for v in values])
-    assert sum(s for *_, s in got) == sum(s for *_, s in recursive(0, len(values)))
+    assert got == recursive(0, len(values))
     assert all(s == sum(values[a:b]) and s > 0 for a, b, s in got)
     assert all(x[1] <= y[0] for x, y in zip(got, got[1:]))
 
@@ -320,11 +322,26 @@ def test_ngram_join(spark, seed):
     assert sorted(r.doc_id for r in left.where("doc_id IS NOT NULL").collect()) == sorted(i for i, _, c in want if i is not None and i == c)
 
 
+def test_leader_answers_bound_other_pairs():
+    """What the leader's answers rule out does not link, and what they call sure links."""
+    rng = np.random.default_rng(8)
+    base = list(range(60))
+    sets = [set(base)] + [set(rng.choice(base, 60 - k % 20, replace=False).tolist()) | {100 * k + j for j in range(k % 17)} for k in range(1, 150)]
+    n = np.array([len(x) for x in sets])
+    answer = np.array([len(x & sets[0]) for x in sets])
+    answer[5::7] = -1  # not computed
+    pairs = {(min(i, j), max(i, j)): sure for i, j, sure in ngram_join.block_pairs(n, n, np.arange(150), np.full(150, -1), 75, answer, len(sets[0]))}
+    links = {(a, b) for a in range(150) for b in range(a + 1, 150) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    assert links <= pairs.keys() and {p for p, sure in pairs.items() if sure} <= links
+    plain = {tuple(sorted(p[:2])) for p in ngram_join.block_pairs(n, n, np.arange(150), np.full(150, -1), 75)}
+    assert len(pairs) < len(plain) and any(pairs.values())
+
+
 def test_block_pairs_skip_nothing_that_links():
     rng = np.random.default_rng(4)
     n, own = rng.integers(4, 200, 300), rng.integers(0, 30, 300)
     rest, component = np.maximum(1, n - own), rng.integers(0, 5, 300)
-    got = {tuple(sorted(p)) for p in ngram_join.block_pairs(n, rest, component, np.full(300, -1), 75)}
+    got = {tuple(sorted(p[:2])) for p in ngram_join.block_pairs(n, rest, component, np.full(300, -1), 75)}
     want = {(a, b) for a in range(300) for b in range(a + 1, 300) if component[a] != component[b] and 175 * min(rest[a], rest[b]) >= 75 * (n[a] + n[b]) and 100 * min(n[a], n[b]) >= 75 * max(n[a], n[b])}
     assert got == want
 
@@ -374,7 +391,10 @@ def test_log_bilinear_is_normalised_and_learns():
     for a in range(20):  # after (a, b) comes b + 1
         for b in range(20):
             grams[(a * (c + 1) + b) * c + (b + 1) % 20] = 50 + rng.integers(10)
-    table = lm_score.LogBilinear.train(grams).log10_table().reshape((c + 1) ** 2, c)
+    seen = np.nonzero(grams)[0]
+    context, target = np.divmod(seen, c)
+    by_class = np.bincount(target, grams[seen], c)
+    table = lm_score.LogBilinear.start(by_class, np.stack([*np.divmod(context, c + 1), target]), grams[seen], updates=400).log10_table().reshape((c + 1) ** 2, c)
     assert np.allclose((10**table).sum(1), 1)
     assert np.mean([table[a * (c + 1) + b, (b + 1) % 20] for a in range(20) for b in range(20)]) > math.log10(0.2)
 
@@ -386,11 +406,45 @@ def test_lm_learns_from_all_training_texts(spark):
     counts = Counter(w for t in texts for w in t.encode().split())
     assert tokens == sum(counts.values()) + len(texts)
     assert list(words.heavy) == sorted(counts, key=lambda w: (-counts[w], w))
-    by_class, heavy, grams = lm_score._statistics(rows, words, tokens)
-    assert by_class.sum() == grams.shape[1] == tokens and heavy[: len(counts)].tolist() == [counts[w] for w in words.heavy]
-    model = lm_score.LogBilinear.start(by_class, grams, updates=5)
-    assert lm_score._passed(rows, words, model) == tokens
-    assert [lm_score.classes_for(n) for n in (0, 10**6, 10**9)] == [128, 128, 1000]
+    grams, n = lm_score._sample(rows, words, tokens)
+    assert n.sum() == tokens and grams.shape == (3, len(n))
+    model = lm_score.LogBilinear.start(np.bincount(grams[2], n, words.classes), grams, n, updates=5)
+    before = model.flat()
+    by_class, heavy = lm_score._passed(rows, words, model)
+    assert by_class.sum() == tokens and heavy[: len(counts)].tolist() == [counts[w] for w in words.heavy]
+    assert not np.array_equal(before, model.flat())
+    assert [lm_score.classes_for(n) for n in (0, 10**6, 10**12)] == [128, 128, 4000]
+
+
+def test_lm_scores_by_brute_force(spark, monkeypatch):
+    """Every document's score again, word by word, from the model's table and plain counts; several flushes and buckets."""
+    monkeypatch.setattr(lm_score, "HEAVY", 300)
+    texts = [r[0] for r in duckdb.sql("SELECT text FROM '/root/testdata/sf0.001/documents.parquet'").fetchall()] + ODD + [None, "a b", "a b"]
+    docs = frame(spark, texts)
+    fitted = lm_score.fit(docs)
+    c = fitted.words.classes
+    table = fitted.model.log10_table().reshape(c + 1, c + 1, c)
+    train, kind_of = Counter(), {}
+    held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i in range(len(texts))}
+    kind = lambda w: int(fitted.words[w] & fitted.words.mask)
+    words = {i: [w.encode() for w in words_of(t)] for i, t in enumerate(texts)}
+    for i, own in words.items():
+        for w in own:
+            kind_of[w] = kind(w)
+            train[w] += not held[i]
+    by_class, distinct = Counter(), Counter()
+    for w, n in train.items():
+        by_class[kind_of[w]] += n
+        distinct[kind_of[w]] += n > 0
+    for r in lm_score.score(docs, fitted=fitted).collect():
+        want, before = 0.0, [c, c]
+        for w in [*words[r.doc_id], None]:
+            k = 0 if w is None else kind_of[w]
+            want += table[before[0], before[1], k]
+            if k >= c - c // 4:
+                want += math.log10(train[w] + 0.1) - math.log10(by_class[k] + 0.1 * (distinct[k] + 1))
+            before = [before[1], k]
+        assert r.score == pytest.approx(want, rel=1e-4, abs=1e-3), r
 
 
 # ---------------------------------------------------------------- tokens, packing, edits

@@ -6,14 +6,19 @@ log-bilinear model, trained by noise-contrastive estimation on every class trigr
 from a sample of them, then one update of a copy in each task for each batch of its trigrams, and the mean of the
 copies by their trigrams. It is normalised exactly by one matrix product over all contexts. The second factor comes
 from the counts of all training texts. Words and endings that name classes are the most frequent of all training
-texts, by heavy hitters of each task; the number of classes is the cube root of the training tokens, CLASSES at least.
-
-Counts of words: those on a bounded list of frequent words are summed in each task before they meet, all other
-words meet by hash in buckets, whose number grows with the input; a bucket returns sums by document.
-
-Defined cases: null text counts as empty and has the end token alone; repeated rows get the same values; a null id
-is hashed as the empty text; without training texts N and V are 0 and all tokens are unknown; an empty table gives
-an empty result; extra columns are ignored.
+texts, by heavy hitters of each task; the number of classes grows with the fourth root of the training tokens, so that
+the table of all contexts grows with the square root.
+
+Counts of words: those on a bounded list of frequent words are summed in each task and then by place, all other
+words meet by hash in buckets, whose number grows with the input. A task packs its documents in flushes of bounded
+size; a bucket returns sums to the flush, by the document's place in it. Frequent words are told apart exactly, others
+by their class and a hash of at least 48 bits: with a billion of them some dozens may share the counts of another.
+
+Defined cases: null text counts as empty and has the end token alone; very long texts are scored whole, in the task
+that reads them; among equally frequent words and endings the smaller in bytes comes first; repeated rows get the same
+values; a null id is hashed as the empty text; without training texts N and V are 0 and all tokens are unknown; an
+empty table gives an empty result; extra columns are ignored. Sums of floats may differ in their last digits from run
+to run.
 """
 
 from __future__ import annotations
@@ -24,27 +29,30 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import crc_mod, materialise, plan_bytes, quoted, raw_texts, steps
+from ._common import crc_mod, materialise, plan_bytes, quoted, raw_texts, release, steps
 from .blobs import pack, slices, unpack
 
 CLASSES = 128  # at least; class 0 is the end, the last quarter are endings, the one after all is the begin of a text
-HEAVY, COUNTED = 20_000, 600_000  # frequent words; words that a task counts at a time
-WIDTH, NOISE, BATCH, STEPS = 24, 128, 2048, 400
+CLASS_GROWTH = 4
+HEAVY, COUNTED = 20_000, 300_000  # frequent words; words that a task counts at a time
+WIDTH, NOISE, BATCH, STEPS = 24, 32, 4096, 300
 RATE, PASS_RATE = 0.15, 0.05
-CACHE_WORDS = 400_000
+CACHE_WORDS = 100_000
 SMOOTH = 0.1
-FLUSH = 1_500_000
+FLUSH, FLUSH_TOKENS, FLUSH_DOCS = 500_000, 1_000_000, 60_000  # words that meet by hash, tokens and documents of a flush
+BUCKET_BYTES = 8 << 20  # of the table, for a bucket of words
+ROWS = 64  # blobs that leave a task at a time
 _HEAVY_BIT = 1 << 63
 
 
 def classes_for(tokens: int) -> int:
-    """Classes whose trigrams are as many as the training tokens."""
-    return max(CLASSES, round(tokens ** (1 / 3)))
+    return max(CLASSES, round(CLASS_GROWTH * tokens**0.25))
 
 
 class Vocabulary(dict):
@@ -87,8 +95,7 @@ class Vocabulary(dict):
         return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
 
     def kinds(self, codes: np.ndarray) -> np.ndarray:
-        """Classes of a text and of its end."""
-        return np.append((codes & np.uint64(self.mask)).astype(np.int64), 0)
+        return (codes & np.uint64(self.mask)).astype(np.int64)
 
     def places(self, codes: np.ndarray) -> np.ndarray:
         """Of codes of heavy words, their places."""
@@ -135,47 +142,48 @@ def _vocabulary(rows: DataFrame) -> tuple[Vocabulary, int]:
     return Vocabulary([w for w, _ in top], names[: classes // 4 - 1], classes), tokens
 
 
-def _trigrams(kinds: np.ndarray, classes: int) -> np.ndarray:
-    """(two classes before, class) of one text, whose classes end with 0; before a text is the class after all."""
-    before = np.concatenate([[classes, classes], kinds[:-1]])
-    return np.stack([before[:-1], before[1:], kinds])
+class Texts:
+    """The codes of some texts, one after the other, and their class trigrams; each text ends with class 0."""
+
+    def __init__(self, words: Vocabulary, texts: list[bytes]) -> None:
+        each = [words.codes(t) for t in texts]
+        self.codes = np.concatenate([np.zeros(0, np.uint64), *each])
+        self.n = np.array([len(c) for c in each], np.int64)
+        self.doc = np.repeat(np.arange(len(each)), self.n)
+        self.ends = np.cumsum(self.n + 1) - 1
+        self.starts = self.ends - self.n
+        self.target = np.zeros(len(self.codes) + len(each), np.int64)
+        inner = np.ones(len(self.target), bool)
+        inner[self.ends] = False
+        self.target[inner] = words.kinds(self.codes)
+        self.two = np.append(words.classes, self.target[:-1])[: len(self.target)]
+        self.two[self.starts] = words.classes  # before a text is the class after all
+        self.one = np.append(words.classes, self.two[:-1])[: len(self.target)]
+        self.one[self.starts] = words.classes
+        self.heavy = self.codes >= _HEAVY_BIT
+        self.place = words.places(self.codes[self.heavy])
+
+    def grams(self) -> np.ndarray:
+        return np.stack([self.one, self.two, self.target])
 
 
-def _statistics(rows: DataFrame, words: Vocabulary, tokens: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Classes and heavy words of all training texts, counted in each task and then summed; and a sample of trigrams."""
-    share = min(1.0, STEPS * BATCH / max(1, tokens))
+def _sample(rows: DataFrame, words: Vocabulary, tokens: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct class trigrams of about STEPS * BATCH tokens of training texts, and how often they occur there."""
+    wide = words.classes + 1
 
     def counted(batches):
-        counts, sample = np.zeros(words.classes + HEAVY, np.int64), []
-        place = TaskContext.get().partitionId()
-        rng = np.random.default_rng(place)
         for batch in batches:
             for step in steps([batch], "text"):
-                for text in raw_texts(step.column("text")):
-                    codes = words.codes(text)
-                    kinds = words.kinds(codes)
-                    counts[: words.classes] += np.bincount(kinds, minlength=words.classes)
-                    counts[words.classes :] += np.bincount(words.places(codes[codes >= _HEAVY_BIT]), minlength=HEAVY)
-                    own = np.nonzero(rng.random(len(kinds)) < share)[0]
-                    sample.append(_trigrams(kinds, words.classes)[:, own])
-        grams = np.concatenate([np.zeros((3, 0), np.int64), *sample], axis=1).astype("<i4")
-        parts = [(k, pack(counts[own])) for k, own in slices(np.arange(len(counts)) >> 12)] + [(-1 - place, pack(*grams))]
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int32()), pa.array([b for _, b in parts], pa.binary())], ["k", "b"])
-
-    def summed(table: pa.Table) -> pa.Table:
-        if table.column("k")[0].as_py() < 0:
-            return table
-        total = sum(unpack(blob, "<i8")[0] for blob in table.column("b").to_pylist())
-        return pa.table({"k": table.column("k")[:1], "b": pa.array([pack(total)], pa.binary())})
-
-    counts, sample = np.zeros(words.classes + HEAVY, np.int64), []
-    found = rows.where("NOT held").select("text").mapInArrow(counted, "k int, b binary").groupBy("k").applyInArrow(summed, "k int, b binary").collect()
-    for k, blob in sorted((r.k, bytes(r.b)) for r in found):
-        if k < 0:
-            sample.append(np.stack(unpack(blob, "<i4", "<i4", "<i4")))
-        else:
-            counts[k << 12 : k + 1 << 12] = unpack(blob, "<i8")[0]
-    return counts[: words.classes], counts[words.classes :], np.concatenate([np.zeros((3, 0), np.int32), *sample], axis=1).astype(np.int64)
+                one, two, target = Texts(words, raw_texts(step.column("text"))).grams()
+                k, n = np.unique((one * wide + two) * wide + target, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n)], ["k", "n"])
+
+    some = rows.where("NOT held").select("text").sample(fraction=min(1.0, STEPS * BATCH / max(1, tokens)), seed=11)
+    got = some.mapInArrow(counted, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+    k, n = got.column("k").to_numpy(), got.column("n").to_numpy()
+    order = np.argsort(k)
+    context, target = np.divmod(k[order], wide)
+    return np.stack([*np.divmod(context, wide), target]), n[order]
 
 
 class LogBilinear:
@@ -185,20 +193,14 @@ class LogBilinear:
 
     def __init__(self, rng: np.random.Generator, by_class: np.ndarray) -> None:
         classes = len(by_class)
-        small = lambda *shape: rng.normal(0, 0.1, shape)
+        small = lambda *shape: rng.normal(0, 0.1, shape).astype(np.float32)
         self.r, self.q = small(classes + 1, WIDTH), small(classes, WIDTH)
-        self.a, self.b = np.eye(WIDTH) * 0.5, np.eye(WIDTH) * 0.8
-        self.noise = (by_class + 0.5) / (by_class + 0.5).sum()
-        self.bias = np.log(self.noise)
+        self.a, self.b = np.eye(WIDTH, dtype=np.float32) * np.float32(0.5), np.eye(WIDTH, dtype=np.float32) * np.float32(0.8)
+        noise = (by_class + 0.5) / (by_class + 0.5).sum()
+        self.noise, self.drawn = np.log(NOISE * noise).astype(np.float32), np.cumsum(noise)
+        self.bias = np.log(noise).astype(np.float32)
         self.square = {n: np.full_like(getattr(self, n), 1e-2) for n in self.NAMES}
 
-    @classmethod
-    def train(cls, grams: np.ndarray, updates: int = STEPS, seed: int = 5) -> LogBilinear:
-        """From counts of all trigrams of CLASSES classes, flat."""
-        seen = np.nonzero(grams)[0]
-        context, target = np.divmod(seen, CLASSES)
-        return cls.start(grams.reshape(-1, CLASSES).sum(0), np.stack([*np.divmod(context, CLASSES + 1), target]), grams[seen], updates, seed)
-
     @classmethod
     def start(cls, by_class: np.ndarray, grams: np.ndarray, weights: np.ndarray | None = None, updates: int = STEPS, seed: int = 5) -> LogBilinear:
         """A model from trigrams, drawn by their weights."""
@@ -213,25 +215,24 @@ class LogBilinear:
         return model
 
     def update(self, grams: np.ndarray, rng: np.random.Generator, rate: float) -> None:
-        """A step of noise-contrastive estimation with Adagrad; the batch shares NOISE classes drawn by the class counts."""
+        """A step of noise-contrastive estimation with Adagrad; the batch shares NOISE classes drawn by the class
+        counts. Products with A and B are taken by class, not by trigram."""
         one, two, target = grams
         n = len(target)
-        picks = np.minimum(np.searchsorted(np.cumsum(self.noise), rng.random(NOISE)), len(self.noise) - 1)
-        ra, rb, qt, qn = self.r[one], self.r[two], self.q[target], self.q[picks]
-        hidden = ra @ self.a.T + rb @ self.b.T
-        log_kq = np.log(NOISE * self.noise)
-        true = np.einsum("ij,ij->i", hidden, qt) + (self.bias - log_kq)[target]
-        false = hidden.astype(np.float32) @ qn.T.astype(np.float32) + (self.bias - log_kq)[picks].astype(np.float32)
-        up = (1 / (1 + np.exp(np.clip(true, -30, 30)))) / n
-        down = np.float32(-1 / n) / (1 + np.exp(-np.clip(false, -30, 30)))
-        grad_hidden = up[:, None] * qt + down @ qn.astype(np.float32)
-        grad_q, grad_bias = _summed(target, up[:, None] * hidden, len(self.q)), np.bincount(target, up, len(self.q))
-        np.add.at(grad_q, picks, down.T @ hidden.astype(np.float32))
+        picks = np.minimum(np.searchsorted(self.drawn, rng.random(NOISE)), len(self.bias) - 1)
+        offset = self.bias - self.noise
+        hidden = (self.r @ self.a.T)[one] + (self.r @ self.b.T)[two]
+        qt, qn = self.q[target], self.q[picks]
+        up = 1 / (1 + np.exp(np.clip(np.einsum("ij,ij->i", hidden, qt) + offset[target], -30, 30))) / np.float32(n)
+        down = np.float32(-1 / n) / (1 + np.exp(-np.clip(hidden @ qn.T + offset[picks], -30, 30)))
+        grad_hidden = up[:, None] * qt + down @ qn
+        grad_q, grad_bias = _summed(target, up[:, None] * hidden, len(self.q)), np.bincount(target, up, len(self.q)).astype(np.float32)
+        np.add.at(grad_q, picks, down.T @ hidden)
         np.add.at(grad_bias, picks, down.sum(0))
-        grad_r = _summed(one, grad_hidden @ self.a, len(self.r)) + _summed(two, grad_hidden @ self.b, len(self.r))
-        for name, grad in zip(self.NAMES, (grad_r, grad_q, grad_hidden.T @ ra, grad_hidden.T @ rb, grad_bias)):
+        by_one, by_two = _summed(one, grad_hidden, len(self.r)), _summed(two, grad_hidden, len(self.r))
+        for name, grad in zip(self.NAMES, (by_one @ self.a + by_two @ self.b, grad_q, by_one.T @ self.r, by_two.T @ self.r, grad_bias)):
             self.square[name] += grad**2 * n
-            getattr(self, name)[...] += rate * grad * math.sqrt(n) / np.sqrt(self.square[name])
+            getattr(self, name)[...] += np.float32(rate * math.sqrt(n)) * grad / np.sqrt(self.square[name])
 
     def flat(self) -> np.ndarray:
         return np.concatenate([getattr(self, n).ravel() for n in self.NAMES])
@@ -245,7 +246,8 @@ class LogBilinear:
 
     def parts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Natural log of P(c | a, b) is left[a, c] + right[b, c] - total[a, b], normalised over all classes."""
-        left, right = self.r @ self.a.T @ self.q.T, self.r @ self.b.T @ self.q.T + self.bias
+        r, q = self.r.astype(float), self.q.astype(float)
+        left, right = r @ self.a.T @ q.T, r @ self.b.T @ q.T + self.bias
         high_left, high_right = left.max(1, keepdims=True), right.max(1, keepdims=True)
         left, right = left - high_left, right - high_right
         return left, right, np.log(np.maximum(np.exp(left) @ np.exp(right).T, 1e-300))
@@ -261,7 +263,7 @@ def _summed(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     order = np.argsort(at, kind="stable")
     places = at[order]
     first = np.concatenate([[0], np.nonzero(np.diff(places))[0] + 1])
-    out = np.zeros((n, rows.shape[1]))
+    out = np.zeros((n, rows.shape[1]), rows.dtype)
     out[places[first]] = np.add.reduceat(rows[order], first, axis=0)
     return out
 
@@ -277,11 +279,13 @@ def _one_thread() -> None:
                 limit(1)
 
 
-def _passed(rows: DataFrame, words: Vocabulary, model: LogBilinear) -> int:
-    """Trains the model on every trigram of all training texts: a copy in each task, then their mean. Returns the trigrams."""
+def _passed(rows: DataFrame, words: Vocabulary, model: LogBilinear) -> tuple[np.ndarray, np.ndarray]:
+    """Trains the model on every trigram of all training texts: a copy in each task, then their mean. Returns the
+    counts of classes and of heavy words in all of them. Sums meet by place, a row each."""
+    counted = words.classes + HEAVY
 
     def trained(batches):
-        rng = np.random.default_rng(TaskContext.get().partitionId())
+        counts, rng = np.zeros(counted), np.random.default_rng(TaskContext.get().partitionId())
         held: list = []
         size = n = 0
         _one_thread()
@@ -294,164 +298,166 @@ def _passed(rows: DataFrame, words: Vocabulary, model: LogBilinear) -> int:
 
         for batch in batches:
             for step in steps([batch], "text"):
-                for text in raw_texts(step.column("text")):
-                    held.append(_trigrams(words.kinds(words.codes(text)), words.classes))
-                    size += held[-1].shape[1]
-                    if size >= 64 * BATCH:
-                        learn()
-                        n, size = n + size, 0
+                texts = Texts(words, raw_texts(step.column("text")))
+                counts[: words.classes] += np.bincount(texts.target, minlength=words.classes)
+                counts[words.classes :] += np.bincount(texts.place, minlength=HEAVY)
+                held.append(texts.grams().astype(np.int32))
+                size += held[-1].shape[1]
+                if size >= 64 * BATCH:
+                    learn()
+                    n, size = n + size, 0
         if size:
             learn()
             n += size
         if n:
-            flat = np.append(model.flat() * n, n)
-            for key, own in slices(np.arange(len(flat)) >> 12):
-                yield pa.RecordBatch.from_arrays([pa.array([key], pa.int32()), pa.array([pack(flat[own])], pa.binary())], ["k", "b"])
+            sums = np.concatenate([counts, model.flat().astype(float) * n, [n]])
+            own = np.nonzero(sums)[0]
+            for at in range(0, len(own), 10_000):
+                yield pa.RecordBatch.from_arrays([pa.array(own[at : at + 10_000]), pa.array(sums[own[at : at + 10_000]])], ["k", "v"])
 
-    def summed(table: pa.Table) -> pa.Table:
-        total = sum(unpack(blob, "<f8")[0] for blob in table.column("b").to_pylist())
-        return pa.table({"k": table.column("k")[:1], "b": pa.array([pack(total)], pa.binary())})
+    found = rows.where("NOT held").select("text").mapInArrow(trained, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).toArrow()
+    total = np.zeros(counted + len(model.flat()) + 1)
+    total[found.column("k").to_numpy()] = found.column("v").to_numpy()
+    if total[-1]:
+        model.take(total[counted:-1] / total[-1])
+    counts = np.rint(total[:counted]).astype(np.int64)
+    return counts[: words.classes], counts[words.classes :]
 
-    found = rows.where("NOT held").select("text").mapInArrow(trained, "k int, b binary").groupBy("k").applyInArrow(summed, "k int, b binary").collect()
-    if not found:
-        return 0
-    flat = np.concatenate([unpack(bytes(r.b), "<f8")[0] for r in sorted(found, key=lambda r: r.k)])
-    model.take(flat[:-1] / flat[-1])
-    return int(flat[-1])
 
+class Fitted:
+    """What scoring needs: the words, the model, and the training counts of classes and of heavy words."""
 
-def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
+    def __init__(self, words: Vocabulary, model: LogBilinear, by_class: np.ndarray, heavy: np.ndarray) -> None:
+        self.words, self.model, self.by_class, self.heavy = words, model, by_class, heavy
+
+
+def _rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = df.select(quoted(id_col).cast("long").alias("i"), quoted(text_col).cast("string").alias("text"))
-    rows = rows.withColumn("held", crc_mod(F.col("i"), 10) == 0)
+    return rows.withColumn("held", crc_mod(F.col("i"), 10) == 0)
+
+
+def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Fitted:
+    rows = _rows(df, id_col, text_col)
     words, tokens = _vocabulary(rows)
-    by_class, heavy, grams = _statistics(rows, words, tokens)  # training tokens by class
-    model = LogBilinear.start(by_class, grams)
-    _passed(rows, words, model)
+    grams, weights = _sample(rows, words, tokens)
+    model = LogBilinear.start(np.bincount(grams[2], weights, words.classes), grams, weights)
+    return Fitted(words, model, *_passed(rows, words, model))
+
+
+def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fitted: Fitted | None = None) -> DataFrame:
+    """id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
+    fitted = fitted or fit(df, id_col, text_col)
+    words, model, by_class, heavy = fitted.words, fitted.model, fitted.by_class, fitted.heavy
     n_train, n_texts = int(by_class.sum()), int(by_class[0])
     heavy_log, heavy_known = np.log10(heavy + SMOOTH), heavy > 0
     end_log = math.log10(n_texts + SMOOTH)
-    buckets = max(24, -(-2 * plan_bytes(df) // (32 << 20)))
+    size = plan_bytes(df)
+    buckets = max(64, -(-size // BUCKET_BYTES))
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // (2 * BUCKET_BYTES)))
     n_words, n_endings = words.n_words, words.n_endings
     rare_from = words.classes - n_endings
+    top = np.uint64(_HEAVY_BIT)
 
     def scanned(batches):
         left, right, total = (x.astype(np.float32) for x in model.parts())
-        held: list = []  # codes, document, of the words that meet by hash
-        prints: list[int] = []
-        trains: list[bool] = []
-        size = 0
+        place = TaskContext.get().partitionId()
+        held: list[list[np.ndarray]] = []
+        flushes = docs = rare = tokens = 0
 
         def flush():
-            nonlocal size
-            codes = np.concatenate([c for c, _ in held]) if held else np.zeros(0, np.uint64)
-            doc = np.concatenate([np.full(len(c), d, np.uint32) for c, d in held]) if held else np.zeros(0, np.uint32)
-            names, train = np.array(prints, np.uint64), np.array(trains, np.uint8)
-            for key, own in slices(((codes >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)):
-                yield key, pack(names, train, codes[own], doc[own])
-            held.clear(), prints.clear(), trains.clear()
-            size = 0
-
-        def batch_of(kind: list, key: list, blob: list, docs: list | None = None):
-            n = len(kind)
-            columns = [list(x) for x in zip(*docs)] if docs else [[None] * n for _ in range(9)]
-            types = (pa.int64(), pa.bool_(), pa.uint64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.int64())
-            arrays = [pa.array(c, t).cast(pa.int64(), safe=False) if t == pa.uint64() else pa.array(c, t) for c, t in zip(columns[:8], types)]
-            return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(blob, pa.binary()), *arrays], ["k", "b", "i", "held", "fp", "n", "known", "base", "lm", "classes"])
+            """One row with all that the flush knows of its documents, and one for each bucket of its rare words."""
+            nonlocal flushes, docs, rare, tokens
+            *facts, codes, doc = (np.concatenate(x) for x in zip(*held))
+            f = -1 - (place << 32 | flushes)
+            flushes += 1
+            docs = rare = tokens = 0
+            held.clear()
+            out = [(f, f, pack(*facts), None)]
+            for key, own in slices((((codes >> np.uint64(20)) & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)).astype(np.int64)):
+                step = np.diff(doc[own], prepend=0)
+                out.append((key, f, None, pack(codes[own], (step & 255).astype("u1"), (step >> 8).astype("<u2"))))
+            for at in range(0, len(out), ROWS):
+                k, flush_of, b, d = zip(*out[at : at + ROWS])
+                n = len(k)
+                yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(flush_of, pa.int64()), pa.array(b, pa.binary()), pa.array(d, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], ["k", "f", "b", "d", "c", "n"])
 
         for batch in batches:
             for step in steps([batch], "text"):
-                docs, keys = [], []
-                for i, out, text in zip(step.column("i").to_pylist(), step.column("held").to_pylist(), raw_texts(step.column("text"))):
-                    codes = words.codes(text)
-                    kinds = words.kinds(codes)
-                    own = codes >= _HEAVY_BIT
-                    place = words.places(codes[own])
-                    one, two, target = _trigrams(kinds, words.classes)
-                    lm = float((left[one, target] + right[two, target] - total[one, two]).sum(dtype=float)) / math.log(10)
-                    fp = xxhash.xxh64_intdigest(b"%s\n" % str(i).encode() + text)
-                    endings = np.bincount(kinds[kinds >= rare_from] - rare_from, minlength=n_endings).astype("<u4")
-                    # Words with a class of their own have probability 1 in it; words of endings are weighted by their counts.
-                    inner = float(heavy_log[place[place >= n_words]].sum())
-                    known = int(heavy_known[place].sum()) + (n_texts > 0)
-                    docs.append((i, out, fp, len(kinds), known, float(heavy_log[place].sum()) + end_log, lm + inner, endings.tobytes(), 0))
-                    keys.append(fp % buckets)
-                    if not own.all():
-                        held.append((codes[~own], len(prints)))
-                        prints.append(fp)
-                        trains.append(not out)
-                        size += int((~own).sum())
-                if docs:
-                    yield batch_of([0] * len(docs), keys, [None] * len(docs), docs)
-                if size >= FLUSH:
-                    for key, blob in flush():
-                        yield batch_of([1], [key], [blob])
-        for key, blob in flush():
-            yield batch_of([1], [key], [blob])
-
-    fields = "i long, held boolean, fp long, n long, known long, base double, lm double, classes binary"
+                if not step.num_rows:
+                    continue
+                ids = step.column("i")
+                out = step.column("held").to_numpy(zero_copy_only=False)
+                texts = Texts(words, raw_texts(step.column("text")))
+                n = len(texts.n)
+                lm = np.add.reduceat(left[texts.one, texts.target] + right[texts.two, texts.target] - total[texts.one, texts.two], texts.starts, dtype=float) / math.log(10)
+                of = texts.doc[texts.heavy]
+                log = heavy_log[texts.place]
+                base = np.bincount(of, log, n) + end_log
+                # Words with a class of their own have probability 1 in it; words of endings are weighted by their counts.
+                lm += np.bincount(of, log * (texts.place >= n_words), n)
+                known = np.bincount(of, heavy_known[texts.place], n).astype(np.int64) + (n_texts > 0)
+                kinds = words.kinds(texts.codes)
+                ending = kinds >= rare_from
+                other = ~texts.heavy
+                codes = np.where(out[texts.doc[other]], texts.codes[other], texts.codes[other] | top)  # the top bit: a training text's
+                held.append([pc.fill_null(ids, 0).to_numpy(), np.asarray(ids.is_null()).astype("u1"), out.astype("u1"), texts.n + 1, known, base, lm,
+                             np.bincount(texts.doc[ending], minlength=n).astype("<u4"), (kinds[ending] - rare_from).astype("<u4"), codes, texts.doc[other] + docs])
+                docs, rare, tokens = docs + n, rare + len(codes), tokens + len(texts.codes)
+                if rare >= FLUSH or docs >= FLUSH_DOCS or tokens >= FLUSH_TOKENS:
+                    yield from flush()
+        if held:
+            yield from flush()
+        release()
+
+    kind = "k long, f long, b binary, d binary, c long, n long"
 
     def met(table: pa.Table) -> pa.Table:
-        """Of one bucket: its document rows as they are, counts of its words, and sums by document."""
-        import pyarrow.compute as pc
-
-        docs = table.filter(pc.is_null(table.column("b"))).drop_columns(["b"])
-        blobs = [unpack(b, "<u8", "u1", "<u8", "<u4") for b in table.filter(pc.is_valid(table.column("b"))).column("b").to_pylist()]
-        parts = [docs.append_column("b", pa.nulls(docs.num_rows, pa.binary())).append_column("v", pa.nulls(docs.num_rows, pa.binary()))]
-        if blobs:
-            codes = np.concatenate([b[2] for b in blobs])
-            print_of = np.concatenate([b[0][b[3]] for b in blobs])
-            train = np.concatenate([b[1][b[3]] for b in blobs])
-            word, at = np.unique(codes, return_inverse=True)
-            count = np.bincount(at, train, len(word))
-            distinct = np.bincount(((word & np.uint64(words.mask)).astype(np.int64) - rare_from)[count > 0], minlength=n_endings).astype("<i8")
-            name, doc = np.unique(print_of, return_inverse=True)
-            total, known = np.bincount(doc, np.log10(count + SMOOTH)[at], len(name)), np.bincount(doc, (count > 0)[at], len(name))
-            out = [(key, pack(name[own], total[own], known[own]), None) for key, own in slices((name % np.uint64(buckets)).astype(np.int64))] + [(-1, None, distinct.tobytes())]
-            parts.append(pa.table({"k": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.binary()), "v": pa.array([x[2] for x in out], pa.binary())} | {f.name: pa.nulls(len(out), f.type) for f in docs.schema if f.name != "k"}))
-        order = ["k", "b", "v", "i", "held", "fp", "n", "known", "base", "lm", "classes"]
-        return pa.concat_tables([p.select(order) for p in parts])
-
-    first = rows.mapInArrow(scanned, f"k long, b binary, {fields}").groupBy("k").applyInArrow(met, f"k long, b binary, v binary, {fields}")
-    kept = materialise(first, "lm-sums")
-
-    def added(batches):
-        total = np.zeros(n_endings, np.int64)
-        for batch in batches:
-            for v in batch.column("v").to_pylist():
-                total += np.frombuffer(v, "<i8")
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n_endings)), pa.array(total)], ["c", "n"])
-
+        """Of one bucket: sums by the documents of each flush, and its words in training texts by ending; others as they are."""
+        if table.column("k")[0].as_py() < 0:
+            return table
+        flushes = table.column("f").to_pylist()
+        blobs = [unpack(b, "<u8", "u1", "<u2") for b in table.column("d").to_pylist()]
+        codes = np.concatenate([b[0] for b in blobs])
+        word, at = np.unique(codes & ~top, return_inverse=True)
+        count = np.bincount(at, codes >= top, len(word))
+        distinct = np.bincount(((word & np.uint64(words.mask)).astype(np.int64) - rare_from)[count > 0], minlength=n_endings)
+        log, seen, first, out = np.log10(count + SMOOTH)[at], (count > 0)[at], 0, []
+        for f, (own, low, high) in zip(flushes, blobs):
+            doc, of = np.unique(np.cumsum(low.astype(np.int64) | high.astype(np.int64) << 8), return_inverse=True)
+            here = slice(first, first + len(own))
+            out.append((f, pack(doc.astype("<u4"), np.bincount(of, log[here]), np.bincount(of, seen[here]).astype("<u4"))))
+            first += len(own)
+        c = np.nonzero(distinct)[0]
+        n = len(c)
+        f = pa.array([x[0] for x in out] + [None] * n, pa.int64())
+        return pa.table({"k": f, "f": f, "b": pa.nulls(len(f), pa.binary()), "d": pa.array([x[1] for x in out] + [None] * n, pa.binary()), "c": pa.array([None] * len(out) + c.tolist(), pa.int64()), "n": pa.array([None] * len(out) + distinct[c].tolist(), pa.int64())})
+
+    kept = materialise(_rows(df, id_col, text_col).mapInArrow(scanned, kind).repartition(parts, "k").groupBy("k").applyInArrow(met, kind), "lm-sums")
     distinct = np.zeros(n_endings, np.int64)
-    for c, n in kept.where("k = -1").select("v").mapInArrow(added, "c long, n long").groupBy("c").agg(F.sum("n")).collect():
+    for c, n in kept.where("c IS NOT NULL").groupBy("c").agg(F.sum("n")).collect():  # a row for each ending at most
         distinct[c] = n
     n_types = int(distinct.sum() + heavy_known.sum() + (n_texts > 0))
-    order = list(words.heavy)
-    for place, word in enumerate(order):
+    for place, word in enumerate(words.heavy):
         if place >= n_words and heavy_known[place]:
             distinct[words.endings.get(Vocabulary.ending(word), n_endings - 1)] += 1
     base_scale = math.log10(n_train + SMOOTH * (n_types + 1))
     class_scale = np.log10(by_class[rare_from:] + SMOOTH * (distinct + 1))
 
     def closed(table: pa.Table) -> pa.Table:
-        import pyarrow.compute as pc
-
-        docs = table.filter(pc.is_null(table.column("b")))
-        blobs = [unpack(b, "<u8", "<f8", "<f8") for b in table.filter(pc.is_valid(table.column("b"))).column("b").to_pylist()]
-        fp = docs.column("fp").to_numpy().astype(np.int64).view(np.uint64)
-        own, at, copies = np.unique(fp, return_inverse=True, return_counts=True)
-        total, known = np.zeros(len(own)), np.zeros(len(own))
-        for name, t, k in blobs:
-            place = np.searchsorted(own, name)
-            np.add.at(total, place, t)
-            np.add.at(known, place, k)
-        total, known = (total / copies)[at], np.rint(known / copies)[at].astype(np.int64)  # repeated rows have added up
-        n = docs.column("n").to_numpy()
-        inside = np.array([np.dot(np.frombuffer(c, "<u4"), class_scale) for c in docs.column("classes").to_pylist()], dtype=float)
+        """Of one flush, its documents with the sums that the buckets have returned."""
+        blobs = table.column("b").to_pylist()
+        ids, null, out, n, known, base, lm, endings, ending = unpack(next(b for b in blobs if b is not None), "<i8", "u1", "u1", "<i8", "<i8", "<f8", "<f8", "<u4", "<u4")
+        total, more = np.zeros(len(n)), np.zeros(len(n), np.int64)
+        for blob in table.column("d").to_pylist():
+            if blob is not None:
+                doc, log, seen = unpack(blob, "<u4", "<f8", "<u4")
+                total[doc] += log
+                more[doc] += seen
+        inside = np.bincount(np.repeat(np.arange(len(n)), endings), class_scale[ending], len(n))
         return pa.table({
-            "i": docs.column("i"), "held_out": docs.column("held"), "n_tokens": docs.column("n"), "n_known": pa.array(docs.column("known").to_numpy() + known), "train_tokens": pa.array(np.full(len(n), n_train)),
-            "base_score": pa.array(docs.column("base").to_numpy() + total - n * base_scale), "score": pa.array(docs.column("lm").to_numpy() + total - inside),
+            "i": pa.array(ids, mask=null == 1), "held_out": pa.array(out == 1), "n_tokens": pa.array(n), "n_known": pa.array(known + more), "train_tokens": pa.array(np.full(len(n), n_train)),
+            "base_score": pa.array(base + total - n * base_scale), "score": pa.array(lm + total - inside),
         })
 
-    done = kept.where("k >= 0").drop("v").groupBy("k").applyInArrow(closed, "i long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    done = kept.where("k IS NOT NULL").select("k", "b", "d").repartition(parts, "k").groupBy("k").applyInArrow(closed, "i long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return done.withColumnRenamed("i", id_col)

@@ -8,7 +8,9 @@ whole. Neither labels, lang, source nor the id enter a score.
 
 Defined cases: null text counts as empty, and empty texts get the score of their bins; labels that are null are
 not learnt from; with no labelled row, or one class only, every score is the smoothed share of label 1; an empty
-table gives an empty result; extra columns are ignored by ``score`` and kept by ``keep``.
+table gives an empty result; very long texts are measured whole; values on a bin's edge are in the upper bin, and of
+trees that gain the same the one that cuts first is taken; repeated rows get the same score, and each that is labelled
+is learnt from; extra columns are ignored by ``score`` and kept by ``keep``.
 """
 
 from __future__ import annotations

@@ -11,7 +11,9 @@ source and the id never enter a score.
 
 Defined cases: null text counts as empty; texts without tokens get the score of a text without segments; null
 labels are not learnt from; with one class or no labels all scores are the smoothed share of label 1; an empty
-table gives an empty result; extra columns are ignored.
+table gives an empty result; very long texts are one scan, in the task that reads them; of stretches with the same sum
+the shortest is the segment, so [1, -1, 2] has the segments [1] and [2]; repeated rows get the same score, and each
+that is labelled is learnt from; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import quoted, raw_texts, steps
+from ._common import materialise, quoted, raw_texts, steps
 from .quality import training_rows
 
 SAMPLE_ROWS = 20_000
@@ -158,7 +160,7 @@ def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> ToxicModel:
-    rows = training_rows(docs, labels, "toxic", 4, 2, id_col, text_col, sample_rows)
+    rows = materialise(training_rows(docs, labels, "toxic", 4, 2, id_col, text_col, sample_rows), "toxic-training")  # read twice
     counts, (n0, n1) = _counts(rows)
     model = ToxicModel()
     share = (n1 + 1) / (n0 + n1 + 2)

@@ -12,7 +12,8 @@ Payload rule: of records with equal payloads of at least LEAST_REVISIT bytes the
 response and the others are revisits of it; smaller payloads are always responses.
 
 Defined cases: a null payload is empty; a null id is a response unless a row with an id has the same payload of
-that size; repeated rows with the smallest id are all responses; null URLs become empty; an empty table gives no
+that size; repeated rows with the smallest id are all responses; null URLs become empty; a very long
+payload is one record, in a package of its own where it is larger than that; an empty table gives no
 archive and an empty result; extra columns are ignored.
 """
 
