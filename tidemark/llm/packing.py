@@ -92,10 +92,11 @@ def lower_bound(counts: np.ndarray, capacity: int) -> int:
 
 
 class Sums:
-    """Which sums the sizes at hand can make, however often each is taken: a quick test that prunes the enumeration."""
+    """Which sums the sizes of a histogram can make, however often each is taken: a quick test that prunes the
+    enumeration, built once for a search."""
 
     def __init__(self, sizes: list[int], room: int) -> None:
-        self.sizes, mask = sizes, (1 << room + 1) - 1
+        mask = (1 << room + 1) - 1
         self.up_to: dict[int, int] = {}  # sums of sizes up to each size, as bits
         bits = 1
         for s in reversed(sizes):
@@ -106,7 +107,7 @@ class Sums:
             self.up_to[s] = bits
 
 
-def fillings(counts: np.ndarray, room: int, waste: int, steps_left: list[int]) -> Iterator[tuple[int, ...]]:
+def fillings(counts: np.ndarray, room: int, waste: int, sums: Sums, steps_left: list[int]) -> Iterator[tuple[int, ...]]:
     """Every undominated filling of `room` that wastes no more than `waste`, least waste first, made one at a time. A
     filling is dominated if a larger piece at hand could take the place of some of its pieces. Ends early, with nothing
     left in steps_left, when the search has spent its steps."""
@@ -115,7 +116,6 @@ def fillings(counts: np.ndarray, room: int, waste: int, steps_left: list[int]) -
         if waste >= room:
             yield ()
         return
-    sums = Sums(have, room)
     at_hand = counts > 0
 
     def exact(total: int, first: int, taken: tuple[int, ...]) -> Iterator[tuple[int, ...]]:
@@ -184,6 +184,7 @@ def bin_completion(histogram: dict[int, int], capacity: int = CAPACITY, most_ste
     best = best_fit(histogram, capacity)
     best_bins = sum(n for _, n in best)
     steps_left = [most_steps]
+    sums = Sums([int(s) for s in np.nonzero(start)[0][::-1] if s], capacity)
 
     def branches(counts: np.ndarray, left: int, bins: int) -> Iterator[tuple[tuple[int, ...], int]]:
         """Patterns around the largest piece and how often each is used, lazily: what can be wasted shrinks with the incumbent."""
@@ -191,7 +192,7 @@ def bin_completion(histogram: dict[int, int], capacity: int = CAPACITY, most_ste
         rest = counts.copy()
         rest[largest] -= 1
         afford = (best_bins - 1 - bins) * capacity - left
-        for filling in fillings(rest, capacity - largest, min(afford, capacity - largest), steps_left):
+        for filling in fillings(rest, capacity - largest, min(afford, capacity - largest), sums, steps_left):
             need = Counter((largest, *filling))
             for times in range(min(int(counts[s]) // n for s, n in need.items()), 0, -1):
                 yield (largest, *filling), times
