@@ -1,5 +1,11 @@
 """A corpus in five stages: reject low quality, drop exact copies, keep one of each near-duplicate group, remove
-documents that hold benchmark items, pack the rest into sequences. Each stage works on all that the one before kept."""
+documents that hold benchmark items, pack the rest into sequences. Each stage works on all that the one before kept.
+
+Defined cases: null texts count as empty in every stage, and of all empty texts one at most stays; rows with a null id
+stay in near_duplicates, which decides by id, and lose to any id in exact_copies; rows that share an id go or stay
+together in near_duplicates and are packed each for itself; very long texts are handled whole; of equal texts with
+equal ids one row stays; an empty table gives an empty result with the same columns; extra columns are kept by all
+stages but the last."""
 
 from __future__ import annotations
 

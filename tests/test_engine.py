@@ -74,9 +74,10 @@ def test_sessions_from_json_lines(tmp_path, spark):
     t = sorted(sessions.trajectories(sessions.parse_messages(sessions.read_lines(spark, str(tmp_path)))).collect(), key=lambda r: r.n)
     assert [r.user_message for r in t] == ["first question", "second"]
     assert t[0].assistant == ["answer"] and t[0].tool_calls[0].output == "ok\ndone" and t[0].repo == "repo"
-    a = spark.createDataFrame([(["Write"], ['{"file_path":"/a.py"}'], "see https://h.org/o/r/pull/12 and http://localhost/x")], "n array<string>, i array<string>, t string")
-    got = a.select(sessions.artifacts(F.col("n"), F.col("i"), F.col("t")).alias("a"), sessions.file_paths(F.col("i")).alias("p")).first()
-    assert [(x.kind, x.ref) for x in got.a] == [("file", "/a.py"), ("pr", "https://h.org/o/r/pull/12")] and got.p == ["/a.py"]
+    a = spark.createDataFrame([(["Write"], ['{"file_path":"/a.py"}'], "see https://github.com/o/r/pull/12, https://h.org/o/r/pull/12 and http://localhost/x http://[::1]/x"), (["Write"], ['{"path":"/b.py"}'], "")], "n array<string>, i array<string>, t string")
+    got = a.select(sessions.artifacts(F.col("n"), F.col("i"), F.col("t")).alias("a"), sessions.file_paths(F.col("i")).alias("p")).collect()
+    assert [(x.kind, x.ref) for x in got[0].a] == [("file", "/a.py"), ("pr", "https://github.com/o/r/pull/12,"), ("url", "https://h.org/o/r/pull/12")] and got[0].p == ["/a.py"]
+    assert [(x.kind, x.ref) for x in got[1].a] == [("file", "/b.py")]
 
 
 def test_retrieval_rules(spark):

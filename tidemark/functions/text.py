@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 SPACE = r"[\s\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+"
 PROSE_CHARS, TOOL_CHARS = 4, 3  # characters that count as a token
 URL = r"https?://[^\s\"'<>)\]]+"
-PULL_REQUEST = r"https?://[^/\s]+/[^/\s]+/[^/\s]+/pull/[0-9]+"
+PULL_REQUEST = r"github\.com/[^/]+/[^/]+/pull/[0-9]+"
 
 
 def collapse(c: Column) -> Column:
@@ -113,7 +113,11 @@ def url_host(c: Column) -> Column:
     return F.lower(F.try_parse_url(c, F.lit("HOST")))
 
 
-def public_host(c: Column, denied: tuple[str, ...] = ("localhost", "127.0.0.1", "0.0.0.0")) -> Column:
+# Hosts whose URLs are no artifacts.
+DENIED_HOSTS = ("localhost", "127.0.0.1", "0.0.0.0", "[::1]", "api.openai.com")
+
+
+def public_host(c: Column, denied: tuple[str, ...] = DENIED_HOSTS) -> Column:
     host = url_host(c)
     return host.isNotNull() & ~host.isin(*denied)
 

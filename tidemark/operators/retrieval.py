@@ -20,7 +20,8 @@ VECTOR_WEIGHT, KEYWORD_WEIGHT = 0.7, 0.3
 TIER_PRIORS = {"wiki": 1.0, "dream": 0.85, "raw": 0.6}
 TIER_ALIASES = {"synth": ("wiki", "dream"), "all": (), "both": (), None: ()}
 VECTOR_POOL, KEYWORD_POOL = 100, 50
-QUERY_BLOCK = 10_000
+QUERY_BLOCK = 2_000
+SCORES = 1 << 21  # of a step
 
 
 @dataclass
@@ -98,13 +99,11 @@ def batch_topk(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "ve
 
         def nearest(batches):
             best_s, best_i = np.full((len(ids), 0), -np.inf), np.full((len(ids), 0), 0, np.int64)
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                flat = batch.column(1).combine_chunks() if hasattr(batch.column(1), "combine_chunks") else batch.column(1)
-                v = np.array(flat.to_pylist(), dtype=float)
+            rows = max(1, SCORES // max(1, len(ids)))  # the score matrix of a step has SCORES entries at most
+            for batch in (b.slice(at, rows) for b in batches for at in range(0, b.num_rows, rows)):
+                v = batch.column(1).flatten().to_numpy().astype(float).reshape(batch.num_rows, -1)
                 v /= np.maximum(1e-300, np.linalg.norm(v, axis=1, keepdims=True))
-                own = np.asarray(batch.column(0).to_pylist(), dtype=np.int64)
+                own = batch.column(0).to_numpy()
                 s = np.concatenate([best_s, q @ v.T], axis=1)
                 i = np.concatenate([best_i, np.broadcast_to(own, (len(ids), len(own)))], axis=1)
                 order = np.lexsort((i, -np.round(s, 12)), axis=1)[:, :k]
@@ -189,18 +188,18 @@ def max_similarity(hits: DataFrame, group: str = "session_id") -> DataFrame:
 
 
 def first_appearance(ranked: DataFrame, group: str = "session_id") -> DataFrame:
-    """Groups by their first position in a ranking (column rank)."""
-    first = ranked.groupBy(group).agg(F.min("rank").alias("first_rank"))
-    return first.withColumn("position", F.row_number().over(Window.orderBy("first_rank")))
+    """Groups by their first position in each query's ranking (query_id, rank)."""
+    first = ranked.groupBy("query_id", group).agg(F.min("rank").alias("first_rank"))
+    return first.withColumn("position", F.row_number().over(Window.partitionBy("query_id").orderBy("first_rank")))
 
 
 def rerank_merge(pool: DataFrame, permutation: DataFrame) -> DataFrame:
-    """A listwise permutation (place, idx) over a pool (rank from 0): named rows first, then the rest in pool order.
-    Invalid and repeated indices are dropped."""
+    """A listwise permutation (place, idx) over each query's pool (query_id, rank from 0): named rows first, then the
+    rest in pool order. Invalid and repeated indices are dropped."""
     once = permutation.groupBy("idx").agg(F.min("place").alias("place"))
     merged = pool.join(F.broadcast(once), pool["rank"] == once["idx"], "left").drop("idx")
     order = [F.asc_nulls_last("place"), F.asc("rank")]
-    return merged.withColumn("position", F.row_number().over(Window.orderBy(*order)) - 1).drop("place")
+    return merged.withColumn("position", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)) - 1).drop("place")
 
 
 def overlap_coefficient(a: Column, b: Column) -> Column:

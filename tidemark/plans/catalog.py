@@ -11,7 +11,8 @@ from ..functions import segments as seg
 from ..functions import text as tx
 from ..functions import vectors as vec
 from ..operators import context, demand, evaluation, fulltext, graph, retrieval, rows, store, units
-from ..sources import sessions
+from ..sources import pages, sessions
+from ..sources.shared import shared_path
 from ..streaming import ingest
 from . import views
 from .views import CHUNKS, DEMAND, PAGES, table
@@ -100,18 +101,18 @@ def session_max_similarity(spark, sf_dir):
     return retrieval.max_similarity(hits).select("session_id", F.round("similarity", 8).alias("similarity"))
 
 
-@query(f"WITH {_BATCH}, f AS (SELECT label, min(rank) AS first_rank FROM r JOIN embeddings USING (vec_id) WHERE query_id = 0 AND rank <= 10 GROUP BY label) SELECT label, first_rank, row_number() OVER (ORDER BY first_rank) AS position FROM f")
+@query(f"WITH {_BATCH}, f AS (SELECT query_id, label, min(rank) AS first_rank FROM r JOIN embeddings USING (vec_id) WHERE rank <= 10 GROUP BY ALL) SELECT query_id, label, first_rank, row_number() OVER (PARTITION BY query_id ORDER BY first_rank) AS position FROM f")
 def first_appearance(spark, sf_dir):
-    ranked = _batch(spark, sf_dir).where("query_id = 0").join(table(spark, sf_dir, "embeddings").select("vec_id", "label"), "vec_id")
-    return retrieval.first_appearance(ranked, "label").select("label", F.col("first_rank").cast("long").alias("first_rank"), F.col("position").cast("long").alias("position"))
+    ranked = _batch(spark, sf_dir).join(table(spark, sf_dir, "embeddings").select("vec_id", "label"), "vec_id")
+    return retrieval.first_appearance(ranked, "label").select("query_id", "label", F.col("first_rank").cast("long").alias("first_rank"), F.col("position").cast("long").alias("position"))
 
 
-@query(f"""WITH {_BATCH}, p AS (SELECT vec_id, rank - 1 AS rank FROM r WHERE query_id = 0 AND rank <= 10), o AS (SELECT * FROM (VALUES (0, 4), (1, 1), (2, 7), (3, 4), (4, 99)) t(place, idx)),
-u AS (SELECT idx, min(place) AS place FROM o GROUP BY idx) SELECT vec_id, row_number() OVER (ORDER BY place NULLS LAST, rank) - 1 AS position FROM p LEFT JOIN u ON idx = rank""")
+@query(f"""WITH {_BATCH}, p AS (SELECT query_id, vec_id, rank - 1 AS rank FROM r WHERE rank <= 10), o AS (SELECT * FROM (VALUES (0, 4), (1, 1), (2, 7), (3, 4), (4, 99)) t(place, idx)),
+u AS (SELECT idx, min(place) AS place FROM o GROUP BY idx) SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY place NULLS LAST, rank) - 1 AS position FROM p LEFT JOIN u ON idx = rank""")
 def rerank_merge(spark, sf_dir):
-    pool = _batch(spark, sf_dir).where("query_id = 0").select("vec_id", (F.col("rank") - 1).alias("rank"))
+    pool = _batch(spark, sf_dir).select("query_id", "vec_id", (F.col("rank") - 1).alias("rank"))
     order = spark.createDataFrame([(0, 4), (1, 1), (2, 7), (3, 4), (4, 99)], "place int, idx int")
-    return retrieval.rerank_merge(pool, order).select("vec_id", F.col("position").cast("long").alias("position"))
+    return retrieval.rerank_merge(pool, order).select("query_id", "vec_id", F.col("position").cast("long").alias("position"))
 
 
 @query(f"WITH {CHUNKS} SELECT id, round(CASE WHEN ts IS NULL THEN 0.0 ELSE least(1.0, exp(-ln(2) * (epoch_us({STAMP}) - epoch_us(ts)) / 86400000000.0 / 30.0)) END, 9) AS recency, round(coalesce(exp(-(epoch_us({STAMP}) - epoch_us(ts)) / 86400000000.0 / 30.0), 1.0), 9) AS decay, CASE tier WHEN 'wiki' THEN 1.0::DOUBLE WHEN 'dream' THEN 0.85::DOUBLE ELSE 0.6::DOUBLE END AS prior FROM chunks")
@@ -279,7 +280,7 @@ def query_terms(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.size(t).cast("long").alias("n"), F.sha2(F.array_join(F.array_sort(t), " "), 256).alias("terms"))
 
 
-@query(r"SELECT page_id, url, lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)) AS host, lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)) NOT IN ('localhost', '127.0.0.1', '0.0.0.0') AS public FROM pages")
+@query(r"SELECT page_id, url, lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)) AS host, lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)) NOT IN ('localhost', '127.0.0.1', '0.0.0.0', '[::1]', 'api.openai.com') AS public FROM pages")
 def url_hosts(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", "url", tx.url_host(F.col("url")).alias("host"), tx.public_host(F.col("url")).alias("public"))
 
@@ -380,9 +381,9 @@ def stale_ids(spark, sf_dir):
     return store.stale(c.where("doc_id % 2 = 0"), c.where("doc_id % 3 = 0"))
 
 
-@query("SELECT doc_id, length(text) > 500 AND length(n) < 0.4 * length(text) AS shrinks, length(CASE WHEN length(text) > 500 AND length(n) < 0.4 * length(text) THEN text || chr(10) || chr(10) || '## Addendum 2024-02-01' || chr(10) || chr(10) || n ELSE n END) AS body FROM (SELECT doc_id, text, left(text, CAST(length(text) * (doc_id % 10) / 10.0 AS INTEGER)) AS n FROM documents WHERE length(text) % 2 = 0)")
+@query("SELECT doc_id, length(text) > 500 AND length(n) < 0.4 * length(text) AS shrinks, length(CASE WHEN length(text) > 500 AND length(n) < 0.4 * length(text) THEN text || chr(10) || chr(10) || '## Addendum 2024-02-01' || chr(10) || chr(10) || n ELSE n END) AS body FROM (SELECT doc_id, text, left(text, CAST(length(text) * (doc_id % 10) // 10 AS INTEGER)) AS n FROM documents)")
 def shrink_guard(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where(F.length("text") % 2 == 0).withColumn("n", F.substring(F.col("text"), F.lit(1), F.round(F.length("text") * (F.col("doc_id") % 10) / 10.0).cast("int")))
+    d = table(spark, sf_dir, "documents").withColumn("n", F.expr("substring(text, 1, CAST(length(text) * (doc_id % 10) div 10 AS INT))"))
     body = units.guarded_body(F.col("text"), F.col("n"), F.lit(None).cast("string"), F.lit("2024-02-01"))
     return d.select("doc_id", units.shrinks(F.col("text"), F.col("n")).alias("shrinks"), F.length(body).cast("long").alias("body"))
 
@@ -394,6 +395,31 @@ def unit_artifacts(spark, sf_dir):
     return got.select("l_orderkey", F.array_join(F.transform("artifacts", lambda a: F.concat(a["kind"], F.lit(":"), a["ref"])), " ").alias("artifacts"))
 
 
+# ---------------------------------------------------------------- ingest
+
+
+@query("SELECT CAST(conv_id AS VARCHAR) AS session_id, conv_id || '-' || turn AS uuid, role, 1 AS blocks, sha256(text) AS text FROM conversations WHERE role IN ('user', 'assistant') AND trim(text) <> ''")
+def session_log_round_trip(spark, sf_dir):
+    """Conversations as session logs in JSON lines, and what the parser reads of them."""
+    c = table(spark, sf_dir, "conversations")
+    content = F.to_json(F.array(F.struct(F.lit("text").alias("type"), F.col("text").alias("text"))))
+    line = F.struct(F.col("role").alias("type"), F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("uuid"), F.col("conv_id").cast("string").alias("sessionId"), F.struct("role", content.alias("content")).alias("message"))
+    root = shared_path(spark, "session-logs")
+    sessions.write_lines(c.select(line.alias("line")), root)
+    found = sessions.parse_messages(sessions.read_lines(spark, root))
+    return found.select("session_id", "uuid", "role", F.size("blocks").alias("blocks"), F.sha2(F.col("blocks")[0]["text"], 256).alias("text"))
+
+
+@query(f"WITH {PAGES} SELECT slug, CASE WHEN title = '' THEN slug ELSE title END AS title, kind, sha256(body) AS body FROM wiki")
+def page_files_round_trip(spark, sf_dir):
+    """Pages written as files with front matter and read back."""
+    none = F.array().cast("array<string>")
+    p = views.wiki(spark, sf_dir).select("slug", F.lit(1).alias("schema"), "title", "kind", F.lit("s: 1").alias("summary"), none.alias("aliases"), F.array(F.lit("b"), F.lit("a")).alias("sources"), none.alias("trajectories"), F.lit("").alias("fingerprint"), F.lit("2024-01-01").alias("created"), F.lit("2024-01-02").alias("updated"), "body")
+    root = shared_path(spark, "pages")
+    pages.write_pages(p, root)
+    return pages.read_pages(spark, root).select("slug", "title", "kind", F.sha2("body", 256).alias("body"))
+
+
 # ---------------------------------------------------------------- store
 
 _V = "SELECT id, content, chunker_version, invalid_at FROM chunks"
@@ -513,11 +539,11 @@ def containment_join(spark, sf_dir):
     return found.select(F.col("unit").alias("slug"), "token")
 
 
-@query(f"WITH {PAGES} SELECT slug, CASE WHEN ordinal % 2 = 0 THEN kind ELSE left(trim(regexp_replace(title, {SPACES})), 200) END AS summary FROM wiki WHERE title NOT LIKE '%.%' AND title NOT LIKE '%!%' AND title NOT LIKE '%?%'")
+@query(f"WITH {PAGES}, t AS (SELECT *, trim(regexp_replace(body, {SPACES})) AS one FROM wiki) SELECT slug, CASE WHEN ordinal % 2 = 0 THEN kind ELSE left(CASE WHEN regexp_extract(one, '^(.*?[.!?])(\\s|$)', 1) <> '' THEN regexp_extract(one, '^(.*?[.!?])(\\s|$)', 1) ELSE one END, 200) END AS summary FROM t")
 def page_hydration(spark, sf_dir):
-    p = views.wiki(spark, sf_dir).where("title NOT LIKE '%.%' AND title NOT LIKE '%!%' AND title NOT LIKE '%?%'")
+    p = views.wiki(spark, sf_dir)
     files = p.where("ordinal % 2 = 0").select("slug", "title", F.col("kind").alias("summary"))
-    return context.hydrate(p.select("slug", F.col("title").alias("excerpt")), files).select("slug", "summary")
+    return context.hydrate(p.select("slug", F.col("body").alias("excerpt")), files).select("slug", "summary")
 
 
 @query("SELECT c_custkey AS answer_id, n, CASE WHEN n <= c_custkey % 4 THEN CASE WHEN c_custkey % 3 = 0 THEN 'supported' ELSE 'unsupported' END ELSE 'unsupported' END AS verdict, CASE WHEN n <= c_custkey % 4 AND c_custkey % 2 = 0 THEN 'because' ELSE 'no reason given' END AS reason FROM customer, (VALUES (1), (2), (3)) v(n)")
@@ -652,11 +678,13 @@ SELECT 'info' AS severity, 'orphan' AS rule, slug AS page FROM wiki WHERE slug N
 UNION ALL SELECT 'info', 'link-less', slug FROM wiki WHERE slug NOT IN (SELECT src FROM edges)
 UNION ALL SELECT 'warn', 'dangling-link', src FROM edges WHERE dangling
 UNION ALL SELECT 'info', 'stub', slug FROM wiki WHERE length(body) < 120
-UNION ALL SELECT 'info', 'oversized', slug FROM wiki WHERE length(body) > 8000)
+UNION ALL SELECT 'info', 'oversized', slug FROM wiki WHERE length(body) > 8000
+UNION ALL SELECT 'warn', 'spelling-drift', a FROM (SELECT a.slug AS a, b.slug AS b FROM wiki a JOIN wiki b ON a.slug < b.slug AND levenshtein(a.slug, b.slug) <= floor(0.25 * greatest(length(a.slug), length(b.slug)))
+  UNION SELECT f.a, w.slug FROM wiki w JOIN (SELECT alias, min(slug) AS a FROM wiki WHERE alias <> '' GROUP BY 1) f USING (alias) WHERE w.slug <> f.a))
 SELECT severity, rule, count(*) AS n FROM f GROUP BY ALL""")
 def lint_counts(spark, sf_dir):
     found = graph.lint(_wiki(spark, sf_dir).withColumn("sources", F.array().cast("array<string>")), _edges(spark, sf_dir))
-    return found.where("rule <> 'spelling-drift'").groupBy("severity", "rule").agg(F.count(F.lit(1)).alias("n"))
+    return found.groupBy("severity", "rule").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query()

@@ -39,8 +39,10 @@ def render_page(page: dict) -> str:
 
 
 def read_pages(spark: SparkSession, root: str) -> DataFrame:
-    """Pages of the *.md files in root whose names are slugs."""
-    files = spark.read.text(root, wholetext=True, pathGlobFilter="*.md").select(F.regexp_extract("_metadata.file_name", r"^([a-z0-9-]{1,64})\.md$", 1).alias("slug"), "value").where("slug <> ''")
+    """Pages of the files below root: slug.md, or as ``write_pages`` lays them out."""
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.{md,txt}").text(root, wholetext=True)
+    slug = F.regexp_extract("_metadata.file_path", r"(?:slug=([a-z0-9-]{1,64})/[^/]*\.txt|/([a-z0-9-]{1,64})\.md)$", 0)
+    files = files.select(F.regexp_extract(slug, r"^(?:slug=|/)([a-z0-9-]{1,64})", 1).alias("slug"), F.when(slug.startswith("/"), F.col("value")).otherwise(F.regexp_replace("value", r"\n\z", "")).alias("value")).where("slug <> ''")
 
     def parse(batches):
         for rows in batches:
@@ -61,4 +63,4 @@ def rendered(pages: DataFrame) -> DataFrame:
 
 def write_pages(pages: DataFrame, root: str) -> None:
     """One folder per slug below root, each with the page's text."""
-    rendered(pages).write.mode("overwrite").partitionBy("slug").option("lineSep", "\n").text(root)
+    rendered(pages).write.mode("overwrite").partitionBy("slug").text(root)

@@ -16,11 +16,16 @@ LINE = T.StructType(
 
 
 def read_lines(spark: SparkSession, root: str) -> DataFrame:
-    """Every line of the *.jsonl files below root, with its file and number of lines before it in the file's part."""
-    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").text(root)
+    """Every line of the *.jsonl files below root (and of the *.txt files that ``write_lines`` makes), with its file and number of lines before it in the file's part."""
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.{jsonl,txt}").text(root)
     return lines.select("value", F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("line_no"))
 
 
+def write_lines(rows: DataFrame, root: str) -> None:
+    """A JSON line for each row's struct `line`."""
+    rows.select(F.to_json("line").alias("value")).write.format("text").option("lineSep", "\n").save(root)
+
+
 def parse_messages(lines: DataFrame) -> DataFrame:
     """Messages of the user and the assistant; unparsable lines, other types and empty messages are skipped."""
     clean = F.regexp_replace(F.col("value"), r"\\u0000", r"\\uFFFD")
@@ -60,9 +65,9 @@ def file_paths(inputs: Column) -> Column:
 def artifacts(names: Column, inputs: Column, text: Column, cap: int = 20) -> Column:
     """Written files, pull requests and other public URLs, distinct, at most cap."""
     kind = lambda k, r, t: F.struct(F.lit(k).alias("kind"), r.alias("ref"), t.alias("tool"))
-    files = F.filter(F.transform(F.arrays_zip(names.alias("n"), inputs.alias("i")), lambda z: kind("file", F.coalesce(F.get_json_object(z["i"], "$.file_path"), F.get_json_object(z["i"], "$.notebook_path")), z["n"])), lambda a: a["tool"].isin("Write", "Edit", "MultiEdit", "NotebookEdit") & a["ref"].isNotNull())
+    files = F.filter(F.transform(F.arrays_zip(names.alias("n"), inputs.alias("i")), lambda z: kind("file", F.coalesce(*[F.get_json_object(z["i"], f"$.{k}") for k in ("file_path", "path", "notebook_path")]), z["n"])), lambda a: a["tool"].isin("Write", "Edit", "MultiEdit", "NotebookEdit") & a["ref"].isNotNull())
     found = F.filter(F.array_distinct(tx.urls(text)), lambda u: tx.public_host(u))
-    links = F.transform(found, lambda u: F.struct(F.when(u.rlike("^" + tx.PULL_REQUEST), "pr").otherwise("url").alias("kind"), u.alias("ref"), F.lit("").alias("tool")))
+    links = F.transform(found, lambda u: F.struct(F.when(u.rlike(tx.PULL_REQUEST), "pr").otherwise("url").alias("kind"), u.alias("ref"), F.lit("").alias("tool")))
     return F.slice(F.array_distinct(F.concat(files, links)), 1, cap)
 
 
