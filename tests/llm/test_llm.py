@@ -717,3 +717,63 @@ def test_short_items_match_word_for_word():
     scan = decontaminate._scanner([(1, b"one"), (2, b"two words"), (3, b"a b c d e f g"), (4, b"")])
     got = {(d, i) for d, i, *_ in scan([b"x ONE y", b"two words", b"a b c d e f g", b"", b"two\twords one", b"two other words"])}
     assert got == {(0, 1), (1, 2), (2, 3), (4, 1), (4, 2)}
+
+
+def test_benchmark_in_blocks_gives_the_same(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
+    want, kept = canonical(decontaminate.hits(docs, bench).toPandas()), canonical(decontaminate.clean(docs, bench).toPandas())
+    size = bench.agg(F.sum(F.octet_length("text"))).first()[0]
+    monkeypatch.setattr(decontaminate, "ITEM_BYTES", size // 2)
+    assert decontaminate._blocks(bench, "item_id", "text")[0] > 2
+    assert canonical(decontaminate.hits(docs, bench).toPandas()) == want and canonical(decontaminate.clean(docs, bench).toPandas()) == kept
+
+
+def test_pipeline_cases(spark, sf):
+    """Nulls, null and repeated ids, empty and long texts, clashing names and an empty table go through every stage."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    texts = ODD + ODD + ["w " * 300_000, None]
+    df = frame(spark, texts, [None if k % 5 == 0 else k % 9 for k in range(len(texts))])
+    for docs in (df, df.limit(0)):
+        for name, stage in pipeline.STAGES[:-1]:
+            out = stage(spark, docs, sf)
+            assert out.columns == docs.columns, name
+            rows, before = Counter(map(tuple, out.collect())), Counter(map(tuple, docs.collect()))
+            assert not rows - before, name
+            if name == "exact_copies":
+                assert sum(rows.values()) == len({(t or "").lower() for *_, t in ((r[1],) for r in before)})
+        packed = pipeline.STAGES[-1][1](spark, docs, sf).collect()
+        assert check_packing(packed, 2048) == len({r.sequence_id for r in packed})
+
+
+def test_keep_first_with_repeated_ids(spark):
+    """Rows with one id stay or go together: id 5 goes with both of its texts, of which one is linked to id 1."""
+    a, b = "a b c d e f g h i j", "k l m n o p q r s t"
+    left = ngram_join.keep_first(frame(spark, [a, a, b, b, a], [1, 5, 5, 7, None]))
+    assert sorted((r.doc_id, r.text) for r in left.where("doc_id IS NOT NULL").collect()) == [(1, a)] and left.where("doc_id IS NULL").count() == 1
+
+
+def test_bin_completion_beats_best_fit_with_proof():
+    rng, better, proven = random.Random(1), 0, 0
+    for _ in range(12):
+        histogram = dict(Counter(rng.randint(250, 900) for _ in range(60)))
+        plan = packing.bin_completion(histogram)
+        first = sum(n for _, n in packing.best_fit(histogram, packing.CAPACITY))
+        assert plan.bound <= plan.bins <= first and (plan.proven or plan.bins > plan.bound)
+        better += plan.bins < first
+        proven += plan.proven
+    assert better >= 2 and proven >= 8
+
+
+def test_quality_scores_by_brute_force(spark):
+    """Every document's score again: features, then bins by plain comparison, then sums of table entries."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.train(docs, labels)
+    assert model.tables and model.pairs
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    place = lambda cuts, x: sum(c <= x for c in cuts)
+    for r in quality.score(docs.limit(300), model).collect():
+        x = quality.features((texts[r.doc_id] or "").encode())
+        raw = model.bias + sum(t[place(c, v)] for c, t, v in zip(model.cuts, model.tables, x))
+        raw += sum(t[place(model.coarse[a], x[a]), place(model.coarse[b], x[b])] for a, b, t in model.pairs)
+        assert r.score == pytest.approx(1 / (1 + math.exp(-raw)), rel=1e-9) and r.predicted == (r.score >= 0.3)

@@ -30,7 +30,7 @@ from .tokens import encoder
 
 CAPACITY = 2048
 END_ID = 0
-STEPS = 400_000  # of the enumeration, over the whole search
+STEPS = 1_000_000  # of the enumeration, over the whole search
 SALTS, SALT_ROWS = 256, 1 << 17
 
 Plan = list[tuple[tuple[int, ...], int]]
