@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tidemark import models
 from tidemark.functions import segments as seg
 from tidemark.functions import vectors as vec
-from tidemark.operators import evaluation, fulltext, graph, retrieval, rows, store, units
+from tidemark.operators import answers, compiled, evaluation, fulltext, graph, retrieval, rows, store, units
 from tidemark.sources import pages, sessions
 from tidemark.streaming import ingest
 
@@ -199,3 +199,125 @@ def test_cursor_looks_at_the_last_trajectory_again(spark, tmp_path):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
     got = [(r.n, r.digest, r.superseded) for r in ingest.run_to_memory(ingest.cursor_suffix(stream), "cursor").collect()]
     assert sorted(got) == [(0, "a", None), (1, "b", None), (1, "c", "b"), (2, "d", None)]
+
+
+def page(slug, body, **more):
+    base = {"slug": slug, "title": slug, "kind": "topic", "summary": "", "aliases": ["x"], "sources": ["s1"], "trajectories": ["t0"], "created": "2024-01-01", "updated": "2024-01-01", "body": body}
+    return base | more
+
+
+PAGE_SCHEMA = "slug string, title string, kind string, summary string, aliases array<string>, sources array<string>, trajectories array<string>, created string, updated string, body string"
+
+
+def operation(slug, place, body, retry=None, **more):
+    base = {"slug": slug, "place": place, "title": slug, "kind": "topic", "summary": "", "aliases": ["y", "x"], "sources": ["i1", "stray"], "unit_ids": ["i1"], "trajectory_id": f"t{place}", "body": body, "retry": retry, "at": "2024-02-01T00:00:00"}
+    return base | more
+
+
+OP_SCHEMA = "slug string, place long, title string, kind string, summary string, aliases array<string>, sources array<string>, unit_ids array<string>, trajectory_id string, body string, retry string, at string"
+
+
+def test_page_operations_apply_in_order_with_the_guard(spark):
+    long = "word " * 200
+    pages_df = spark.createDataFrame([page("a", long), page("b", long), page("c", "short"), page("d", long), page("n", None, aliases=None, sources=None, trajectories=None)], PAGE_SCHEMA)
+    ops = [
+        operation("a", 1, " tiny "), operation("b", 1, "tiny", retry=long + "more"), operation("c", 2, "second"), operation("c", 1, "first"), operation("new", 5, "grown " * 150), operation("new", 6, "cut"),
+        operation("d", 1, "tiny", retry="still tiny"), operation("n", 1, None, aliases=None, sources=None, unit_ids=None, trajectory_id=None, at=None), operation(None, 1, "lost"),
+    ]
+    for parts in (1, 7):
+        got = {r["slug"]: r for r in compiled.merge_ops(pages_df.repartition(parts), spark.createDataFrame(ops, OP_SCHEMA).repartition(parts)).collect()}
+        assert {k: r["outcome"] for k, r in got.items()} == {"a": "addendum", "b": "retried", "c": "updated", "d": "addendum", "n": "updated", "new": "addendum"}
+        assert got["a"]["body"] == long.rstrip() + "\n\n## Addendum (2024-02-01)\n\ntiny" and got["b"]["body"] == long + "more"
+        assert got["c"]["body"] == "second" and got["c"]["trajectories"] == ["t0", "t1", "t2"] and got["c"]["sources"] == ["s1", "i1"] and got["c"]["aliases"] == ["x", "y"]
+        assert got["new"]["created"] == "2024-02-01T00:00:00" and got["a"]["created"] == "2024-01-01" and got["n"]["sources"] == []
+    empty = spark.createDataFrame([], OP_SCHEMA)
+    assert {r["outcome"] for r in compiled.merge_ops(pages_df, empty).collect()} == {"kept"} and compiled.merge_ops(pages_df.limit(0), empty).count() == 0
+
+
+def test_a_page_streams_through_one_task_however_many_operations(spark):
+    ops = spark.range(20_000).select(F.lit("hot").alias("slug"), F.col("id").alias("place"), F.lit("T").alias("title"), F.lit("topic").alias("kind"), F.lit("").alias("summary"), F.array(F.lit("x")).alias("aliases"), F.array(F.lit("i")).alias("sources"), F.array(F.lit("i")).alias("unit_ids"), F.lit("t").alias("trajectory_id"), F.col("id").cast("string").alias("body"), F.lit(None).cast("string").alias("retry"), F.lit("2024-02-01").alias("at"))
+    (got,) = compiled.merge_ops(spark.createDataFrame([], PAGE_SCHEMA), ops).collect()
+    assert got["body"] == "19999" and got["outcome"] == "updated" and got["sources"] == ["i"]
+
+
+def test_a_store_follows_its_pages(spark):
+    schema = "id string, content string, trajectory_id string, chunk_index int, owner string, tier string, ts timestamp, invalid_at timestamp, superseded_by string"
+    v = lambda *bodies: spark.createDataFrame([page(f"p{i}", b) for i, b in enumerate(bodies) if b is not None], PAGE_SCHEMA)
+    at = F.lit("2024-03-01").cast("timestamp")
+    foreign = spark.createDataFrame([("z", "z", "wiki:p0", 0, "other", "wiki", None, None, None), ("y", "y", "wiki:p0", 0, "me", "raw", None, None, None)], schema)
+    one = compiled.sync(foreign, v("a", "b"), "me", at)
+    two = compiled.sync(one, v("A2", None), "me", at)
+    state = lambda df: sorted((r["content"].rsplit("\n", 1)[-1], r["invalid_at"] is None, r["superseded_by"]) for r in df.collect())
+    assert state(one) == [("a", True, None), ("b", True, None), ("y", True, None), ("z", True, None)]
+    assert state(two) == [("A2", True, None), ("a", False, "wiki:p0"), ("b", True, None), ("y", True, None), ("z", True, None)]
+    gone = compiled.sync(two, v("A2", None), "me", at, orphans=True)
+    assert ("b", False, None) in state(gone)
+    back = compiled.sync(gone, v("a", "b"), "me", at)
+    assert {s[0] for s in state(back) if s[1]} == {"a", "b", "y", "z"}
+
+
+def test_rankings_keep_whole_numbers_in_range_once(spark):
+    cases = [('{"ranking": [2, 2, "1", 0.5, 1.0, 9, -1, null, true, 0]}', [2, 1, 0]), ("no json", None), ('{"ranking": []}', None), ('{"ranking": 3}', None), ('{"other": [1]}', None), (None, None), ('{"ranking": [7]}', None)]
+    df = spark.createDataFrame([(i, c) for i, (c, _) in enumerate(cases)], "i int, a string")
+    got = {r["i"]: r["r"] for r in df.select("i", answers.parse_ranking(F.col("a"), F.lit(5)).alias("r")).collect()}
+    assert [got[i] for i in range(len(cases))] == [w for _, w in cases]
+
+
+def test_batches_of_another_width_fail_whole(spark):
+    rows = spark.createDataFrame([("a", 1, [1.0, 2.0]), ("a", 2, [3.0, 4.0]), ("b", 1, None)], "id string, n int, embedding array<double>")
+    assert sorted((r["id"], r["n"]) for r in store.checked(rows, 2, order=["n"]).collect()) == [("a", 1), ("b", 1)]
+    with pytest.raises(Exception, match="expected width 3"):
+        store.checked(rows, 3).collect()
+
+
+def test_a_sweep_waits_for_a_clean_run(spark):
+    rows = spark.createDataFrame([(1, 1, "raw"), (2, 2, "raw"), (3, None, "raw"), (4, 1, "wiki")], "id int, chunker_version int, tier string")
+    kept = lambda *errors: sorted(r["id"] for r in store.sweep(rows, spark.createDataFrame([(e,) for e in errors], "error string"), F.lit(2), F.col("tier") == "raw").collect())
+    assert kept(None, None) == [2, 4] and kept(None, "bad") == [1, 2, 3, 4] and kept() == [2, 4]
+
+
+def test_prefixes_are_made_once_and_failures_are_absent(spark):
+    def generate(around, chunk):
+        if chunk == "bad":
+            raise ValueError(chunk)
+        return f"about {chunk}"
+
+    items = spark.createDataFrame([("1", "a", ""), ("1", "a", ""), ("2", "bad", ""), ("3", "c", "")], "sha string, chunk string, context string")
+    cache = spark.createDataFrame([("3", "known"), ("9", "other")], "sha string, prefix string")
+    got = sorted((r["sha"], r["prefix"], r["fresh"]) for r in models.resolve_prefixes(items, cache, generate).collect())
+    assert got == [("1", "about a", True), ("3", "known", False)]
+
+
+def test_a_fallback_latches_only_at_the_same_width():
+    calls = []
+
+    def broken(texts):
+        calls.append(len(texts))
+        raise OSError("down")
+
+    embed = models.Fallback(broken, 4, lambda t: [[0.0] * 4 for _ in t], 4)
+    assert embed(["a"]) == [[0.0] * 4] and embed(["a", "b"]) and calls == [1]
+    with pytest.raises(OSError):
+        models.Fallback(broken, 4, lambda t: [[0.0] * 8 for _ in t], 8)(["a"])
+
+
+def test_a_night_stamps_only_after_all_phases():
+    from datetime import datetime
+
+    from tidemark.operators import nightly
+
+    seen, stamps, last, now = [], [], datetime(2024, 2, 2), datetime(2024, 2, 3)
+    phase = lambda n: lambda since: seen.append((n, since)) or {"n": n}
+    phases = {n: phase(n) for n in nightly.PHASES}
+    assert list(nightly.run(phases, last, now, stamps.append)) == list(nightly.PHASES) and stamps == [now] and seen[0] == ("dream", datetime(2024, 2, 1))
+    phases["wiki"] = lambda since: 1 / 0
+    with pytest.raises(ZeroDivisionError):
+        nightly.run(phases, None, now, stamps.append)
+    assert stamps == [now] and nightly.window_start(None) is None
+
+
+def test_older_and_shorter_queries_go(spark):
+    q = lambda *names: spark.createDataFrame([(n, i) for i, n in enumerate(names)], "query string, ts int")
+    got = lambda d, r: [x["query"] for x in answers.demand_queries(d, r).collect()]
+    assert got(q("rea", "READ me", "read me now", "ab", "other"), q("recent")) == ["other", "read me now"]
+    assert got(q("ab"), q("abc", "abcd")) == ["abcd"] and got(q("ab"), q("x")) == []

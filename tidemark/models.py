@@ -58,3 +58,43 @@ def resolve_captions(images: DataFrame, cache: DataFrame, caption: Callable[[str
     joined = images.join(cache.select("sha256", F.col("caption").alias("known")), "sha256", "left").join(made, "sha256", "left")
     text: Column = F.coalesce("known", "made", tx.placeholder_caption(F.col("media_type"), F.col("bytes")))
     return joined.select(*images.columns, text.alias("caption"), (F.col("known").isNull() & F.col("made").isNotNull()).alias("fresh"))
+
+
+class Fallback:
+    """Embeds with the primary until it fails, then with the fallback for the rest of the process. A fallback of another
+    width is refused, and the failure stands: vectors of two widths must never meet in one table."""
+
+    def __init__(self, primary: Embed, width: int, fallback: Embed, fallback_width: int) -> None:
+        self.active, self.fallback, self.same_width, self.latched = primary, fallback, width == fallback_width, False
+
+    def __call__(self, texts: list[str]) -> list[list[float]]:
+        try:
+            return self.active(texts)
+        except Exception:
+            if self.latched or not self.same_width:
+                raise
+            self.active, self.latched = self.fallback, True
+            return self.active(texts)
+
+
+def resolve_prefixes(items: DataFrame, cache: DataFrame, generate: Callable[[str, str], str]) -> DataFrame:
+    """sha, prefix, fresh of the distinct items (sha, chunk, context): cached, or generated once per sha. Those whose
+    generation fails are absent, so the caller falls back to the bare chunk; only fresh rows go into the cache."""
+    import pandas as pd
+
+    once = items.dropDuplicates(["sha"])
+    missing = once.join(cache.select("sha"), "sha", "left_anti").select("sha", "chunk", "context")
+
+    def run(batches):
+        for part in batches:
+            out = []
+            for sha, chunk, around in zip(part["sha"], part["chunk"], part["context"]):
+                try:
+                    out.append((sha, generate(around, chunk)))
+                except Exception:  # noqa: BLE001  a failed prefix is absent
+                    continue
+            yield pd.DataFrame(out, columns=["sha", "prefix"])
+
+    made = missing.mapInPandas(run, "sha string, prefix string").where("prefix IS NOT NULL").withColumn("fresh", F.lit(True))
+    known = once.select("sha").join(cache.select("sha", "prefix"), "sha").withColumn("fresh", F.lit(False))
+    return known.unionByName(made)

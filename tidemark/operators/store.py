@@ -78,6 +78,25 @@ def last_writer(old: DataFrame, new: DataFrame, key: list[str], stamp: str) -> D
     return both.withColumn("_n", place).where("_n = 1").drop("_n", "_src")
 
 
+def checked(batch: DataFrame, width: int, key: str = "id", order: list[str] | None = None) -> DataFrame:
+    """A batch for ``upsert``: the first row of each key; a vector of another width fails the whole batch."""
+    once = batch.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*(order or [key])))).where("_n = 1").drop("_n")
+    wrong = F.col("embedding").isNotNull() & (F.size("embedding") != width)
+    return once.withColumn("embedding", F.when(wrong, F.raise_error(F.concat(F.lit(f"expected width {width}, got "), F.size("embedding").cast("string")))).otherwise(F.col("embedding")))
+
+
+def sweep(df: DataFrame, reports: DataFrame, version: Column, scope: Column) -> DataFrame:
+    """After a reindex: without the rows in scope of other chunker versions, but only if no file (reports: error) failed."""
+    failed = reports.agg(F.count("error").alias("_errors"))
+    return df.join(F.broadcast(failed)).where((F.col("_errors") > 0) | ~F.coalesce(scope, F.lit(False)) | F.col("chunker_version").eqNullSafe(version)).drop("_errors")
+
+
+def replay(events: DataFrame, source: str, schema: str) -> DataFrame:
+    """Stored raw payloads of a source, parsed; unreadable ones are left out."""
+    rows = events.where(F.col("source") == source).select("trajectory_id", F.from_json("payload", schema).alias("p"))
+    return rows.where("p IS NOT NULL").select("trajectory_id", "p.*")
+
+
 def needs_embedding(df: DataFrame, model: str) -> DataFrame:
     """Rows that a migration to the model has to embed: no vector, or another model's."""
     return df.where(F.col("embedding").isNull() | ~F.col("embedding_model").eqNullSafe(F.lit(model)))

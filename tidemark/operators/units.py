@@ -54,7 +54,7 @@ def shrinks(old: Column, new: Column) -> Column:
 
 def guarded_body(old: Column, new: Column, retried: Column, day: Column) -> Column:
     """New body, or the retry's, or the old one with a dated addendum."""
-    addendum = F.concat(old, F.lit("\n\n## Addendum "), day, F.lit("\n\n"), new)
+    addendum = F.concat(F.regexp_replace(old, r"\s+$", ""), F.lit("\n\n## Addendum ("), day, F.lit(")\n\n"), F.regexp_replace(new, r"^\s+|\s+$", ""))
     return F.when(~F.coalesce(shrinks(old, new), F.lit(False)), new).when(retried.isNotNull() & ~shrinks(old, retried), retried).otherwise(addendum)
 
 

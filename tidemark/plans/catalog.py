@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import segments as seg
 from ..functions import text as tx
 from ..functions import vectors as vec
-from ..operators import context, demand, evaluation, fulltext, graph, retrieval, rows, store, units
+from ..operators import answers, compiled, context, demand, evaluation, fulltext, graph, retrieval, rows, store, units
 from ..sources import pages, sessions
 from ..sources.shared import shared_path
 from ..streaming import ingest
@@ -381,7 +381,7 @@ def stale_ids(spark, sf_dir):
     return store.stale(c.where("doc_id % 2 = 0"), c.where("doc_id % 3 = 0"))
 
 
-@query("SELECT doc_id, length(text) > 500 AND length(n) < 0.4 * length(text) AS shrinks, length(CASE WHEN length(text) > 500 AND length(n) < 0.4 * length(text) THEN text || chr(10) || chr(10) || '## Addendum 2024-02-01' || chr(10) || chr(10) || n ELSE n END) AS body FROM (SELECT doc_id, text, left(text, CAST(length(text) * (doc_id % 10) // 10 AS INTEGER)) AS n FROM documents)")
+@query(r"SELECT doc_id, length(text) > 500 AND length(n) < 0.4 * length(text) AS shrinks, length(CASE WHEN length(text) > 500 AND length(n) < 0.4 * length(text) THEN regexp_replace(text, '\s+$', '') || chr(10) || chr(10) || '## Addendum (2024-02-01)' || chr(10) || chr(10) || regexp_replace(n, '^\s+|\s+$', '', 'g') ELSE n END) AS body FROM (SELECT doc_id, text, left(text, CAST(length(text) * (doc_id % 10) // 10 AS INTEGER)) AS n FROM documents)")
 def shrink_guard(spark, sf_dir):
     d = table(spark, sf_dir, "documents").withColumn("n", F.expr("substring(text, 1, CAST(length(text) * (doc_id % 10) div 10 AS INT))"))
     body = units.guarded_body(F.col("text"), F.col("n"), F.lit(None).cast("string"), F.lit("2024-02-01"))
@@ -792,3 +792,183 @@ def _stream(spark, path):
     folder, _, name = path.rpartition("/")
     schema = spark.read.parquet(path).schema
     return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
+
+
+# ---------------------------------------------------------------- compiled pages
+
+_HUBS = """hubs AS (SELECT slug, ordinal, title, kind, alias, targets, ['s' || CAST(ordinal AS VARCHAR), 's' || CAST(ordinal + 1 AS VARCHAR)] AS sources FROM wiki),
+kids AS (SELECT DISTINCT slug AS hub, ordinal, sources, alias, unnest(targets) AS target FROM hubs WHERE ordinal % 5 <> 0),
+made AS (SELECT target AS slug, arg_min({'hub': hub, 'ordinal': ordinal, 'sources': sources}, hub) AS k FROM kids WHERE target <> alias AND target NOT IN (SELECT slug FROM wiki) GROUP BY target),
+won AS (SELECT slug, k.hub AS hub, k.ordinal AS ordinal, k.sources AS sources FROM made)"""
+
+
+@query(f"""WITH {PAGES}, {_HUBS} SELECT hub, slug, 'child' AS role, NULL AS reason, sha256(array_to_string(list_sort(CASE WHEN ordinal % 3 = 0 THEN sources ELSE [sources[2]] END), chr(10))) AS fingerprint FROM won
+UNION ALL SELECT slug, slug, CASE WHEN slug IN (SELECT hub FROM won) THEN 'hub' ELSE 'failed' END, CASE WHEN slug IN (SELECT hub FROM won) THEN NULL WHEN ordinal % 5 = 0 THEN 'not exactly one update of the hub' ELSE 'no valid child' END,
+CASE WHEN slug IN (SELECT hub FROM won) THEN sha256(array_to_string(list_sort(sources), chr(10))) END FROM hubs""")
+def split_pages(spark, sf_dir):
+    """Every page as a hub; the alias target's operation is an update, and every fifth hub has no operation on itself."""
+    p = views.wiki(spark, sf_dir)
+    s = lambda n: F.concat(F.lit("s"), (F.col("ordinal") + n).cast("string"))
+    hubs = p.select("slug", "ordinal", "title", F.lit("").alias("summary"), F.array("alias").alias("aliases"), F.array(s(0), s(1)).alias("sources"), F.array(F.lit("t")).alias("trajectories"), F.lit("2024-01-01").alias("created"))
+    tail = [F.lit("topic").alias("kind"), F.lit("").alias("summary"), F.array().cast("array<string>").alias("aliases"), F.when(F.col("ordinal") % 3 == 0, F.array(F.lit("x"))).otherwise(F.array(s(1), F.lit("x"))).alias("sources"), F.lit("text").alias("body")]
+    kids = p.select("*", F.posexplode("targets").alias("place", "target")).where((F.col("ordinal") % 5 != 0) & (F.col("target") != F.col("alias"))).select(F.col("slug").alias("hub"), "place", F.lit("create").alias("action"), F.col("target").alias("slug"), F.col("target").alias("title"), *tail)
+    own = p.where("ordinal % 5 <> 0").select(F.col("slug").alias("hub"), F.lit(-1).alias("place"), F.lit("update").alias("action"), "slug", "title", *tail)
+    stray = p.where("alias <> '' AND ordinal % 5 <> 0").select(F.col("slug").alias("hub"), F.lit(-2).alias("place"), F.lit("update").alias("action"), F.col("alias").alias("slug"), "title", *tail)
+    out = compiled.split_pages(hubs, own.union(kids).union(stray), p.select("slug"), F.lit("2024-02-01"))
+    return out.select("hub", "slug", "role", "reason", "fingerprint")
+
+
+_SHORT = "CASE WHEN ordinal % 2 = {m} THEN title || ' new' ELSE title END"
+_PAGE_ID = "sha256('wiki:' || slug || ':0:' || " + NORMAL.format(c="'Page' || chr(10) || chr(10) || b") + ")"
+
+
+def _page_versions(spark, sf_dir):
+    """Two versions of the pages, with short bodies: odd ones change, every fifth goes, every seventh is new."""
+    p = views.wiki(spark, sf_dir).select("slug", "ordinal", F.col("title").alias("t"), "kind", F.lit("Page").alias("title"), F.array("alias").alias("sources"), as_of().alias("updated"))
+    p = p.withColumn("title", F.lit("Page"))
+    return p.where("ordinal % 7 <> 0").withColumn("body", F.col("t")), p.where("ordinal % 5 <> 0").withColumn("body", F.when(F.col("ordinal") % 2 == 1, F.concat("t", F.lit(" new"))).otherwise(F.col("t")))
+
+
+@query(f"""WITH {PAGES}, v1 AS (SELECT slug, {_PAGE_ID} AS id FROM (SELECT slug, title AS b FROM wiki WHERE ordinal % 7 <> 0)), v2 AS (SELECT slug, {_PAGE_ID} AS id FROM (SELECT slug, {_SHORT.format(m=1)} AS b FROM wiki WHERE ordinal % 5 <> 0))
+SELECT coalesce(v2.id, v1.id) AS id, v2.id IS NOT NULL AS live, CASE WHEN v2.id IS NULL AND v1.slug IN (SELECT slug FROM v2) THEN 'wiki:' || v1.slug END AS superseded_by FROM v1 FULL JOIN v2 USING (id)""")
+def reindex_pages(spark, sf_dir):
+    """The store of the pages' first version after a reindex with the second."""
+    v1, v2 = _page_versions(spark, sf_dir)
+    old = compiled.page_rows(v1, "owner1").withColumn("invalid_at", F.lit(None).cast("timestamp_ntz")).withColumn("superseded_by", F.lit(None).cast("string"))
+    return compiled.sync(old, v2, "owner1", as_of(), orphans=True).select("id", F.col("invalid_at").isNull().alias("live"), "superseded_by")
+
+
+@query(f"""WITH {CHUNKS}, s AS (SELECT 'p' || trajectory_id AS slug, unnest([CAST(doc_id + 1 AS VARCHAR), CAST(doc_id + 2 AS VARCHAR), CAST(doc_id + 1 AS VARCHAR)]) AS sid, unnest([0, 1, 2]) AS pos FROM chunks WHERE tier = 'wiki'),
+a AS (SELECT slug, pos, -coalesce(epoch_us(ts), 0) AS age, unnest([session_id, repo]) AS ref, unnest([0, 1]) AS i FROM s JOIN chunks ON id = sid),
+f AS (SELECT slug, ref, min((age, pos, i)) AS o FROM a GROUP BY ALL) SELECT slug, string_agg(ref, ' ' ORDER BY o) AS refs FROM f GROUP BY slug""")
+def page_artifacts(spark, sf_dir):
+    c = views.chunks(spark, sf_dir)
+    one = lambda c: F.struct(F.lit("file").alias("kind"), F.lit("Write").alias("tool"), F.col(c).alias("ref"))
+    ids = [(F.col("doc_id") + n).cast("string") for n in (1, 2, 1)]
+    found = compiled.derived_artifacts(c.where("tier = 'wiki'").select(F.concat(F.lit("p"), "trajectory_id").alias("slug"), F.array(*ids).alias("sources")), c.select("id", "ts", F.array(one("session_id"), one("repo")).alias("artifacts")))
+    return found.select("slug", F.array_join(F.transform("artifacts", lambda a: a["ref"]), " ").alias("refs"))
+
+
+@query()
+def merge_pages(spark, sf_dir):
+    """All pages after two operations on each third one: a rewrite by a summary that may trip the guard, then a longer text."""
+    p = views.wiki(spark, sf_dir).select("slug", "ordinal", "title", "kind", F.lit("").alias("summary"), F.array("alias").alias("aliases"), F.array("slug").alias("sources"), F.array(F.lit("t0")).alias("trajectories"), F.lit("2024-01-01").alias("created"), F.lit("2024-01-01").alias("updated"), "body")
+    op = lambda n, body: p.where("ordinal % 3 = 0").select("slug", F.lit(n).alias("place"), "title", "kind", "summary", F.array(F.lit(f"alias {n}")).alias("aliases"), F.array(F.lit(f"i{n}"), F.lit("stray")).alias("sources"), F.array(F.lit(f"i{n}")).alias("unit_ids"), F.lit(f"t{n}").alias("trajectory_id"), body.alias("body"), F.lit(None).cast("string").alias("retry"), F.lit(f"2024-02-0{n}").alias("at"))
+    out = compiled.merge_ops(p, op(1, F.col("title")).union(op(2, F.concat("body", F.lit("\nmore")))))
+    return out.select("slug", "outcome", F.length("body").alias("chars"), F.array_join("aliases", ",").alias("aliases"), F.array_join("sources", ",").alias("sources"), "fingerprint")
+
+
+@query(f"WITH {PAGES} SELECT slug, '- ' || slug || ' — ' || kind || ' — ' || title || CASE WHEN alias <> '' THEN ' (aliases: ' || alias || ')' ELSE '' END AS line FROM wiki")
+def inventory_lines(spark, sf_dir):
+    return _wiki(spark, sf_dir).select("slug", compiled.inventory_line(F.col("slug"), F.col("kind"), F.col("title"), F.col("aliases")).alias("line"))
+
+
+@query("SELECT max(event_id) FILTER (WHERE event_type = 'view') >= max(event_id) FILTER (WHERE event_type <> 'view') AS fresh FROM events")
+def index_freshness(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_type", F.col("event_id").alias("modified"))
+    return compiled.index_is_fresh(e.where("event_type <> 'view'"), e.where("event_type = 'view'"))
+
+
+@query(f"WITH {CHUNKS} SELECT id, trajectory_id FROM chunks WHERE tier = 'wiki' AND owner = 'owner1'")
+def page_chunk_ids(spark, sf_dir):
+    return compiled.chunk_ids(views.chunks(spark, sf_dir), "owner1")
+
+
+# ---------------------------------------------------------------- answers and their logs
+
+_REF = "CASE WHEN tier = 'wiki' THEN trajectory_id ELSE repo || '@' || CASE WHEN branch <> '' THEN branch ELSE '(no-branch)' END END"
+_DAY = "coalesce(strftime(ts, '%Y-%m-%d'), 'unknown')"
+
+
+@query(f"""WITH {CHUNKS} SELECT id, '[' || CAST(doc_id % 12 + 1 AS VARCHAR) || '] [' || CASE WHEN tier = 'raw' THEN 'raw' ELSE tier || ':' || coalesce(dream_type, '?') END || '] ' || {_REF} || ' · ' || {_DAY} || ' · '
+|| CASE WHEN tier = 'dream' THEN trajectory_id ELSE 'chunk ' || left(sha256(id), 8) || '…' END || CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN ' · 1 artifact' ELSE ' · 2 artifacts' END AS line,
+'[' || CAST(doc_id % 12 + 1 AS VARCHAR) || '] ' || CASE WHEN tier = 'raw' THEN 'raw' ELSE tier || '/' || coalesce(dream_type, '?') END || ' · ' || {_REF} || ' · ' || {_DAY} AS header,
+sha256(CASE WHEN length(content) > 2000 THEN left(content, 2000) || chr(10) || '[truncated]' ELSE content END) AS body FROM chunks""")
+def source_lines(spark, sf_dir):
+    n, c = (F.col("doc_id") % 12 + 1), F.col
+    ref = answers.reference(c("tier"), c("repo"), c("branch"), c("trajectory_id"))
+    line = answers.source_line(n, c("tier"), c("dream_type"), ref, c("ts"), c("trajectory_id"), F.sha2("id", 256), F.col("doc_id") % 3)
+    return views.chunks(spark, sf_dir).select("id", line.alias("line"), answers.candidate_header(n, c("tier"), c("dream_type"), ref, c("ts")).alias("header"), F.sha2(answers.candidate_body(c("content")), 256).alias("body"))
+
+
+@query(f"""WITH {_BATCH}, h AS (SELECT query_id, vec_id, rank - 1 AS rank FROM r WHERE rank <= 10), o AS (SELECT * FROM (VALUES (0, 2), (1, 0)) t(place, rank)),
+m AS (SELECT h.*, CASE WHEN query_id % 40 = 0 THEN place END AS place FROM h LEFT JOIN o USING (rank)), p AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY place NULLS LAST, rank) - 1 AS position FROM m)
+SELECT query_id, vec_id, position FROM p WHERE position < 6""")
+def reranked_pages(spark, sf_dir):
+    """Result pages with a reranker that answers every other query; its answers hold invalid and repeated indices."""
+    pool = _batch(spark, sf_dir).select("query_id", "vec_id", (F.col("rank") - 1).cast("int").alias("rank"))
+    answer = F.when(F.col("query_id") % 40 == 0, F.lit('{"ranking": [2, "1", 2, 0.5, 8, -1, 0]}')).otherwise("sorry")
+    said = table(spark, sf_dir, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), answer.alias("answer"))
+    return answers.reranked_pages(pool, said, 8, 6).select("query_id", "vec_id", F.col("position").cast("long").alias("position"))
+
+
+@query(f"""WITH {_BATCH}, h AS (SELECT query_id, rank, vec_id FROM r WHERE rank <= 10 AND query_id % 60 <> 0)
+SELECT e.vec_id AS query_id, 'search' AS kind, CASE WHEN vec_id % 100 = 0 THEN 0 ELSE (SELECT count(*) FROM h WHERE query_id = e.vec_id) END AS result_count, CASE WHEN vec_id % 100 <> 0 THEN (SELECT 's' || CAST(vec_id AS VARCHAR) FROM h WHERE query_id = e.vec_id AND rank = 1) END AS top_session_id,
+CASE WHEN vec_id % 100 = 0 THEN 'error' END AS outcome FROM embeddings e WHERE vec_id % 20 = 0""")
+def search_demand_rows(spark, sf_dir):
+    """Demand rows of the stated queries: every third has no result, every fifth failed."""
+    found = _batch(spark, sf_dir).where("query_id % 60 <> 0").select("query_id", F.col("rank").alias("position"), "similarity", F.lit("raw").alias("tier"), F.concat(F.lit("s"), F.col("vec_id").cast("string")).alias("session_id"))
+    asked = table(spark, sf_dir, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.lit("cli").alias("surface"), F.lit("q").alias("query"), F.lit("all").alias("tier"), F.lit(None).cast("string").alias("repo"), (F.col("vec_id") % 100 == 0).alias("failed"))
+    return answers.search_rows(asked, found).select("query_id", "kind", "result_count", "top_session_id", "outcome")
+
+
+@query("""WITH t AS (SELECT conv_id AS q, turn + 1 AS n, role FROM conversations), g AS (SELECT q, count(*) AS result_count, arg_min(role, n) AS top_tier, count(*) FILTER (WHERE role = 'assistant' AND q % 4 <> 0) AS cited_count FROM t WHERE q % 3 <> 0 GROUP BY q)
+SELECT q AS query_id, coalesce(result_count, 0) AS result_count, top_tier, CASE WHEN q % 3 = 0 THEN 'no_candidates' WHEN cited_count = 0 THEN 'not_covered' ELSE 'answered' END AS outcome, coalesce(cited_count, 0) AS cited_count FROM (SELECT DISTINCT q FROM t) LEFT JOIN g USING (q)""")
+def ask_demand_rows(spark, sf_dir):
+    """Conversations as answers whose turns are the sources."""
+    t = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("query_id"), (F.col("turn") + 1).alias("n"), F.col("role").alias("tier"), ((F.col("role") == "assistant") & (F.col("conv_id") % 4 != 0)).alias("cited"))
+    asked = t.select("query_id").distinct().select("query_id", F.lit("ui").alias("surface"), F.lit("q").alias("query"), F.lit("all").alias("tier"), F.lit("").alias("repo"), F.when(F.col("query_id") % 3 != 0, "a").alias("answer"))
+    return answers.ask_rows(asked, t.where("query_id % 3 <> 0")).select("query_id", "result_count", "top_tier", "outcome", "cited_count")
+
+
+@query(f"WITH {CHUNKS}, c AS (SELECT doc_id AS answer_id, unnest([1, 2, 3]) AS n FROM chunks), s AS (SELECT doc_id AS answer_id, unnest([1, 2]) AS n, unnest([CAST(doc_id + 3 AS VARCHAR), CAST(doc_id AS VARCHAR)]) AS chunk_id FROM chunks) SELECT answer_id, n, sha256(content) AS content FROM c JOIN s USING (answer_id, n) LEFT JOIN chunks ON id = chunk_id")
+def cited_texts(spark, sf_dir):
+    c = views.chunks(spark, sf_dir)
+    cites = c.select(F.col("doc_id").alias("answer_id"), F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("n"))
+    sources = c.select(F.col("doc_id").alias("answer_id"), F.posexplode(F.array((F.col("doc_id") + 3).cast("string"), F.col("doc_id").cast("string"))).alias("at", "chunk_id")).select("answer_id", (F.col("at") + 1).alias("n"), "chunk_id")
+    return answers.cited_texts(cites, sources, c).select("answer_id", "n", F.sha2("content", 256).alias("content"))
+
+
+@query(f"WITH {CHUNKS} SELECT doc_id, sha256('B:' || trajectory_id || ':' || CAST(chunk_index AS VARCHAR) || ':' || doc_id) AS id, sha256(CASE WHEN doc_id % 4 <> 0 THEN 'About ' || repo || chr(10) || chr(10) || content ELSE content END) AS text FROM chunks")
+def arm_chunks(spark, sf_dir):
+    """Chunks of one arm of an experiment, some with a situating prefix."""
+    c, prefix = views.chunks(spark, sf_dir), F.when(F.col("doc_id") % 4 != 0, F.concat(F.lit("About "), "repo"))
+    return c.select("doc_id", answers.arm_chunk_id(F.lit("B"), F.col("trajectory_id"), F.col("chunk_index"), F.col("doc_id").cast("string")).alias("id"), F.sha2(answers.prefixed(prefix, F.col("content")), 256).alias("text"))
+
+
+@query(f"WITH {_RANKED} SELECT query_id, " + ", ".join(f"CAST(coalesce(min(position) FILTER (WHERE relevant) <= {k}, false) AS INTEGER) AS recall{k}" for k in (1, 3, 5, 10)) + " FROM k GROUP BY query_id")
+def recall_any(spark, sf_dir):
+    return answers.recall_any(_ranked(spark, sf_dir))
+
+
+@query("SELECT conv_id, sha256(left(string_agg(text, chr(10) ORDER BY turn), 24000)) AS content FROM conversations WHERE role = 'user' GROUP BY conv_id")
+def user_corpus(spark, sf_dir):
+    return answers.user_corpus(table(spark, sf_dir, "conversations")).select("conv_id", F.sha2("content", 256).alias("content"))
+
+
+@query(f"""WITH {DEMAND}, d AS (SELECT query, max(ts) AS ts FROM demand GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20), n AS (SELECT query, row_number() OVER (ORDER BY ts DESC, query) AS n FROM d)
+SELECT n, query FROM n a WHERE NOT EXISTS (SELECT 1 FROM n b WHERE b.n < a.n AND starts_with(lower(b.query), lower(a.query))) ORDER BY n LIMIT 20""")
+def demand_queries(spark, sf_dir):
+    d = views.demand(spark, sf_dir).select("query", "ts")
+    return answers.demand_queries(d, d.where("false")).select(F.col("n").cast("long").alias("n"), "query")
+
+
+@query(f"WITH {CHUNKS} SELECT id FROM chunks WHERE NOT (tier = 'raw' AND chunker_version IS DISTINCT FROM 2)")
+def reindex_sweep(spark, sf_dir):
+    reports = spark.createDataFrame([("a", None), ("b", None)], "path string, error string")
+    return store.sweep(views.chunks(spark, sf_dir), reports, F.lit(2), F.col("tier") == "raw").select("id")
+
+
+@query(f"WITH {CHUNKS} SELECT trajectory_id, doc_id, repo AS path FROM chunks WHERE session_id = 'src0' AND doc_id % 9 <> 0")
+def raw_replay(spark, sf_dir):
+    """Raw payloads of one source, every ninth of them torn."""
+    c = views.chunks(spark, sf_dir)
+    payload = F.to_json(F.struct("doc_id", F.col("repo").alias("path")))
+    events = c.select("trajectory_id", F.col("session_id").alias("source"), F.when(F.col("doc_id") % 9 == 0, F.lit("{")).otherwise(payload).alias("payload"))
+    return store.replay(events, "src0", "doc_id long, path string").where("doc_id IS NOT NULL")
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS iso, coalesce(strftime(CASE WHEN event_id % 4 <> 0 THEN ts END, '%Y-%m-%d'), 'unknown') AS day FROM events")
+def iso_times(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return e.select("event_id", answers.iso_text(F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).alias("iso"), answers.iso_day(F.when(F.col("event_id") % 4 != 0, F.col("ts"))).alias("day"))
