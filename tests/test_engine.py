@@ -2,6 +2,8 @@ import json
 import random
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tidemark import models
 from tidemark.functions import segments as seg
@@ -103,6 +105,45 @@ def test_full_text(spark):
     assert all(0 < s < 1 for s in scores.values()) and scores["a"] > scores["b"] * 0.5
 
 
+@given(st.from_regex("[a-z0-9]{1,8}(ing|ed|edly|ies|s|ational|fulness|y)?", fullmatch=True))
+@settings(max_examples=300, deadline=None)
+def test_stems_keep_the_first_letter(word):
+    assert fulltext.stem(word)[:1] == word[0]
+
+
+def test_text_rank_equals_stored_postings(spark, tmp_path):
+    """Null, empty, very long and repeated texts; a column in the way; phrases, negation, stop words."""
+    long = "Running runs of the fox " * 20_000
+    rows = [("a", "Runs with foxes", 1), ("b", "fox running fox", 1), ("b", "fox running fox", 1), ("c", None, 1), ("d", "", 1), ("e", long, 1), ("f", "runner and turtles", 1)]
+    docs = spark.createDataFrame(rows, "id string, content string, term int")
+    once = docs.where("id <> 'b'")
+    fulltext.write_index(fulltext.postings(once), str(tmp_path / "i"), buckets=4, splits=2)
+    for q in ("run fox", '"running fox"', "fox -turtle", "runs or turtle", "the", "-fox", "", "absent"):
+        stored = [tuple(r) for r in fulltext.search(fulltext.read_index(spark, str(tmp_path / "i"), q, buckets=4), q, limit=None).collect()]
+        scanned = [tuple(r) for r in fulltext.best_first(once.select("id", fulltext.rank(F.col("content"), q).alias("keyword_score")), None).collect()]
+        assert scanned == stored, q
+    both = fulltext.best_first(docs.select("id", fulltext.rank(F.col("content"), "fox").alias("keyword_score")), None).collect()
+    assert [r.id for r in both] == ["e", "b", "b", "a"]
+    empty = docs.where("false")
+    assert fulltext.postings(empty).count() == 0 and empty.select(fulltext.rank(F.col("content"), "fox")).count() == 0
+
+
+def test_hybrid_pools(spark):
+    """More rows than both pools hold: the pools are those of a full sort, and null vectors come last."""
+    rng = random.Random(5)
+    rows = [(f"{i:04}", "fox " * rng.randint(0, 6) + "turtle", [rng.gauss(0, 1) for _ in range(3)] if i % 9 else None, "raw", None, "r", "s", None) for i in range(900)]
+    chunks = spark.createDataFrame(rows, "id string, content string, embedding array<float>, tier string, ts timestamp_ntz, repo string, session_id string, invalid_at timestamp_ntz").repartition(7)
+    scored = chunks.join(spark.sql("SELECT array(1f, 0f, 0f) AS q")).select("id", retrieval.vec.cosine(F.col("embedding"), F.col("q")).alias("similarity"), fulltext.rank(F.col("content"), "fox").alias("keyword_score")).cache()
+    got = sorted(r.id for r in retrieval._pools(scored, 100, 50, "id").collect())
+    every = scored.collect()
+    near = sorted((r for r in every if r.similarity is not None), key=lambda r: (-r.similarity, r.id))[:100]
+    named = sorted((r for r in every if r.keyword_score is not None), key=lambda r: (-round(r.keyword_score, 12), r.id))[:50]
+    assert got == sorted({r.id for r in near} | {r.id for r in named})
+    found = retrieval.hybrid_search(chunks, spark.sql("SELECT array(1f, 0f, 0f) AS q"), "foxes", retrieval.Filters(limit=5), retrieval.Scoring(), F.current_timestamp()).collect()
+    assert len(found) == 5 and found[0].combined >= found[-1].combined
+    assert retrieval.hybrid_search(chunks.where("false"), spark.sql("SELECT array(1f, 0f, 0f) AS q"), "foxes", retrieval.Filters(), retrieval.Scoring(), F.current_timestamp()).count() == 0
+
+
 def test_store_mutations(spark, tmp_path):
     old = spark.createDataFrame([("a", "x", 1, True), ("b", "y", 1, None)], "id string, content string, v int, dead boolean")
     new = spark.createDataFrame([("a", "z", 2, None), ("c", "w", 2, None)], "id string, content string, v int, dead boolean")

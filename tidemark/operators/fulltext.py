@@ -1,16 +1,19 @@
 """Full-text search: analysis, postings, web-style boolean queries and cover-density rank.
 
-The postings table has one row per (term, chunk) with sorted positions; a query reads only the rows of its terms.
-Stems follow the published Porter2 rules in their main steps; parity with other engines is of meaning, not of bits.
+Two ways to the same scores. `search` reads a stored index: one row per (term, chunk) with sorted positions, in folders
+by the term's hash, so a query reads the folders of its terms and, sorted by term, few row groups of them. `rank` is a
+column over the texts themselves, for a pass that reads them anyhow: no shuffle, and only the query's terms are kept.
+Null texts count as empty; equal scores go by id. Stems follow the published Porter2 rules in their main steps; parity with other engines is of meaning, not of bits.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,6 +25,8 @@ STOP_WORDS = frozenset(
     "were what when where which while who whom why will with you your yours yourself yourselves".split()
 )
 _VOWEL = re.compile("[aeiouy]")
+_TOKEN = re.compile("[a-z0-9]+")
+STEMS, FLUSH = 1 << 18, 1 << 20  # tokens whose stem a task remembers; positions in a batch of postings
 # Suffixes of Porter2's steps 2 to 4.
 _STEP2 = {"ational": "ate", "tional": "tion", "enci": "ence", "anci": "ance", "abli": "able", "entli": "ent", "izer": "ize", "ization": "ize", "ation": "ate", "ator": "ate", "alism": "al", "aliti": "al", "alli": "al", "fulness": "ful", "ousli": "ous", "ousness": "ous", "iveness": "ive", "iviti": "ive", "biliti": "ble", "bli": "ble", "fulli": "ful", "lessli": "less"}
 _STEP3 = {"ational": "ate", "tional": "tion", "alize": "al", "icate": "ic", "iciti": "ic", "ical": "ic", "ful": "", "ness": ""}
@@ -87,26 +92,82 @@ def stem(word: str) -> str:
 
 def analyse(text: str) -> list[tuple[str, int]]:
     """(stem, position from 1) of every token that is no stop word; stop words take up positions."""
-    return [(stem(t), i) for i, t in enumerate(re.findall(r"[a-z0-9]+", text.lower()), 1) if t not in STOP_WORDS]
+    return [(stem(t), i) for i, t in enumerate(_TOKEN.findall(text.lower()), 1) if t not in STOP_WORDS]
 
 
-_POSTING = T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField("positions", T.ArrayType(T.IntegerType()))]))
+class _Stems(dict):
+    """Stem by token, None for a stop word or, where terms are given, for a stem that is not among them."""
 
+    def __init__(self, terms: frozenset[str] | None = None):
+        super().__init__()
+        self.terms = terms
+        self.first = None if terms is None else {t[0] for t in terms}  # rules change suffixes only, never the first letter
 
-@F.pandas_udf(_POSTING)
-def _postings(text: pd.Series) -> pd.Series:
-    def one(t: str | None) -> list[dict]:
-        seen: dict[str, list[int]] = {}
-        for term, at in analyse(t or ""):
-            seen.setdefault(term, []).append(at)
-        return [{"term": k, "positions": v} for k, v in seen.items()]
+    def __missing__(self, token: str) -> str | None:
+        if len(self) >= STEMS:
+            self.clear()
+        other = self.first is not None and token[0] not in self.first
+        s = None if other or token in STOP_WORDS else stem(token)
+        self[token] = s = s if self.terms is None or s in self.terms else None
+        return s
 
-    return text.map(one)
+
+def places(text: str | None, stems: _Stems) -> dict[str, list[int]]:
+    """Sorted positions by stem; every token takes up a position."""
+    at: dict[str, list[int]] = {}
+    for i, s in enumerate(map(stems.__getitem__, _TOKEN.findall((text or "").lower())), 1):
+        if s is not None:
+            at.setdefault(s, []).append(i)
+    return at
 
 
 def postings(chunks: DataFrame, id_col: str = "id", text_col: str = "content") -> DataFrame:
     """term, id, positions."""
-    return chunks.select(id_col, F.explode(_postings(F.col(text_col))).alias("p")).select(F.col("p.term").alias("term"), id_col, F.col("p.positions").alias("positions"))
+
+    def invert(batches):
+        import pyarrow as pa
+
+        stems = _Stems()
+
+        def flush(ids, terms, rows, ends, values):
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32()))
+            return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), ids.take(pa.array(rows, pa.int64())), lists], ["term", id_col, "positions"])
+
+        for batch in batches:
+            terms, rows, ends, values = [], [], [0], []
+            for r in range(batch.num_rows):
+                for term, at in places(batch.column(1)[r].as_py(), stems).items():
+                    terms.append(term)
+                    rows.append(r)
+                    values += at
+                    ends.append(len(values))
+                if len(values) >= FLUSH:
+                    yield flush(batch.column(0), terms, rows, ends, values)
+                    terms, rows, ends, values = [], [], [0], []
+            if terms:
+                yield flush(batch.column(0), terms, rows, ends, values)
+
+    kind = chunks.schema[id_col].dataType.simpleString()
+    return chunks.select(id_col, F.col(text_col).cast("string")).mapInArrow(invert, f"term string, `{id_col}` {kind}, positions array<int>")
+
+
+def _bucket(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+
+def write_index(index: DataFrame, path: str, buckets: int = 64, splits: int = 4, id_col: str = "id") -> None:
+    """Postings in folders by the term's hash; the rows of a folder, those of a very common term too, are dealt to
+    `splits` tasks by id. Let both grow with the table: a folder and split is what one task sorts."""
+    dealt = index.withColumn("bucket", _bucket(F.col("term"), buckets)).repartition(buckets * splits, "bucket", F.pmod(F.xxhash64(id_col), F.lit(splits)))
+    dealt.sortWithinPartitions("bucket", "term", id_col).write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def read_index(spark: SparkSession, path: str, query: str, buckets: int = 64) -> DataFrame:
+    """The postings of a query's terms; other folders are not opened. buckets as it was written."""
+    terms = sorted({t for c in parse_query(query) for p in c.phrases for t in p})
+    near = spark.createDataFrame([(t,) for t in terms], "term string").select(_bucket(F.col("term"), buckets).alias("b")).distinct().collect() if terms else []
+    stored = spark.read.parquet(path)
+    return stored.where(F.col("bucket").isin(*[r.b for r in near]) & F.col("term").isin(*terms)).drop("bucket") if terms else stored.where("false").drop("bucket")
 
 
 @dataclass(frozen=True)
@@ -138,7 +199,10 @@ def parse_query(query: str) -> list[Clause]:
 
 
 def _occurs(phrase: tuple[str, ...], at: dict[str, list[int]]) -> bool:
-    return any(all(p + k in at.get(t, ()) for k, t in enumerate(phrase)) for p in at.get(phrase[0], ()))
+    starts = set(at.get(phrase[0], ()))
+    for k, t in enumerate(phrase[1:], 1):
+        starts &= {p - k for p in at.get(t, ())}
+    return bool(starts)
 
 
 def matches(clauses: list[Clause], at: dict[str, list[int]]) -> bool:
@@ -161,8 +225,14 @@ def cover_density(clauses: list[Clause], at: dict[str, list[int]]) -> float:
     return total / (total + 1)
 
 
+def best_first(scored: DataFrame, limit: int | None, id_col: str = "id") -> DataFrame:
+    """Rows with a score by score (12 places), then id."""
+    found = scored.where("keyword_score IS NOT NULL").orderBy(F.desc(F.round("keyword_score", 12)), id_col)
+    return found if limit is None else found.limit(limit)
+
+
 def search(index: DataFrame, query: str, limit: int | None = 50, id_col: str = "id") -> DataFrame:
-    """id and keyword_score of matching chunks, best first; an empty query has no rows."""
+    """id and keyword_score of matching chunks of an index, best first; an empty query has no rows."""
     clauses = parse_query(query)
     terms = sorted({t for c in clauses for p in c.phrases for t in p})
     rows = index.where(F.col("term").isin(*terms)) if terms else index.where("false")
@@ -176,5 +246,25 @@ def search(index: DataFrame, query: str, limit: int | None = 50, id_col: str = "
 
         return at.map(one)
 
-    found = grouped.select(id_col, score("at").alias("keyword_score")).where("keyword_score IS NOT NULL").orderBy(F.desc("keyword_score"), id_col)
-    return found if limit is None else found.limit(limit)
+    return best_first(grouped.select(id_col, score("at").alias("keyword_score")), limit, id_col)
+
+
+def rank(content: Column, query: str) -> Column:
+    """The score that `search` gives, from the text itself; null where the query does not match."""
+    clauses = parse_query(query)
+    terms = frozenset(t for c in clauses for p in c.phrases for t in p)
+    if not any(not c.negated for c in clauses):
+        return F.lit(None).cast("double")
+
+    @F.pandas_udf(T.DoubleType())
+    def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        stems = _Stems(terms)
+
+        def one(text: str | None) -> float | None:
+            at = places(text, stems)
+            return cover_density(clauses, at) if at and matches(clauses, at) else None
+
+        for texts in parts:
+            yield pd.Series([one(t) for t in texts], dtype="float64")
+
+    return score(content)

@@ -1,7 +1,7 @@
 """Two-arm retrieval and rescoring over a chunk table (id, content, embedding, tier, ts, ...).
 
-Plans: filters are added only when asked for, so they reach the Parquet scan; the vector arm is one pass with a
-heap per task (TakeOrderedAndProject); sets of queries are broadcast in blocks of at most QUERY_BLOCK vectors.
+Plans: filters are added only when asked for, so they reach the Parquet scan; both arms are one pass in which a task
+keeps its best rows only; sets of queries are broadcast in blocks of at most QUERY_BLOCK vectors.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import vectors as vec
+from . import fulltext
 
 # Default weights and priors of the scoring formula.
 VECTOR_WEIGHT, KEYWORD_WEIGHT = 0.7, 0.3
@@ -22,6 +23,7 @@ TIER_ALIASES = {"synth": ("wiki", "dream"), "all": (), "both": (), None: ()}
 VECTOR_POOL, KEYWORD_POOL = 100, 50
 QUERY_BLOCK = 2_000
 SCORES = 1 << 21  # of a step
+MERGERS = 16
 
 
 @dataclass
@@ -125,23 +127,6 @@ def batch_topk(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "ve
     return out.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def keyword_signal(content: Column, terms: list[str]) -> Column:
-    """Occurrences of the terms as r / (r + 1); 0 when a term is missing."""
-    words = F.split(F.lower(content), "[^a-z0-9]+")
-    counts = [F.size(F.filter(words, _equals(t))) for t in terms]
-    if not counts:
-        return F.lit(0.0)
-    total = sum(counts[1:], counts[0])
-    found = counts[0] > 0
-    for c in counts[1:]:
-        found = found & (c > 0)
-    return F.when(found, total / (total + 1.0)).otherwise(F.lit(0.0))
-
-
-def _equals(term: str):
-    return lambda x: x == F.lit(term)
-
-
 def recency(ts: Column, as_of: Column, half_life_days: float) -> Column:
     """Half-life prior in [0, 1]; 0 without a timestamp or half-life."""
     if half_life_days <= 0:
@@ -169,17 +154,50 @@ def rescore(candidates: DataFrame, s: Scoring, as_of: Column) -> DataFrame:
     return candidates.withColumn("combined", total * time_decay(F.col("ts"), as_of, s.decay_days))
 
 
-def hybrid_search(chunks: DataFrame, query_vector: DataFrame, terms: list[str], f: Filters, s: Scoring, as_of: Column, id_col: str = "id") -> DataFrame:
+def _pools(scored: DataFrame, near: int, named: int, id_col: str) -> DataFrame:
+    """The `near` rows of the highest similarity and the `named` ones of the highest keyword_score, ties by id, in one
+    pass: every task keeps no more than its own pools, MERGERS tasks merge those, and one the last few thousand rows."""
+
+    def trim(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        held = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            t = t if held is None else pa.concat_tables([held, t])
+            first = pc.sort_indices(t, [("similarity", "descending"), (id_col, "ascending")])[:near].to_pylist()
+            order = pc.sort_indices(t, [("keyword_order", "descending"), (id_col, "ascending")])[:named]
+            hits = [i for i in order.to_pylist() if t["keyword_order"][i].is_valid]
+            held = t.take(pa.array(sorted({*first, *hits}), pa.int64())).combine_chunks()
+        if held is not None:
+            yield from held.to_batches()
+
+    rows = scored.withColumn("keyword_order", F.round("keyword_score", 12))
+    for tasks in (0, MERGERS, 1):
+        rows = (rows.repartition(tasks, id_col) if tasks else rows).mapInArrow(trim, rows.schema)
+    return rows.drop("keyword_order")
+
+
+def hybrid_search(chunks: DataFrame, query_vector: DataFrame, query: str, f: Filters, s: Scoring, as_of: Column, id_col: str = "id", vectors: DataFrame | None = None, key: str = "id") -> DataFrame:
     """Both arms, their distinct union, both signals on every candidate, priors, and the best rows.
 
-    Both signals are computed in the one pass that also feeds the arms; the candidates are at most the two pools.
-    """
+    The keyword arm is the full-text rank of `query`; a chunk that does not match scores 0 there and is no candidate of
+    that arm. Both signals are computed in the one pass that feeds the arms. Vectors kept in a table of their own
+    (key, embedding) are reduced to similarities before they are joined, and texts to scores: no text is shuffled.
+    Chunks without a vector are left out then; a null similarity comes last."""
     limit = clamp_limit(f.limit)
-    rows = live(chunks, f).join(F.broadcast(query_vector.limit(1)))
-    scored = rows.select(id_col, "tier", "ts", "repo", "session_id", vec.cosine(F.col("embedding"), F.col("q")).alias("similarity"), keyword_signal(F.col("content"), terms).alias("keyword_score"))
-    near = scored.orderBy(F.desc_nulls_last("similarity"), id_col).limit(max(VECTOR_POOL, limit))
-    named = scored.where("keyword_score > 0").orderBy(F.desc("keyword_score"), id_col).limit(max(KEYWORD_POOL, limit))
-    return rescore(near.union(named).distinct(), s, as_of).orderBy(F.desc_nulls_last("combined"), id_col).limit(limit)
+    similarity = vec.cosine(F.col("embedding"), F.col("q")).alias("similarity")
+    q = F.broadcast(query_vector.limit(1))
+    found = live(chunks, f)
+    kept = [id_col, "tier", "ts", "repo", "session_id"]
+    score = fulltext.rank(F.col("content"), query).alias("keyword_score")
+    if vectors is None:
+        scored = found.join(q).select(*kept, similarity, score)
+    else:
+        scored = found.select(*kept, F.col(key).alias("_key"), score).join(vectors.join(q).select(F.col(key).alias("_key"), similarity), "_key").drop("_key")
+    pool = _pools(scored, max(VECTOR_POOL, limit), max(KEYWORD_POOL, limit), id_col).distinct()
+    return rescore(pool.withColumn("keyword_score", F.coalesce("keyword_score", F.lit(0.0))), s, as_of).orderBy(F.desc_nulls_last("combined"), id_col).limit(limit)
 
 
 def max_similarity(hits: DataFrame, group: str = "session_id") -> DataFrame:

@@ -72,20 +72,30 @@ def batch_vector_topk(spark, sf_dir):
 
 
 _WORDS = "regexp_split_to_array(lower({c}), '[^a-z0-9]+')"
-_TF = "len(list_filter(" + _WORDS.format(c="content") + ", lambda x: x = '{t}'))"
+# Full text as SQL: tokens with positions, stems of the queries' terms by their forms, covers of two groups of terms.
+_TOKENS = """tok AS (SELECT id, unnest(ws) AS w, generate_subscripts(ws, 1) AS p FROM (SELECT id, regexp_extract_all(lower(content), '[a-z0-9]+') AS ws FROM chunks)),
+stems AS (SELECT id, p, CASE WHEN regexp_full_match(w, 'thti(ed|es|ing|edly|ingly)?') THEN 'thti' WHEN regexp_full_match(w, 'ha(ed|ing|edly|ingly)?') THEN 'ha' WHEN regexp_full_match(w, 'ea(ed|ing|edly|ingly)?') THEN 'ea'
+  WHEN regexp_full_match(w, 'er(ed|es|ing|edly|ingly)?') THEN 'er' WHEN regexp_full_match(w, 'ly(ed|ing|edly|ingly)?') THEN 'ly' END AS s FROM tok)"""
+_COVERS = """ev AS (SELECT id, p, max(CASE WHEN s = 'thti' THEN p END) OVER run AS l0, max(CASE WHEN s IN ({group}) THEN p END) OVER run AS l1 FROM stems WHERE s = 'thti' OR s IN ({group}) WINDOW run AS (PARTITION BY id ORDER BY p ROWS UNBOUNDED PRECEDING)),
+cover AS (SELECT id, least(l0, l1) AS b, min(p) AS e FROM ev WHERE l0 IS NOT NULL AND l1 IS NOT NULL GROUP BY ALL),
+dense AS (SELECT id, sum(1.0::DOUBLE / greatest(1, e - b)) / (sum(1.0::DOUBLE / greatest(1, e - b)) + 1) AS keyword_score FROM cover GROUP BY id)"""
 _SCORED = f"""q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 7),
 live AS (SELECT c.*, e.embedding FROM chunks c JOIN embeddings e ON e.vec_id = c.doc_id WHERE invalid_at IS NULL),
-scored AS (SELECT id, tier, ts, repo, session_id, {COS.format(a='embedding', b='q.q')} AS similarity,
-  CASE WHEN {_TF.format(t='the')} > 0 AND {_TF.format(t='with')} > 0 THEN ({_TF.format(t='the')} + {_TF.format(t='with')}) / ({_TF.format(t='the')} + {_TF.format(t='with')} + 1.0) ELSE 0.0 END AS keyword_score FROM live, q),
-cand AS (SELECT * FROM (SELECT * FROM scored ORDER BY similarity DESC NULLS LAST, id LIMIT 100) UNION SELECT * FROM (SELECT * FROM scored WHERE keyword_score > 0 ORDER BY keyword_score DESC, id LIMIT 50)),
+{_TOKENS}, {_COVERS.format(group="'ha'")},
+scored AS (SELECT id, tier, ts, repo, session_id, {COS.format(a='embedding', b='q.q')} AS similarity, coalesce(keyword_score, 0.0) AS keyword_score FROM live LEFT JOIN dense USING (id), q),
+cand AS (SELECT * FROM (SELECT * FROM scored ORDER BY similarity DESC NULLS LAST, id LIMIT 100) UNION SELECT * FROM (SELECT * FROM scored WHERE keyword_score > 0 ORDER BY round(keyword_score, 12) DESC, id LIMIT 50)),
 comb AS (SELECT *, (0.7 * similarity + 0.3 * keyword_score + 0.1 * CASE WHEN ts IS NULL THEN 0.0 ELSE least(1.0, exp(-ln(2) * (epoch_us({STAMP}) - epoch_us(ts)) / 86400000000.0 / 30.0)) END
   + 0.05 * CASE tier WHEN 'wiki' THEN 1.0 WHEN 'dream' THEN 0.85 ELSE 0.6 END) * coalesce(exp(-(epoch_us({STAMP}) - epoch_us(ts)) / 86400000000.0 / 365.0), 1.0) AS combined FROM cand)"""
+_FOUND = f"""WITH {CHUNKS}, {_TOKENS}, {_COVERS.format(group="'er', 'ha', 'ea'")},
+near AS (SELECT DISTINCT a.id FROM stems a JOIN stems b ON a.id = b.id AND b.p = a.p + 1 WHERE a.s = 'er' AND b.s = 'ha'),
+hit AS (SELECT id FROM stems GROUP BY id HAVING bool_or(s = 'thti') AND (bool_or(s = 'ea') OR id IN (SELECT id FROM near)) AND NOT coalesce(bool_or(s = 'ly'), false))
+SELECT id, round(keyword_score, 9) AS keyword_score FROM dense SEMI JOIN hit USING (id) ORDER BY round(dense.keyword_score, 12) DESC, id LIMIT 50"""
 
 
 def _hybrid(spark, sf_dir, limit=12):
-    chunks = views.chunks(spark, sf_dir).join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id")
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     s = retrieval.Scoring(recency=0.1, tier=0.05, half_life_days=30.0, decay_days=365.0)
-    return retrieval.hybrid_search(chunks, _vector(spark, sf_dir), ["the", "with"], retrieval.Filters(limit=limit), s, as_of())
+    return retrieval.hybrid_search(views.chunks(spark, sf_dir), _vector(spark, sf_dir), "the thties haing", retrieval.Filters(limit=limit), s, as_of(), vectors=vectors, key="doc_id")
 
 
 @query(f"WITH {CHUNKS}, {_SCORED} SELECT id, tier, round(similarity, 8) AS similarity, round(keyword_score, 8) AS keyword_score, round(combined, 8) AS combined FROM comb ORDER BY comb.combined DESC NULLS LAST, id LIMIT 12")
@@ -161,10 +171,24 @@ def full_ranking(spark, sf_dir):
     return retrieval.full_ranking(corpus, ranking).select("query_id", "id", F.col("position").cast("long").alias("position"))
 
 
-@query()
+_TEXT_QUERY = 'the thtied "ering haed" or eaing -lying'
+
+
+@query(_FOUND)
 def keyword_search(spark, sf_dir):
-    """Full-text search with stems, boolean syntax and cover density."""
-    return fulltext.search(fulltext.postings(views.chunks(spark, sf_dir).select("id", "content")), 'thing or answer -"then there"')
+    """Full-text search with stems, stop words, boolean syntax, a phrase and cover density, over the texts."""
+    c = views.chunks(spark, sf_dir)
+    found = fulltext.best_first(c.select("id", fulltext.rank(F.col("content"), _TEXT_QUERY).alias("keyword_score")), 50)
+    return found.withColumn("keyword_score", F.round("keyword_score", 9))
+
+
+@query(_FOUND)
+def indexed_search(spark, sf_dir):
+    """The same from stored postings."""
+    path = shared_path(spark, "postings")
+    fulltext.write_index(fulltext.postings(views.chunks(spark, sf_dir)), path, buckets=16, splits=2)
+    found = fulltext.search(fulltext.read_index(spark, path, _TEXT_QUERY, buckets=16), _TEXT_QUERY)
+    return found.withColumn("keyword_score", F.round("keyword_score", 9))
 
 
 @query("WITH t AS (SELECT doc_id, " + _WORDS.format(c="text") + " AS w FROM documents) SELECT CAST(doc_id AS VARCHAR) AS id FROM t WHERE list_contains(w, 'thst') AND NOT list_contains(w, 'thnt')")
