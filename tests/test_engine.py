@@ -218,7 +218,7 @@ def test_streams_agree_with_batches(spark, tmp_path, sf):
     for k, part in enumerate((log[:3], log[3:])):
         spark.createDataFrame(part, "g string, id long, q string").withColumn("ts", F.col("id")).coalesce(1).write.mode("append").parquet(str(src))
     stream = spark.readStream.schema("g string, id long, q string, ts long").option("maxFilesPerTrigger", 1).parquet(str(src))
-    out = sorted(r.id for r in ingest.run_to_memory(ingest.typing_collapse(stream, "g", "q"), "typing").collect())
+    out = sorted(r.id for r in ingest.run_to_table(ingest.typing_collapse(stream, "g", "q"), str(tmp_path / "typing")).collect())
     batch = sorted(r.id for r in rows.collapse_typing(spark.read.parquet(str(src)), ["g"], "q").collect())
     assert out == batch[:-1]  # the newest row is still open
     seen = []
@@ -227,6 +227,72 @@ def test_streams_agree_with_batches(spark, tmp_path, sf):
     assert sorted(seen) == list(range(7))
 
 
+def test_idle_state_leaves(spark, tmp_path):
+    """A day after a group's last row its held row is put out; keys seen within the watermark count once."""
+    src = str(tmp_path / "in")
+    at = lambda day, i: f"2024-01-{day:02} 00:00:0{i}"
+    for part in ([("g", 1, "a", at(1, 1)), ("g", 2, "ab", at(1, 2))], [("h", 3, "z", at(9, 1)), ("h", 3, "z", at(9, 1))], [("h", 4, "zz", at(9, 2))]):
+        spark.createDataFrame(part, "g string, id long, q string, ts string").withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.mode("append").parquet(src)
+    import os
+    import time
+
+    for i, f in enumerate(sorted((os.path.join(src, f) for f in os.listdir(src) if f.endswith(".parquet")), key=os.path.getmtime)):
+        os.utime(f, (time.time() - 100 + i, time.time() - 100 + i))
+    read = lambda: spark.readStream.schema("g string, id long, q string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(src)
+    out = ingest.run_to_table(ingest.typing_collapse(read(), "g", "q", late="0 seconds"), str(tmp_path / "typing")).collect()
+    assert [(r.g, r.id, r.q) for r in out] == [("g", 2, "ab")]
+    seen = []
+    ingest.exactly_once(read(), "id", lambda df, n: seen.extend(r.id for r in df.collect()), str(tmp_path / "cp"), ts="ts", late="1 day")
+    assert sorted(seen) == [1, 2, 3, 4]
+
+
+def test_budget_passes_match_a_fold(spark):
+    rng = random.Random(3)
+    items = [(f"g{g}", kind, p, rng.choice([0, 1, 20, 39, 41, 60, 101, 130])) for g in range(60) for kind in ("page", "memory") for p in range(rng.randint(0, 13))]
+
+    def fold(mine):
+        pages, memories = (sorted(x for x in mine if x[1] == k)[:n] for k, n in (("page", 6), ("memory", 10)))
+        chosen, used = [], 0
+        for rows_, first, cap, skip in ((pages, 100, 40, True), (memories, 100, 100, False), (pages, 100, 100, False)):
+            for k, x in enumerate(rows_):
+                if x in chosen:
+                    continue
+                if used + x[3] <= (first if k == 0 else cap):
+                    chosen.append(x)
+                    used += x[3]
+                elif not (skip and k == 0):
+                    break
+        return chosen or (pages or memories)[:1]
+
+    want = sorted(x for g in {i[0] for i in items} for x in fold([i for i in items if i[0] == g]))
+    got = rows.fold_budget(spark.createDataFrame(items, "group string, kind string, place int, cost long"), 100).collect()
+    assert sorted(map(tuple, got)) == want
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_hot_groups_fill_and_gather_as_whole_ones(spark, seed):
+    """Salted running sums against plain ones: a hot group, null and empty contents, units at both sides of the cap."""
+    rng = random.Random(seed)
+    data = [("hot" if i % 3 else f"u{i % 7}", i, rng.choice([None, "", "x" * rng.randint(1, 90)])) for i in range(900)] + [("none", 1000, None), ("edge", 1001, "y" * 300), (None, 1002, "z" * 301)]
+    df = spark.createDataFrame(data, "s string, id int, content string").repartition(5)
+    got = {r.s: r.transcript for r in units.transcript(df, ["s"], ["id"], 300).collect()}
+    assert len(got) == len({d[0] for d in data})
+    for s_, text in got.items():
+        whole = "\n---\n".join(c for u, _, c in data if u == s_ and c is not None)
+        head = (300 - 3) * 3 // 4
+        assert text == (whole if len(whole) <= 300 else whole[:head] + "\n…\n" + whole[-(300 - 3 - head) :])
+    costs = df.withColumn("cost", F.coalesce(F.length("content"), F.lit(0)))
+    filled = sorted((r.s or "", r.id, r.used, r.place) for r in rows.running_fill(costs, ["s"], ["id"], "cost", 250).collect())
+    want = []
+    for s_ in {d[0] for d in data}:
+        used = 0
+        for place, (_, i, c) in enumerate((d for d in data if d[0] == s_), 1):
+            used += len(c or "")
+            if used <= 250 or place == 1:
+                want.append((s_ or "", i, used, place))
+    assert filled == sorted(want)
+
+
 def test_cursor_looks_at_the_last_trajectory_again(spark, tmp_path):
     src = str(tmp_path / "in")
     schema = "session_id string, n long, digest string"
@@ -238,7 +304,7 @@ def test_cursor_looks_at_the_last_trajectory_again(spark, tmp_path):
     for i, f in enumerate(sorted((os.path.join(src, f) for f in os.listdir(src) if f.endswith(".parquet")), key=os.path.getmtime)):
         os.utime(f, (time.time() - 100 + i, time.time() - 100 + i))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
-    got = [(r.n, r.digest, r.superseded) for r in ingest.run_to_memory(ingest.cursor_suffix(stream), "cursor").collect()]
+    got = [(r.n, r.digest, r.superseded) for r in ingest.run_to_table(ingest.cursor_suffix(stream), str(tmp_path / "cursor")).collect()]
     assert sorted(got) == [(0, "a", None), (1, "b", None), (1, "c", "b"), (2, "d", None)]
 
 

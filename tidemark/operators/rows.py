@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+SALTS = 64
+
 
 def sessionize(messages: DataFrame, session: str = "conv_id", order: str = "turn", role: str = "role") -> DataFrame:
     """A user message opens a trajectory and later messages attach to it; what comes before the first is dropped."""
@@ -61,62 +63,71 @@ def first_of(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
 
 
+def reachable(df: DataFrame, group: list[str], order: list[str], cost: Column, budget: int, salts: int = SALTS, both_ends: bool = False) -> DataFrame:
+    """Rows that a running sum of costs (none negative) up to the budget can reach from the first row of a group, or from
+    the last one too. A group is dealt by the order's hash and each part drops what follows a sum beyond the budget: the
+    rows that it keeps are beyond it already, so sums over the kept rows decide as sums over all. A hot group is thus
+    never sorted in one task; what is left of it is at most `salts` budgets, and rows without cost."""
+    salt = F.pmod(F.xxhash64(*order), F.lit(salts))
+    part = Window.partitionBy(*group, salt)
+    before = lambda keys: F.coalesce(F.sum(cost).over(part.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) <= budget
+    near = before([F.asc(c) for c in order])
+    return df.withColumn("_near", (near | before([F.desc(c) for c in order])) if both_ends else near).where("_near").drop("_near")
+
+
 def running_fill(df: DataFrame, group: list[str], order: list[str], cost: str, budget: int, at_least_one: bool = True) -> DataFrame:
-    """Rows in order until the running cost first exceeds the budget; the first row always where asked."""
+    """Rows in order until the running cost first exceeds the budget; the first row always where asked. Costs are not
+    negative; a null one adds nothing."""
     w = Window.partitionBy(*group).orderBy(*order)
-    used = df.withColumn("used", F.sum(cost).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("place", F.row_number().over(w))
+    near = reachable(df, group, order, F.col(cost), budget)
+    used = near.withColumn("used", F.sum(cost).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("place", F.row_number().over(w))
     fits = F.col("used") <= budget
     return used.where((fits | (F.col("place") == 1)) if at_least_one else fits)
 
 
 def pack_batches(df: DataFrame, group: str, order: str, cost: str, most_rows: int = 64, most_cost: int = 150_000) -> DataFrame:
-    """Batch number of each row, in order: a batch ends at its row count or cost. The reset makes it a fold per group."""
-    import pandas as pd
+    """Batch number of each row, in order: a batch ends at its row count or cost; a null cost counts as 0. The reset makes
+    it a fold; a task runs over its sorted thin rows and holds one Arrow batch, however long a group is."""
+
+    def fold(batches):
+        import pyarrow as pa
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("o")
-        batch, n, used, out = 0, 0, 0, []
-        for c in rows["c"]:
-            if n and (n == most_rows or used + c > most_cost):
-                batch, n, used = batch + 1, 0, 0
-            n, used = n + 1, used + c
-            out.append(batch)
-        return rows.assign(batch=out)[["g", "o", "batch"]]
+        now, batch, n, used = None, 0, 0, 0
+        for rows in batches:
+            out = []
+            for g, c in zip(rows.column(0).to_pylist(), rows.column(2).to_pylist()):
+                if (g,) != now:
+                    now, batch, n, used = (g,), 0, 0, 0
+                if n and (n == most_rows or used + c > most_cost):
+                    batch, n, used = batch + 1, 0, 0
+                n, used = n + 1, used + c
+                out.append(batch)
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(out, pa.int32())], ["g", "o", "batch"])
 
-    rows = df.select(F.col(group).cast("string").alias("g"), F.col(order).cast("long").alias("o"), F.col(cost).cast("long").alias("c"))
-    return rows.groupBy("g").applyInPandas(fold, "g string, o long, batch int").withColumnsRenamed({"g": group, "o": order})
+    rows = df.select(F.col(group).cast("string").alias("g"), F.col(order).cast("long").alias("o"), F.coalesce(F.col(cost).cast("long"), F.lit(0)).alias("c"))
+    return rows.repartition("g").sortWithinPartitions("g", "o").mapInArrow(fold, "g string, o long, batch int").withColumnsRenamed({"g": group, "o": order})
 
 
 def fold_budget(items: DataFrame, budget: int, page_share: float = 0.4, most_pages: int = 6, most_memories: int = 10) -> DataFrame:
-    """Three passes over a context's few candidates (group, kind page|memory, place, cost): pages within their share,
-    memories into the rest, pages again; at least one item. One small group per context."""
-    import pandas as pd
-
-    def fill(rows: pd.DataFrame) -> pd.DataFrame:
-        pages = rows[rows.kind == "page"].sort_values("place").head(most_pages).to_dict("records")
-        memories = rows[rows.kind == "memory"].sort_values("place").head(most_memories).to_dict("records")
-        chosen: list = []
-        used = 0
-
-        def take(candidates: list, cap_first: float, cap: float, skip_first: bool) -> None:
-            nonlocal used
-            for k, item in enumerate(candidates):
-                if item in chosen:
-                    continue
-                if used + item["cost"] <= (cap_first if k == 0 else cap):
-                    chosen.append(item)
-                    used += item["cost"]
-                elif not (skip_first and k == 0):
-                    break
-
-        take(pages, budget, int(budget * page_share), True)
-        take(memories, budget, budget, False)
-        take(pages, budget, budget, False)
-        if not chosen:
-            chosen = (pages or memories)[:1]
-        return pd.DataFrame(chosen, columns=list(rows.columns))
-
-    return items.groupBy("group").applyInPandas(fill, items.schema)
+    """Three passes over a context's few candidates (group, kind page|memory, place, cost): pages within their share, the
+    first one within the whole budget; memories into the rest; the other pages into what is left. A pass ends with the
+    first item that does not fit, so each is a running sum. Where nothing fits, the first page, else the first memory."""
+    page, every = F.col("kind") == "page", Window.partitionBy("group")
+    line = Window.partitionBy("group", "kind").orderBy("_n")
+    some = lambda test: F.when(test, F.col("cost")).otherwise(F.lit(0))
+    total = lambda test: F.sum(some(test)).over(every)
+    up_to = lambda test: F.sum(some(test)).over(line)
+    rows = items.withColumn("_n", F.row_number().over(Window.partitionBy("group", "kind").orderBy("place")))
+    rows = rows.where((page & (F.col("_n") <= most_pages)) | ((F.col("kind") == "memory") & (F.col("_n") <= most_memories)))
+    first = page & (F.col("_n") == 1) & (F.col("cost") <= budget)
+    share = total(first) + up_to(page & (F.col("_n") > 1)) <= int(budget * page_share)
+    rows = rows.withColumn("_a", first | (page & (F.col("_n") > 1) & share))
+    rows = rows.withColumn("_b", ~page & (total(F.col("_a")) + up_to(~page) <= budget))
+    rows = rows.withColumn("_c", page & ~F.col("_a") & (total(F.col("_a") | F.col("_b")) + up_to(page & ~F.col("_a")) <= budget))
+    rows = rows.withColumn("_in", F.col("_a") | F.col("_b") | F.col("_c"))
+    rows = rows.withColumn("_none", ~F.bool_or("_in").over(every)).withColumn("_pages", F.bool_or(page).over(every))
+    alone = F.col("_none") & (F.col("_n") == 1) & (page | ~F.col("_pages"))
+    return rows.where(F.col("_in") | alone).select(*items.columns)
 
 
 def pivot_budget_totals(filled: DataFrame) -> DataFrame:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from .rows import reachable
 
 CHARS_PER_TOKEN = 4
 TRANSCRIPT_CAP = 24_000
@@ -39,12 +40,26 @@ def plan(units: DataFrame, cap: int = TRANSCRIPT_CAP) -> DataFrame:
 
 
 def transcript(chunks: DataFrame, keys: list[str], order: list[str], cap: int = TRANSCRIPT_CAP) -> DataFrame:
-    """Each unit's contents in order, joined by rules, with the middle left out beyond the cap."""
-    parts = F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col("content").alias("content")))), lambda x: x["content"])
-    whole = F.array_join(parts, "\n---\n")
-    mark = "\n…\n"
+    """Each unit's contents in order, joined by rules, with the middle left out beyond the cap; null contents are left
+    out, a unit of nothing else has an empty text. Only chunks near a unit's ends are gathered, however long it is."""
+    rule, mark = "\n---\n", "\n…\n"
     head = (cap - len(mark)) * 3 // 4
-    return chunks.groupBy(*keys).agg(whole.alias("t")).select(*keys, F.when(F.length("t") <= cap, F.col("t")).otherwise(F.concat(F.substring("t", 1, head), F.lit(mark), F.substring(F.col("t"), -(cap - len(mark) - head), cap))).alias("transcript"))
+    cost = F.length("content") + len(rule)
+    total = chunks.groupBy(*keys).agg((F.coalesce(F.sum(cost), F.lit(len(rule))) - len(rule)).alias("n"))
+    ends = chunks.where("content IS NOT NULL").select(*dict.fromkeys([*keys, *order, "content"]))
+    ends = reachable(ends, keys, order, cost, cap, both_ends=True)
+    # Over what is left of a unit, the same from both of its ends.
+    up, down = Window.partitionBy(*keys).orderBy(*order), Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
+    before = lambda w: F.coalesce(F.sum(cost).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) <= cap
+    ends = ends.withColumn("_up", before(up)).withColumn("_down", before(down)).where("_up OR _down")
+    parts = F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col("content").alias("content")))), lambda x: x["content"])
+    whole = ends.groupBy(*keys).agg(F.array_join(parts, rule).alias("t"))
+    cut = F.concat(F.substring("t", 1, head), F.lit(mark), F.substring(F.col("t"), -(cap - len(mark) - head), cap))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
+    joined = total.alias("a").join(whole.alias("b"), same, "left")
+    return joined.select(*[F.col(f"a.{k}").alias(k) for k in keys], F.when(F.col("n") <= cap, F.coalesce("t", F.lit(""))).otherwise(cut).alias("transcript"))
 
 
 def shrinks(old: Column, new: Column) -> Column:

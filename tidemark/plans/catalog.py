@@ -253,13 +253,21 @@ def budget_fill(spark, sf_dir):
     return rows.running_fill(c, ["session_id"], ["doc_id"], "cost", 6000).select("id", "session_id", "used")
 
 
-@query()
+@query(f"""WITH RECURSIVE {CHUNKS}, c AS (SELECT session_id, doc_id, coalesce(length(content), 0) AS cost, row_number() OVER (PARTITION BY session_id ORDER BY doc_id) AS n FROM chunks),
+f AS (SELECT session_id, doc_id, n, cost AS used, 1 AS k, 0 AS batch FROM c WHERE n = 1 UNION ALL SELECT c.session_id, c.doc_id, c.n, CASE WHEN f.k = 64 OR f.used + c.cost > 150000 THEN c.cost ELSE f.used + c.cost END,
+  CASE WHEN f.k = 64 OR f.used + c.cost > 150000 THEN 1 ELSE f.k + 1 END, CASE WHEN f.k = 64 OR f.used + c.cost > 150000 THEN f.batch + 1 ELSE f.batch END FROM f JOIN c ON c.session_id = f.session_id AND c.n = f.n + 1) SELECT session_id, doc_id, batch FROM f""")
 def batch_packing(spark, sf_dir):
     c = views.chunks(spark, sf_dir).withColumn("cost", F.length("content"))
     return rows.pack_batches(c, "session_id", "doc_id", "cost")
 
 
-@query()
+@query(f"""WITH {CHUNKS}, i AS (SELECT session_id AS g, CASE WHEN tier = 'wiki' THEN 'page' ELSE 'memory' END AS kind, doc_id, CAST(ceil(length(content) / 40.0) AS BIGINT) AS cost FROM chunks),
+r AS (SELECT *, row_number() OVER (PARTITION BY g, kind ORDER BY doc_id) AS n FROM i QUALIFY n <= CASE kind WHEN 'page' THEN 6 ELSE 10 END),
+a AS (SELECT *, kind = 'page' AND CASE WHEN n = 1 THEN cost <= 400 ELSE sum(CASE WHEN n > 1 OR cost <= 400 THEN cost ELSE 0 END) OVER (PARTITION BY g, kind ORDER BY n) <= 160 END AS ina FROM r),
+b AS (SELECT *, kind = 'memory' AND coalesce(sum(cost) FILTER (ina) OVER (PARTITION BY g), 0) + sum(cost) OVER (PARTITION BY g, kind ORDER BY n) <= 400 AS inb FROM a),
+d AS (SELECT *, kind = 'page' AND NOT ina AND coalesce(sum(cost) FILTER (ina OR inb) OVER (PARTITION BY g), 0) + sum(cost) FILTER (NOT ina) OVER (PARTITION BY g, kind ORDER BY n) <= 400 AS inc FROM b),
+e AS (SELECT *, bool_or(ina OR inb OR inc) OVER (PARTITION BY g) AS found, bool_or(kind = 'page') OVER (PARTITION BY g) AS paged FROM d)
+SELECT g AS "group", CAST(sum(cost) AS BIGINT) AS used, count(*) FILTER (kind = 'page') AS pages, count(*) FILTER (kind = 'memory') AS memories FROM e WHERE ina OR inb OR inc OR (NOT found AND n = 1 AND (kind = 'page' OR NOT paged)) GROUP BY g""")
 def context_budget(spark, sf_dir):
     """Three-pass budget fill, one context per source."""
     place = F.row_number().over(Window.partitionBy("session_id", "kind").orderBy("doc_id"))
@@ -793,7 +801,7 @@ def build_context(spark, sf_dir):
     pages = context.pages_for_repo(wiki, c.select("id", "repo", "ts"), "en").orderBy(F.desc("evidence"), "slug").limit(context.PAGES)
     titles = views.wiki(spark, sf_dir).select("slug", "title", F.col("alias").alias("summary"))
     hydrated = context.hydrate(pages, titles)
-    items = context.candidates(hydrated, context.recent_memories(c, "en", as_of()), titles.where(F.contains("title", F.lit("en"))).limit(4), as_of())
+    items = context.candidates(hydrated, context.recent_memories(c, "en", as_of()), titles.where(F.contains("title", F.lit("en"))).orderBy("slug").limit(4), as_of())
     return context.render(rows.fold_budget(items, 800), "en")
 
 
@@ -801,14 +809,14 @@ def build_context(spark, sf_dir):
 def stream_day_counts(spark, sf_dir):
     path = f"{sf_dir}/events.parquet"
     source = _stream(spark, path)
-    return ingest.run_to_memory(ingest.day_counts(source, "event_type", late="60 days"), f"day_counts_{abs(hash(path)) % 10**9}_{len(spark.streams.active)}", "complete")
+    return ingest.run_to_table(ingest.day_counts(source, "event_type", late="60 days"), shared_path(spark, "day-counts"), ["day", "event_type"])
 
 
 @query()
 def stream_quiet_sessions(spark, sf_dir):
     """Sessions of users with a 15 minute gap; those still open at the last watermark are not out yet."""
     path = f"{sf_dir}/events.parquet"
-    return ingest.run_to_memory(ingest.quiet_sessions(_stream(spark, path), "user_id"), f"quiet_{abs(hash(path)) % 10**9}")
+    return ingest.run_to_table(ingest.quiet_sessions(_stream(spark, path), "user_id"), shared_path(spark, "quiet"))
 
 
 def _stream(spark, path):
