@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark import models
 from tidemark.functions import segments as seg
 from tidemark.functions import vectors as vec
-from tidemark.operators import answers, compiled, evaluation, fulltext, graph, retrieval, rows, store, units
+from tidemark.operators import ann, answers, compiled, evaluation, fulltext, graph, retrieval, rows, store, units
 from tidemark.sources import pages, sessions
 from tidemark.streaming import ingest
 
@@ -227,6 +227,33 @@ def test_streams_agree_with_batches(spark, tmp_path, sf):
     assert sorted(seen) == list(range(7))
 
 
+def test_inverted_lists(spark, tmp_path):
+    """Recall against brute force with measured probes; null, zero and repeated vectors; no rows, no queries."""
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    hubs = rng.normal(size=(12, 8))
+    v = [(hubs[i % 12] + rng.normal(size=8) * 0.6).tolist() for i in range(1200)]
+    data = [(i, x) for i, x in enumerate(v)] + [(5000, v[3]), (5001, None), (5002, [0.0] * 8)]
+    e = spark.createDataFrame(data, "vec_id long, embedding array<float>")
+    queries = e.where("vec_id % 20 = 0 AND vec_id < 5000").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    centres = ann.fit(e, 24)
+    ann.write(e, str(tmp_path / "i"), centres, splits=2)
+    assert spark.read.parquet(str(tmp_path / "i" / "rows")).count() == len(data)
+    probes = ann.probes_for(e, centres, queries, 10, 0.9)
+    assert probes < 24
+    unit = {i: np.array(x) / np.linalg.norm(x) for i, x in data if x is not None and np.linalg.norm(x) > 0}
+    ids, m = list(unit), np.array(list(unit.values()))
+    exact = {i: {ids[j] for j in np.argsort(-(m @ unit[i]))[:10]} for i in range(0, 1200, 20)}
+    found: dict = {}
+    for r in ann.search(spark, str(tmp_path / "i"), queries, 10, probes).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    assert sum(len(exact[i] & found[i]) for i in exact) >= 0.9 * sum(map(len, exact.values()))
+    assert ann.search(spark, str(tmp_path / "i"), queries.where("false"), 10, 3).count() == 0
+    ann.write(e.where("false"), str(tmp_path / "none"), ann.fit(e.where("false"), 4))
+    assert ann.search(spark, str(tmp_path / "none"), queries, 10, 3).count() == 0
+
+
 def test_idle_state_leaves(spark, tmp_path):
     """A day after a group's last row its held row is put out; keys seen within the watermark count once."""
     src = str(tmp_path / "in")

@@ -89,7 +89,8 @@ def batch_topk(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "ve
     """The k nearest rows for each row of a stated query set (query_id, q): query_id, id, similarity, rank.
 
     The queries go to the tasks in blocks of a fixed size; each task keeps k rows per query before anything is
-    shuffled, so the shuffle is queries * k * tasks rows.
+    shuffled, so the shuffle is queries * k * tasks rows. Null vectors are no neighbours and no queries; a zero one has
+    similarity 0 to all.
     """
     import numpy as np
     import pyarrow as pa
@@ -116,8 +117,8 @@ def batch_topk(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "ve
 
         return part.mapInArrow(nearest, f"{query_id} long, {id_col} long, similarity double")
 
-    part, out, held = vectors.select(F.col(id_col).cast("long"), vector_col), None, []
-    for row in queries.select(query_id, "q").toLocalIterator():
+    part, out, held = vectors.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long"), vector_col), None, []
+    for row in queries.where("q IS NOT NULL").select(query_id, "q").toLocalIterator():
         held.append(row)
         if len(held) == QUERY_BLOCK:
             out, held = (block(held, part) if out is None else out.union(block(held, part))), []
