@@ -7,7 +7,8 @@ maximisation over the counted vote patterns estimates how reliable each labeler
 span classifier, whose weights become column expressions. The base spans always stay; what the classifier accepts
 and no base span overlaps is added; a span that fails its validity rule needs a cue besides.
 
-The driver sees counts by vote pattern only: 5 * 3^5 rows at most, whatever the input.
+The driver sees counts by vote pattern only: 5 * 3^5 rows at most, whatever the input. Texts are searched once: places
+and votes (no text) are written to the shared folder, where both the training and the detection read them.
 
 Patterns are written so that they find what the plain ones find while long runs take linear time and no deep stack
 (possessive loops; starts only where a run begins or a match has just ended).
@@ -24,7 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import quoted
+from ._common import materialise, quoted
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -159,7 +160,8 @@ def _found(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     base = {f"b_{k}": F.filter(f"a_{k}", _of(lambda k, x: VALID[k](x["m"]), k)) for k in KINDS}
     rows = rows.withColumns(base)
     voted = lambda k: F.transform(F.concat(f"a_{k}", f"w_{k}"), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), _votes(k, t, x).alias("v")))
-    return rows.select("i", *[f"b_{k}" for k in KINDS], *[voted(k).alias(f"c_{k}") for k in KINDS])
+    places = lambda k: F.transform(f"b_{k}", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e")))
+    return rows.select("i", *[places(k).alias(f"b_{k}") for k in KINDS], *[voted(k).alias(f"c_{k}") for k in KINDS])
 
 
 def reliabilities(counts: dict[str, int], rounds: int = 50) -> tuple[float, list[float], dict[str, float]]:
@@ -203,7 +205,10 @@ def classifier(counts: dict[str, int], post: dict[str, float], rounds: int = 300
 
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> dict[str, list[float]]:
     """Weights of the span classifier by kind, from the votes on all candidates of df."""
-    found = _found(df, id_col, text_col)
+    return _weights(_found(df, id_col, text_col))
+
+
+def _weights(found: DataFrame) -> dict[str, list[float]]:
     every = F.concat(*[F.transform(f"c_{k}", _of(lambda k, x: F.concat(F.lit(f"{k}:"), x["v"]), k)) for k in KINDS])
     got = found.select(F.explode(every).alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect()
     out = {}
@@ -216,8 +221,10 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> dict
 
 def detect(df: DataFrame, weights: dict[str, list[float]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, base and added: arrays of struct<kind, start, end> in the order of KINDS and of start."""
-    found = _found(df, id_col, text_col)
+    return _decided(_found(df, id_col, text_col), weights, id_col)
+
 
+def _decided(found: DataFrame, weights: dict[str, list[float]], id_col: str) -> DataFrame:
     def accepted(k: str) -> Column:
         vote = lambda x, j: F.when(F.substring(x["v"], j + 1, 1) == "+", 1.0).when(F.substring(x["v"], j + 1, 1) == "-", -1.0).otherwise(0.0)
 
@@ -248,6 +255,7 @@ def _text(spans: str) -> Column:
 
 def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, counts of base spans by kind, digest of the base spans, all spans as text."""
-    found = detect(df, train(df, id_col, text_col), id_col, text_col)
+    places = materialise(_found(df, id_col, text_col), "pii-places")
+    found = _decided(places, _weights(places), id_col)
     counts = [F.size(F.filter("base", _of(lambda k, x: x["kind"] == k, k))).cast("long").alias(f"n_{k}") for k in KINDS]
     return found.select(quoted(id_col), *counts, F.sha2(_text("base"), 256).alias("base_sha256"), _text("all").alias("spans"))
