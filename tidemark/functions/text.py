@@ -126,6 +126,11 @@ def repo_of(cwd: Column) -> Column:
     return F.element_at(F.split(F.rtrim(cwd, F.lit("/")), "/"), -1)
 
 
+def project_dir(name: Column) -> Column:
+    """The path that a project folder's name stands for: a name with a leading dash has dashes for slashes."""
+    return F.when(name.startswith("-"), F.translate(name, "-", "/")).otherwise(name)
+
+
 def edit_share(a: Column, b: Column) -> Column:
     """Edit distance over the longer length."""
     return F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1))

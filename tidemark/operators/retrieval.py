@@ -201,6 +201,22 @@ def hybrid_search(chunks: DataFrame, query_vector: DataFrame, query: str, f: Fil
     return rescore(pool.withColumn("keyword_score", F.coalesce("keyword_score", F.lit(0.0))), s, as_of).orderBy(F.desc_nulls_last("combined"), id_col).limit(limit)
 
 
+def keyword_search(chunks: DataFrame, query: str, owner: str, tier: str, limit: int) -> DataFrame:
+    """Full text alone over an owner's live chunks of one tier: trajectory_id, content, keyword_score, best first, then by
+    trajectory and id."""
+    rows = live(chunks, Filters(owner=owner)).where(F.col("tier") == tier)
+    scored = rows.select("id", "trajectory_id", "content", fulltext.rank(F.col("content"), query).alias("keyword_score")).where("keyword_score IS NOT NULL")
+    best = scored.orderBy(F.desc(F.round("keyword_score", 12)), F.asc_nulls_last("trajectory_id"), "id").limit(limit)
+    return best.select("trajectory_id", "content", "keyword_score")
+
+
+def read_rows(chunks: DataFrame) -> DataFrame:
+    """Chunks as they are handed out: without the vector, texts and lists that every caller expects never null."""
+    texts = {c: F.coalesce(c, F.lit("")) for c in ("repo", "branch", "session_id", "cwd") if c in chunks.columns}
+    lists = {c: F.coalesce(c, F.array().cast("array<string>")) for c in ("file_paths",) if c in chunks.columns}
+    return chunks.drop("embedding").withColumns(texts | lists)
+
+
 def max_similarity(hits: DataFrame, group: str = "session_id") -> DataFrame:
     """Groups by their best row."""
     return hits.groupBy(group).agg(F.max("similarity").alias("similarity"))

@@ -213,6 +213,26 @@ def indexed_search(spark, sf_dir):
     return found.withColumn("keyword_score", F.round("keyword_score", 9))
 
 
+@query(f"""WITH {CHUNKS}, {_TOKENS}, {_COVERS.format(group="'ha'")}
+SELECT trajectory_id, sha256(content) AS sha, round(keyword_score, 9) AS keyword_score FROM dense JOIN chunks USING (id) WHERE owner = 'owner1' AND tier = 'raw' AND invalid_at IS NULL ORDER BY round(dense.keyword_score, 12) DESC, trajectory_id, id LIMIT 20""")
+def tier_keyword_search(spark, sf_dir):
+    found = retrieval.keyword_search(views.chunks(spark, sf_dir), "thties haing", "owner1", "raw", 20)
+    return found.select("trajectory_id", F.sha2("content", 256).alias("sha"), F.round("keyword_score", 9).alias("keyword_score"))
+
+
+@query(f"WITH {CHUNKS} SELECT id, coalesce(repo, '') AS repo, coalesce(nullif(branch, ''), '') AS branch, coalesce(session_id, '') AS session_id, tier FROM chunks")
+def read_rows(spark, sf_dir):
+    c = views.chunks(spark, sf_dir).withColumn("branch", F.nullif(F.col("branch"), F.lit("")))
+    return retrieval.read_rows(c).select("id", "repo", "branch", "session_id", "tier")
+
+
+@query("WITH n AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '-home-' || source || '-' || lang ELSE source || '-' || lang END AS name FROM documents), d AS (SELECT doc_id, CASE WHEN starts_with(name, '-') THEN '/' || replace(substr(name, 2), '-', '/') ELSE name END AS path FROM n) SELECT doc_id, path, list_last(string_split(path, '/')) AS repo FROM d")
+def project_dirs(spark, sf_dir):
+    name = F.concat(F.when(F.col("doc_id") % 2 == 0, F.lit("-home-")).otherwise(""), "source", F.lit("-"), "lang")
+    path = table(spark, sf_dir, "documents").select("doc_id", tx.project_dir(name).alias("path"))
+    return path.withColumn("repo", tx.repo_of(F.col("path")))
+
+
 @query("WITH t AS (SELECT doc_id, " + _WORDS.format(c="text") + " AS w FROM documents) SELECT CAST(doc_id AS VARCHAR) AS id FROM t WHERE list_contains(w, 'thst') AND NOT list_contains(w, 'thnt')")
 def boolean_match(spark, sf_dir):
     """The boolean part of full-text search, free of ranks; the terms are their own stems."""
