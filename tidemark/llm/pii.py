@@ -259,3 +259,16 @@ def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     found = _decided(places, _weights(places), id_col)
     counts = [F.size(F.filter("base", _of(lambda k, x: x["kind"] == k, k))).cast("long").alias(f"n_{k}") for k in KINDS]
     return found.select(quoted(id_col), *counts, F.sha2(_text("base"), 256).alias("base_sha256"), _text("all").alias("spans"))
+
+
+#: Counts of the base spans, by the plain patterns.
+COUNTS_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS (SELECT doc_id, regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') AS email, regexp_extract_all(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)') AS ip,
+  list_transform(regexp_extract_all(t, '[0-9]([ -]?[0-9])+'), lambda x: regexp_replace(x, '[^0-9]', '', 'g')) AS card, list_transform(regexp_extract_all(t, '\+[0-9][ ().0-9-]+[0-9]'), lambda x: regexp_replace(x, '[^0-9]', '', 'g')) AS phone FROM t)
+SELECT doc_id, len(email) AS n_email,
+  len(list_filter(ip, lambda x: len(list_filter(string_split(x, '.'), lambda p: coalesce(TRY_CAST(ltrim(p, '0') || '' AS BIGINT), CASE WHEN ltrim(p, '0') = '' THEN 0 ELSE 999 END) > 255)) = 0)) AS n_ip,
+  len(list_filter(card, lambda d: length(d) BETWEEN 13 AND 19 AND list_sum(list_transform(range(1, length(d) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST(d[length(d) - i + 1] AS INTEGER)
+    WHEN CAST(d[length(d) - i + 1] AS INTEGER) > 4 THEN 2 * CAST(d[length(d) - i + 1] AS INTEGER) - 9 ELSE 2 * CAST(d[length(d) - i + 1] AS INTEGER) END)) % 10 = 0)) AS n_card,
+  len(list_filter(phone, lambda d: length(d) BETWEEN 9 AND 15)) AS n_phone FROM m
+"""

@@ -29,6 +29,11 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(table(spark, sf_dir, "documents"))
 
 
+def pii_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op4_pii that SQL can express."""
+    return op4_pii(spark, sf_dir).select("doc_id", *[f"n_{k}" for k in pii.KINDS])
+
+
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"))
 
@@ -60,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_warc": op3_warc,
     "op4_pii": op4_pii,
+    "pii_base_counts": pii_base_counts,
     "op5_ngram_join": op5_ngram_join,
     "op6_lm_score": op6_lm_score,
     "op7_quality": op7_quality,
@@ -70,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op3_warc": warc.ORACLE_SQL,
+    "pii_base_counts": pii.COUNTS_SQL,
     "op5_ngram_join": ngram_join.ORACLE_SQL,
     "op10_exact_dedup": exact_dedup.ORACLE_SQL,
 }
