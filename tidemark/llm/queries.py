@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, edit_counts, exact_dedup, lm_score, ngram_join, packing, pii, quality, toxicity, warc
+from . import clustering, decontaminate, edit_counts, exact_dedup, lm_score, mixing, ngram_join, packing, pii, quality, runs, toxicity, warc
 from ._common import crc_mod, table
 
 
@@ -60,6 +60,23 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(table(spark, sf_dir, "documents"))
 
 
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.report(table(spark, sf_dir, "documents"))
+
+
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(table(spark, sf_dir, "documents"))
+
+
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op12_mixing that SQL can express."""
+    return op12_mixing(spark, sf_dir).select("doc_id", "size", "source_size", "target")
+
+
+def op13_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.summary(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_toxicity": op2_toxicity,
@@ -72,6 +89,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_edit_counts": op9_edit_counts,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_runs": op11_runs,
+    "op12_mixing": op12_mixing,
+    "mixing_targets": mixing_targets,
+    "op13_clustering": op13_clustering,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -79,4 +100,6 @@ ORACLE_SQL: dict[str, str] = {
     "pii_base_counts": pii.COUNTS_SQL,
     "op5_ngram_join": ngram_join.ORACLE_SQL,
     "op10_exact_dedup": exact_dedup.ORACLE_SQL,
+    "mixing_targets": mixing.TARGETS_SQL,
+    "op13_clustering": clustering.ORACLE_SQL,
 }
