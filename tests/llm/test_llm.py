@@ -515,68 +515,68 @@ def test_packing(spark, whole):
     assert check_packing(rows, 2048) <= math.ceil(total / 2048) * 1.01 + 1
 
 
-@given(st.dictionaries(st.integers(1, 30), st.integers(1, 4), max_size=6))
-@settings(max_examples=80, deadline=None)
-def test_bin_completion_is_sound_and_near_best(histogram):
-    plan = packing.bin_completion(histogram, 30)
+def fewest_bins(pieces, capacity):
+    """By trying every bin for every piece."""
+    pieces, least = sorted(pieces, reverse=True), -(-sum(pieces) // capacity)
+    best = [len(pieces)]
+
+    def search(k, rooms):
+        if len(rooms) >= best[0] or best[0] == least:
+            return
+        if k == len(pieces):
+            best[0] = len(rooms)
+            return
+        for room in {r for r in rooms if r >= pieces[k]}:
+            j = rooms.index(room)
+            search(k + 1, [*rooms[:j], room - pieces[k], *rooms[j + 1 :]])
+        search(k + 1, [*rooms, capacity - pieces[k]])
+
+    search(0, [])
+    return best[0]
+
+
+@given(st.integers(20, 100).flatmap(lambda c: st.tuples(st.just(c), st.lists(st.integers(max(1, c // 8), 2 * c // 3), min_size=1, max_size=12))))
+@example((30, [8, 8, 9, 9, 9, 12, 13, 20]))
+@example((30, [7, 7, 7, 9, 9, 11, 12, 14, 14]))
+@settings(max_examples=3000, deadline=None)
+def test_bin_completion_proves_what_is_true(case):
+    capacity, pieces = case
+    plan = packing.bin_completion(Counter(pieces), capacity)
     used = Counter()
     for pattern, times in plan:
-        assert sum(pattern) <= 30
+        assert sum(pattern) <= capacity
         for s in pattern:
             used[s] += times
-    assert used == Counter(histogram)
-    items = sorted((s for s, n in histogram.items() for _ in range(n)), reverse=True)
-    if len(items) <= 9:
-        best = [len(items)]
-
-        def search(k, bins):
-            if len(bins) >= best[0]:
-                return
-            if k == len(items):
-                best[0] = len(bins)
-                return
-            for j in range(len(bins)):
-                if bins[j] + items[k] <= 30:
-                    search(k + 1, bins[:j] + [bins[j] + items[k]] + bins[j + 1 :])
-            search(k + 1, bins + [items[k]])
-
-        search(0, [])
-        assert sum(t for _, t in plan) == best[0]
-
-
-def test_edits_update_counts(spark, whole):
-    enc = encoder(default_path())
-    rng = random.Random(9)
-    texts = [r[0] for r in duckdb.sql("SELECT text FROM '/root/testdata/sf0.01/documents.parquet' LIMIT 60").fetchall()] + [t or "" for t in ODD] + RUNS
-    texts += ["".join(rng.choice(["ab", "c1", " ", "\n", "'s", "-", "<|endoftext|>", *SPACES]) for _ in range(200)) for _ in range(40)]
-    for t in texts:
-        tree, now = edit_counts.TokenTree(t, enc), t
-        for _ in range(10):
-            a = rng.randint(0, len(now))
-            b = min(len(now), a + rng.randint(0, 12))
-            new = rng.choice(["", " ", "x", " yy", "\n", "zz ", "  ", "a\n \nb", "'s", "\t", "\xa0", "<|endoftext|>", "<|", "|>", "w " * 300])
-            tree.apply(a, b, new)
-            now = now[:a] + new + now[b:]
-            assert tree.text() == now and tree.total == len(whole(now)) // 4
-    long = edit_counts.TokenTree("word " * 5000, enc)
-    built = long.encoded
-    long.apply(12_000, 12_003, "new")
-    assert long.encoded - built < 8
-    # Edits cost the same whatever the white space, in a text of some MB too; a leaf that is filled is split.
-    for space in (" ", "\t", "\xa0", ","):
-        tree = edit_counts.TokenTree(("word" + space) * 400_000, enc)
-        built = tree.encoded
-        for k in range(500):
-            tree.apply(3000 * k, 3000 * k + 2, "new" + space)
-        assert tree.encoded - built < 500 * 8
-        tree.apply(5, 5, "more words " * 5000)
-        assert max(map(len, tree.leaves)) <= 4 * edit_counts.LEAF_CHUNKS
-    for r in edit_counts.edit_aware_counts(frame(spark, ODD)).collect():
-        t = ODD[r.doc_id] or ""
-        masked = t
-        for a, b, new in sorted(edit_counts.masking_edits(t), reverse=True):
-            masked = masked[:a] + new + masked[b:]
-        assert (r.n_tokens, r.n_tokens_edited) == (len(whole(t)) // 4, len(whole(masked)) // 4)
+    assert used == Counter(pieces) and plan.proven and plan.bins == fewest_bins(pieces, capacity)
+
+
+def test_proofs_of_many_random_histograms():
+    rng, loses = random.Random(3), 0
+    for _ in range(4000):
+        capacity = rng.randint(20, 100)
+        pieces = [rng.randint(max(1, capacity // 8), 2 * capacity // 3) for _ in range(rng.randint(6, 12))]
+        plan, least = packing.bin_completion(Counter(pieces), capacity), fewest_bins(pieces, capacity)
+        assert plan.proven and plan.bins == least, (capacity, pieces)
+        loses += sum(n for _, n in packing.best_fit(Counter(pieces), capacity)) > least
+    assert loses > 50
+
+
+@pytest.mark.parametrize("most_steps", [1, 5, 40, 300])
+def test_a_search_that_ends_early_proves_nothing(most_steps):
+    rng = random.Random(most_steps)
+    for _ in range(600):
+        pieces = [rng.randint(5, 30) for _ in range(11)]
+        plan = packing.bin_completion(Counter(pieces), 45, most_steps)
+        assert not plan.proven or plan.bins == fewest_bins(pieces, 45), pieces
+
+
+def test_packing_where_best_fit_loses_a_bin(spark, whole):
+    """Texts whose lengths are those of a small histogram, packed by the operator in the least number of sequences."""
+    pieces = [8, 8, 9, 9, 9, 12, 13, 20]
+    word = next(w for w in (" the", " of", " and") if len(whole(w * 9)) == 36)
+    rows = packing.pack(frame(spark, [word * (n - 1) for n in pieces]), capacity=30).collect()  # and the end
+    assert sorted(r.length for r in rows) == pieces and all(r.proven_least for r in rows)
+    assert check_packing(rows, 30) == 3 < sum(n for _, n in packing.best_fit(Counter(pieces), 30))
 
 
 # ---------------------------------------------------------------- decontamination

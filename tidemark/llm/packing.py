@@ -116,7 +116,7 @@ def fillings(counts: np.ndarray, room: int, waste: int, sums: Sums, steps_left:
         if waste >= room:
             yield ()
         return
-    at_hand = counts > 0
+    at_hand = counts > 0  # of a size, though perhaps in the filling itself
 
     def exact(total: int, first: int, taken: tuple[int, ...]) -> Iterator[tuple[int, ...]]:
         """Multisets of sizes from have[first:] with this sum, in descending order. Iterative: a filling can be long."""
@@ -142,26 +142,28 @@ def fillings(counts: np.ndarray, room: int, waste: int, sums: Sums, steps_left:
             return
         if sums.up_to[have[0]] >> (room - slack) & 1:
             for own in exact(room - slack, 0, ()):
-                if not _dominated(own, slack, at_hand):
+                if not _dominated(own, slack, counts, at_hand):
                     yield own
 
 
-def _dominated(own: tuple[int, ...], slack: int, at_hand: np.ndarray) -> bool:
-    """Whether a piece at hand that is larger than the sum of some of these pieces (up to three of them), by no more
-    than what is wasted, could take their place."""
-    if not slack:
-        return len(own) > 1 and bool(at_hand[sum(own)]) if len(own) <= 3 else False
-    distinct = sorted(set(own))
-    sums = {*distinct}
+def _dominated(own: tuple[int, ...], slack: int, counts: np.ndarray, at_hand: np.ndarray) -> bool:
+    """Whether a piece left outside this filling could take the place of one or two of its pieces (or, without waste, of
+    all of them where they are two or three): it is larger than they are by no more than what is wasted, or as large as
+    two or more of them. Pairs are tried for fillings of up to 40 distinct sizes; the test only prunes, so what it does not
+    try is searched."""
     n = Counter(own)
-    if len(distinct) <= 40:
-        sums |= {a + b for a in distinct for b in distinct if a != b or n[a] > 1}
-    top = len(at_hand) - 1
-    for x in sums:
-        end = min(top, x + slack)
-        if at_hand[x + 1 : end + 1].any() or (x not in n and x <= top and at_hand[x]):
+    gone = [s for s, k in n.items() if counts[s] == k]  # their only copies are in the filling
+    at_hand[gone] = False
+    try:
+        if not slack:
+            return 1 < len(own) <= 3 and bool(at_hand[sum(own)])
+        distinct, top = sorted(n), len(at_hand) - 1
+        pairs = {a + b for a in distinct for b in distinct if a != b or n[a] > 1} if len(distinct) <= 40 else set()
+        if any(at_hand[x + 1 : min(top, x + slack) + 1].any() for x in {*distinct, *pairs}):
             return True
-    return False
+        return any(x <= top and at_hand[x] for x in pairs)
+    finally:
+        at_hand[gone] = True
 
 
 class Packing(list):
@@ -223,7 +225,7 @@ def bin_completion(histogram: dict[int, int], capacity: int = CAPACITY, most_ste
             continue
         path.append(made)
         stack.append((after, after_left, after_bins, branches(after, after_left, after_bins)))
-    return Packing(best, bound, best_bins == bound or not stack)
+    return Packing(best, bound, best_bins == bound or (not stack and steps_left[0] > 0))
 
 
 def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
