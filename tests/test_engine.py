@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark import models
 from tidemark.functions import segments as seg
 from tidemark.functions import vectors as vec
-from tidemark.operators import ann, answers, compiled, evaluation, fulltext, graph, retrieval, rows, store, units
+from tidemark.operators import ann, answers, compiled, context, evaluation, fulltext, graph, retrieval, rows, store, units
 from tidemark.sources import pages, sessions
 from tidemark.streaming import ingest
 
@@ -273,29 +273,76 @@ def test_idle_state_leaves(spark, tmp_path):
     assert sorted(seen) == [1, 2, 3, 4]
 
 
+def test_the_first_page_that_fits_may_use_the_whole_budget(spark):
+    items = lambda *rows_: spark.createDataFrame([("c", k, p, c) for p, (k, c) in enumerate(rows_)], "group string, kind string, place int, cost long")
+    got = lambda df, *a: [(r["kind"], r["cost"]) for r in sorted(rows.fold_budget(df, *a).collect(), key=lambda r: r["place"])]
+    assert got(items(("page", 120), ("page", 60)), 100) == [("page", 60)]
+    assert got(items(("page", 120), ("page", 60), ("page", 5)), 100) == [("page", 60)]  # the share is spent, and the third pass ends at once
+    assert got(items(("page", 120), ("page", 30), ("page", 10), ("memory", 60)), 100) == [("page", 30), ("page", 10), ("memory", 60)]
+    frame = lambda p, m: 10 * p + F.when(m > 0, 5).otherwise(0)
+    assert got(items(("page", 60), ("memory", 10)), 84, frame) == [("page", 60)]
+    assert got(items(("page", 60), ("memory", 10)), 85, frame) == [("page", 60), ("memory", 10)]
+    assert got(items(("page", 60), ("memory", 10)), 0, frame) == [("page", 60)]  # nothing fits
+
+
 def test_budget_passes_match_a_fold(spark):
+    """Against the passes taken item by item, as they are defined."""
     rng = random.Random(3)
-    items = [(f"g{g}", kind, p, rng.choice([0, 1, 20, 39, 41, 60, 101, 130])) for g in range(60) for kind in ("page", "memory") for p in range(rng.randint(0, 13))]
+    items = [(f"g{g}", kind, p, rng.choice([0, 1, 20, 39, 41, 60, 101, 130])) for g in range(120) for kind in ("page", "memory") for p in range(rng.randint(0, 13))]
 
     def fold(mine):
         pages, memories = (sorted(x for x in mine if x[1] == k)[:n] for k, n in (("page", 6), ("memory", 10)))
-        chosen, used = [], 0
-        for rows_, first, cap, skip in ((pages, 100, 40, True), (memories, 100, 100, False), (pages, 100, 100, False)):
-            for k, x in enumerate(rows_):
-                if x in chosen:
-                    continue
-                if used + x[3] <= (first if k == 0 else cap):
-                    chosen.append(x)
-                    used += x[3]
-                elif not (skip and k == 0):
+        left = max(0, 110 - len(pages) - (4 if memories else 0))
+        taken, used = [], 0
+        for x in pages:
+            cap = left if not taken else int(left * 0.4)
+            if used + x[3] <= cap:
+                taken.append(x)
+                used += x[3]
+            elif taken:
+                break
+        for pool in (memories, [x for x in pages if x not in taken]):
+            for x in pool:
+                if used + x[3] > left:
                     break
-        return chosen or (pages or memories)[:1]
+                taken.append(x)
+                used += x[3]
+        return taken or (pages or memories)[:1]
 
     want = sorted(x for g in {i[0] for i in items} for x in fold([i for i in items if i[0] == g]))
-    got = rows.fold_budget(spark.createDataFrame(items, "group string, kind string, place int, cost long"), 100).collect()
+    frame = lambda p, m: p + F.when(m > 0, 4).otherwise(0)
+    got = rows.fold_budget(spark.createDataFrame(items, "group string, kind string, place int, cost long"), 110, frame).collect()
     assert sorted(map(tuple, got)) == want
 
 
+def test_context_text(spark):
+    """What frames the items is paid for, an unknown repo has no mentions, and the text stays within its budget."""
+    at = F.expr("timestamp_ntz'2024-02-01 00:00:00'")
+    day = lambda c: F.col(c).cast("timestamp_ntz")
+    pages = spark.createDataFrame([("p1", "One", "First  page.", "2024-01-05T10:00:00Z", 2, "2024-01-20 00:00:00"), ("p2", "Two", "", None, 2, None)], "slug string, title string, summary string, updated string, evidence long, latest string").withColumn("latest", day("latest"))
+    memories = spark.createDataFrame([("1", "use  tabs", "decision", "2024-01-31 12:00:00"), ("2", "beware", "gotcha", "2024-01-20 00:00:00")], "id string, content string, dream_type string, ts string").withColumn("ts", day("ts"))
+    mentions = spark.createDataFrame([("p2", "Two", "two", 1), ("p3", "Three", "three", 2)], "slug string, title string, summary string, rank int")
+    text = context.build(pages, memories, mentions, at, "my-repo", "feature/x1", 400).first()
+    assert text["text"] == (
+        "## Prior context — my-repo@feature/x1\n\n**Pages**\n- p1 — First  page. (updated 2024-01-05)\n- p2 — Two\n- p3 — three\n\n"
+        "**Recent decisions & gotchas (30d)**\n- decision (today): use tabs\n- gotcha (12d ago): beware\n\n"
+        '_3 pages, 2 memories · search "my OR repo OR feature OR x1" in my-repo to dig deeper_\n'
+    )
+    for budget in range(60, 110, 3):
+        got = context.build(pages, memories, mentions, at, "my-repo", None, budget).first()
+        assert got["tokens"] <= budget + 4 or got["text"].count("\n- ") == 1  # line breaks are not counted
+    none = pages.where("false"), memories.where("false")
+    assert context.build(*none, mentions, at, "my-repo", None, 400).count() == 0
+
+
+def test_replay_leaves_out_what_it_cannot_read(spark):
+    payloads = ['{"x": 1, "y": "a"}', "{", "", None, '{"x": null}', '{"z": 3}', '[1]', '{"x": "one"}', '{"x": 2} tail', "null"]
+    events = spark.createDataFrame([(f"t{k}", "s", p) for k, p in enumerate(payloads)] + [("o", "other", '{"x": 9}')], "trajectory_id string, source string, payload string")
+    got, bad = store.replay(events, "s", "x int, y string"), store.unreadable(events, "s", "x int, y string")
+    assert sorted(map(tuple, got.collect())) == [("t0", 1, "a"), ("t4", None, None), ("t5", None, None)]
+    assert {r["trajectory_id"] for r in bad.collect()} == {"t1", "t2", "t3", "t6", "t7", "t8", "t9"}
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_hot_groups_fill_and_gather_as_whole_ones(spark, seed):
     """Salted running sums against plain ones: a hot group, null and empty contents, units at both sides of the cap."""

@@ -61,7 +61,8 @@ def head_tail(c: Column, head: int = 6000, tail: int = 2000, mark: str = "\n…\
 def first_sentence(c: Column, cap: int = 200) -> Column:
     one = collapse(c)
     found = F.regexp_extract(one, r"^(.*?[.!?])(?:\s|$)", 1)
-    return F.substring(F.when(found != "", found).otherwise(one), 1, cap)
+    whole = F.when(found != "", found).otherwise(one)
+    return F.when(F.length(whole) > cap, F.concat(F.rtrim(F.substring(whole, 1, cap)), F.lit("…"))).otherwise(whole)
 
 
 def query_terms(c: Column) -> Column:
@@ -156,6 +157,12 @@ def age_label(ts: Column, as_of: Column) -> Column:
     )
 
 
+def day_label(ts: Column, as_of: Column) -> Column:
+    """'today' or the whole days before as_of."""
+    days = F.floor(age_days(ts, as_of))
+    return F.when(days <= 0, F.lit("today")).otherwise(F.concat(days.cast("string"), F.lit("d ago")))
+
+
 def age_days(ts: Column, as_of: Column) -> Column:
     return (F.unix_micros(as_of.cast("timestamp")) - F.unix_micros(ts.cast("timestamp"))) / F.lit(86_400_000_000.0)
 

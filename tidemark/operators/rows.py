@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,10 +110,14 @@ def pack_batches(df: DataFrame, group: str, order: str, cost: str, most_rows: in
     return rows.repartition("g").sortWithinPartitions("g", "o").mapInArrow(fold, "g string, o long, batch int").withColumnsRenamed({"g": group, "o": order})
 
 
-def fold_budget(items: DataFrame, budget: int, page_share: float = 0.4, most_pages: int = 6, most_memories: int = 10) -> DataFrame:
-    """Three passes over a context's few candidates (group, kind page|memory, place, cost): pages within their share, the
-    first one within the whole budget; memories into the rest; the other pages into what is left. A pass ends with the
-    first item that does not fit, so each is a running sum. Where nothing fits, the first page, else the first memory."""
+def fold_budget(
+    items: DataFrame, budget: int, reserve: Callable[[Column, Column], Column] | None = None, page_share: float = 0.4, most_pages: int = 6, most_memories: int = 10
+) -> DataFrame:
+    """Three passes over a context's few candidates (group, kind page|memory, place, cost) and what the budget leaves after
+    `reserve`, a function of how many pages and memories are candidates. Pages within their share, the first that fits at
+    all within everything (those before it are passed over); memories into the rest; the other pages, in order, into what
+    is left. A pass ends with the first item that does not fit, so each is a running sum; costs are not negative. Where
+    nothing fits, the first page, else the first memory."""
     page, every = F.col("kind") == "page", Window.partitionBy("group")
     line = Window.partitionBy("group", "kind").orderBy("_n")
     some = lambda test: F.when(test, F.col("cost")).otherwise(F.lit(0))
@@ -119,11 +125,14 @@ def fold_budget(items: DataFrame, budget: int, page_share: float = 0.4, most_pag
     up_to = lambda test: F.sum(some(test)).over(line)
     rows = items.withColumn("_n", F.row_number().over(Window.partitionBy("group", "kind").orderBy("place")))
     rows = rows.where((page & (F.col("_n") <= most_pages)) | ((F.col("kind") == "memory") & (F.col("_n") <= most_memories)))
-    first = page & (F.col("_n") == 1) & (F.col("cost") <= budget)
-    share = total(first) + up_to(page & (F.col("_n") > 1)) <= int(budget * page_share)
-    rows = rows.withColumn("_a", first | (page & (F.col("_n") > 1) & share))
-    rows = rows.withColumn("_b", ~page & (total(F.col("_a")) + up_to(~page) <= budget))
-    rows = rows.withColumn("_c", page & ~F.col("_a") & (total(F.col("_a") | F.col("_b")) + up_to(page & ~F.col("_a")) <= budget))
+    frame = reserve(F.count_if(page).over(every), F.count_if(~page).over(every)) if reserve else F.lit(0)
+    rows = rows.withColumn("_left", F.greatest(F.lit(0), F.lit(budget) - frame))
+    left = F.col("_left")
+    rows = rows.withColumn("_first", F.min(F.when(page & (F.col("cost") <= left), F.col("_n"))).over(every))
+    first, after = page & F.col("_n").eqNullSafe(F.col("_first")), page & F.coalesce(F.col("_n") > F.col("_first"), F.lit(False))
+    rows = rows.withColumn("_a", first | (after & (total(first) + up_to(after) <= F.floor(left * page_share))))
+    rows = rows.withColumn("_b", ~page & (total(F.col("_a")) + up_to(~page) <= left))
+    rows = rows.withColumn("_c", page & ~F.col("_a") & (total(F.col("_a") | F.col("_b")) + up_to(page & ~F.col("_a")) <= left))
     rows = rows.withColumn("_in", F.col("_a") | F.col("_b") | F.col("_c"))
     rows = rows.withColumn("_none", ~F.bool_or("_in").over(every)).withColumn("_pages", F.bool_or(page).over(every))
     alone = F.col("_none") & (F.col("_n") == 1) & (page | ~F.col("_pages"))

@@ -10,6 +10,7 @@ import time
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def append_new(old: DataFrame, new: DataFrame, key: list[str], order: list[str] | None = None) -> DataFrame:
@@ -91,10 +92,25 @@ def sweep(df: DataFrame, reports: DataFrame, version: Column, scope: Column) ->
     return df.join(F.broadcast(failed)).where((F.col("_errors") > 0) | ~F.coalesce(scope, F.lit(False)) | F.col("chunker_version").eqNullSafe(version)).drop("_errors")
 
 
+def _parsed(events: DataFrame, source: str, schema: str) -> DataFrame:
+    """Payloads of a source as p. Every object is readable, whatever fields it has; torn ones, other values and fields of
+    another type are not. The parser keeps what it could not read in a field of its own."""
+    kind = T.StructType([*T._parse_datatype_string(schema).fields, T.StructField("_torn", T.StringType())])
+    rows = events.where(F.col("source") == source)
+    parsed = F.from_json("payload", kind, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_torn"})
+    whole = F.coalesce(F.schema_of_variant(F.try_parse_json("payload")).startswith("OBJECT"), F.lit(False))  # all of the payload is one value
+    return rows.withColumn("p", parsed).withColumn("_good", whole & F.col("p._torn").isNull() & F.col("p").isNotNull())
+
+
 def replay(events: DataFrame, source: str, schema: str) -> DataFrame:
-    """Stored raw payloads of a source, parsed; unreadable ones are left out."""
-    rows = events.where(F.col("source") == source).select("trajectory_id", F.from_json("payload", schema).alias("p"))
-    return rows.where("p IS NOT NULL").select("trajectory_id", "p.*")
+    """Stored raw payloads of a source, parsed; unreadable ones are left out (see ``unreadable``)."""
+    names = T._parse_datatype_string(schema).names
+    return _parsed(events, source, schema).where("_good").select("trajectory_id", *[F.col("p")[c].alias(c) for c in names])
+
+
+def unreadable(events: DataFrame, source: str, schema: str) -> DataFrame:
+    """The events of a source whose payload ``replay`` leaves out."""
+    return _parsed(events, source, schema).where("NOT _good").select(*events.columns)
 
 
 def needs_embedding(df: DataFrame, model: str) -> DataFrame:

@@ -28,6 +28,12 @@ SPACES = r"'\s+', ' ', 'g'"
 NORMAL = rf"lower(trim(regexp_replace({{c}}, {SPACES})))"
 
 
+_COLLAPSED = f"trim(regexp_replace({{c}}, {SPACES}))"
+_FIRST = rf"(CASE WHEN regexp_extract({_COLLAPSED}, '^(.*?[.!?])(\s|$)', 1) <> '' THEN regexp_extract({_COLLAPSED}, '^(.*?[.!?])(\s|$)', 1) ELSE {_COLLAPSED} END)"
+#: The first sentence, cut at 200 characters with a mark.
+_SENTENCE = f"(CASE WHEN length({_FIRST}) > 200 THEN rtrim(left({_FIRST}, 200)) || '…' ELSE {_FIRST} END)"
+
+
 def query(sql: str | None = None):
     """Registers a query under its function's name."""
 
@@ -303,18 +309,41 @@ def batch_packing(spark, sf_dir):
     return rows.pack_batches(c, "session_id", "doc_id", "cost")
 
 
-@query(f"""WITH {CHUNKS}, i AS (SELECT session_id AS g, CASE WHEN tier = 'wiki' THEN 'page' ELSE 'memory' END AS kind, doc_id, CAST(ceil(length(content) / 40.0) AS BIGINT) AS cost FROM chunks),
-r AS (SELECT *, row_number() OVER (PARTITION BY g, kind ORDER BY doc_id) AS n FROM i QUALIFY n <= CASE kind WHEN 'page' THEN 6 ELSE 10 END),
-a AS (SELECT *, kind = 'page' AND CASE WHEN n = 1 THEN cost <= 400 ELSE sum(CASE WHEN n > 1 OR cost <= 400 THEN cost ELSE 0 END) OVER (PARTITION BY g, kind ORDER BY n) <= 160 END AS ina FROM r),
-b AS (SELECT *, kind = 'memory' AND coalesce(sum(cost) FILTER (ina) OVER (PARTITION BY g), 0) + sum(cost) OVER (PARTITION BY g, kind ORDER BY n) <= 400 AS inb FROM a),
-d AS (SELECT *, kind = 'page' AND NOT ina AND coalesce(sum(cost) FILTER (ina OR inb) OVER (PARTITION BY g), 0) + sum(cost) FILTER (NOT ina) OVER (PARTITION BY g, kind ORDER BY n) <= 400 AS inc FROM b),
-e AS (SELECT *, bool_or(ina OR inb OR inc) OVER (PARTITION BY g) AS found, bool_or(kind = 'page') OVER (PARTITION BY g) AS paged FROM d)
-SELECT g AS "group", CAST(sum(cost) AS BIGINT) AS used, count(*) FILTER (kind = 'page') AS pages, count(*) FILTER (kind = 'memory') AS memories FROM e WHERE ina OR inb OR inc OR (NOT found AND n = 1 AND (kind = 'page' OR NOT paged)) GROUP BY g""")
+def _filled(items: str, budget: int, reserve: str, before: str = "") -> str:
+    """The budget's three passes as a machine that takes one item a step. `items` has g, kind, n, cost; `reserve` speaks of
+    the lists p and m of costs. The result f has g, p, m and the places of chosen pages (tp) and memories (tm)."""
+    step = lambda k, where, fits, taken, over: f"WHEN k = {k} AND {where} THEN CASE WHEN {fits} THEN {taken} ELSE {over} END"
+    next_pass = lambda k: f"WHEN k = {k} THEN {{{{'k': {k + 1}, 'i': 1, 'used': used, 'tp': tp, 'tm': tm}}}}"
+    state = lambda i="i + 1", used="used", tp="tp", tm="tm", k="k": f"{{{{'k': {k}, 'i': {i}, 'used': {used}, 'tp': {tp}, 'tm': {tm}}}}}"
+    page = state(used="used + p[i]", tp="list_append(tp, i)")
+    arms = [
+        step(1, "i <= len(p)", "used + p[i] <= CASE WHEN len(tp) = 0 THEN room ELSE CAST(floor(room * 0.4) AS BIGINT) END", page, f"CASE WHEN len(tp) = 0 THEN {state()} ELSE {state('1', k='2')} END"), next_pass(1),
+        step(2, "i <= len(m)", "used + m[i] <= room", state(used="used + m[i]", tm="list_append(tm, i)"), state("1", k="3")), next_pass(2),
+        f"WHEN k = 3 AND i <= len(p) AND list_contains(tp, i) THEN {state()}", step(3, "i <= len(p)", "used + p[i] <= room", page, state("1", k="4")), next_pass(3),
+    ]
+    moves = " ".join(arms).replace("{{", "{").replace("}}", "}")
+    return f"""WITH RECURSIVE {before}, lists AS (
+  SELECT g, coalesce(list(cost ORDER BY n) FILTER (kind = 'page' AND n <= 6), []) AS p, coalesce(list(cost ORDER BY n) FILTER (kind = 'memory' AND n <= 10), []) AS m FROM {items} GROUP BY g),
+start AS (SELECT g, p, m, greatest(0, {budget} - ({reserve})) AS room FROM lists),
+states AS (
+  SELECT g, p, m, room, 1 AS k, CAST(1 AS BIGINT) AS i, CAST(0 AS BIGINT) AS used, CAST([] AS BIGINT[]) AS tp, CAST([] AS BIGINT[]) AS tm FROM start
+  UNION ALL
+  SELECT g, p, m, room, s.k, CAST(s.i AS BIGINT), CAST(s.used AS BIGINT), s.tp, s.tm FROM (SELECT g, p, m, room, CASE {moves} END AS s FROM states WHERE k < 4)),
+f AS (SELECT g, p, m, CASE WHEN len(tp) + len(tm) = 0 AND len(p) > 0 THEN [1] ELSE tp END AS tp, CASE WHEN len(tp) + len(tm) = 0 AND len(p) = 0 THEN [1] ELSE tm END AS tm FROM states WHERE k = 4)"""
+
+
+_BUDGETED = f"""{CHUNKS}, i AS (SELECT session_id AS g, CASE WHEN tier = 'wiki' THEN 'page' ELSE 'memory' END AS kind, CAST(ceil(length(content) / 40.0) AS BIGINT) AS cost,
+  row_number() OVER (PARTITION BY session_id, tier = 'wiki' ORDER BY doc_id) AS n FROM chunks)"""
+
+
+@query(f"""{_filled("i", 100, "5 + CASE WHEN len(p) > 0 THEN 2 ELSE 0 END + CASE WHEN len(m) > 0 THEN 3 ELSE 0 END + len(p)", _BUDGETED)}
+SELECT g AS "group", CAST(coalesce(list_sum(list_transform(tp, lambda x: p[x])), 0) + coalesce(list_sum(list_transform(tm, lambda x: m[x])), 0) AS BIGINT) AS used, len(tp) AS pages, len(tm) AS memories FROM f""")
 def context_budget(spark, sf_dir):
     """Three-pass budget fill, one context per source."""
     place = F.row_number().over(Window.partitionBy("session_id", "kind").orderBy("doc_id"))
     items = views.chunks(spark, sf_dir).withColumn("kind", F.when(F.col("tier") == "wiki", "page").otherwise("memory")).withColumn("place", place).where("place <= 12")
-    return rows.pivot_budget_totals(rows.fold_budget(items.select(F.col("session_id").alias("group"), "kind", F.col("place"), F.ceil(F.length("content") / 40).cast("long").alias("cost")), 400))
+    frame = lambda p, m: 5 + F.when(p > 0, 2).otherwise(0) + F.when(m > 0, 3).otherwise(0) + p
+    return rows.pivot_budget_totals(rows.fold_budget(items.select(F.col("session_id").alias("group"), "kind", F.col("place"), F.ceil(F.length("content") / 40).cast("long").alias("cost")), 100, frame))
 
 
 # ---------------------------------------------------------------- identity and text
@@ -613,7 +642,7 @@ def containment_join(spark, sf_dir):
     return found.select(F.col("unit").alias("slug"), "token")
 
 
-@query(f"WITH {PAGES}, t AS (SELECT *, trim(regexp_replace(body, {SPACES})) AS one FROM wiki) SELECT slug, CASE WHEN ordinal % 2 = 0 THEN kind ELSE left(CASE WHEN regexp_extract(one, '^(.*?[.!?])(\\s|$)', 1) <> '' THEN regexp_extract(one, '^(.*?[.!?])(\\s|$)', 1) ELSE one END, 200) END AS summary FROM t")
+@query(f"WITH {PAGES} SELECT slug, CASE WHEN ordinal % 2 = 0 THEN kind ELSE {_SENTENCE.format(c='body')} END AS summary FROM wiki")
 def page_hydration(spark, sf_dir):
     p = views.wiki(spark, sf_dir)
     files = p.where("ordinal % 2 = 0").select("slug", "title", F.col("kind").alias("summary"))
@@ -835,16 +864,47 @@ def seeded_sample(spark, sf_dir):
 # ---------------------------------------------------------------- context and streams
 
 
-@query()
+_LINES = f"""{CHUNKS}, {PAGES},
+w AS (SELECT 'p' || trajectory_id AS slug, chunk_index, content, unnest([CAST(doc_id AS VARCHAR), CAST(doc_id + 1 AS VARCHAR)]) AS sid FROM chunks WHERE tier = 'wiki'),
+own AS (SELECT slug, count(DISTINCT c.id) AS evidence, max(c.ts) AS latest, arg_min(w.content, (w.chunk_index, w.content)) AS excerpt FROM w JOIN chunks c ON c.id = w.sid WHERE c.repo = 'en' GROUP BY slug
+        ORDER BY evidence DESC, latest DESC NULLS LAST, slug LIMIT 8),
+mem AS (SELECT * FROM chunks WHERE repo = 'en' AND dream_type IS NOT NULL AND ts >= {STAMP} - INTERVAL 30 DAY AND invalid_at IS NULL ORDER BY ts DESC, id LIMIT 12),
+men AS (SELECT slug, title, alias, row_number() OVER (ORDER BY slug) AS rank FROM wiki WHERE contains(title, 'en') QUALIFY rank <= 4),
+pages_ AS (
+  SELECT o.slug, coalesce(nullif({_COLLAPSED.format(c='t.title')}, ''), o.slug) AS title, CASE WHEN t.slug IS NOT NULL THEN {_COLLAPSED.format(c='t.alias')} ELSE {_SENTENCE.format(c='o.excerpt')} END AS summary,
+         CASE WHEN t.ordinal % 3 <> 0 THEN '2024-01-0' || (t.ordinal % 9 + 1) || 'T00:00:00Z' END AS updated, 0 AS a, -evidence AS b, latest FROM own o LEFT JOIN wiki t ON t.slug = o.slug
+  UNION ALL SELECT slug, title, alias, NULL, 1, rank, NULL FROM men WHERE slug NOT IN (SELECT slug FROM own) AND (EXISTS (FROM own) OR EXISTS (FROM mem))),
+c AS (
+  SELECT 'page' AS kind, row_number() OVER (ORDER BY a, b, latest DESC NULLS LAST, slug) AS n, '- ' || slug || ' — ' || coalesce(nullif(summary, ''), title) || coalesce(' (updated ' || left(updated, 10) || ')', '') AS line FROM pages_
+  UNION ALL SELECT 'memory', row_number() OVER (ORDER BY ts DESC, id), '- ' || dream_type || ' (' || CASE WHEN ts > {STAMP} - INTERVAL 1 DAY THEN 'today' ELSE CAST(date_diff('second', ts, {STAMP}) // 86400 AS VARCHAR) || 'd ago' END || '): ' || {_COLLAPSED.format(c='content')} FROM mem),
+i AS (SELECT 'context' AS g, *, CAST(ceil(length(line) / 4.0) AS BIGINT) AS cost FROM c)"""
+_FOOTER = """('_' || {p} || CASE WHEN {p} = 1 THEN ' page, ' ELSE ' pages, ' END || {m} || CASE WHEN {m} = 1 THEN ' memory' ELSE ' memories' END || ' · search "en OR main" in en to dig deeper_')"""
+_FRAME = f"""ceil(length('## Prior context — en@main') / 4.0) + ceil(length({_FOOTER.format(p='len(p)', m='len(m)')}) / 4.0) + CASE WHEN len(p) > 0 THEN ceil(length('**Pages**') / 4.0) ELSE 0 END
++ CASE WHEN len(m) > 0 THEN ceil(length('**Recent decisions & gotchas (30d)**') / 4.0) ELSE 0 END"""
+_SECTION = "(SELECT chr(10) || chr(10) || '{title}' || chr(10) || string_agg(line, chr(10) ORDER BY n) FROM i WHERE kind = '{kind}' AND list_contains({chosen}, n))"
+
+
+@query(f"""{_filled("i", 2000, _FRAME, _LINES)}, texts AS (SELECT '## Prior context — en@main' || coalesce({_SECTION.format(title=context.PAGES_TITLE, kind='page', chosen='tp')}, '')
+|| coalesce({_SECTION.format(title=context.MEMORIES_TITLE, kind='memory', chosen='tm')}, '') || chr(10) || chr(10) || {_FOOTER.format(p='len(tp)', m='len(tm)')} || chr(10) AS text FROM f)
+SELECT text, CAST(ceil(length(text) / 4.0) AS BIGINT) AS tokens FROM texts""")
 def build_context(spark, sf_dir):
     """Context of one repository: pages by evidence, decisions, mentions, budget, text."""
     c = views.chunks(spark, sf_dir)
     wiki = c.where("tier = 'wiki'").select(F.concat(F.lit("p"), "trajectory_id").alias("slug"), "chunk_index", "content", F.array(F.col("doc_id").cast("string"), (F.col("doc_id") + 1).cast("string")).alias("source_chunk_ids"))
-    pages = context.pages_for_repo(wiki, c.select("id", "repo", "ts"), "en").orderBy(F.desc("evidence"), "slug").limit(context.PAGES)
-    titles = views.wiki(spark, sf_dir).select("slug", "title", F.col("alias").alias("summary"))
-    hydrated = context.hydrate(pages, titles)
-    items = context.candidates(hydrated, context.recent_memories(c, "en", as_of()), titles.where(F.contains("title", F.lit("en"))).orderBy("slug").limit(4), as_of())
-    return context.render(rows.fold_budget(items, 800), "en")
+    pages = context.pages_for_repo(wiki, c.select("id", "repo", "ts"), "en").orderBy(F.desc("evidence"), F.desc_nulls_last("latest"), "slug").limit(context.PAGES)
+    files = views.wiki(spark, sf_dir).withColumn("updated", F.when(F.col("ordinal") % 3 != 0, F.concat(F.lit("2024-01-0"), F.col("ordinal") % 9 + 1, F.lit("T00:00:00Z"))))
+    titles = files.select("slug", "title", F.col("alias").alias("summary"), "updated")
+    mentions = titles.drop("updated").where(F.contains("title", F.lit("en"))).orderBy("slug").limit(4).withColumn("rank", F.row_number().over(Window.orderBy("slug")))  # four rows
+    return context.build(context.hydrate(pages, titles), context.recent_memories(c, "en", as_of()), mentions, as_of(), "en", "main", 2000)
+
+
+@query(f"""WITH {CHUNKS}, w AS (SELECT 'p' || trajectory_id AS slug, unnest([CAST(doc_id AS VARCHAR), CAST(doc_id + 1 AS VARCHAR), CAST(doc_id * 3 AS VARCHAR)]) AS sid FROM chunks WHERE tier = 'wiki')
+SELECT slug, count(DISTINCT session_id) AS sessions, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_seen, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_seen FROM w LEFT JOIN chunks c ON c.id = w.sid GROUP BY slug""")
+def page_evidence(spark, sf_dir):
+    c = views.chunks(spark, sf_dir)
+    wiki = c.where("tier = 'wiki'").select(F.concat(F.lit("p"), "trajectory_id").alias("slug"), F.array(*[x.cast("string") for x in (F.col("doc_id"), F.col("doc_id") + 1, F.col("doc_id") * 3)]).alias("source_chunk_ids"))
+    day = lambda x: F.date_format(x, "yyyy-MM-dd HH:mm:ss").alias(x)
+    return context.page_evidence(wiki, c).select("slug", "sessions", day("first_seen"), day("last_seen"))
 
 
 @query("SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
@@ -1039,7 +1099,15 @@ def raw_replay(spark, sf_dir):
     c = views.chunks(spark, sf_dir)
     payload = F.to_json(F.struct("doc_id", F.col("repo").alias("path")))
     events = c.select("trajectory_id", F.col("session_id").alias("source"), F.when(F.col("doc_id") % 9 == 0, F.lit("{")).otherwise(payload).alias("payload"))
-    return store.replay(events, "src0", "doc_id long, path string").where("doc_id IS NOT NULL")
+    return store.replay(events, "src0", "doc_id long, path string")
+
+
+@query(f"WITH {CHUNKS} SELECT trajectory_id, CASE WHEN doc_id % 9 = 0 THEN '{{' ELSE '[' || doc_id || ']' END AS payload FROM chunks WHERE session_id = 'src0' AND (doc_id % 9 = 0 OR doc_id % 7 = 0)")
+def raw_unreadable(spark, sf_dir):
+    """Payloads that are torn or no object."""
+    c = views.chunks(spark, sf_dir)
+    payload = F.when(F.col("doc_id") % 9 == 0, F.lit("{")).when(F.col("doc_id") % 7 == 0, F.concat(F.lit("["), "doc_id", F.lit("]"))).otherwise(F.to_json(F.struct("doc_id")))
+    return store.unreadable(c.select("trajectory_id", F.col("session_id").alias("source"), payload.alias("payload")), "src0", "doc_id long").select("trajectory_id", "payload")
 
 
 @query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS iso, coalesce(strftime(CASE WHEN event_id % 4 <> 0 THEN ts END, '%Y-%m-%d'), 'unknown') AS day FROM events")
