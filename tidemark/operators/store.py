@@ -98,7 +98,8 @@ def _parsed(events: DataFrame, source: str, schema: str) -> DataFrame:
     kind = T.StructType([*T._parse_datatype_string(schema).fields, T.StructField("_torn", T.StringType())])
     rows = events.where(F.col("source") == source)
     parsed = F.from_json("payload", kind, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_torn"})
-    whole = F.coalesce(F.schema_of_variant(F.try_parse_json("payload")).startswith("OBJECT"), F.lit(False))  # all of the payload is one value
+    one = F.try_parse_json(F.concat(F.lit("["), "payload", F.lit("]")))  # in brackets, so that nothing may follow the object
+    whole = F.coalesce(F.schema_of_variant(F.try_variant_get(one, "$[0]", "variant")).startswith("OBJECT"), F.lit(False)) & F.try_variant_get(one, "$[1]", "variant").isNull()
     return rows.withColumn("p", parsed).withColumn("_good", whole & F.col("p._torn").isNull() & F.col("p").isNotNull())
 
 
