@@ -18,6 +18,7 @@ from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tidemark.llm import components, decontaminate, edit_counts, exact_dedup, lm_score, ngram_join, packing, pii, quality, toxicity, warc
+from tidemark.llm._common import WordHash
 from tidemark.llm.queries import ORACLE_SQL, QUERIES
 from tidemark.llm.tokens import default_path, encoder
 
@@ -632,17 +633,49 @@ EDITS = {
 @pytest.mark.parametrize("kind", sorted(EDITS))
 def test_decontamination_finds_edits_wherever_they_are(kind):
     items, docs = planted(random.Random(4), [15, 20, 25, 31, 32, 40, 59] * 8, EDITS[kind])
-    got = {(d, i): e for d, i, _, _, e in decontaminate._scanner(items)(docs)}
+    got = {(d, i): e for d, i, _, _, e, _ in decontaminate._scanner(items)(docs)}
     assert got == {(k, k): decontaminate.allowed(len(t.split())) for k, (_, t) in enumerate(items)}
 
 
 @pytest.mark.parametrize("kind", sorted(EDITS))
 def test_decontamination_of_short_items(kind):
     items, docs = planted(random.Random(5), [8, 9, *range(10, 32)] * 3 + [1, 3, 7], EDITS[kind])
-    got = {(d, i): e for d, i, _, _, e in decontaminate._scanner(items)(docs)}
+    got = {(d, i): e for d, i, _, _, e, _ in decontaminate._scanner(items)(docs)}
     assert got == {(k, k): decontaminate.allowed(len(t.split())) for k, (_, t) in enumerate(items)}
 
 
+@pytest.mark.parametrize("kind", decontaminate.EDITS)
+@pytest.mark.parametrize("lengths", [range(10, 30), range(30, 60), range(60, 200, 7)])
+def test_sampled_walks_alone_reach_the_recall(kind, lengths):
+    """Bit sampling without the anchors, at the most edits allowed, on items that the repetitions were not measured on."""
+    rng = np.random.default_rng(11)
+    word = iter(range(10**9))
+    items, docs = [], []
+    for k in range(240):
+        words = [b"w%d" % next(word) for _ in range(lengths[k % len(lengths)])]
+        items.append((k, b" ".join(words)))
+        changed = decontaminate.edited(words, decontaminate.allowed(len(words)), kind, rng, lambda: b"w%d" % next(word))
+        docs.append(b" ".join([b"w%d" % next(word) for _ in range(20)] + changed + [b"w%d" % next(word) for _ in range(20)]))
+    found = [x for x in decontaminate._scanner(items)(docs) if x[0] == x[1]]
+    assert len(found) == len(items)  # with the anchors nothing is missed
+    assert sum(x[5] for x in found) >= 0.95 * len(items)
+
+
+def test_walks_carry_edits():
+    """A window and its edited copy fall into step again: sampled steps agree past an edit, which no exact piece would."""
+    words = np.random.default_rng(2).integers(1, 1 << 60, 40).astype(np.uint64)
+    text = words.copy()
+    text[9] = 5
+    index = lambda seed: decontaminate.Index([(0, 0, words)], seed, np.random.default_rng(seed), 0)
+    padded = np.concatenate([text, np.zeros(100, np.uint64)])
+    agree = sum(len(index(seed).candidates(decontaminate.Walk(padded, 1, seed))[0]) for seed in range(200))
+    assert 60 < agree < 200 and all(index(seed).at[-1] > 40 for seed in range(20))
+
+
+def test_repetitions_grow_with_the_edits():
+    assert decontaminate.repetitions(decontaminate._class(5)) <= decontaminate.repetitions(decontaminate._class(25)) <= decontaminate.MOST_REPETITIONS
+
+
 def test_decontamination_misses_nothing_within_the_edit_rate():
     rng = random.Random(7)
     text = lambda n: [rng.choice("abcdef") for _ in range(n)]
@@ -654,7 +687,7 @@ def test_decontamination_misses_nothing_within_the_edit_rate():
             a = rng.randrange(len(w) + 1)
             w[a : a + rng.randint(0, 1)] = text(rng.randint(0, 1))
         docs.append(text(rng.randint(0, 9)) + w + text(rng.randint(0, 9)))
-    hashes = decontaminate._WordHash()
+    hashes = WordHash()
     code = lambda w: decontaminate.word_hashes(" ".join(w).encode(), hashes)
     want = {}
     for d, doc in enumerate(docs):
@@ -663,7 +696,7 @@ def test_decontamination_misses_nothing_within_the_edit_rate():
             if distance <= decontaminate.allowed(len(w)):
                 want[d, i] = distance
     scan = decontaminate._scanner([(i, " ".join(w).encode()) for i, w in enumerate(items)])
-    assert {(d, i): e for d, i, _, _, e in scan([" ".join(doc).encode() for doc in docs])} == want
+    assert {(d, i): e for d, i, _, _, e, _ in scan([" ".join(doc).encode() for doc in docs])} == want
 
 
 def test_best_window_matches_brute_force():

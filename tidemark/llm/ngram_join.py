@@ -36,12 +36,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialise, plan_bytes, quoted, raw_texts, release, steps
+from ._common import WordHash, materialise, plan_bytes, quoted, raw_texts, release, steps
 from .blobs import pack, slices, unpack
 from .components import components, joined
 
 WORDS, PERCENT = 5, 75
-CACHE_WORDS = 100_000
 SAMPLE_ROWS, FREQUENT = 2_000, 0.005
 FLUSH, FLUSH_DOCS = 500_000, 60_000
 BUCKET_BYTES = 6 << 20  # of the table, for two buckets of shingles
@@ -52,14 +51,6 @@ NO_SET = 0xFFFFFFFF
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
 
-class _WordHash(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
-
-
 def shingles(text: bytes, hashes: dict, n: int = WORDS) -> np.ndarray:
     """Sorted 64-bit hashes of the distinct n-word shingles."""
     words = text.lower().split()
@@ -86,7 +77,7 @@ def _frequent(rows: DataFrame, words: int) -> np.ndarray:
     total = rows.count()
 
     def cut(batches):
-        hashes = _WordHash()
+        hashes = WordHash()
         for batch in batches:
             for step in steps([batch], "text"):
                 sets = {s.tobytes(): s for s in (shingles(t, hashes, words) for t in raw_texts(step.column("text")))}
@@ -113,7 +104,7 @@ def _classes(rows: DataFrame, buckets: int, parts: int, words: int, percent: int
     frequent = _frequent(rows, words)
 
     def scan(batches):
-        hashes = _WordHash()
+        hashes = WordHash()
         place = TaskContext.get().partitionId()
         held: dict[int, int] = {}  # place of a class in the flush
         sets: list[np.ndarray] = []
