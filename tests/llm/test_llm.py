@@ -92,6 +92,47 @@ def test_repeated_rows_leave_one(spark):
     assert len(got) == 5 and sum(r.kept for r in got) == 1 and {r.group_size for r in got} == {5}
 
 
+@given(st.lists(st.lists(st.binary(max_size=40).map(lambda b: bytes(x % 2 for x in b)), max_size=12), max_size=6), st.sampled_from([0, 300, 2000, 1 << 20]))
+@settings(max_examples=80, deadline=None)
+def test_the_table_of_a_task_loses_nothing(texts, most):
+    """Whatever the table gives up and when, each text's count is the sum over what it gave."""
+    seen, got = exact_dedup.Seen(most), Counter()
+    for step in texts:
+        own = sorted(set(step))
+        for old, new in seen.meet(own, [[step.count(t)] for t in own]):
+            old[0] += new[0]
+        gone = seen.leave()
+        assert len({t for t, _ in gone}) == len(gone) and seen.size <= max(most, 0) or not gone
+        got.update({t: v[0] for t, v in gone})
+    got.update({t: v[0] for t, v in seen.leave(True)})
+    assert got == Counter(t for step in texts for t in step) and seen.size == 0
+
+
+@pytest.mark.parametrize("most, fold", [(0, 1), (500, 100), (1 << 24, 1 << 25)])
+def test_hot_texts_over_many_steps(spark, monkeypatch, most, fold):
+    """A third of the rows is one text, over many steps of a task, whatever the sizes of table and folds; ids in both orders."""
+    monkeypatch.setattr(exact_dedup, "FOLD_BYTES", fold)
+    monkeypatch.setattr(exact_dedup.Seen.__init__, "__defaults__", (most,))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
+    try:
+        texts = [["HOT text", "hot text", "hot TEXT", f"own {k}", f"pair {k // 2}", None if k % 7 else ""][k % 6] for k in range(600)]
+        for ids in ([*range(600)], [*range(600, 0, -1)], [None if k % 5 == 0 else k % 40 for k in range(600)]):
+            df = frame(spark, texts, ids)
+            by = {}
+            for i, t in zip(ids, texts):
+                by.setdefault((t or "").lower(), []).append(i)
+            top = lambda x: max((i for i in x if i is not None), default=None)
+            got = exact_dedup.groups(df).collect()
+            want = Counter((i, top(by[t]), len(by[t]), hashlib.sha256(t.encode()).hexdigest()) for t in by for i in by[t])
+            assert Counter((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got) == want
+            kept = [r for r in got if r.kept]
+            assert len(kept) == len(by) == len({r.text_sha256 for r in kept}) and all(r.doc_id == r.keep_id for r in kept)
+            left = exact_dedup.survivors(df).collect()
+            assert Counter(((r.text or "").lower(), r.doc_id) for r in left) == Counter((t, top(i)) for t, i in by.items())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_trie_puts_equal_texts_together():
     rng = random.Random(1)
     texts = [b"common prefix " * rng.randint(0, 60) + bytes(rng.choices(b"ab", k=rng.randint(0, 9))) for _ in range(3000)]
