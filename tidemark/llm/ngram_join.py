@@ -41,7 +41,8 @@ from .blobs import pack, slices, unpack
 from .components import components, joined
 
 WORDS, PERCENT = 5, 75
-SAMPLE_ROWS, FREQUENT = 2_000, 0.005
+SAMPLE_ROWS, SEEN = 2_000, 10  # sampled texts at least; how often a frequent shingle is seen in them
+LEAST_PLACES, LISTED, WORD_BYTES = 20_000, 2_000_000, 6  # places of a shingle that one bucket may gather; shingles listed; bytes of text a place
 FLUSH, FLUSH_DOCS = 500_000, 60_000
 BUCKET_BYTES = 6 << 20  # of the table, for two buckets of shingles
 BLOCK, SPLIT = 64, 512
@@ -73,8 +74,13 @@ def _need(n, percent: int):
 
 
 def _frequent(rows: DataFrame, words: int) -> np.ndarray:
-    """Shingles of many sampled texts: a bounded list that only orders shingles."""
-    total = rows.count()
+    """Shingles of many texts, told from a sample that grows with the input: a shingle of `most` places or more is seen
+    some 2 * SEEN times, and one of half as many SEEN times, which lists it. So no bucket gathers many more than `most`
+    places of one shingle. The list only orders shingles and sends them past the buckets; it has at most 2 * LISTED
+    shingles, as all places together are LISTED times `most`."""
+    total = max(1, rows.count())
+    most = max(LEAST_PLACES, plan_bytes(rows) // WORD_BYTES // LISTED)
+    fraction = min(1.0, max(SAMPLE_ROWS / total, 2 * SEEN / most))
 
     def cut(batches):
         hashes = WordHash()
@@ -83,13 +89,11 @@ def _frequent(rows: DataFrame, words: int) -> np.ndarray:
                 sets = {s.tobytes(): s for s in (shingles(t, hashes, words) for t in raw_texts(step.column("text")))}
                 if sets:
                     token, count = np.unique(np.concatenate(list(sets.values())), return_counts=True)
-                    token, count = token[count > 1], count[count > 1]
                     yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(count)], ["s", "n"])
 
-    few = rows.select("text").sample(fraction=min(1.0, SAMPLE_ROWS / max(1, total)), seed=3).repartition(4)
-    found = few.mapInArrow(cut, "s long, n long").groupBy("s").agg(F.sum("n").alias("n"))
-    got = found.where(F.col("n") >= max(4, int(FREQUENT * min(total, SAMPLE_ROWS)))).select("s").collect()
-    return np.sort(np.array([r[0] for r in got], dtype=np.int64).view(np.uint64))
+    few = rows.select("text").sample(fraction=fraction, seed=3).repartition(max(4, round(fraction * total / SAMPLE_ROWS)))
+    found = few.mapInArrow(cut, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") >= SEEN)
+    return np.sort(found.select("s").toArrow().column("s").to_numpy().view(np.uint64))
 
 
 def _member(tokens: np.ndarray, listed: np.ndarray) -> np.ndarray:
