@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark import models
 from tidemark.functions import segments as seg
 from tidemark.functions import vectors as vec
-from tidemark.operators import ann, answers, compiled, context, evaluation, fulltext, graph, retrieval, rows, store, units
+from tidemark.operators import ann, answers, compiled, context, evaluation, fulltext, graph, retrieval, rows, smallworld, store, units
 from tidemark.sources import pages, sessions
 from tidemark.streaming import ingest
 
@@ -502,3 +502,77 @@ def test_older_and_shorter_queries_go(spark):
     got = lambda d, r: [x["query"] for x in answers.demand_queries(d, r).collect()]
     assert got(q("rea", "READ me", "read me now", "ab", "other"), q("recent")) == ["other", "read me now"]
     assert got(q("ab"), q("abc", "abcd")) == ["abcd"] and got(q("ab"), q("x")) == []
+
+
+def clustered(seed, n=900, width=8, clusters=40):
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(clusters, width))
+    return centres[rng.integers(clusters, size=n)] + 0.3 * rng.normal(size=(n, width))
+
+
+def exact_nearest(v, q, k, admitted=None):
+    import numpy as np
+
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    s = np.round(unit(v) @ unit(q), 12)
+    rows_ = range(len(v)) if admitted is None else np.flatnonzero(admitted).tolist()
+    return sorted(rows_, key=lambda i: (-s[i], i))[:k]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_graph_search(spark, seed):
+    """Every node can be reached, wide beams are exact, narrow ones find most at few distances, filters are whole."""
+    import numpy as np
+
+    v = clustered(seed)
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    levels = np.floor(-np.log(np.random.default_rng(seed).random(len(v))) / np.log(8)).astype(int)
+    g = smallworld.Layers(unit, levels, most=8).build(32)
+    assert all(len(x) <= 17 for node in g.links for x in node)  # twice the links, and one more for what was lost
+    hits = 0
+    g.compared = 0
+    for q in unit[::30]:
+        nodes, s = g.nearest(q, 10, 20)
+        hits += len(set(nodes[np.lexsort((nodes, -np.round(s, 12)))][:10].tolist()) & set(exact_nearest(v, q, 10)))
+    assert hits >= 0.9 * 10 * 30 and g.compared < 0.25 * 30 * len(v)
+    for q in unit[::100]:
+        nodes, s = g.nearest(q, 10, len(v))
+        assert nodes[np.lexsort((nodes, -np.round(s, 12)))][:10].tolist() == exact_nearest(v, q, 10) and len(nodes) == len(v)
+        for share in (3, 2, 1.1):
+            admitted = np.arange(len(v)) % 30 < 30 / share
+            nodes, s = g.nearest(q, 10, 10, admitted)
+            assert len(nodes) >= 10 and admitted[nodes].all()
+        few = np.arange(len(v)) % 29 == 3
+        nodes, s = g.nearest(q, 10, 10, few)
+        assert nodes[np.lexsort((nodes, -np.round(s, 12)))][:10].tolist() == exact_nearest(v, q, 10, few)
+
+
+def test_graph_index(spark, tmp_path):
+    """Null and zero vectors, null ids in the kept columns, several shards and blocks of queries, an empty table."""
+    v = clustered(5, 300)
+    data = [(i, [float(x) for x in row], i % 7, None if i % 3 else "a") for i, row in enumerate(v)] + [(1000, None, 1, "a"), (1001, [0.0] * 8, 1, "a"), (1002, None, 2, None)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>, label int, tag string").repartition(5)
+    smallworld.build(df, 3, ["label", "tag"]).write.parquet(str(tmp_path / "g"))
+    index = spark.read.parquet(str(tmp_path / "g"))
+    assert index.count() == 3 and sum(len(r[0]) for r in index.select("ids").collect()) == len(data)
+    asked = df.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<float>").alias("q"))
+    vectors = v.astype("float32").astype(float)
+    by = lambda found: {q: [r["vec_id"] for r in sorted(found, key=lambda r: r["rank"]) if r["query_id"] == q] for q in range(0, 300, 20)}
+    whole = by(smallworld.search(index, asked, 5, beam=300).collect())
+    assert whole == {q: exact_nearest(vectors, vectors[q], 5) for q in whole}
+    tagged = by(smallworld.search(index, asked, 5, beam=8, admits=lambda r: (r["tag"] == "a") & (r["label"] == 2)).collect())
+    admitted = [i % 3 == 0 and i % 7 == 2 for i in range(300)]
+    import numpy as np
+
+    assert tagged == {q: exact_nearest(vectors, vectors[q], 5, np.array(admitted)) for q in tagged}
+    before = smallworld.QUERY_BLOCK
+    try:
+        smallworld.QUERY_BLOCK = 4
+        assert by(smallworld.search(index, asked, 5, beam=300).collect()) == whole
+    finally:
+        smallworld.QUERY_BLOCK = before
+    assert smallworld.search(index, asked.where("false"), 5).count() == 0
+    assert smallworld.search(smallworld.build(df.where("vec_id >= 1000"), 2), asked, 5).count() == 0
+    assert smallworld.build(df.where("false")).count() == 0

@@ -101,15 +101,9 @@ def search(spark: SparkSession, path: str, queries: DataFrame, k: int, probes: i
 
         return stored.where(F.col("list").isin(*map(int, asked))).select(id_col, vector_col, "list").mapInArrow(nearest, fields)
 
-    out, held = None, []
-    for r in queries.select(query_id, "q").where("q IS NOT NULL").toLocalIterator():
-        held.append(r)
-        if len(held) == QUERY_BLOCK:
-            out, held = (block(held) if out is None else out.union(block(held))), []
-    if held and len(centres):
-        out = block(held) if out is None else out.union(block(held))
-    if out is None:
-        out = spark.createDataFrame([], fields)
+    asked = queries.select(query_id, "q").where("q IS NOT NULL")
+    none = spark.createDataFrame([], fields)
+    out = retrieval.in_blocks(asked, lambda rows: block(rows) if rows and len(centres) else none, QUERY_BLOCK)
     rank = F.row_number().over(Window.partitionBy(query_id).orderBy(F.desc(F.round("similarity", 12)), id_col))
     return out.withColumn("rank", rank).where(F.col("rank") <= k)
 

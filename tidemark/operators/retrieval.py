@@ -7,6 +7,7 @@ keeps its best rows only; sets of queries are broadcast in blocks of at most QUE
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import vectors as vec
+from ..sources.shared import shared_path
 from . import fulltext
 
 # Default weights and priors of the scoring formula.
@@ -85,6 +87,23 @@ def vector_topk(vectors: DataFrame, query: list[float] | DataFrame, k: int, id_c
     return scored.orderBy(F.desc("similarity"), id_col).limit(k)
 
 
+def in_blocks(rows: DataFrame, block: Callable[[list], DataFrame], size: int | None = None) -> DataFrame:
+    """The union of what `block` makes of a stated set's rows, QUERY_BLOCK of them at a time. The driver holds one block; where
+    there are several, each result is written to the shared folder before the next, so neither plan nor driver grows."""
+    size, path, held = size or QUERY_BLOCK, None, []
+    for row in rows.toLocalIterator():
+        held.append(row)
+        if len(held) > size:
+            path = path or shared_path(rows.sparkSession, "blocks")
+            block(held[:size]).write.mode("append").parquet(path)
+            held = held[size:]
+    last = block(held)
+    if path is None:
+        return last
+    last.write.mode("append").parquet(path)
+    return rows.sparkSession.read.schema(last.schema).parquet(path)
+
+
 def batch_topk(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", query_id: str = "query_id") -> DataFrame:
     """The k nearest rows for each row of a stated query set (query_id, q): query_id, id, similarity, rank.
 
@@ -117,13 +136,8 @@ def batch_topk(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "ve
 
         return part.mapInArrow(nearest, f"{query_id} long, {id_col} long, similarity double")
 
-    part, out, held = vectors.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long"), vector_col), None, []
-    for row in queries.where("q IS NOT NULL").select(query_id, "q").toLocalIterator():
-        held.append(row)
-        if len(held) == QUERY_BLOCK:
-            out, held = (block(held, part) if out is None else out.union(block(held, part))), []
-    if held or out is None:
-        out = block(held, part) if out is None else out.union(block(held, part))
+    part = vectors.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long"), vector_col)
+    out = in_blocks(queries.where("q IS NOT NULL").select(query_id, "q"), lambda rows: block(rows, part))
     rank = F.row_number().over(Window.partitionBy(query_id).orderBy(F.desc(F.round("similarity", 12)), id_col))
     return out.withColumn("rank", rank).where(F.col("rank") <= k)
 

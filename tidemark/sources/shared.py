@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _own_dir: str | None = None
 
@@ -21,3 +21,10 @@ def shared_path(spark: SparkSession, name: str) -> str:
             _own_dir = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         root = _own_dir
     return f"{root.rstrip('/')}/tidemark/{name}-{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """df as Parquet in the shared folder, read back: cuts lineage and outlives lost executors."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
