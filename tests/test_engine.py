@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark import models
 from tidemark.functions import segments as seg
 from tidemark.functions import vectors as vec
-from tidemark.operators import ann, answers, compiled, context, evaluation, fulltext, graph, retrieval, rows, smallworld, store, units
+from tidemark.operators import ann, answers, compiled, context, evaluation, fulltext, graph, postings, retrieval, rows, smallworld, store, units
 from tidemark.sources import pages, sessions
 from tidemark.streaming import ingest
 
@@ -576,3 +576,55 @@ def test_graph_index(spark, tmp_path):
     assert smallworld.search(index, asked.where("false"), 5).count() == 0
     assert smallworld.search(smallworld.build(df.where("vec_id >= 1000"), 2), asked, 5).count() == 0
     assert smallworld.build(df.where("false")).count() == 0
+
+
+def test_blocks_bound_their_scores():
+    """No text of a range has a score above the bound of the range's greatest counts."""
+    rng = random.Random(4)
+    for _ in range(3000):
+        groups = [["a"], ["b", "c"], ["d"]][: rng.randint(1, 3)]
+        clauses = [fulltext.Clause(tuple((t,) for t in g)) for g in groups]
+        at = fulltext.places(" ".join(rng.choice("abcdx") for _ in range(rng.randint(1, 25))), {c: c for c in "abcdx"})
+        score = fulltext.cover_density(clauses, at) if fulltext.matches(clauses, at) else 0.0
+        covers = len(groups) * min(sum(len(at.get(t, ())) for t in g) for g in groups)
+        assert score <= covers / (covers + 1) + 1e-12
+
+
+def test_searches_read_few_blocks(spark, tmp_path):
+    """The best rows of a common word, from some of many ranges; the same as from all postings."""
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice(["fox", "dog", "cat", "owl", "hen", "ant", "bee"]) for _ in range(rng.choice([3, 5, 8]))) + " fox" * (40 if k in (77, 150, 402) else 0) for k in range(600)]
+    df = spark.createDataFrame([(str(k), t) for k, t in enumerate(texts)], "id string, content string")
+    index = postings.TextIndex(spark, str(tmp_path / "t"), buckets=4, range_rows=8)
+    index.upsert(df)
+    whole = fulltext.postings(df)
+    for query, limit in (("fox", 3), ("fox dog", 3), ('"fox dog" or bee', 5), ("fox -dog", 2), ("unicorn", 3), ("fox or dog cat", 4), ("-fox", 2), ("", 2), ("fox", 600)):
+        read = []
+        got = [tuple(r) for r in index.search(query, limit, read).collect()]
+        assert got == [tuple(r) for r in fulltext.search(whole, query, limit).collect()], query
+        if query == "fox" and limit == 3:
+            first, more, total = read[0]
+            assert total > 60 and first + more < 0.2 * total
+    some = df.where("id % 50 = 0").select("id")
+    everything = {r.id: r.keyword_score for r in fulltext.search(whole, "fox dog", None).collect()}
+    assert {r.id: r.keyword_score for r in index.scores("fox dog", some).collect()} == {i: s for i, s in everything.items() if int(i) % 50 == 0}
+
+
+@given(st.lists(st.tuples(st.sampled_from(["upsert", "upsert", "remove", "merge", "all"]), st.lists(st.tuples(st.integers(0, 9), st.sampled_from(["fox", "fox dog", "dog", "fox fox cat", ""])), min_size=1, max_size=4)), min_size=1, max_size=7))
+@settings(max_examples=6, deadline=None)
+def test_an_index_follows_the_store(spark, tmp_path_factory, steps):
+    """After any sequence of changes a search equals that of a rebuild."""
+    index, state = postings.TextIndex(spark, str(tmp_path_factory.mktemp("t") / "i"), buckets=2, range_rows=2), {}
+    for what, rows_ in steps:
+        df = spark.createDataFrame([(str(i), t) for i, t in rows_], "id string, content string").coalesce(1)
+        if what == "upsert":
+            index.upsert(df)
+            state |= {i: max(t for j, t in rows_ if j == i) for i, _ in rows_}
+        elif what == "remove":
+            index.remove(df)
+            state = {i: t for i, t in state.items() if i not in {j for j, _ in rows_}}
+        else:
+            index.merge(2, everything=what == "all")
+    want = fulltext.postings(spark.createDataFrame([(str(i), t) for i, t in state.items()], "id string, content string").coalesce(1))
+    for query in ("fox", "fox dog or cat"):
+        assert [tuple(r) for r in index.search(query, 3).collect()] == [tuple(r) for r in fulltext.search(want, query, 3).collect()]

@@ -137,7 +137,7 @@ def batch_topk(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "ve
         return part.mapInArrow(nearest, f"{query_id} long, {id_col} long, similarity double")
 
     part = vectors.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long"), vector_col)
-    out = in_blocks(queries.where("q IS NOT NULL").select(query_id, "q"), lambda rows: block(rows, part))
+    out = in_blocks(queries.where("q IS NOT NULL").select(query_id, "q"), lambda rows: block(rows, part) if rows else vectors.sparkSession.createDataFrame([], f"{query_id} long, {id_col} long, similarity double"))
     rank = F.row_number().over(Window.partitionBy(query_id).orderBy(F.desc(F.round("similarity", 12)), id_col))
     return out.withColumn("rank", rank).where(F.col("rank") <= k)
 

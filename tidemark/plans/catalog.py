@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import segments as seg
 from ..functions import text as tx
 from ..functions import vectors as vec
-from ..operators import ann, answers, compiled, context, demand, evaluation, fulltext, graph, retrieval, rows, smallworld, store, units
+from ..operators import ann, answers, compiled, context, demand, evaluation, fulltext, graph, indexed, postings, retrieval, rows, smallworld, store, units
 from ..sources import pages, sessions
 from ..sources.shared import materialise, shared_path
 from ..streaming import ingest
@@ -176,6 +176,33 @@ def hybrid_search(spark, sf_dir):
     return found.select("id", "tier", *[F.round(c, 8).alias(c) for c in ("similarity", "keyword_score", "combined")])
 
 
+@query(ORACLE_SQL["hybrid_search"])
+def indexed_hybrid(spark, sf_dir):
+    """The same from stored indexes: blocks of postings, the graph, and single rows by id."""
+    chunks, root = views.chunks(spark, sf_dir), shared_path(spark, "indexed")
+    texts = postings.TextIndex(spark, f"{root}/texts", buckets=8)
+    texts.upsert(chunks.select("id", "content"))
+    both = chunks.drop("content").join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id")
+    postings.ordered_by_id(both, f"{root}/rows", 4)
+    rows_ = spark.read.parquet(f"{root}/rows")
+    smallworld.build(rows_, 4, indexed.KEPT, "doc_id", width=32).write.parquet(f"{root}/graph")
+    s = retrieval.Scoring(recency=0.1, tier=0.05, half_life_days=30.0, decay_days=365.0)
+    found = indexed.hybrid_search(rows_, texts, spark.read.parquet(f"{root}/graph"), _vector(spark, sf_dir), "the thties haing", retrieval.Filters(limit=12), s, as_of(), beam=1 << 30)
+    return found.select("id", "tier", *[F.round(c, 8).alias(c) for c in ("similarity", "keyword_score", "combined")])
+
+
+@query(_FOUND.replace("WITH {CHUNKS}", "WITH").replace("FROM documents)", "FROM documents WHERE doc_id % 13 <> 5)", 1))
+def changed_index(spark, sf_dir):
+    """An index that followed inserts, changes and removals, with its segments merged on the way, finds what one of the last
+    state would: every chunk came with another text first, or was written again; every thirteenth is gone."""
+    c, texts = views.chunks(spark, sf_dir).select("id", "content", "doc_id"), postings.TextIndex(spark, shared_path(spark, "texts"), buckets=8, range_rows=128)
+    texts.upsert(c.withColumn("content", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("thties haing "), "content")).otherwise(F.col("content"))))
+    for k in range(3):
+        texts.upsert(c.where((F.col("doc_id") % 9 == 3 * k) | (F.col("doc_id") % 7 == k)))
+    texts.remove(c.where(F.col("doc_id") % 13 == 5))
+    return texts.search('thties "ering haing" or eaed -lying', 50).select("id", F.round("keyword_score", 9).alias("keyword_score"))
+
+
 @query(f"WITH {CHUNKS}, {_SCORED} SELECT session_id, round(max(similarity), 8) AS similarity FROM scored GROUP BY session_id")
 def session_max_similarity(spark, sf_dir):
     chunks = retrieval.live(views.chunks(spark, sf_dir), retrieval.Filters()).join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id")
