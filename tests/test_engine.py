@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark import models
 from tidemark.functions import segments as seg
 from tidemark.functions import vectors as vec
-from tidemark.operators import ann, answers, compiled, context, evaluation, fulltext, graph, postings, retrieval, rows, smallworld, store, units
+from tidemark.operators import ann, answers, compiled, context, evaluation, fulltext, graph, phrases, postings, retrieval, rows, smallworld, store, units
 from tidemark.sources import pages, sessions
 from tidemark.streaming import ingest
 
@@ -46,8 +46,6 @@ def test_small_text_functions():
     assert seg.stable_json({"b": [1, {"d": 1, "c": 2}], "a": None}) == '{"a":null,"b":[1,{"c":2,"d":1}]}'
     assert seg.sanitize({"k\x00": "a\ud800b"}) == {"k�": "a�b"}
     assert seg.split_claims("One. [1][2] Two [9] three [1] rest", 2) == [("One. [1][2]", [1, 2]), ("three [1]", [1])]
-    body, added = seg.autolink("A fingerprint skip beats a fingerprint. `fingerprint` pg pgvector", [{"slug": "skip", "title": "fingerprint skip", "aliases": []}, {"slug": "fp", "title": "Fingerprint", "aliases": []}, {"slug": "pgv", "title": "pgv", "aliases": []}])
-    assert body == "A [[skip|fingerprint skip]] beats a [[fp|fingerprint]]. `fingerprint` pg pgvector" and added == ["skip", "fp"]
     assert len(seg.page_chunks("t", "## a\n" + "x" * 3000 + "\n## b\n" + "y" * 3000)) == 2
 
 
@@ -628,3 +626,84 @@ def test_an_index_follows_the_store(spark, tmp_path_factory, steps):
     want = fulltext.postings(spark.createDataFrame([(str(i), t) for i, t in state.items()], "id string, content string").coalesce(1))
     for query in ("fox", "fox dog or cat"):
         assert [tuple(r) for r in index.search(query, 3).collect()] == [tuple(r) for r in fulltext.search(want, query, 3).collect()]
+
+
+def plain_links(body, targets, own):
+    """Links by trying each phrase on the body, phrase by phrase."""
+    import re
+
+    slug_of = {t["slug"]: t["slug"] for t in targets}
+    for t in sorted(targets, key=lambda t: t["ordinal"]):
+        for a in t["aliases"]:
+            slug_of.setdefault(a if re.fullmatch("[a-z0-9-]{1,64}", a) else seg.slugify(a), t["slug"])
+    bare = re.sub(r"(?s)~~~.*?~~~", "", re.sub(r"(?s)```.*?```", "", body))
+    linked = {slug_of.get(x if re.fullmatch("[a-z0-9-]{1,64}", x) else seg.slugify(x)) for x in (y.strip() for y in re.findall(r"\[\[([^\]|]+)(?:\|[^\]]*)?\]\]", bare))}
+    needles = {}
+    for t in targets:
+        for phrase in (t["title"], *t["aliases"]):
+            n = phrase.strip().lower()
+            if len(n) >= 3 and t["slug"] not in linked and t["slug"] != own:
+                needles.setdefault(n, set()).add(t["slug"])
+    spans = [m.span() for p in phrases.PROTECTED for m in re.finditer(p, body)]
+    new = []
+    for n in sorted(needles, key=lambda n: (-len(n), n)):
+        (slug,) = needles[n] if len(needles[n]) == 1 else (None,)
+        if slug is None or any(slug == x[2] for x in new):
+            continue
+        for m in re.finditer(re.escape(n), body.lower()):
+            word = re.compile("[A-Za-z0-9_]")
+            a, b = m.span()
+            if (a and word.match(body[a - 1])) or (b < len(body) and word.match(body[b])) or any(a < y and x < b for x, y, *_ in [*spans, *new]):
+                continue
+            new.append((a, b, slug))
+            break
+    for a, b, slug in sorted(new, reverse=True):
+        body = body[:a] + (f"[[{slug}]]" if body[a:b] == slug else f"[[{slug}|{body[a:b]}]]") + body[b:]
+    return body, [x[2] for x in sorted(new)]
+
+
+@pytest.mark.parametrize("block_bytes", [8 << 20, 300])
+def test_autolink_pages(spark, block_bytes):
+    """Against phrase by phrase, with guards, overlaps, aliases, ambiguous names, existing links, and a dictionary of several blocks."""
+    rng = random.Random(12)
+    base = ["alpha", "beta", "Gamma", "x-ray", "pg", "delta_1", "Éclair", "ray"]
+    words = [*base, *(f"{x} {y}" for x in base for y in base), *(f"{x}-{y}" for x in base[:4] for y in base)]
+    glue = [" ", ", ", " `", "` ", "\n```\n", " [[p3]] ", " [[alpha|x]] ", " [see alpha](u) ", "_", "", ". "]
+    data = []
+    for k in range(40):
+        body = "".join(rng.choice(words) + rng.choice(glue if k % 4 == 0 else glue[:2] + glue[-3:]) for _ in range(rng.randrange(30)))
+        data.append((f"p{k}", k, words[k * 2] if k % 9 else rng.choice(base), rng.sample([*words, "nobody"], rng.randrange(3)), body, "kept"))
+    data += [("pnull", 100, "null body", [], None, "kept"), ("pempty", 101, "  ", [], "", "kept")]
+    df = spark.createDataFrame(data, "slug string, ordinal int, title string, aliases array<string>, body string, n string").repartition(3)
+    targets = [{"slug": d[0], "ordinal": d[1], "title": d[2], "aliases": d[3]} for d in data]
+    got = {r["slug"]: (r["body"], r["added"]) for r in phrases.autolink_pages(df, block_bytes=block_bytes).collect()}
+    assert phrases._blocks(phrases.names_of(df), ["phrase"], block_bytes)[0] > (1 if block_bytes < 1000 else 0)
+    assert got == {d[0]: plain_links(d[4], targets, d[0]) if d[4] else (d[4], []) for d in data}
+    assert sum(len(a) for _, a in got.values()) > 20
+    body, added = phrases.linked(text := "A fingerprint skip beats a fingerprint. `fingerprint` pg pgvector", phrases.mentions(text, text.lower(), phrases._automaton(["fingerprint skip", "fingerprint", "pgv"]), [("fingerprint skip", ["skip"]), ("fingerprint", ["fp"]), ("pgv", ["pgv"])]), "me", set())
+    assert body == "A [[skip|fingerprint skip]] beats a [[fp|fingerprint]]. `fingerprint` pg pgvector" and added == ["skip", "fp"]
+    assert phrases.autolink_pages(df.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("block_bytes", [8 << 20, 200])
+def test_candidate_pages(spark, block_bytes):
+    rng = random.Random(2)
+    words = ["alpha", "Beta", "gam", "ab", "alphabet", "İstanbul", "delta"]
+    items = [(k, rng.choice([None, "", " ".join(rng.choice(words) + rng.choice(["s", ""]) for _ in range(4))])) for k in range(60)]
+    titles = [(f"p{k}", rng.choice(words), rng.sample(words, 2), k) for k in range(30)]
+    hits = [(k, f"p{rng.randrange(40)}", 1 + n) for k in range(0, 60, 3) for n in range(3)]
+    got = phrases.candidate_pages(spark.createDataFrame(items, "item_id int, text string"), spark.createDataFrame(titles, "slug string, title string, aliases array<string>, ordinal int"), spark.createDataFrame(hits, "item_id int, slug string, rank int"), 6, block_bytes)
+    want = {}
+    for k, text in items:
+        ranked = {}
+        for i, slug, rank in hits:
+            if i == k:
+                ranked[slug] = min(rank, ranked.get(slug, rank))
+        for slug, title, aliases, _ in titles:
+            if text and any(len(n.strip()) >= 3 and n.strip().lower() in text.lower() for n in (title, *aliases)):
+                ranked.setdefault(slug, 1 << 30)
+        want[k] = sorted(ranked, key=lambda s: (ranked[s], s))[:6]
+    by = {}
+    for r in sorted(got.collect(), key=lambda r: r["place"]):
+        by.setdefault(r["item_id"], []).append(r["slug"])
+    assert by == {k: v for k, v in want.items() if v}

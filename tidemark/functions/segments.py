@@ -141,45 +141,6 @@ def split_claims(answer: str, most: int) -> list[tuple[str, list[int]]]:
     return claims
 
 
-_PROTECTED = re.compile(r"```.*?```|~~~.*?~~~|`[^`\n]*`|\[\[[^\]]*\]\]|\[[^\]]*\]\([^)]*\)|https?://\S+|^#.*$", re.S | re.M)
-
-
-def autolink(body: str, targets: list[dict], own: str | None = None) -> tuple[str, list[str]]:
-    """Links the first free mention of each target: longest phrase first, one link per page, ambiguous phrases and
-    mentions inside code, links, URLs and headings left alone."""
-    names: dict[str, str] = {}
-    for t in targets:
-        names[t["slug"]] = t["slug"]
-    for t in targets:
-        for alias in t["aliases"]:
-            names.setdefault(alias if re.fullmatch("[a-z0-9-]{1,64}", alias) else slugify(alias), t["slug"])
-    bare = re.sub(r"(?s)```.*?```|~~~.*?~~~", "", body)
-    linked = {names.get(s, s) for s in (slugify(x.strip()) for x in re.findall(r"\[\[([^\]|]+)(?:\|[^\]]*)?\]\]", bare))}
-    phrases: dict[str, set[str]] = {}
-    for t in targets:
-        if t["slug"] != own and t["slug"] not in linked:
-            for phrase in (t["title"], *t["aliases"]):
-                if len(phrase.strip()) >= 3:
-                    phrases.setdefault(phrase.strip().lower(), set()).add(t["slug"])
-    taken = [m.span() for m in _PROTECTED.finditer(body)]
-    made: list[tuple[int, int, str]] = []
-    for phrase in sorted((p for p, s in phrases.items() if len(s) == 1), key=lambda p: (-len(p), p)):
-        (slug,) = phrases[phrase]
-        if any(slug == m[2] for m in made):
-            continue
-        for m in re.finditer(rf"(?<![A-Za-z0-9_]){re.escape(phrase)}(?![A-Za-z0-9_])", body, re.I):
-            if all(m.end() <= a or b <= m.start() for a, b in taken):
-                taken.append(m.span())
-                made.append((*m.span(), slug))
-                break
-    made.sort()
-    out, at = [], 0
-    for a, b, slug in made:
-        out += [body[at:a], f"[[{slug}]]" if body[a:b] == slug else f"[[{slug}|{body[a:b]}]]"]
-        at = b
-    return "".join(out) + body[at:], [m[2] for m in made]
-
-
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def chunks_of(text: pd.Series) -> pd.Series:
     return text.map(chunk_text)

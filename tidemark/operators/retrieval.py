@@ -283,14 +283,6 @@ def collapse_similar(hits: DataFrame, threshold: float = 0.6, wiki_first: bool =
     return rows.groupBy("query_id").applyInPandas(fold, "query_id long, id string, tier string, similar int, position int")
 
 
-def candidate_pages(items: DataFrame, pages: DataFrame, hits: DataFrame, cap: int = 8) -> DataFrame:
-    """Pages for each item: ranked hits (item_id, slug, rank) first, then pages whose title occurs in the item."""
-    named = items.join(F.broadcast(pages.where(F.length("title") >= 3)), F.contains(F.lower(F.col("text")), F.lower(F.col("title")))).select("item_id", "slug", F.lit(1_000_000).alias("rank"))
-    once = hits.select("item_id", "slug", F.col("rank").cast("int")).union(named).groupBy("item_id", "slug").agg(F.min("rank").alias("rank"))
-    place = F.row_number().over(Window.partitionBy("item_id").orderBy("rank", "slug"))
-    return once.withColumn("place", place).where(F.col("place") <= cap)
-
-
 def full_ranking(corpus: DataFrame, ranking: DataFrame, query_id: str = "query_id") -> DataFrame:
     """Every corpus row for every query: ranked rows first, the rest in corpus order (column pos)."""
     queries = ranking.select(query_id).distinct()

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import segments as seg
 from ..functions import text as tx
 from ..functions import vectors as vec
-from ..operators import ann, answers, compiled, context, demand, evaluation, fulltext, graph, indexed, postings, retrieval, rows, smallworld, store, units
+from ..operators import ann, answers, compiled, context, demand, evaluation, fulltext, graph, indexed, phrases, postings, retrieval, rows, smallworld, store, units
 from ..sources import pages, sessions
 from ..sources.shared import materialise, shared_path
 from ..streaming import ingest
@@ -254,13 +254,34 @@ def collapse_similar(spark, sf_dir):
     return retrieval.collapse_similar(page)
 
 
-@query(f"WITH {PAGES}, i AS (SELECT doc_id AS item_id, text FROM documents WHERE doc_id % 20 = 0), m AS (SELECT item_id, slug, row_number() OVER (PARTITION BY item_id ORDER BY ordinal) AS n FROM i JOIN wiki ON ordinal % 100 = item_id % 100), h AS (SELECT item_id, slug, n AS rank FROM m WHERE n <= 5), t AS (SELECT item_id, slug, 1000000 AS rank FROM i JOIN wiki ON length(title) >= 3 AND contains(lower(text), lower(title))), u AS (SELECT item_id, slug, min(rank) AS rank FROM (SELECT * FROM h UNION ALL SELECT * FROM t) GROUP BY ALL) SELECT item_id, slug, row_number() OVER (PARTITION BY item_id ORDER BY rank, slug) AS place FROM u QUALIFY place <= 8")
+@query(f"""WITH {PAGES}, {_BATCH.replace('q.vec_id % 20 = 0', 'q.vec_id % 20 = 0 AND e.vec_id IN (SELECT page_id FROM pages)')},
+i AS (SELECT doc_id AS item_id, text FROM documents WHERE doc_id % 20 = 0),
+h AS (SELECT query_id AS item_id, 'p' || vec_id AS slug, rank FROM r JOIN i ON item_id = query_id WHERE rank <= 5),
+n AS (SELECT slug, lower(trim(title)) AS phrase FROM wiki UNION SELECT slug, lower(trim(alias)) FROM wiki),
+t AS (SELECT item_id, slug, 1000000 AS rank FROM i JOIN n ON length(phrase) >= 3 AND contains(lower(text), phrase)),
+u AS (SELECT item_id, slug, min(rank) AS rank FROM (SELECT * FROM h UNION ALL SELECT * FROM t) GROUP BY ALL) SELECT item_id, slug, row_number() OVER (PARTITION BY item_id ORDER BY rank, slug) AS place FROM u QUALIFY place <= 8""")
 def candidate_pages(spark, sf_dir):
+    """Pages for items: the nearest ones by vector (page n has vector n), then those whose title or alias an item holds."""
     items = table(spark, sf_dir, "documents").where("doc_id % 20 = 0").select(F.col("doc_id").alias("item_id"), "text")
-    pages = views.wiki(spark, sf_dir).select("slug", "title", "ordinal")
-    near = items.select("item_id").join(pages, F.col("ordinal") % 100 == F.col("item_id") % 100)
-    hits = near.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy("ordinal"))).where("rank <= 5")
-    return retrieval.candidate_pages(items, pages.select("slug", "title"), hits).select("item_id", "slug", F.col("place").cast("long").alias("place"))
+    pages = views.wiki(spark, sf_dir).select("slug", "title", F.array("alias").alias("aliases"), "ordinal")
+    e = table(spark, sf_dir, "embeddings")
+    near = retrieval.batch_topk(e.join(pages.select(F.col("ordinal").alias("vec_id")), "vec_id", "left_semi"), _asked(e), 5)
+    hits = near.select(F.col("query_id").alias("item_id"), F.concat(F.lit("p"), "vec_id").alias("slug"), "rank").join(items.select("item_id"), "item_id", "left_semi")
+    return phrases.candidate_pages(items, pages, hits).select("item_id", "slug", F.col("place").cast("long").alias("place"))
+
+
+@query(r"""WITH t AS (SELECT doc_id, 'p' || doc_id AS slug, lower(regexp_extract(text, '([A-Za-z]{9,})', 1)) AS title FROM documents WHERE regexp_extract(text, '([A-Za-z]{9,})', 1) <> ''),
+d AS (SELECT title, min(slug) AS slug FROM t GROUP BY title HAVING count(*) = 1), p AS (SELECT page_id, html FROM pages),
+w AS (SELECT page_id, unnest(list_distinct(list_filter(regexp_split_to_array(translate(html, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^A-Za-z0-9_]+'), lambda x: length(x) >= 9))) AS word FROM p)
+SELECT page_id, count(slug) AS links, coalesce(sha256(string_agg(slug, ',' ORDER BY slug)), '') AS slugs FROM p LEFT JOIN (SELECT page_id, slug FROM w JOIN d ON d.title = w.word) USING (page_id) GROUP BY page_id""")
+def autolink_pages(spark, sf_dir):
+    """Links from pages to documents, each named by its first long word; a word of two documents names none. Titles are single
+    words here and the pages have no Markdown, so SQL can tell them; the tests compare phrases, guards and overlaps."""
+    first = F.lower(F.regexp_extract("text", "([A-Za-z]{9,})", 1))
+    targets = table(spark, sf_dir, "documents").select(F.concat(F.lit("p"), "doc_id").alias("slug"), first.alias("title"), F.array().cast("array<string>").alias("aliases"), F.col("doc_id").alias("ordinal")).where("title <> ''")
+    pages = table(spark, sf_dir, "pages").select(F.concat(F.lit("page-"), "page_id").alias("slug"), "page_id", F.translate("html", "`~[]", "    ").alias("body"))
+    got = phrases.autolink_pages(pages, targets)
+    return got.select("page_id", F.size("added").cast("long").alias("links"), F.when(F.size("added") == 0, "").otherwise(F.sha2(F.array_join(F.array_sort("added"), ","), 256)).alias("slugs"))
 
 
 @query(f"WITH {_BATCH}, c AS (SELECT vec_id AS id, vec_id AS pos FROM embeddings), k AS (SELECT query_id, vec_id AS id, rank FROM r WHERE rank <= 10) SELECT q.query_id, c.id, row_number() OVER (PARTITION BY q.query_id ORDER BY k.rank NULLS LAST, c.pos) AS position FROM c CROSS JOIN (SELECT DISTINCT query_id FROM k) q LEFT JOIN k ON k.query_id = q.query_id AND k.id = c.id")
