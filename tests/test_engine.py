@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark import models
 from tidemark.functions import segments as seg
 from tidemark.functions import vectors as vec
-from tidemark.operators import ann, answers, compiled, context, evaluation, fulltext, graph, phrases, postings, retrieval, rows, smallworld, store, units
+from tidemark.operators import ann, answers, compiled, context, evaluation, fulltext, graph, phrases, postings, retrieval, rows, scans, smallworld, store, units
 from tidemark.sources import pages, sessions
 from tidemark.streaming import ingest
 
@@ -707,3 +707,65 @@ def test_candidate_pages(spark, block_bytes):
     for r in sorted(got.collect(), key=lambda r: r["place"]):
         by.setdefault(r["item_id"], []).append(r["slug"])
     assert by == {k: v for k, v in want.items() if v}
+
+
+@pytest.fixture
+def by_parts(monkeypatch):
+    monkeypatch.setattr(scans, "WINDOW_BYTES", -1)
+
+
+def hot_log(spark, seed, n=900):
+    """A third of the rows in one group, small groups, a null group, ties in time."""
+    rng = random.Random(seed)
+    words = ["a", "ab", "abc", "b", "bc", None]
+    data = [(i, "hot" if i % 3 == 0 else None if i % 17 == 0 else f"g{i % 40}", rng.randrange(n // 3), rng.choice(words), rng.choice([0, 1, 5, 40, 120, 400, None])) for i in range(n)]
+    return data, spark.createDataFrame(data, "id int, g string, ts int, q string, c int").repartition(7)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_scans_over_parts_match_windows(spark, by_parts, seed):
+    data, df = hot_log(spark, seed)
+    w = "(PARTITION BY g ORDER BY ts, id)"
+    df.createOrReplaceTempView("hot_log")
+    key = lambda r: tuple((x is None, x) for x in r)
+    plain = lambda sql: sorted(map(tuple, spark.sql(sql).collect()), key=key)
+    rows_ = scans.parted(df, ["g"], ["ts", "id"], 9)
+    got = scans.look(scans.look(scans.running(rows_, ["g"], ["ts", "id"], F.col("c"), "s"), ["g"], ["ts", "id"], "q", "n"), ["g"], ["ts", "id"], "c", "b", back=True)
+    assert sorted(map(tuple, got.select("id", "s", "n", "b").collect()), key=key) == plain(f"SELECT id, coalesce(sum(c) OVER {w}, 0), lead(q) OVER {w}, lag(c) OVER {w} FROM hot_log")
+    typed = rows.collapse_typing(df, ["g"], "q")
+    assert typed.columns == df.columns
+    assert sorted(r.id for r in typed.collect()) == sorted(r[0] for r in spark.sql(f"SELECT id FROM (SELECT *, lead(q) OVER {w} AS n FROM hot_log) WHERE NOT coalesce(startswith(n, q), false)").collect())
+    index = rows.index_within(df, ["g"], ["ts", "id"])
+    assert sorted(map(tuple, index.select("id", "chunk_index", "chunk_count").collect())) == plain(f"SELECT id, row_number() OVER {w} - 1, count(*) OVER (PARTITION BY g) FROM hot_log")
+    from tidemark.operators import demand
+
+    line = demand.spark_line(df, "g", "id", "c").select("id", F.round("scaled", 9), "delta")
+    v = "(PARTITION BY g)"
+    assert sorted(map(tuple, line.collect()), key=key) == plain(f"SELECT id, round(coalesce(try_divide(c - min(c) OVER {v}, max(c) OVER {v} - min(c) OVER {v}), 0.5), 9), c - lag(c) OVER (PARTITION BY g ORDER BY id) FROM hot_log")
+
+
+@pytest.mark.parametrize("most_rows, most_cost, parts", [(64, 300, 9), (3, 150, 40), (1, 10, 5), (200, 10**9, 13), (5, 0, 300)])
+def test_batches_compose_over_parts(spark, most_rows, most_cost, parts):
+    """Resets that pass from part to part, parts shorter than a batch, costs beyond the limit."""
+    data, df = hot_log(spark, most_rows)
+    thin = df.select("g", F.col("id").cast("long").alias("o"), F.coalesce("c", F.lit(0)).cast("long").alias("c"))
+    got = {(r.g, r.o): r.batch for r in scans.batches(scans.parted(thin, ["g"], ["o"], parts), most_rows, most_cost).collect()}
+    want = {}
+    for g in {d[1] for d in data}:
+        batch, n, used = 0, 0, 0
+        for i, _, _, _, c in sorted(d for d in data if d[1] == g):
+            if n and (n == most_rows or used + (c or 0) > most_cost):
+                batch, n, used = batch + 1, 0, 0
+            n, used = n + 1, used + (c or 0)
+            want[g, i] = batch
+    assert got == want
+
+
+def test_a_hot_group_is_spread_over_the_tasks(spark, by_parts):
+    data, df = hot_log(spark, 1, 6000)
+    sizes = [r["count"] for r in scans.parted(df, ["g"], ["ts", "id"], 12).where("g = 'hot'").groupBy("_part").count().collect()]
+    assert len(sizes) >= 4 and max(sizes) <= 1.5 * 6000 / 12
+    assert rows.collapse_typing(df.where("false"), ["g"], "q").count() == 0
+    talk = spark.createDataFrame([("c", i, "user" if i % 5 == 0 else "assistant", str(i)) for i in range(200)] + [("d", 1, "assistant", "x"), ("d", 2, "user", "y")], "conv_id string, turn int, role string, text string")
+    got = {(r.conv_id, r.turn): r.trajectory for r in rows.sessionize(talk).collect()}
+    assert got == {("c", i): i // 5 + 1 for i in range(200)} | {("d", 2): 1}

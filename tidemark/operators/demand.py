@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scans
+
 WEAK_SIMILARITY = 0.35
 
 
@@ -90,10 +92,14 @@ def heat_levels(daily_total: DataFrame, column: str = "total") -> DataFrame:
 
 def spark_line(series: DataFrame, group: str, order: str, value: str) -> DataFrame:
     """Values scaled to [0, 1] within each group, and the change from the row before."""
-    all_rows = Window.partitionBy(group)
-    low, high = F.min(value).over(all_rows), F.max(value).over(all_rows)
-    scaled = F.coalesce(F.try_divide(F.col(value) - low, high - low), F.lit(0.5))
-    return series.withColumn("scaled", scaled).withColumn("delta", F.col(value) - F.lag(value).over(all_rows.orderBy(order)))
+    if scans.small(series):
+        all_rows = Window.partitionBy(group)
+        rows = series.withColumn("_low", F.min(value).over(all_rows)).withColumn("_high", F.max(value).over(all_rows)).withColumn("_before", F.lag(value).over(all_rows.orderBy(order)))
+    else:
+        ends = series.groupBy(F.col(group).alias("_g")).agg(F.min(value).alias("_low"), F.max(value).alias("_high"))
+        rows = scans.look(scans.parted(series, [group], [order]), [group], [order], value, "_before", back=True).join(ends, F.col(group).eqNullSafe(F.col("_g")))
+    scaled = F.coalesce(F.try_divide(F.col(value) - F.col("_low"), F.col("_high") - F.col("_low")), F.lit(0.5))
+    return rows.select(*series.columns, scaled.alias("scaled"), (F.col(value) - F.col("_before")).alias("delta"))
 
 
 def years(first: DataFrame, as_of_year: int, column: str = "first_day") -> DataFrame:

@@ -7,14 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scans
+
 SALTS = 64
 
 
 def sessionize(messages: DataFrame, session: str = "conv_id", order: str = "turn", role: str = "role") -> DataFrame:
     """A user message opens a trajectory and later messages attach to it; what comes before the first is dropped."""
     known = messages.where(F.col(role).isin("user", "assistant"))
-    opened = F.sum(F.when(F.col(role) == "user", 1).otherwise(0)).over(Window.partitionBy(session).orderBy(order))
-    return known.withColumn("trajectory", opened).where("trajectory > 0")
+    opens = F.when(F.col(role) == "user", 1).otherwise(0)
+    if not scans.small(messages):
+        rows = scans.parted(known, [session], [order])
+        return scans.running(rows, [session], [order], opens, "trajectory").where("trajectory > 0").drop("_part")
+    return known.withColumn("trajectory", F.sum(opens).over(Window.partitionBy(session).orderBy(order))).where("trajectory > 0")
 
 
 def trajectories(messages: DataFrame, session: str = "conv_id", order: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
@@ -33,6 +38,11 @@ def join_tool_results(uses: DataFrame, results: DataFrame, keys: list[str]) -> D
 
 def index_within(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:
     """chunk_index from 0 and chunk_count."""
+    if not scans.small(df):
+        rows = scans.running(scans.parted(df, group, order), group, order, F.lit(1), "_n")
+        counts = df.groupBy(*group).agg(F.count(F.lit(1)).alias("chunk_count")).select(*[F.col(c).alias(f"_c{k}") for k, c in enumerate(group)], "chunk_count")
+        on = [F.col(c).eqNullSafe(F.col(f"_c{k}")) for k, c in enumerate(group)]
+        return rows.withColumn("chunk_index", F.col("_n") - 1).drop("_n", "_part").join(counts, on).drop(*[f"_c{k}" for k in range(len(group))])
     w = Window.partitionBy(*group)
     return df.withColumn("chunk_index", F.row_number().over(w.orderBy(*order)) - 1).withColumn("chunk_count", F.count(F.lit(1)).over(w))
 
@@ -47,11 +57,14 @@ def newest(df: DataFrame, n: int, group: list[str] | None = None, ts: str = "ts"
 
 def collapse_typing(df: DataFrame, group: list[str], key: str, ts: str = "ts", row_id: str = "id", prefixes: Column | None = None) -> DataFrame:
     """Drops a row whose successor has the same key or, where `prefixes` holds, a key that extends it."""
-    w = Window.partitionBy(*group).orderBy(ts, row_id)
-    following = F.lead(key).over(w)
+    if scans.small(df):
+        rows = df.withColumn("_next", F.lead(key).over(Window.partitionBy(*group).orderBy(ts, row_id)))
+    else:
+        rows = scans.look(scans.parted(df, group, [ts, row_id]), group, [ts, row_id], key, "_next").drop("_part")
+    following = F.col("_next")
     typed = F.coalesce(following.startswith(F.col(key)) & (prefixes if prefixes is not None else F.lit(True)), F.lit(False))
     same = F.coalesce(following == F.col(key), F.lit(False))
-    return df.withColumn("_drop", typed | same).where(~F.col("_drop")).drop("_drop")
+    return rows.where(~(typed | same)).select(*df.columns)
 
 
 def recently_used(df: DataFrame, kind: str, key: str, n: int = 8, ts: str = "ts", row_id: str = "id") -> DataFrame:
@@ -88,26 +101,11 @@ def running_fill(df: DataFrame, group: list[str], order: list[str], cost: str, b
 
 
 def pack_batches(df: DataFrame, group: str, order: str, cost: str, most_rows: int = 64, most_cost: int = 150_000) -> DataFrame:
-    """Batch number of each row, in order: a batch ends at its row count or cost; a null cost counts as 0. The reset makes
-    it a fold; a task runs over its sorted thin rows and holds one Arrow batch, however long a group is."""
-
-    def fold(batches):
-        import pyarrow as pa
-
-        now, batch, n, used = None, 0, 0, 0
-        for rows in batches:
-            out = []
-            for g, c in zip(rows.column(0).to_pylist(), rows.column(2).to_pylist()):
-                if (g,) != now:
-                    now, batch, n, used = (g,), 0, 0, 0
-                if n and (n == most_rows or used + c > most_cost):
-                    batch, n, used = batch + 1, 0, 0
-                n, used = n + 1, used + c
-                out.append(batch)
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(out, pa.int32())], ["g", "o", "batch"])
-
+    """Batch number of each row, in order: a batch ends at its row count or cost; a null cost counts as 0. The reset makes it a
+    fold, which ``scans.batches`` takes by parts of a group, so a hot group is dealt over many tasks."""
     rows = df.select(F.col(group).cast("string").alias("g"), F.col(order).cast("long").alias("o"), F.coalesce(F.col(cost).cast("long"), F.lit(0)).alias("c"))
-    return rows.repartition("g").sortWithinPartitions("g", "o").mapInArrow(fold, "g string, o long, batch int").withColumnsRenamed({"g": group, "o": order})
+    found = scans.batches(scans.parted(rows, ["g"], ["o"]), most_rows, most_cost)
+    return found.withColumnsRenamed({"g": group, "o": order})
 
 
 def fold_budget(
