@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark import models
 from tidemark.functions import segments as seg
 from tidemark.functions import vectors as vec
-from tidemark.operators import ann, answers, compiled, context, evaluation, fulltext, graph, phrases, postings, retrieval, rows, scans, smallworld, store, units
+from tidemark.operators import ann, answers, compilation, compiled, context, evaluation, fulltext, graph, phrases, postings, retrieval, rows, scans, smallworld, store, units
 from tidemark.sources import pages, sessions
 from tidemark.streaming import ingest
 
@@ -769,3 +769,109 @@ def test_a_hot_group_is_spread_over_the_tasks(spark, by_parts):
     talk = spark.createDataFrame([("c", i, "user" if i % 5 == 0 else "assistant", str(i)) for i in range(200)] + [("d", 1, "assistant", "x"), ("d", 2, "user", "y")], "conv_id string, turn int, role string, text string")
     got = {(r.conv_id, r.turn): r.trajectory for r in rows.sessionize(talk).collect()}
     assert got == {("c", i): i // 5 + 1 for i in range(200)} | {("d", 2): 1}
+
+
+@pytest.fixture
+def by_value():
+    """Tasks get the functions of this module with the closure: they cannot import it."""
+    import sys
+
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    yield
+    cloudpickle.unregister_pickle_by_value(sys.modules[__name__])
+
+
+def scripted_model(payload):
+    """Writes the pages that an item names ("write slug title: words"): the new text after what the candidate page holds."""
+    if any("boom" in i["text"] for i in payload["items"]):
+        raise ValueError("no answer")
+    held, ops = {c["slug"]: c for c in payload["candidates"]}, []
+    for i in payload["items"]:
+        if i["text"].startswith("write "):
+            _, slug, title, body = i["text"].split(" ", 3)
+            old = held.get(slug)
+            text = body if old is None or "short" in body else f"{old['body']} {body}"
+            ops.append({"slug": slug, "title": title, "kind": "note", "summary": f"seen {len(held)}", "aliases": [], "sources": [i["id"], "stray"], "body": text})
+    return ops
+
+
+def scripted_retry(payload):
+    return [{"slug": p["slug"], "title": "r", "kind": "note", "summary": "", "aliases": [], "sources": [], "body": p["old"][:300] + " kept " + p["new"]} for p in payload["pages"] if "retry" in p["new"]]
+
+
+def serial_run(units_, items, pages_):
+    """The same one unit after the other, on dicts."""
+    import re
+
+    pages_, ledger, failed = {s: dict(p) for s, p in pages_.items()}, {}, set()
+    for unit, day in units_:
+        mine = sorted((i for i in items if i[0] == unit), key=lambda i: i[1])
+        near = sorted(s for s, p in pages_.items() if any(len(n.strip()) >= 3 and n.strip().lower() in (i[3] or "").lower() for n in (p["title"], *p["aliases"]) for i in mine))[:8]
+        payload = {"unit": unit, "items": [{"id": i[1], "kind": i[2], "text": i[3]} for i in mine], "candidates": [{"slug": s, **pages_[s]} for s in near]}
+        try:
+            ops = scripted_model(payload)
+        except ValueError:
+            failed.add(unit)
+            continue
+        ops = list({op["slug"]: op for op in ops}.values())
+        names = {s: {"slug": s, "title": p["title"], "aliases": p["aliases"], "ordinal": 0} for s, p in pages_.items()}
+        for op in ops:
+            names[op["slug"]] = {"slug": op["slug"], "title": op["title"], "aliases": names.get(op["slug"], {"aliases": []})["aliases"], "ordinal": 0}
+        targets = sorted(names.values(), key=lambda t: t["slug"])
+        link = lambda body, own: plain_links(body, targets, own)[0] if body else body
+        for op in ops:
+            op["body"] = link(op["body"], op["slug"])
+        shrunk = lambda old, new: len(old) > 500 and len(new) < 0.4 * len(old)
+        bad = [{"slug": op["slug"], "old": pages_[op["slug"]]["body"], "new": op["body"]} for op in ops if op["slug"] in pages_ and shrunk(pages_[op["slug"]]["body"], op["body"])]
+        again = {op["slug"]: link(op["body"], op["slug"]) for op in scripted_retry({"unit": unit, "pages": bad})} if bad else {}
+        for op in ops:
+            slug, old, body = op["slug"], pages_.get(op["slug"]), op["body"]
+            if old and shrunk(old["body"], body):
+                body = again[slug] if slug in again and not shrunk(old["body"], again[slug]) else f"{old['body'].rstrip()}\n\n## Addendum ({day[:10]})\n\n{body.strip()}"
+            ids = {i[1] for i in mine}
+            pages_[slug] = {"title": op["title"], "aliases": list((old or {"aliases": []})["aliases"]), "body": body, "summary": op["summary"], "sources": list(dict.fromkeys([*(old or {"sources": []})["sources"], *(x for x in op["sources"] if x in ids)]))}
+        ledger[unit] = sorted(op["slug"] for op in ops)
+    return pages_, ledger, failed
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_compiling_in_waves_equals_the_serial_run(spark, by_value, seed):
+    rng = random.Random(seed)
+    names = ["alpha", "bravo", "carol", "delta", "echos", "foxes"]
+    start = {f"{n}-page": {"title": n, "aliases": rng.sample(["xx-" + n, "shared"], 1), "body": n + " start " + "long " * rng.choice([1, 150]), "summary": "s", "sources": [f"old-{n}"]} for n in names[:3]}
+    units_, items = [], []
+    for k in range(8):
+        unit = f"u{k:02}"
+        units_.append((unit, f"2024-01-{k + 1:02}T00:00:00Z"))
+        for j in range(rng.randrange(4)):
+            n = rng.choice(names)
+            text = rng.choice([f"write {n}-page {n}: about {rng.choice(names)} {rng.choice(['', 'short', 'short retry'])}", f"mentions {n} only", f"write new{rng.randrange(3)}-page fresh{rng.randrange(3)} text of xx-{n}", None if rng.random() < 0.2 else "nothing", "boom" if rng.random() < 0.3 else "quiet"])
+            items.append((unit, f"{unit}-{j}", "note", text or ""))
+    want = serial_run(units_, items, start)
+    schema = "slug string, title string, kind string, summary string, aliases array<string>, sources array<string>, trajectories array<string>, created string, updated string, body string"
+    pages_ = spark.createDataFrame([(s, p["title"], "note", p["summary"], p["aliases"], p["sources"], [], "c", "u", p["body"]) for s, p in start.items()], schema)
+    df = spark.createDataFrame([(u, d, d) for u, d in units_], "unit string, last_ts string, day string").repartition(3)
+    calls = spark.sparkContext.accumulator(0)
+
+    def counted(payload):
+        calls.add(1)
+        return scripted_model(payload)
+
+    got = compilation.compile_units(df, spark.createDataFrame(items, "unit string, id string, kind string, text string"), pages_, counted, scripted_retry)
+    rows_ = {r["slug"]: {"title": r["title"], "aliases": r["aliases"], "body": r["body"], "summary": r["summary"], "sources": r["sources"]} for r in got["pages"].collect()}
+    assert rows_ == want[0]
+    assert {r["unit"]: r["slugs"] for r in got["ledger"].collect()} == want[1] and {r["unit"] for r in got["failed"].collect()} == want[2]
+    assert got["waves"] <= len(units_) and calls.value >= len(units_)
+
+
+def test_units_apart_take_one_wave(spark, by_value):
+    items = [(f"u{k}", f"i{k}", "note", f"write page{k} title{k} body number {k}") for k in range(6)]
+    df = spark.createDataFrame([(f"u{k}", f"2024-01-0{k + 1}", f"2024-01-0{k + 1}") for k in range(6)], "unit string, last_ts string, day string")
+    none = spark.createDataFrame([], "slug string, title string, kind string, summary string, aliases array<string>, sources array<string>, trajectories array<string>, created string, updated string, body string")
+    got = compilation.compile_units(df, spark.createDataFrame(items, "unit string, id string, kind string, text string"), none, scripted_model)
+    assert got["waves"] == 1 and got["pages"].count() == 6 and got["ledger"].count() == 6
+    few = compilation.compile_units(df, spark.createDataFrame(items, "unit string, id string, kind string, text string"), none, scripted_model, limit=2)
+    assert sorted(r["unit"] for r in few["ledger"].collect()) == ["u0", "u1"]
+    assert compilation.compile_units(df.where("false"), spark.createDataFrame(items, "unit string, id string, kind string, text string"), none, scripted_model)["pages"].count() == 0

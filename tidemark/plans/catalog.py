@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import segments as seg
 from ..functions import text as tx
 from ..functions import vectors as vec
-from ..operators import ann, answers, compiled, context, demand, evaluation, fulltext, graph, indexed, phrases, postings, retrieval, rows, smallworld, store, units
+from ..operators import ann, answers, compilation, compiled, context, demand, evaluation, fulltext, graph, indexed, phrases, postings, retrieval, rows, smallworld, store, units
 from ..sources import pages, sessions
 from ..sources.shared import materialise, shared_path
 from ..streaming import ingest
@@ -953,6 +953,29 @@ def seeded_sample(spark, sf_dir):
     return evaluation.seeded_sample(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 100)
 
 
+def _append_ids(payload: dict) -> list[dict]:
+    """A stand-in for the model: the page named by the unit's items gets a line with their ids."""
+    title = payload["items"][0]["text"].split(" ")[0]
+    old = next((c["body"] + chr(10) for c in payload["candidates"] if c["slug"] == f"{title}-page"), "")
+    ids = [i["id"] for i in payload["items"]]
+    return [{"slug": f"{title}-page", "title": title, "kind": "topic", "summary": str(len(payload["candidates"])), "aliases": [], "sources": ids, "body": f"{old}{title}: {' '.join(ids)}"}]
+
+
+@query("""WITH c AS (SELECT conv_id, lpad(CAST(conv_id AS VARCHAR), 9, '0') AS unit, 'topic' || lpad(CAST(conv_id % (SELECT (max(conv_id) + 2) // 2 FROM conversations) AS VARCHAR), 9, '0') AS title, lpad(CAST(conv_id AS VARCHAR), 9, '0') || '-' || lpad(CAST(turn AS VARCHAR), 6, '0') AS id FROM conversations),
+u AS (SELECT unit, title, title || ': ' || string_agg(id, ' ' ORDER BY id) AS line, list(id) AS ids FROM c GROUP BY unit, title)
+SELECT title || '-page' AS slug, sha256(string_agg(line, chr(10) ORDER BY unit)) AS body, sha256(array_to_string(list_sort(flatten(list(ids))), chr(10))) AS fingerprint, CASE WHEN count(*) > 1 THEN '1' ELSE '0' END AS summary FROM u GROUP BY title""")
+def compiled_units(spark, sf_dir):
+    """Conversations compiled into pages, oldest first: two of them share a page, so the second reads what the first wrote."""
+    c = table(spark, sf_dir, "conversations")
+    half = c.agg(F.floor((F.max("conv_id") + 2) / 2).alias("half"))
+    pad = lambda x, n: F.lpad(x.cast("string"), n, "0")
+    items = c.join(F.broadcast(half)).select(pad(F.col("conv_id"), 9).alias("unit"), F.concat(pad(F.col("conv_id"), 9), F.lit("-"), pad(F.col("turn"), 6)).alias("id"), F.lit("note").alias("kind"), F.concat(F.lit("topic"), pad(F.col("conv_id") % F.col("half"), 9), F.lit(" of a talk")).alias("text"))
+    units_ = items.select("unit").distinct().select("unit", F.col("unit").alias("last_ts"), F.lit("2024-01-01T00:00:00Z").alias("day"))
+    none = spark.createDataFrame([], "slug string, title string, kind string, summary string, aliases array<string>, sources array<string>, trajectories array<string>, created string, updated string, body string")
+    got = compilation.compile_units(units_, items, none, _append_ids)
+    return got["pages"].select("slug", F.sha2("body", 256).alias("body"), "fingerprint", "summary")
+
+
 # ---------------------------------------------------------------- context and streams
 
 
