@@ -467,3 +467,17 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fitted:
 
     done = kept.where("k IS NOT NULL").select("k", "b", "d").repartition(parts, "k").groupBy("k").applyInArrow(closed, "i long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return done.withColumnRenamed("i", id_col)
+
+
+_CRC = "xor(list_reduce(list_prepend(4294967295, list_transform(string_split({x}, ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda d, i: xor(d >> 1, 3988292384 * (d & 1)))), 4294967295)"
+#: Counts and base scores; the checksum is taken bit by bit.
+BASE_SQL = rf"""
+WITH d AS (SELECT doc_id, {_CRC.format(x="CAST(doc_id AS VARCHAR)")} % 10 = 0 AS held_out,
+  list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), ' ') AS ws FROM documents),
+t AS (SELECT doc_id, held_out, unnest(ws) AS w FROM d),
+c AS MATERIALIZED (SELECT w, count(*) AS c FROM t WHERE NOT held_out GROUP BY w),
+n AS (SELECT CAST(coalesce(sum(c), 0) AS BIGINT) AS total, count(*) AS types FROM c)
+SELECT t.doc_id, t.held_out, count(*) AS n_tokens, count(c.c) AS n_known, any_value(n.total) AS train_tokens,
+       round(sum(log10((coalesce(c.c, 0) + 0.1::DOUBLE) / (n.total + 0.1::DOUBLE * (n.types + 1)))), 6) AS base_score
+FROM t LEFT JOIN c USING (w), n GROUP BY t.doc_id, t.held_out
+"""

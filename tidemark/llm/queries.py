@@ -42,6 +42,12 @@ def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(table(spark, sf_dir, "documents"))
 
 
+def lm_base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op6_lm_score that SQL can express."""
+    found = op6_lm_score(spark, sf_dir)
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 6).alias("base_score"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
@@ -85,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pii_base_counts": pii_base_counts,
     "op5_ngram_join": op5_ngram_join,
     "op6_lm_score": op6_lm_score,
+    "lm_base_scores": lm_base_scores,
     "op7_quality": op7_quality,
     "op8_packing": op8_packing,
     "op9_edit_counts": op9_edit_counts,
@@ -99,6 +106,7 @@ ORACLE_SQL: dict[str, str] = {
     "op3_warc": warc.ORACLE_SQL,
     "pii_base_counts": pii.COUNTS_SQL,
     "op5_ngram_join": ngram_join.ORACLE_SQL,
+    "lm_base_scores": lm_score.BASE_SQL,
     "op10_exact_dedup": exact_dedup.ORACLE_SQL,
     "mixing_targets": mixing.TARGETS_SQL,
     "op13_clustering": clustering.ORACLE_SQL,
