@@ -107,13 +107,37 @@ def pending_units(dream_ledger: DataFrame, wiki_ledger: DataFrame, as_of: Column
 
 
 def index_markdown(pages: DataFrame) -> DataFrame:
-    """One line block per kind, newest pages first."""
+    """One line block per kind, newest pages first (see ``index_lines`` for the whole index, a row per line)."""
     line = F.format_string("- [[%s]] %s: %s", F.col("slug"), F.col("title"), F.col("summary"))
     rows = pages.select("kind", F.struct(F.col("updated").alias("u"), F.col("slug").alias("s"), line.alias("l")).alias("r"))
     ordered = F.transform(F.sort_array(F.collect_list("r"), asc=False), lambda x: x["l"])
     return rows.groupBy("kind").agg(F.array_join(ordered, "\n").alias("lines"))
 
 
+# Kinds of pages in the order of the index.
+KINDS = ("project", "decision", "gotcha", "tool", "person", "topic")
+
+
+def index_lines(pages: DataFrame, graph: DataFrame) -> DataFrame:
+    """The index page as rows (section, title, updated, slug, line) in order: the kinds that have pages, in the order of KINDS
+    and others by name after them, newest page first, then section `orphans`, the pages that no page links to, by slug. The sort
+    is by range, so no section is gathered in one task."""
+    order = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")), F.lit(0).cast("bigint")), F.lit(len(KINDS) + 1)).cast("int")
+    line = F.concat(F.lit("- [["), "slug", F.lit("]] — "), F.coalesce(F.nullif("summary", F.lit("")), "title"))
+    listed = pages.select(order.alias("section"), F.col("kind").alias("title"), F.coalesce(F.col("updated").cast("string"), F.lit("")).alias("updated"), "slug", line.alias("line"))
+    linked = graph.where("NOT dangling").select(F.col("dst").alias("slug")).distinct()
+    orphans = pages.join(linked, "slug", "left_anti").select(F.lit(len(KINDS) + 2).alias("section"), F.lit("orphans").alias("title"), F.lit("").alias("updated"), "slug", line.alias("line"))
+    return listed.union(orphans).orderBy("section", "title", F.desc("updated"), "slug")
+
+
+def status(pages: DataFrame, graph: DataFrame) -> DataFrame:
+    """kind, pages, links out of them, and orphans, pages that no page links to."""
+    degree = degrees(graph).withColumnRenamed("node", "slug")
+    links = graph.groupBy(F.col("src").alias("slug")).agg(F.count(F.lit(1)).alias("links"))
+    rows = pages.select("slug", "kind").join(links, "slug", "left").join(degree.select("slug", "inbound"), "slug", "left")
+    return rows.groupBy("kind").agg(F.count(F.lit(1)).alias("pages"), F.sum(F.coalesce("links", F.lit(0))).alias("links"), F.count_if(F.coalesce("inbound", F.lit(0)) == 0).alias("orphans"))
+
+
 def containment(units: DataFrame, tokens: DataFrame) -> DataFrame:
     """Artifact tokens that occur verbatim in a unit's text: equi-join on the unit, then a substring test."""
     return units.join(tokens, "unit").where(F.contains("text", F.col("token")))

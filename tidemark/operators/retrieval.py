@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions import vectors as vec
 from ..sources.shared import shared_path
-from . import fulltext
+from . import fulltext, scans
 
 # Default weights and priors of the scoring formula.
 VECTOR_WEIGHT, KEYWORD_WEIGHT = 0.7, 0.3
@@ -289,3 +289,22 @@ def full_ranking(corpus: DataFrame, ranking: DataFrame, query_id: str = "query_i
     grid = corpus.join(F.broadcast(queries))
     joined = grid.join(ranking, [query_id, "id"], "left")
     return joined.withColumn("position", F.row_number().over(Window.partitionBy(query_id).orderBy(F.asc_nulls_last("rank"), "pos")))
+
+
+def positions(corpus: DataFrame, ranking: DataFrame, wanted: DataFrame, query_id: str = "query_id") -> DataFrame:
+    """Positions in ``full_ranking`` of the wanted rows (query_id, id) alone, without the grid: a ranked row has its place among
+    the ranked ones, any other the number of ranked rows, then its place in the corpus (pos) less the ranked rows before it.
+    Rows of the corpus that share a pos are in no order; ids that the corpus lacks are left out."""
+    placed = corpus.select("id", "pos")
+    order = corpus.select("pos").withColumn("_rank", F.lit(1))
+    # Places in the corpus from counts by range part, as pos may have gaps.
+    parts = scans.parted(order, [], ["pos"])
+    sums = scans.running(parts.withColumn("_all", F.lit(1)), ["_all"], ["pos"], F.lit(1), "n").select("pos", "n")
+    placed = placed.join(sums, "pos")
+    ranked = ranking.join(placed, "id").withColumn("place", F.row_number().over(Window.partitionBy(query_id).orderBy("rank", "pos"))).select(query_id, "id", "n", "place")
+    total = ranked.groupBy(query_id).agg(F.count(F.lit(1)).alias("total"))
+    asked = wanted.select(query_id, "id").distinct().join(placed, "id").join(ranked.select(query_id, "id", "place"), [query_id, "id"], "left").join(total, query_id)
+    others = asked.where("place IS NULL").alias("a").join(ranked.alias("b"), F.col(f"a.{query_id}") == F.col(f"b.{query_id}"))
+    before = others.groupBy(F.col(f"a.{query_id}").alias(query_id), F.col("a.id").alias("id")).agg(F.count_if(F.col("b.n") < F.col("a.n")).alias("before"))
+    joined = asked.join(before, [query_id, "id"], "left")
+    return joined.select(query_id, "id", F.coalesce("place", F.col("total") + F.col("n") - F.col("before")).cast("long").alias("position"))

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import json
 import time
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -114,6 +115,22 @@ def unreadable(events: DataFrame, source: str, schema: str) -> DataFrame:
     return _parsed(events, source, schema).where("NOT _good").select(*events.columns)
 
 
+def existing(chunks: DataFrame, ids: DataFrame, tier: str, key: str = "id") -> DataFrame:
+    """Those of the ids that the store has in a tier, tombstoned rows too."""
+    return ids.select(key).distinct().join(chunks.where(F.col("tier") == tier).select(key), key, "left_semi")
+
+
+def backfill_artifacts(chunks: DataFrame, events: DataFrame, source: str, schema: str, derive: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The store with the artifacts of raw chunks derived anew from stored payloads: they are read again (unreadable ones leave
+    their chunks as they are), `derive` makes (trajectory_id, artifacts) of them, and rows whose artifacts differ are marked
+    `changed`. Other tiers and trajectories without a payload keep what they have."""
+    found = derive(replay(events, source, schema)).select(F.col("trajectory_id").alias("_t"), F.col("artifacts").alias("_artifacts"))
+    joined = chunks.join(found, F.col("trajectory_id") == F.col("_t"), "left")
+    hit = (F.col("tier") == "raw") & F.col("_t").isNotNull() & ~F.col("artifacts").eqNullSafe(F.col("_artifacts"))
+    changed = F.coalesce(hit, F.lit(False))
+    return joined.withColumn("changed", changed).withColumn("artifacts", F.when(F.col("changed"), F.col("_artifacts")).otherwise(F.col("artifacts"))).drop("_t", "_artifacts")
+
+
 def needs_embedding(df: DataFrame, model: str) -> DataFrame:
     """Rows that a migration to the model has to embed: no vector, or another model's."""
     return df.where(F.col("embedding").isNull() | ~F.col("embedding_model").eqNullSafe(F.lit(model)))

@@ -117,3 +117,11 @@ def artifacts_of_unit(rows: DataFrame, unit: list[str], order: list[str]) -> Dat
 def fifo(units: DataFrame, limit: int) -> tuple[DataFrame, int]:
     """The oldest units, and how many are deferred."""
     return units.orderBy("last_ts", "session_id", "repo").limit(limit), max(0, units.count() - limit)
+
+
+def uncompiled(units: DataFrame, ledger: DataFrame, keys: list[str]) -> DataFrame:
+    """Units (keys, fingerprint) that the page ledger does not know as they are, with the status new or changed."""
+    known = ledger.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("fingerprint").alias("_fp"))
+    on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    rows = units.join(known, on, "left").where(~F.col("fingerprint").eqNullSafe(F.col("_fp")))
+    return rows.withColumn("status", F.when(F.col("_fp").isNull(), "new").otherwise("changed")).drop("_fp", *[f"_{k}" for k in keys])

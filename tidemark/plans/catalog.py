@@ -284,6 +284,18 @@ def autolink_pages(spark, sf_dir):
     return got.select("page_id", F.size("added").cast("long").alias("links"), F.when(F.size("added") == 0, "").otherwise(F.sha2(F.array_join(F.array_sort("added"), ","), 256)).alias("slugs"))
 
 
+@query(f"""WITH {_BATCH}, c AS (SELECT vec_id AS id, vec_id AS pos FROM embeddings), k AS (SELECT query_id, vec_id AS id, rank FROM r WHERE rank <= 10),
+f AS (SELECT q.query_id, c.id, row_number() OVER (PARTITION BY q.query_id ORDER BY k.rank NULLS LAST, c.pos) AS position FROM c CROSS JOIN (SELECT DISTINCT query_id FROM k) q LEFT JOIN k ON k.query_id = q.query_id AND k.id = c.id)
+SELECT f.query_id, f.id, f.position FROM f JOIN embeddings a ON a.vec_id = f.query_id JOIN embeddings b ON b.vec_id = f.id WHERE a.label = b.label""")
+def relevant_positions(spark, sf_dir):
+    """Positions of the rows of each query's label in the full ranking, by counting."""
+    e = table(spark, sf_dir, "embeddings")
+    corpus = e.select(F.col("vec_id").alias("id"), F.col("vec_id").alias("pos"))
+    ranking = _batch(spark, sf_dir).select("query_id", F.col("vec_id").alias("id"), "rank")
+    wanted = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label").join(e.select(F.col("vec_id").alias("id"), "label"), "label")
+    return retrieval.positions(corpus, ranking, wanted)
+
+
 @query(f"WITH {_BATCH}, c AS (SELECT vec_id AS id, vec_id AS pos FROM embeddings), k AS (SELECT query_id, vec_id AS id, rank FROM r WHERE rank <= 10) SELECT q.query_id, c.id, row_number() OVER (PARTITION BY q.query_id ORDER BY k.rank NULLS LAST, c.pos) AS position FROM c CROSS JOIN (SELECT DISTINCT query_id FROM k) q LEFT JOIN k ON k.query_id = q.query_id AND k.id = c.id")
 def full_ranking(spark, sf_dir):
     ranking = _batch(spark, sf_dir).select("query_id", F.col("vec_id").alias("id"), "rank")
@@ -705,14 +717,34 @@ def membership_join(spark, sf_dir):
     return context.pages_for_repo(wiki, c.select("id", "repo", "ts"), "en").select("slug", "evidence", F.date_format("latest", "yyyy-MM-dd HH:mm:ss").alias("latest"), F.sha2("excerpt", 256).alias("excerpt"))
 
 
-@query("SELECT c_custkey FROM customer SEMI JOIN orders ON o_custkey = c_custkey")
+@query(f"WITH {CHUNKS} SELECT DISTINCT c.id FROM chunks c JOIN (SELECT CAST(page_id * 3 AS VARCHAR) AS id FROM pages) p USING (id) WHERE tier = 'dream'")
 def existing_ids(spark, sf_dir):
-    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")
+    ids = table(spark, sf_dir, "pages").select((F.col("page_id") * 3).cast("string").alias("id"))
+    return store.existing(views.chunks(spark, sf_dir), ids, "dream")
+
+
+_UNITS = "SELECT session_id, repo, sha256(string_agg(id, chr(10) ORDER BY id)) AS fp FROM chunks WHERE tier = 'dream'"
 
 
-@query("SELECT c_custkey FROM customer ANTI JOIN (SELECT * FROM orders WHERE o_orderstatus = 'P') ON o_custkey = c_custkey")
+@query(f"""WITH {CHUNKS}, u AS ({_UNITS} GROUP BY ALL), l AS ({_UNITS} AND doc_id % 9 <> 4 AND session_id <> 'src3' GROUP BY ALL)
+SELECT u.session_id, u.repo, CASE WHEN l.fp IS NULL THEN 'new' ELSE 'changed' END AS status FROM u LEFT JOIN l USING (session_id, repo) WHERE u.fp IS DISTINCT FROM l.fp""")
 def uncompiled_units(spark, sf_dir):
-    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders").where("o_orderstatus = 'P'"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    c = views.chunks(spark, sf_dir).where("tier = 'dream'")
+    of = lambda df: df.groupBy("session_id", "repo").agg(tx.fingerprint(F.collect_list("id")).alias("fingerprint"))
+    return units.uncompiled(of(c), of(c.where("doc_id % 9 <> 4 AND session_id <> 'src3'")), ["session_id", "repo"]).select("session_id", "repo", "status")
+
+
+@query(f"""WITH {CHUNKS}
+SELECT c.id, CASE WHEN tier = 'raw' AND session_id = 'src0' AND doc_id % 9 <> 0 THEN '/' || repo || '.py' ELSE '/old.py' END AS ref FROM chunks c""")
+def backfilled_artifacts(spark, sf_dir):
+    """Artifacts of one source's raw chunks derived anew from stored payloads, every ninth of them torn."""
+    c = views.chunks(spark, sf_dir).withColumn("trajectory_id", F.col("id"))
+    payload = F.when(F.col("doc_id") % 9 == 0, F.lit("{")).otherwise(F.to_json(F.struct(F.concat(F.lit("/"), "repo", F.lit(".py")).alias("path"))))
+    events = c.select("trajectory_id", F.col("session_id").alias("source"), payload.alias("payload"))
+    old = F.array(F.struct(F.lit("file").alias("kind"), F.lit("/old.py").alias("ref"), F.lit("Write").alias("tool")))
+    derive = lambda rows_: rows_.select("trajectory_id", sessions.artifacts(F.array(F.lit("Write")), F.array(F.to_json(F.struct("path"))), F.lit("")).alias("artifacts"))
+    found = store.backfill_artifacts(c.withColumn("artifacts", old), events, "src0", "path string", derive)
+    return found.select("id", F.col("artifacts")[0]["ref"].alias("ref"))
 
 
 @query("SELECT l_suppkey AS k FROM lineitem WHERE l_returnflag = 'A' INTERSECT SELECT l_suppkey FROM lineitem WHERE l_returnflag = 'R' INTERSECT SELECT l_suppkey FROM lineitem WHERE l_linestatus = 'O'")
@@ -868,21 +900,23 @@ def link_graph_degree(spark, sf_dir):
     return graph.degrees(_edges(spark, sf_dir))
 
 
-@query(f"""WITH {PAGES}, {_NAMES}, {_EDGES}, f AS (
-SELECT 'info' AS severity, 'orphan' AS rule, slug AS page FROM wiki WHERE slug NOT IN (SELECT dst FROM edges WHERE NOT dangling)
-UNION ALL SELECT 'info', 'link-less', slug FROM wiki WHERE slug NOT IN (SELECT src FROM edges)
-UNION ALL SELECT 'warn', 'dangling-link', src FROM edges WHERE dangling
-UNION ALL SELECT 'info', 'stub', slug FROM wiki WHERE length(body) < 120
-UNION ALL SELECT 'info', 'oversized', slug FROM wiki WHERE length(body) > 8000
-UNION ALL SELECT 'warn', 'spelling-drift', a FROM (SELECT a.slug AS a, b.slug AS b FROM wiki a JOIN wiki b ON a.slug < b.slug AND levenshtein(a.slug, b.slug) <= floor(0.25 * greatest(length(a.slug), length(b.slug)))
-  UNION SELECT f.a, w.slug FROM wiki w JOIN (SELECT alias, min(slug) AS a FROM wiki WHERE alias <> '' GROUP BY 1) f USING (alias) WHERE w.slug <> f.a))
-SELECT severity, rule, count(*) AS n FROM f GROUP BY ALL""")
+_LINT = f"""WITH {PAGES}, {_NAMES}, {_EDGES}, f AS (
+SELECT 'info' AS severity, 'orphan' AS rule, slug AS page, NULL AS detail FROM wiki WHERE slug NOT IN (SELECT dst FROM edges WHERE NOT dangling)
+UNION ALL SELECT 'info', 'link-less', slug, NULL FROM wiki WHERE slug NOT IN (SELECT src FROM edges)
+UNION ALL SELECT 'warn', 'dangling-link', src, dst FROM edges WHERE dangling
+UNION ALL SELECT 'info', 'stub', slug, CAST(length(body) AS VARCHAR) FROM wiki WHERE length(body) < 120
+UNION ALL SELECT 'info', 'oversized', slug, CAST(length(body) AS VARCHAR) FROM wiki WHERE length(body) > 8000
+UNION ALL SELECT 'warn', 'spelling-drift', a, b FROM (SELECT a.slug AS a, b.slug AS b FROM wiki a JOIN wiki b ON a.slug < b.slug AND levenshtein(a.slug, b.slug) <= floor(0.25 * greatest(length(a.slug), length(b.slug)))
+  UNION SELECT f.a, w.slug FROM wiki w JOIN (SELECT alias, min(slug) AS a FROM wiki WHERE alias <> '' GROUP BY 1) f USING (alias) WHERE w.slug <> f.a))"""
+
+
+@query(f"{_LINT} SELECT severity, rule, count(*) AS n FROM f GROUP BY ALL")
 def lint_counts(spark, sf_dir):
     found = graph.lint(_wiki(spark, sf_dir).withColumn("sources", F.array().cast("array<string>")), _edges(spark, sf_dir))
     return found.groupBy("severity", "rule").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(f"{_LINT} SELECT severity, rule, page, detail FROM f")
 def lint_pages(spark, sf_dir):
     return graph.lint(_wiki(spark, sf_dir).withColumn("sources", F.array().cast("array<string>")), _edges(spark, sf_dir))
 
@@ -901,10 +935,34 @@ def index_markdown(spark, sf_dir):
     return graph.index_markdown(p).select("kind", F.sha2("lines", 256).alias("lines"))
 
 
-@query(f"WITH {PAGES}, {_NAMES}, {_EDGES} SELECT kind, count(*) AS pages, CAST(sum((SELECT count(*) FROM edges e WHERE e.src = wiki.slug)) AS BIGINT) AS links FROM wiki GROUP BY kind")
+@query(f"""WITH {PAGES}, {_NAMES}, {_EDGES} SELECT kind, count(*) AS pages, CAST(sum((SELECT count(*) FROM edges e WHERE e.src = wiki.slug)) AS BIGINT) AS links,
+count(*) FILTER (slug NOT IN (SELECT dst FROM edges WHERE NOT dangling)) AS orphans FROM wiki GROUP BY kind""")
 def wiki_status(spark, sf_dir):
-    n = _edges(spark, sf_dir).groupBy(F.col("src").alias("slug")).agg(F.count(F.lit(1)).alias("links"))
-    return views.wiki(spark, sf_dir).join(n, "slug", "left").groupBy("kind").agg(F.count(F.lit(1)).alias("pages"), F.sum(F.coalesce("links", F.lit(0))).alias("links"))
+    return graph.status(views.wiki(spark, sf_dir), _edges(spark, sf_dir))
+
+
+@query(f"""WITH {PAGES}, {_NAMES}, {_EDGES}, l AS (SELECT *, '- [[' || slug || ']] — ' || coalesce(nullif(alias, ''), title) AS line FROM wiki)
+SELECT CASE kind WHEN 'decision' THEN 2 WHEN 'topic' THEN 6 ELSE 7 END AS section, kind AS title, CAST(ordinal % 10 AS VARCHAR) AS updated, slug, line FROM l
+UNION ALL SELECT 8, 'orphans', '', slug, line FROM l WHERE slug NOT IN (SELECT dst FROM edges WHERE NOT dangling)""")
+def index_lines(spark, sf_dir):
+    p = views.wiki(spark, sf_dir).select("kind", "slug", "title", F.col("alias").alias("summary"), (F.col("ordinal") % 10).alias("updated"))
+    return graph.index_lines(p, _edges(spark, sf_dir))
+
+
+@query(f"""WITH {PAGES}, {CHUNKS}, s AS (SELECT slug, unnest([CAST(ordinal AS VARCHAR), CAST(ordinal * 7 AS VARCHAR)]) AS id, ordinal FROM wiki),
+f AS (SELECT 'fingerprint-mismatch' AS rule, slug AS page, NULL AS detail FROM wiki WHERE ordinal % 5 = 0
+UNION ALL SELECT 'broken-provenance', slug, CAST(count(*) AS VARCHAR) FROM (SELECT DISTINCT slug, id FROM s) WHERE id NOT IN (SELECT id FROM chunks WHERE tier = 'dream') GROUP BY slug
+UNION ALL SELECT 'dead-artifact', slug, '/gone/' || ordinal FROM wiki WHERE ordinal % 3 = 1)
+SELECT rule, page, detail FROM f""")
+def lint_provenance(spark, sf_dir):
+    """The rules on sources, fingerprints and files: every page has two sources, every fifth a stale fingerprint, every third
+    a file that is gone."""
+    sources = F.array_distinct(F.array(F.col("ordinal").cast("string"), (F.col("ordinal") * 7).cast("string")))
+    p = _wiki(spark, sf_dir).withColumn("sources", sources).withColumn("fingerprint", F.when(F.col("ordinal") % 5 == 0, F.lit("stale")).otherwise(tx.fingerprint(F.col("sources"))))
+    p = p.withColumn("paths", F.array(F.lit("/kept"), F.when(F.col("ordinal") % 3 == 1, F.concat(F.lit("/gone/"), "ordinal")).otherwise(F.lit("/kept"))))
+    known = views.chunks(spark, sf_dir).where("tier = 'dream'").select("id")
+    found = graph.lint(p, _edges(spark, sf_dir), known, spark.createDataFrame([("/kept",)], "path string"))
+    return found.where(F.col("rule").isin("fingerprint-mismatch", "broken-provenance", "dead-artifact")).select("rule", "page", "detail")
 
 
 # ---------------------------------------------------------------- evaluation
@@ -1208,6 +1266,21 @@ def reindex_sweep(spark, sf_dir):
     return store.sweep(views.chunks(spark, sf_dir), reports, F.lit(2), F.col("tier") == "raw").select("id")
 
 
+@query(f"WITH {CHUNKS} SELECT id FROM chunks")
+def reindex_sweep_failed(spark, sf_dir):
+    """A file of the reindex has failed, so nothing is swept."""
+    reports = spark.createDataFrame([("a", None), ("b", "unreadable")], "path string, error string")
+    return store.sweep(views.chunks(spark, sf_dir), reports, F.lit(2), F.col("tier") == "raw").select("id")
+
+
+@query(f"""WITH {DEMAND}, d AS (SELECT query, max(ts) AS ts FROM demand WHERE length(query) >= 3 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 30), n AS (SELECT trim(query) AS query, row_number() OVER (ORDER BY ts DESC, query) AS n FROM d)
+SELECT n, query FROM n a WHERE NOT EXISTS (SELECT 1 FROM n b WHERE b.n < a.n AND starts_with(lower(b.query), lower(a.query))) ORDER BY n LIMIT 20""")
+def recent_queries(spark, sf_dir):
+    """Queries of the recents, where there is no demand."""
+    d = views.demand(spark, sf_dir).select("query", "ts")
+    return answers.demand_queries(d.where("query IS NULL"), d).select(F.col("n").cast("long").alias("n"), "query")
+
+
 @query(f"WITH {CHUNKS} SELECT trajectory_id, doc_id, repo AS path FROM chunks WHERE session_id = 'src0' AND doc_id % 9 <> 0")
 def raw_replay(spark, sf_dir):
     """Raw payloads of one source, every ninth of them torn."""
