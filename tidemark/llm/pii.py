@@ -13,8 +13,9 @@ and votes (no text) are written to the shared folder, where both the training an
 Patterns are written so that they find what the plain ones find while long runs take linear time and no deep stack
 (possessive loops; starts only where a run begins or a match has just ended).
 
-Defined cases: null text counts as empty; texts without matches have empty spans, counts 0 and the digest of the
-empty text; repeated rows and null ids are treated each for itself; an empty table gives an empty result; extra
+Defined cases: null text counts as empty; very long texts are searched whole, by the JVM, in the task that reads them;
+texts without matches have empty spans, counts 0 and the digest of the empty text; an added span that overlaps a base span of
+its kind goes, and of added ones that overlap each other, found by different patterns, all stay, by start, then end; repeated rows and null ids are treated each for itself; an empty table gives an empty result; extra
 columns are ignored.
 """
 

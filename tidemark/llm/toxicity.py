@@ -6,7 +6,8 @@ finds all disjoint maximal-scoring segments of a text; extreme-value statistics
 an E-value; the segments that are significant are the toxic passages. A text's score is a logistic of the
 Gumbel-normalised best segment and of the mass of significant segments, calibrated on the training texts.
 
-Learns from at most SAMPLE_ROWS labelled rows (a documented bound). Every text is scanned whole. Labels, lang,
+Learns from at most SAMPLE_ROWS labelled rows (a documented bound). Tokens and stems of fewer than LEAST_TEXTS of them are left
+out of the table: they count as unseen ones, by their stem if that is in it, else by the drift. Every text is scanned whole. Labels, lang,
 source and the id never enter a score.
 
 Defined cases: null text counts as empty; texts without tokens get the score of a text without segments; null
