@@ -1089,11 +1089,15 @@ def stream_day_counts(spark, sf_dir):
     return ingest.run_to_table(ingest.day_counts(source, "event_type", late="60 days"), shared_path(spark, "day-counts"), ["day", "event_type"])
 
 
-@query()
+@query("""WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 15 MINUTE THEN 0 ELSE 1 END AS opens FROM events WHERE ts IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT user_id, ts, sum(opens) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM e)
+SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS start, strftime(max(ts) + INTERVAL 15 MINUTE, '%Y-%m-%d %H:%M:%S.%f') AS "end", count(*) AS n FROM s GROUP BY user_id, g
+HAVING max(ts) + INTERVAL 15 MINUTE <= (SELECT date_trunc('millisecond', max(ts)) FROM events)""")
 def stream_quiet_sessions(spark, sf_dir):
     """Sessions of users with a 15 minute gap; those still open at the last watermark are not out yet."""
     path = f"{sf_dir}/events.parquet"
-    return ingest.run_to_table(ingest.quiet_sessions(_stream(spark, path), "user_id"), shared_path(spark, "quiet"))
+    found = ingest.run_to_table(ingest.quiet_sessions(_stream(spark, path), "user_id"), shared_path(spark, "quiet"))
+    return found.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS") for c in ("start", "end")})
 
 
 def _stream(spark, path):
