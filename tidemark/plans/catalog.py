@@ -1162,7 +1162,15 @@ def page_artifacts(spark, sf_dir):
     return found.select("slug", F.array_join(F.transform("artifacts", lambda a: a["ref"]), " ").alias("refs"))
 
 
-@query()
+_SHRUNK = "(length({old}) > 500 AND length({new}) < 0.4 * length({old}))"
+_ADDED = r"regexp_replace({old}, '\s+$', '') || chr(10) || chr(10) || '## Addendum ({day})' || chr(10) || chr(10) || regexp_replace({new}, '^\s+|\s+$', '', 'g')"
+
+
+@query(f'''WITH {PAGES}, a AS (SELECT *, CASE WHEN {_SHRUNK.format(old='body', new='title')} THEN {_ADDED.format(old='body', new='title', day='2024-02-01')} ELSE title END AS one, body || chr(10) || 'more' AS more FROM wiki),
+b AS (SELECT *, CASE WHEN {_SHRUNK.format(old='one', new='more')} THEN {_ADDED.format(old='one', new='more', day='2024-02-02')} ELSE more END AS two FROM a)
+SELECT slug, CASE WHEN ordinal % 3 <> 0 THEN 'kept' WHEN {_SHRUNK.format(old='one', new='more')} THEN 'addendum' ELSE 'updated' END AS outcome, length(CASE WHEN ordinal % 3 = 0 THEN two ELSE body END) AS chars,
+CASE WHEN ordinal % 3 = 0 THEN alias || ',alias 1,alias 2' ELSE alias END AS aliases, CASE WHEN ordinal % 3 = 0 THEN slug || ',i1,i2' ELSE slug END AS sources,
+sha256(CASE WHEN ordinal % 3 = 0 THEN 'i1' || chr(10) || 'i2' || chr(10) || slug ELSE slug END) AS fingerprint FROM b''')
 def merge_pages(spark, sf_dir):
     """All pages after two operations on each third one: a rewrite by a summary that may trip the guard, then a longer text."""
     p = views.wiki(spark, sf_dir).select("slug", "ordinal", "title", "kind", F.lit("").alias("summary"), F.array("alias").alias("aliases"), F.array("slug").alias("sources"), F.array(F.lit("t0")).alias("trajectories"), F.lit("2024-01-01").alias("created"), F.lit("2024-01-01").alias("updated"), "body")
