@@ -39,8 +39,9 @@ def join_tool_results(uses: DataFrame, results: DataFrame, keys: list[str]) -> D
 def index_within(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:
     """chunk_index from 0 and chunk_count."""
     if not scans.small(df):
-        rows = scans.running(scans.parted(df, group, order), group, order, F.lit(1), "_n")
-        counts = df.groupBy(*group).agg(F.count(F.lit(1)).alias("chunk_count")).select(*[F.col(c).alias(f"_c{k}") for k, c in enumerate(group)], "chunk_count")
+        parts = scans.parted(df, group, order)
+        rows = scans.running(parts, group, order, F.lit(1), "_n")
+        counts = parts.groupBy(*group).agg(F.count(F.lit(1)).alias("chunk_count")).select(*[F.col(c).alias(f"_c{k}") for k, c in enumerate(group)], "chunk_count")
         on = [F.col(c).eqNullSafe(F.col(f"_c{k}")) for k, c in enumerate(group)]
         return rows.withColumn("chunk_index", F.col("_n") - 1).drop("_n", "_part").join(counts, on).drop(*[f"_c{k}" for k in range(len(group))])
     w = Window.partitionBy(*group)

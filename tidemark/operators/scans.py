@@ -20,9 +20,13 @@ PART_BYTES = 32 << 20
 
 
 def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate; for rows from the driver's memory, of which it knows none, 0."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return size if size < 1 << 58 else 0
+    """Catalyst's size estimate, but no more than what the plan reads, as Catalyst multiplies the sizes of a join's sides; rows
+    from the driver's memory, of which it knows no size, count as 0."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    sizes = lambda p: int(str(p.stats().sizeInBytes()))
+    leaves = plan.collectLeaves()
+    read = sum(n for n in (sizes(leaves.apply(k)) for k in range(leaves.size())) if n < 1 << 58)
+    return min(sizes(plan), read)
 
 
 def small(df: DataFrame) -> bool:
