@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import scans
+
 # English stop words.
 STOP_WORDS = frozenset(
     "a about above after again against all am an and any are as at be because been before being below between both but by can did do does doing don down during each few for from "
@@ -157,7 +159,8 @@ def _bucket(term: Column, buckets: int) -> Column:
 
 def write_index(index: DataFrame, path: str, buckets: int = 64, splits: int = 4, id_col: str = "id") -> None:
     """Postings in folders by the term's hash; the rows of a folder, those of a very common term too, are dealt to
-    `splits` tasks by id. Let both grow with the table: a folder and split is what one task sorts."""
+    `splits` tasks by id, or to more as the table grows: a folder and split is what one task sorts."""
+    splits = -(-scans.tasks(index, buckets * splits) // buckets)
     dealt = index.withColumn("bucket", _bucket(F.col("term"), buckets)).repartition(buckets * splits, "bucket", F.pmod(F.xxhash64(id_col), F.lit(splits)))
     dealt.sortWithinPartitions("bucket", "term", id_col).write.mode("overwrite").partitionBy("bucket").parquet(path)
 

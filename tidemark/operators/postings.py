@@ -21,7 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import fulltext
+from . import fulltext, scans
 from .store import Snapshots
 
 BUCKETS, RANGE_ROWS = 64, 1024
@@ -80,7 +80,8 @@ class TextIndex:
 
     def _written(self, found: DataFrame, seq: int, rows: int, ranges: int, kind: str) -> tuple:
         path = f"{self.root}/blocks/{kind}-{seq}"
-        dealt = found.repartition(self.buckets, "bucket").sortWithinPartitions("bucket", "term", "range")
+        splits = -(-scans.tasks(found, self.buckets) // self.buckets)  # ranges of a folder are dealt to more tasks as it grows
+        dealt = found.repartition(self.buckets * splits, "bucket", F.pmod(F.xxhash64("range"), F.lit(splits))).sortWithinPartitions("bucket", "term", "range")
         dealt.write.mode("overwrite").partitionBy("bucket").parquet(path)
         return seq, path, rows, ranges
 
@@ -240,8 +241,9 @@ def filtered(index: TextIndex, query: str, limit: int, admit: Callable[[DataFram
 
 
 def ordered_by_id(rows: DataFrame, path: str, files: int, id_col: str = "id") -> None:
-    """A table to fetch single rows from: in ranges of the id, sorted, so few row groups hold any few ids."""
-    rows.repartitionByRange(files, id_col).sortWithinPartitions(id_col).write.mode("overwrite").parquet(path)
+    """A table to fetch single rows from: in ranges of the id, sorted, so few row groups hold any few ids; more
+    files than given where the table is large."""
+    rows.repartitionByRange(scans.tasks(rows, files), id_col).sortWithinPartitions(id_col).write.mode("overwrite").parquet(path)
 
 
 def fetch(table: DataFrame, ids: DataFrame, id_col: str = "id", most: int = 10_000) -> DataFrame:

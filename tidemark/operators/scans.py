@@ -29,6 +29,11 @@ def plan_bytes(df: DataFrame) -> int:
     return min(sizes(plan), read)
 
 
+def tasks(df: DataFrame, least: int) -> int:
+    """How many tasks shall take df: those that are given, and more where it reads more than PART_BYTES for each."""
+    return max(least, -(-plan_bytes(df) // PART_BYTES))
+
+
 def small(df: DataFrame) -> bool:
     return plan_bytes(df) <= WINDOW_BYTES
 
