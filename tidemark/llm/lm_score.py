@@ -284,9 +284,9 @@ def _one_thread() -> None:
                 limit(1)
 
 
-def _passed(rows: DataFrame, words: Vocabulary, model: LogBilinear) -> tuple[np.ndarray, np.ndarray]:
-    """Trains the model on every trigram of all training texts: a copy in each task, then their mean. Returns the
-    counts of classes and of heavy words in all of them. Sums meet by place, a row each."""
+def _passed(rows: DataFrame, words: Vocabulary, model: LogBilinear | None) -> tuple[np.ndarray, np.ndarray]:
+    """Trains the model, where there is one, on every trigram of all training texts: a copy in each task, then their mean. Returns
+    the counts of classes and of heavy words in all of them. Sums meet by place, a row each."""
     counted = words.classes + HEAVY
 
     def trained(batches):
@@ -306,6 +306,9 @@ def _passed(rows: DataFrame, words: Vocabulary, model: LogBilinear) -> tuple[np.
                 texts = Texts(words, raw_texts(step.column("text")))
                 counts[: words.classes] += np.bincount(texts.target, minlength=words.classes)
                 counts[words.classes :] += np.bincount(texts.place, minlength=HEAVY)
+                if model is None:
+                    n += len(texts.n)
+                    continue
                 held.append(texts.grams().astype(np.int32))
                 size += held[-1].shape[1]
                 if size >= 64 * BATCH:
@@ -315,15 +318,15 @@ def _passed(rows: DataFrame, words: Vocabulary, model: LogBilinear) -> tuple[np.
             learn()
             n += size
         if n:
-            sums = np.concatenate([counts, model.flat().astype(float) * n, [n]])
+            sums = np.concatenate([counts, model.flat().astype(float) * n, [n]]) if model else counts
             own = np.nonzero(sums)[0]
             for at in range(0, len(own), 10_000):
                 yield pa.RecordBatch.from_arrays([pa.array(own[at : at + 10_000]), pa.array(sums[own[at : at + 10_000]])], ["k", "v"])
 
     found = rows.where("NOT held").select("text").mapInArrow(trained, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).toArrow()
-    total = np.zeros(counted + len(model.flat()) + 1)
+    total = np.zeros(counted + (len(model.flat()) + 1 if model else 0))
     total[found.column("k").to_numpy()] = found.column("v").to_numpy()
-    if total[-1]:
+    if model and total[-1]:
         model.take(total[counted:-1] / total[-1])
     counts = np.rint(total[:counted]).astype(np.int64)
     return counts[: words.classes], counts[words.classes :]
@@ -332,7 +335,7 @@ def _passed(rows: DataFrame, words: Vocabulary, model: LogBilinear) -> tuple[np.
 class Fitted:
     """What scoring needs: the words, the model, and the training counts of classes and of heavy words."""
 
-    def __init__(self, words: Vocabulary, model: LogBilinear, by_class: np.ndarray, heavy: np.ndarray) -> None:
+    def __init__(self, words: Vocabulary, model: LogBilinear | None, by_class: np.ndarray, heavy: np.ndarray) -> None:
         self.words, self.model, self.by_class, self.heavy = words, model, by_class, heavy
 
 
@@ -341,9 +344,12 @@ def _rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.withColumn("held", crc_mod(F.col("i"), 10) == 0)
 
 
-def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Fitted:
+def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts_only: bool = False) -> Fitted:
+    """With `counts_only` no model is trained: scores are null then, and base scores and counts the same."""
     rows = _rows(df, id_col, text_col)
     words, tokens = _vocabulary(rows)
+    if counts_only:
+        return Fitted(words, None, *_passed(rows, words, None))
     grams, weights = _sample(rows, words, tokens)
     model = LogBilinear.start(np.bincount(grams[2], weights, words.classes), grams, weights)
     return Fitted(words, model, *_passed(rows, words, model))
@@ -365,7 +371,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fitted:
 
     def scanned(batches):
         _one_thread()
-        left, right, total = model.parts(np.float32)
+        left, right, total = model.parts(np.float32) if model else (None, None, None)
         place = TaskContext.get().partitionId()
         held: list[list[np.ndarray]] = []
         flushes = docs = rare = tokens = 0
@@ -395,7 +401,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fitted:
                 out = step.column("held").to_numpy(zero_copy_only=False)
                 texts = Texts(words, raw_texts(step.column("text")))
                 n = len(texts.n)
-                lm = np.add.reduceat(left[texts.one, texts.target] + right[texts.two, texts.target] - total[texts.one, texts.two], texts.starts, dtype=float) / math.log(10)
+                lm = np.full(n, np.nan) if model is None else np.add.reduceat(left[texts.one, texts.target] + right[texts.two, texts.target] - total[texts.one, texts.two], texts.starts, dtype=float) / math.log(10)
                 of = texts.doc[texts.heavy]
                 log = heavy_log[texts.place]
                 base = np.bincount(of, log, n) + end_log
@@ -462,7 +468,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fitted:
         inside = np.bincount(np.repeat(np.arange(len(n)), endings), class_scale[ending], len(n))
         return pa.table({
             "i": pa.array(ids, mask=null == 1), "held_out": pa.array(out == 1), "n_tokens": pa.array(n), "n_known": pa.array(known + more), "train_tokens": pa.array(np.full(len(n), n_train)),
-            "base_score": pa.array(base + total - n * base_scale), "score": pa.array(lm + total - inside),
+            "base_score": pa.array(base + total - n * base_scale), "score": pa.array(lm + total - inside, from_pandas=True),
         })
 
     done = kept.where("k IS NOT NULL").select("k", "b", "d").repartition(parts, "k").groupBy("k").applyInArrow(closed, "i long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
