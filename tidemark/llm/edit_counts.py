@@ -27,12 +27,21 @@ LEAF_CHUNKS = 32
 
 Edit = tuple[int, int, str]  # characters [start, end) become the text
 
-_MASKED = re.compile(r"[^\s@]+@[^\s@]+|[0-9][0-9().+-]{3,}[0-9]|([*#$%&!])\1+")
+_ADDRESS = re.compile(r"(?<![^\s@])[^\s@]++@[^\s@]+")
+_MASKED = re.compile(r"[0-9*#$%&!](?:(?<=[0-9])[0-9().+-]{3,}[0-9]|(?<=([*#$%&!]))\1+)")  # a set of first signs is searched for at once
 
 
 def masking_edits(text: str) -> list[Edit]:
-    """The edits of the registered query: e-mail addresses, numbers of five signs or more and runs of marks are masked."""
-    return [(m.start(), m.end(), "#" if m[1] else "MASK") for m in _MASKED.finditer(text)]
+    """The edits of the registered query: e-mail addresses, numbers of five signs or more and runs of marks are masked. An
+    address can start only where a run of other signs than white space and @ does, and leaves no part of its runs to the rest."""
+    addresses = [m.span() for m in _ADDRESS.finditer(text)] if "@" in text else []
+    found, at = [], 0
+    for start, end in [*addresses, (len(text), len(text))]:
+        found += [(m.start(), m.end(), "#" if m[1] else "MASK") for m in _MASKED.finditer(text, at, start)]
+        if end > start:
+            found.append((start, end, "MASK"))
+        at = end
+    return found
 
 
 class TokenTree:
@@ -40,8 +49,8 @@ class TokenTree:
 
     def __init__(self, text: str, enc: Encoder) -> None:
         self.enc, self.encoded = enc, 0
-        chunks = list(enc.chunks(text))
-        counts = [self._count(c) for c in chunks]
+        chunks = enc.chunks(text)
+        counts = self._counted(chunks)
         self._plant([chunks[i : i + LEAF_CHUNKS] for i in range(0, len(chunks), LEAF_CHUNKS)], [counts[i : i + LEAF_CHUNKS] for i in range(0, len(chunks), LEAF_CHUNKS)])
 
     def _plant(self, leaves: list[list[str]], counts: list[list[int]]) -> None:
@@ -65,9 +74,9 @@ class TokenTree:
                 counts.append(count[i : i + LEAF_CHUNKS])
         self._plant(leaves, counts)
 
-    def _count(self, chunk: str) -> int:
-        self.encoded += 1
-        return len(self.enc.chunk(chunk)) // 4
+    def _counted(self, chunks: list[str]) -> list[int]:
+        self.encoded += len(chunks)
+        return list(map(self.enc.counts.__getitem__, chunks))
 
     def _sum(self, k: int) -> None:
         self.chars[k], self.tokens[k] = self.chars[2 * k] + self.chars[2 * k + 1], self.tokens[2 * k] + self.tokens[2 * k + 1]
@@ -107,7 +116,9 @@ class TokenTree:
         if not 0 <= start <= end <= self.chars[1]:
             raise ValueError("edit outside the text")
         la, ia, first = self._find(start)
-        lb, ib, _ = self._find(max(start, end - 1))
+        lb, ib = la, ia
+        if end - 1 >= first + len(self.leaves[la][ia] if self.chars[1] and ia < len(self.leaves[la]) else ""):
+            lb, ib, _ = self._find(max(start, end - 1))
         if (before := self._beside(la, ia, -1)) is not None:
             la, ia = before
             first -= len(self.leaves[la][ia])
@@ -119,15 +130,24 @@ class TokenTree:
             old = "".join(self.leaves[la][ia : ib + 1])
         else:
             old = "".join(self.leaves[la][ia:]) + "".join(c for k in range(la + 1, lb) for c in self.leaves[k]) + "".join(self.leaves[lb][: ib + 1])
-        chunks = list(self.enc.chunks(old[: start - first] + new + old[end - first :]))
-        counts = [self._count(c) for c in chunks]
+        chunks = self.enc.chunks(old[: start - first] + new + old[end - first :])
+        counts = self._counted(chunks)
         if la == lb:
+            more = sum(counts) - sum(self.counts[la][ia : ib + 1])
             self.leaves[la][ia : ib + 1], self.counts[la][ia : ib + 1] = chunks, counts
-        else:
-            self.leaves[la][ia:], self.counts[la][ia:] = chunks, counts
-            for k in range(la + 1, lb):
-                self.leaves[k], self.counts[k] = [], []
-            del self.leaves[lb][: ib + 1], self.counts[lb][: ib + 1]
+            if len(self.leaves[la]) > 4 * LEAF_CHUNKS:
+                self._split()
+                return
+            node, longer = self.width + la, len(new) - (end - start)
+            while node:
+                self.chars[node] += longer
+                self.tokens[node] += more
+                node >>= 1
+            return
+        self.leaves[la][ia:], self.counts[la][ia:] = chunks, counts
+        for k in range(la + 1, lb):
+            self.leaves[k], self.counts[k] = [], []
+        del self.leaves[lb][: ib + 1], self.counts[lb][: ib + 1]
         if max(len(self.leaves[la]), len(self.leaves[lb])) > 4 * LEAF_CHUNKS:
             self._split()
             return
@@ -152,8 +172,14 @@ def edit_aware_counts(df: DataFrame, edits: Callable[[str], list[Edit]] = maskin
             for step in steps([batch], "text"):
                 out = []
                 for i, text in zip(step.column("i").to_pylist(), step.column("text").to_pylist()):
+                    todo = edits(text or "")
+                    if not todo:  # nothing to find: no tree
+                        pieces = enc.chunks(text or "")
+                        total = sum(map(enc.counts.__getitem__, pieces))
+                        out.append((i, total, 0, total, len(pieces), 0))
+                        continue
                     tree = TokenTree(text or "", enc)
-                    before, chunks, todo = tree.total, tree.encoded, edits(text or "")
+                    before, chunks = tree.total, tree.encoded
                     for start, end, new in sorted(todo, reverse=True):
                         tree.apply(start, end, new)
                     out.append((i, before, len(todo), tree.total, chunks, tree.encoded - chunks))

@@ -12,9 +12,9 @@ import json
 import os
 import re
 from array import array
-from collections.abc import Iterator
 
 CACHE_CHUNKS = 100_000
+CACHE_COUNTS = 300_000
 LONG = 64  # characters of a chunk that is cut further
 # The characters that Unicode calls white space.
 _WHITE = r"\t\n\x0b\x0c\r \x85\xa0  -     　"
@@ -37,11 +37,11 @@ def _byte_of_symbol() -> dict[str, int]:
 
 
 class _Cache(dict):
-    def __init__(self, encode) -> None:
-        self.encode = encode
+    def __init__(self, encode, most: int | None = None) -> None:
+        self.encode, self.most = encode, most or CACHE_CHUNKS
 
-    def __missing__(self, key: str) -> bytes:
-        if len(self) >= CACHE_CHUNKS:
+    def __missing__(self, key: str):
+        if len(self) >= self.most:
             self.clear()
         self[key] = ids = self.encode(key)
         return ids
@@ -62,22 +62,29 @@ class Encoder:
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"  # fixed value of byte-level pre-tokenizers
         fast = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=vocabulary, special_tokens={})
         self._after_space = _Cache(lambda w: self.special.get(w) or array("I", fast.encode_ordinary(" " + w)).tobytes())
+        self.counts = _Cache(lambda w: 1 if w in self.special else len(fast.encode_ordinary(w)), CACHE_COUNTS)  # tokens by chunk
         self._chunk = _Cache(lambda w: self.special.get(w) or array("I", fast.encode_ordinary(w)).tobytes())
 
     def _special_in(self, text: str) -> bool:
         return any(s in text for s in self.special)
 
-    def chunks(self, text: str) -> Iterator[str]:
+    def chunks(self, text: str) -> list[str]:
         """The text in pieces that can be encoded apart."""
+        out: list[str] = []
         for part in self._cut.split(text) if self._special_in(text) else (text,):
             if part in self.special:
-                yield part
+                out.append(part)
                 continue
-            for chunk in _CHUNK.findall(part):
+            found = _CHUNK.findall(part)
+            if max(map(len, found), default=0) <= LONG:
+                out += found
+                continue
+            for chunk in found:
                 if len(chunk) > LONG:
-                    yield from _MARKED.findall(chunk)
+                    out += _MARKED.findall(chunk)
                 else:
-                    yield chunk
+                    out.append(chunk)
+        return out
 
     def chunk(self, chunk: str) -> bytes:
         return self._chunk[chunk]
