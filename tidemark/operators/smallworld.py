@@ -76,6 +76,53 @@ class Layers:
             at = [max(self.beam(query, at, level, 1))]
         return at
 
+    def _padded(self, level: int) -> np.ndarray:
+        """Links of a layer as a matrix, -1 after a node's last one."""
+        own = [x[level] if len(x) > level else x[0][:0] for x in self.links]
+        sizes = np.array([len(x) for x in own])
+        out = np.full((len(own), max(1, int(sizes.max(initial=0)))), -1, np.int32)
+        out[np.arange(out.shape[1]) < sizes[:, None]] = np.concatenate(own)
+        return out
+
+    def beams(self, queries: np.ndarray, nodes: np.ndarray, like: np.ndarray, level: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What ``beam`` finds from one node for each of many queries, a step of all of them at once: nodes (-1 where there are
+        fewer), similarities, and for each query how many were computed. A step takes the best node of each beam whose links
+        were not followed yet."""
+        links, q = self._padded(level), np.arange(len(queries))
+        best, s = np.full((len(q), width), -1), np.full((len(q), width), -np.inf)
+        best[:, 0], s[:, 0] = nodes, like
+        followed, seen, compared = best < 0, np.zeros((len(q), len(self.v)), bool), np.zeros(len(q), np.int64)
+        seen[q, nodes] = True
+        while len(q):
+            todo = np.where(followed[q], -np.inf, s[q])
+            at = todo.argmax(1)
+            more = todo[np.arange(len(q)), at] > -np.inf
+            q, at = q[more], at[more]
+            followed[q, at] = True
+            near = links[best[q, at]]
+            row, column = np.nonzero((near >= 0) & ~seen[q[:, None], near])
+            new = near[row, column]
+            seen[q[row], new] = True
+            compared += np.bincount(q[row], minlength=len(compared))
+            own = np.full(near.shape, -np.inf)
+            own[row, column] = np.einsum("ij,ij->i", self.v[new], queries[q[row]])
+            both = np.concatenate([s[q], own], axis=1)
+            kept = np.argpartition(-both, width - 1, axis=1)[:, :width]
+            s[q] = np.take_along_axis(both, kept, 1)
+            best[q] = np.take_along_axis(np.concatenate([best[q], near], axis=1), kept, 1)
+            followed[q] = np.take_along_axis(np.concatenate([followed[q], np.zeros(near.shape, bool)], axis=1), kept, 1) | ~np.isfinite(s[q])
+        return np.where(np.isfinite(s), best, -1), s, compared
+
+    def nearest_of(self, queries: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Nodes, similarities and numbers of computed ones of what a search finds for each query, with no filter."""
+        nodes = np.full(len(queries), self.entry)
+        s, compared = queries @ self.v[self.entry], np.ones(len(queries), np.int64)
+        for level in range(int(self.levels[self.entry]), 0, -1):
+            found, like, more = self.beams(queries, nodes, s, level, 1)
+            nodes, s, compared = found[:, 0], like[:, 0], compared + more
+        found, like, more = self.beams(queries, nodes, s, 0, width)
+        return found, like, compared + more
+
     def _apart(self, query: np.ndarray, nodes: np.ndarray, most: int) -> np.ndarray:
         """Of these nodes the nearest ones that are nearer to the query than to one taken before, then others to fill up."""
         own = self.v[nodes] @ query
@@ -127,7 +174,8 @@ class Layers:
             ends = np.searchsorted(target[order], nodes, side="right").tolist()
             room, back, at = self.most * (2 if level == 0 else 1), source[order], 0
             for node, own, end in zip(nodes.tolist(), near, ends):
-                both = np.concatenate([own, np.setdiff1d(back[at:end], own)])
+                more = back[at:end]  # ascending, each once
+                both = np.concatenate([own, more[~(more[:, None] == own).any(1)]])
                 self.links[node][level] = both if len(both) <= room else self._apart(self.v[node], both, room)
                 at = end
         self._reach()
@@ -255,13 +303,10 @@ def search(
                         for at in range(0, len(v), rows):
                             best.add(q @ v[at : at + rows].T, ids[at : at + rows])
                     elif n:
-                        layers, hits = _layers(ids, vectors, levels, ends, neighbours), []
-                        for j in range(len(asked)):
-                            layers.compared = 0
-                            nodes, s = layers.nearest(q[j], k, beam)
-                            compared[j] += layers.compared
-                            hits.append((np.full(len(nodes), j), ids[nodes], s))
-                        best.merge(*(np.concatenate(x) for x in zip(*hits)))
+                        nodes, s, more = _layers(ids, vectors, levels, ends, neighbours).nearest_of(q, max(beam, k))
+                        compared += more
+                        row, column = np.nonzero(nodes >= 0)
+                        best.merge(row, ids[nodes[row, column]], s[row, column])
             columns = [pa.array(np.array(asked, np.int64)[best.query]), pa.array(best.ids), pa.array(best.scores), pa.nulls(len(best.ids), pa.int64())]
             if counted:
                 columns = [pa.concat_arrays([c, more]) for c, more in zip(columns, [pa.array(asked, pa.int64()), pa.nulls(len(asked), pa.int64()), pa.nulls(len(asked), pa.float64()), pa.array(compared)])]
