@@ -26,11 +26,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.shared import materialise
-from .retrieval import SCORES, Nearest, in_blocks
+from .retrieval import SCORES, Nearest, in_blocks, spread
 
 LINKS, BUILD_BEAM, BEAM = 16, 64, 48
 SHARD_ROWS, BUILD_STEP = 8_000, 256
-QUERY_BLOCK = 2_000
+QUERY_BLOCK, QUERY_STEP = 16_000, 1_000
+MOVED = 500  # queries from which on searching a shard takes longer than moving it
 
 
 class Layers:
@@ -281,15 +282,21 @@ def search(
     spark = index.sparkSession
     admitted = F.transform("kept", lambda r: F.coalesce(admits(r), F.lit(False))) if admits else F.lit(None).cast("array<boolean>")
     rows = index.select("ids", "vectors", "levels", "ends", "neighbours", admitted.alias("admitted"))
+    dealt = None
     fields = f"`{query_id}` long, `{id_col}` long, similarity double, compared long"
 
     def block(held: list) -> DataFrame:
+        nonlocal dealt
         asked, q = [r[0] for r in held], _unit(np.array([r[1] for r in held], float))
+        if len(asked) >= MOVED and dealt is None:  # a task for each shard: files have some, others none
+            most = index.agg(F.max("shard")).head()[0]
+            dealt = rows if most is None else index.select("shard", *rows.columns[:5], admitted.alias("admitted")).repartitionById(most + 1, F.col("shard")).drop("shard")
 
-        def found(batches):
+        def nearest(batches):
             import pyarrow as pa
 
-            best, compared = Nearest(len(asked), k), np.zeros(len(asked), np.int64)
+            steps = [slice(at, at + QUERY_STEP) for at in range(0, len(asked), QUERY_STEP)]
+            best, compared = [Nearest(len(asked[s]), k) for s in steps], np.zeros(len(asked), np.int64)
             for batch in batches:
                 for r in range(batch.num_rows):
                     ids, vectors, levels, ends, neighbours = (batch.column(c)[r].values.to_numpy() for c in range(5))
@@ -299,20 +306,25 @@ def search(
                         v, ids = _unit(vectors.reshape(n, -1).astype(float)), ids[:n]
                         v, ids = (v, ids) if mask is None else (v[mask], ids[mask])
                         compared += len(v)
-                        rows = max(1, SCORES // len(asked))  # the score matrix of a step has SCORES entries at most
-                        for at in range(0, len(v), rows):
-                            best.add(q @ v[at : at + rows].T, ids[at : at + rows])
+                        rows = max(1, SCORES // min(len(asked), QUERY_STEP))  # the score matrix of a step has SCORES entries at most
+                        for s, found in zip(steps, best):
+                            for at in range(0, len(v), rows):
+                                found.near(q[s], v[at : at + rows], ids[at : at + rows])
                     elif n:
-                        nodes, s, more = _layers(ids, vectors, levels, ends, neighbours).nearest_of(q, max(beam, k))
-                        compared += more
-                        row, column = np.nonzero(nodes >= 0)
-                        best.merge(row, ids[nodes[row, column]], s[row, column])
-            columns = [pa.array(np.array(asked, np.int64)[best.query]), pa.array(best.ids), pa.array(best.scores), pa.nulls(len(best.ids), pa.int64())]
+                        layers = _layers(ids, vectors, levels, ends, neighbours)
+                        for s, found in zip(steps, best):
+                            nodes, like, more = layers.nearest_of(q[s], max(beam, k))
+                            compared[s] += more
+                            row, column = np.nonzero(nodes >= 0)
+                            found.merge(row, ids[nodes[row, column]], like[row, column])
+            own = [np.array(asked[s], np.int64)[b.query] for s, b in zip(steps, best)]
+            columns = [pa.array(np.concatenate(x)) for x in (own, [b.ids for b in best], [b.scores for b in best])]
+            columns.append(pa.nulls(len(columns[0]), pa.int64()))
             if counted:
                 columns = [pa.concat_arrays([c, more]) for c, more in zip(columns, [pa.array(asked, pa.int64()), pa.nulls(len(asked), pa.int64()), pa.nulls(len(asked), pa.float64()), pa.array(compared)])]
             yield pa.RecordBatch.from_arrays(columns, [query_id, id_col, "similarity", "compared"])
 
-        out = rows.mapInArrow(found, fields)
+        out = (dealt if len(asked) >= MOVED and dealt is not None else rows).mapInArrow(nearest, fields)
         counts = F.col("compared").isNotNull()
         rank = F.row_number().over(Window.partitionBy(query_id, counts).orderBy(F.desc(F.round("similarity", 12)), id_col))
         best = out.withColumn("rank", rank).where(counts | (F.col("rank") <= k))
@@ -323,10 +335,17 @@ def search(
     return in_blocks(queries.select(query_id, "q").where("q IS NOT NULL"), lambda held: block(held) if held else none, QUERY_BLOCK)
 
 
-def measure(index: DataFrame, exact: DataFrame, queries: DataFrame, k: int, rows: int, beam: int = BEAM, id_col: str = "vec_id", query_id: str = "query_id") -> DataFrame:
-    """One row: queries, recall against the exact neighbours (query_id, id), and the share of all distances computed."""
+def measure(
+    index: DataFrame, exact: DataFrame, queries: DataFrame, k: int, rows: int, beam: int = BEAM, id_col: str = "vec_id", query_id: str = "query_id", unique: DataFrame | None = None
+) -> DataFrame:
+    """One row: queries, recall against the exact neighbours (query_id, id), and the share of all distances computed. Queries may
+    have a column `alike`, as how many each counts; `unique` is the table of ``once`` that the index holds, where it is one."""
     every = materialise(search(index, queries, k, beam, id_col=id_col, query_id=query_id, counted=True), "measured")
-    found = every.where("compared IS NULL").select(query_id, id_col)
-    hits = exact.select(query_id, id_col).join(found.withColumn("_hit", F.lit(1)), [query_id, id_col], "left").agg(F.count(F.lit(1)).alias("n"), F.count("_hit").alias("hits"))
-    cost = every.where("compared IS NOT NULL").agg(F.count_distinct(query_id).alias("queries"), F.sum("compared").alias("compared"))
-    return cost.join(F.broadcast(hits)).select("queries", (F.col("hits") / F.col("n")).alias("recall"), (F.col("compared") / F.lit(float(rows)) / F.col("queries")).alias("share"))
+    found = every.where("compared IS NULL")
+    found = (spread(found, unique, k, id_col, query_id) if unique is not None else found).select(query_id, id_col, F.lit(1).alias("_hit"))
+    hits = exact.select(query_id, id_col).join(found, [query_id, id_col], "left").groupBy(query_id).agg(F.count(F.lit(1)).alias("n"), F.count("_hit").alias("hits"))
+    cost = every.where("compared IS NOT NULL").groupBy(query_id).agg(F.sum("compared").alias("compared"))
+    size = F.col("alike") if "alike" in queries.columns else F.lit(1)
+    each = queries.where("q IS NOT NULL").select(query_id, size.alias("_size")).join(cost, query_id).join(hits, query_id, "left")
+    total = lambda c: F.sum(F.col(c) * F.col("_size"))
+    return each.agg(F.coalesce(F.sum("_size"), F.lit(0)).alias("queries"), (total("hits") / total("n")).alias("recall"), (total("compared") / F.lit(float(rows)) / F.sum("_size")).alias("share"))
